@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a compressed table in the shared checkpoint folder; for what is large or dear to compute again."""
+    spark = df.sparkSession
+    scratch(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @functools.lru_cache(maxsize=8)
 def _shipped(app: str) -> bool:
     """Give this package to the Python workers of an application, once: executors need no checkout of it."""

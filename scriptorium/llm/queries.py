@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, exact_dedup, mixing, pii
+from scriptorium.llm import bpe, exact_dedup, mixing, pii, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 SQL = {
     "op2_exact_dedup": r"""
         WITH d AS (
