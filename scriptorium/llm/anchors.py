@@ -183,8 +183,8 @@ def find_segments(docs: DataFrame, symbols: Symbols, window: int, gram: int) ->
 
 
 def intervals(marks: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """(id, mark, spans): the marked stretches of each row, as sorted binary pairs of int32 would be, in one array per row."""
-    return marks.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct(F.col(start).alias("a"), F.col(end).alias("z")))).alias("spans"))
+    """(id, mark, spans): the marked stretches of each row in one array; a row has no more of them than its text has windows."""
+    return marks.groupBy("id", "mark").agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("z"))).alias("spans"))
 
 
 def covered(spans: np.ndarray, length: int) -> np.ndarray:
