@@ -2,8 +2,10 @@
 
 Both dictionaries hold the same common words of ordinary text; in front of them stand the word beginnings that mark their own class (by
 how many documents of each class have them). A window of a text that compresses to fewer bytes with the toxic dictionary has what toxic
-text has. From the windows' differences come four figures per text: the largest, how many reach a threshold, their mean, and the length.
-The threshold and a logistic curve over these figures are fitted on labelled rows that gave nothing to the dictionaries.
+text has. Windows are so short that their literals stay bytes, and each ends in a tail that both dictionaries hold: without it, most
+windows would not compress at all and the differences would drown. From the windows' differences come five figures per text: the
+largest, how many reach a threshold (log and share), and their sum by length and by its root. The threshold and a logistic curve over
+these figures are fitted on labelled rows that gave nothing to the dictionaries.
 
 Fitting takes at most ``FIT_ROWS`` labelled rows of at most ``FIT_CHARS`` code points each, those with the least hash of the id, so its
 cost does not grow with the corpus. Scoring reads every whole text.
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import python_workers
 
 #: Bounds of the sample for fitting, bytes of a window, and the score from which a text is called toxic.
-FIT_ROWS, FIT_CHARS, WINDOW, REJECT = 8_000, 20_000, 192, 0.3
+FIT_ROWS, FIT_CHARS, WINDOW, REJECT = 8_000, 20_000, 60, 0.3
 #: Lengths in bytes of word beginnings, least documents and score of one that marks a class, most of them, common words of a dictionary.
-BEGINNINGS, LEAST_DOCS, LEAST_Z, MARKS, COMMON = (5, 6, 7, 8, 10, 12), 4, 5.0, 400, 1_500
+BEGINNINGS, LEAST_DOCS, LEAST_Z, MARKS, COMMON = (6, 7, 8, 10, 12), 4, 6.0, 40, 1_500
+#: What every window ends in; both dictionaries end in it too.
+TAIL = b"<0123456789abcdef>"
 
 
 @dataclass(frozen=True)
@@ -51,24 +55,35 @@ def plain(text: str | None) -> bytes:
 @functools.lru_cache(maxsize=8)
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY,
+        window_log=16, hash_log=15, chain_log=14, search_log=4, min_match=6, target_length=8, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    words = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=words, compression_params=params)
 
 
-def differences(text: bytes, toxic: bytes, ordinary: bytes, window: int = WINDOW) -> np.ndarray:
+def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
+    """The text in pieces of at most ``size`` bytes, cut at spaces where it can be; neighbours share the space."""
+    at = 0
+    while True:
+        end = text.rfind(b" ", at + 1, at + size) + 1
+        if end <= at + 1 or at + size >= len(text):
+            end = min(len(text), at + size)
+        yield text[at:end]
+        if end >= len(text):
+            return
+        at = end - (text[end - 1] == 0x20 and end - at > 1)
+
+
+def differences(text: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """Of each window of the text, the bytes by which the toxic dictionary compresses it better."""
-    one, other = compressor(toxic), compressor(ordinary)
-    parts = max(1, round(len(text) / window))
-    edges = [len(text) * i // parts for i in range(parts + 1)]
-    return np.array([len(other.compress(text[a:z])) - len(one.compress(text[a:z])) for a, z in zip(edges, edges[1:], strict=False)])
+    one, other = compressor(toxic).compress, compressor(ordinary).compress
+    return np.array([len(other(w)) - len(one(w)) for w in (w + TAIL for w in windows(text))])
 
 
 def figures(gains: np.ndarray, threshold: int) -> tuple[float, ...]:
-    reached = int((gains >= threshold).sum())
-    return float(gains.max()), np.log1p(reached), reached / len(gains), float(np.clip(gains, 0, None).mean()), np.log1p(len(gains))
+    reached, total = int((gains >= threshold).sum()), float(np.clip(gains, 0, None).sum())
+    return float(gains.max()), np.log1p(reached), reached / len(gains), total / len(gains), total / len(gains) ** 0.5
 
 
 def marks(own: list[bytes], others: list[bytes]) -> list[bytes]:
@@ -91,9 +106,9 @@ def marks(own: list[bytes], others: list[bytes]) -> list[bytes]:
 
     scored = {x: z(x) for x, k in ours.items() if k >= LEAST_DOCS}
     best: list[bytes] = []
-    for x in sorted((x for x, s in scored.items() if s > LEAST_Z), key=lambda x: (-scored[x], x)):
-        if len(best) < MARKS and not any(x in y for y in best):
-            best = [y for y in best if y not in x] + [x]
+    for x in sorted((x for x, s in scored.items() if s > LEAST_Z), key=lambda x: (-scored[x], -len(x), x)):
+        if len(best) < MARKS and not any(x in y or y in x for y in best):
+            best.append(x)
     return best
 
 
@@ -101,7 +116,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     """The content that is nearest to a text in a dictionary is cheapest to refer to: common words stand last in both."""
     common = b"".join(b" " + w for w, _ in sorted(Counter(w for t in ordinary for w in t.split()).items(), key=lambda x: (-x[1], x[0]))[:COMMON][::-1])
     own, other = marks(toxic, ordinary), marks(ordinary, toxic)
-    return b"".join(own[::-1]) + common, b"".join(other[::-1]) + common
+    return b"\0".join([*own[::-1], common]), b"\0".join([*other[::-1], common])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
