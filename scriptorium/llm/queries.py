@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, exact_dedup, fingerprints, mixing, pii, suffix_array, suffix_tree, toxicity
+from scriptorium.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pii, suffix_array, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(documents(spark, sf_dir)).drop("mark")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
