@@ -11,12 +11,14 @@ Hashes are polynomials modulo 2**64 over random 64-bit symbol values. Texts coun
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import python_workers
@@ -139,7 +141,7 @@ def _chunk(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     seen = np.zeros(n + 1, np.int64)
     np.cumsum(grams[:n] == least, out=seen[1:])
     twice = seen[head + run - 1] > seen[head]
-    yield text, least[head], hash_between(sums, head, head + run + window - 1), head - starts[text], run, twice
+    yield text, least[head], hash_between(sums, head, head + run + window - 1) ^ mixed(run.astype(np.uint64)), head - starts[text], run, twice
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_segments(docs: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
-    """(id, mark, anchor, seg, start, run, twice), one row per segment of the ``keyed`` rows."""
+    """(anchor, seg, id, mark, place, twice), one row per segment of the ``keyed`` rows; see ``start_of`` and ``run_of`` for place."""
     python_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,20 +178,63 @@ def find_segments(docs: DataFrame, symbols: Symbols, window: int, gram: int) ->
             values, offsets = symbols(*raw(batch.column(2)))
             for text, anchor, seg, start, count, twice in segments(values, offsets, window, gram):
                 ids, marks = batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text))
-                columns = [ids, marks, pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "anchor", "seg", "start", "run", "twice"])
+                columns = [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), ids, marks, pa.array(start * (2 * MAX_RUN) + count), pa.array(twice)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "id", "mark", "place", "twice"])
 
-    return docs.mapInArrow(run, "id bigint, mark bigint, anchor bigint, seg bigint, start int, run int, twice boolean")
+    return docs.mapInArrow(run, "anchor bigint, seg bigint, id bigint, mark bigint, place bigint, twice boolean")
 
 
-def intervals(marks: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """(id, mark, spans): the marked stretches of each row in one array; a row has no more of them than its text has windows."""
-    return marks.groupBy("id", "mark").agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("z"))).alias("spans"))
+def start_of(place: Column) -> Column:
+    """First symbol of a segment."""
+    return F.floor(place / (2 * MAX_RUN)).cast("int")
 
 
-def covered(spans: np.ndarray, length: int) -> np.ndarray:
-    """Boolean mask of the places below ``length`` that some [a, z) of spans covers."""
+def run_of(place: Column) -> Column:
+    """Number of windows of a segment."""
+    return F.pmod(place, F.lit(2 * MAX_RUN)).cast("int")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, mark, packed) of ``keyed`` rows: each text as a zstandard frame, for the way to other executors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            data, offsets = raw(batch.column(2))
+            frames = [pack(data[a:z]) for a, z in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frames, pa.binary())], names=["id", "mark", "packed"])
+
+    return docs.mapInArrow(run, "id bigint, mark bigint, packed binary")
+
+
+def unpacked(frames: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of packed texts, one after another."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(x.as_buffer()) for x in frames]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def same_row(id_: str, mark: str) -> Column:
+    """Join condition on the (id, mark) of a ``keyed`` row."""
+    return F.col("id").eqNullSafe(F.col(id_)) & (F.col("mark") == F.col(mark))
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Boolean mask of the places below ``length`` that some [start, end) covers."""
     edge = np.zeros(length + 1, np.int32)
-    np.add.at(edge, spans[:, 0], 1)
-    np.add.at(edge, np.minimum(spans[:, 1], length), -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(ends, length), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def fields(structs: pa.ListScalar) -> dict[str, np.ndarray]:
+    """The fields of an array of structs of numbers, none of them null; no entries if the array is null."""
+    if not structs.is_valid:
+        return defaultdict(lambda: np.zeros(0, np.int64))
+    return {f.name: structs.values.field(i).to_numpy().astype(np.int64) for i, f in enumerate(structs.values.type)}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pii, suffix_array, suffix_tree, toxicity
+from scriptorium.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, pii, suffix_array, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return suffix_tree.remove_repeats(documents(spark, sf_dir), keep_text=False).drop("kept")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(docs, toxicity.fit_on(docs, labels))
@@ -55,7 +59,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return suffix_array.remove_repeats(documents(spark, sf_dir), keep_text=False).drop("kept")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.anchors import byte_values, covered, find_segments, hash_between, intervals, keyed, octets, prefix_hashes, raw
+from scriptorium.llm.anchors import byte_values, covered, fields, find_segments, hash_between, keyed, octets, packed, prefix_hashes, run_of, runs_of, same_row, start_of, unpacked
 from scriptorium.llm.common import stored, tasks
 
 #: Bytes of a match that is removed, bytes of an anchor's string, most bytes of one index.
-WINDOW, GRAM, BLOCK_BYTES = 400, 256, 1 << 21
+WINDOW, GRAM, BLOCK_BYTES = 400, 160, 1 << 22
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -116,33 +117,83 @@ def repeated_windows(texts: list[np.ndarray], window: int) -> list[np.ndarray]:
     return [stats[a : a + len(x)] for a, x in zip(index.starts, texts, strict=False)]
 
 
-def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the stretches of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return edge[::2], edge[1::2]
+#: What is known of a row after its own segments: the result, or else the text and what to cut from it.
+PLAN = "array<struct<anchor:bigint,start:int,run:int,n:bigint,bytes:bigint>>"
+RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+RESULT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, mark, start, end) of ``keyed`` rows: byte stretches covered by windows that also start elsewhere, as found (they overlap)."""
+def result(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep_text: bool) -> tuple:
+    gone = covered(starts, ends, len(text))
+    kept = text[~gone].tobytes()
+    return len(text), int(gone.sum()), len(runs_of(gone)[0]), kept if keep_text else None, hashlib.sha256(kept).hexdigest()
+
+
+def planned(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, mark, copied, wanted) of the ``keyed`` rows with anything to do: stretches that are repeated for certain, segments to index."""
     found = stored(find_segments(docs, octets, window, gram))
-    # One row per different segment: how often it occurs, and where first.
-    segs = found.groupBy("anchor", "seg", "run").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("id", "mark", "start")).alias("at"))
-    anchors = segs.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("twice").alias("any_twice"), F.sum(F.col("run") + window).alias("bytes"), F.max("n").alias("most"))
-    anchors = anchors.where("texts > 1 OR any_twice OR most > 1").withColumnRenamed("anchor", "anchor_")
-    segs = segs.join(anchors, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "run", "n", "at", "bytes", ((F.col("texts") > 1) | F.col("any_twice")).alias("to_index"))
+    # Only anchors that occur again matter; that leaves a fraction of the segments.
+    again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("twice").alias("twice_"))
+    again = again.where("n > 1 OR twice_").select("anchor_", (F.col("twice_") | (F.col("low") != F.col("high"))).alias("several"))
+    near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place", "several"))
+    segs = near.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.max("several").alias("several"), F.min(F.struct("id", "mark", "place")).alias("at"))
 
     # All windows of a segment that occurs more than once are repeated.
-    copies = segs.where("n > 1").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), F.col("run").alias("r2"))
-    copied = found.join(copies, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")) & (F.col("run") == F.col("r2")), "left_semi")
-    copied = copied.select("id", "mark", "start", (F.col("start") + F.col("run") + (window - 1)).alias("end"))
-
-    # The texts for the index, cut from the first document of each.
-    wanted = segs.where("to_index").groupBy(F.col("at.id").alias("id"), F.col("at.mark").alias("mark")).agg(F.collect_list(F.struct("anchor", F.col("at.start").alias("start"), "run", "n", "bytes")).alias("wanted"))
-    both = docs.join(wanted.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "wanted"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")))
-    # Repeated rows bring a text twice; it counts as occurring again anyway.
-    slices = F.transform("wanted", lambda w: F.struct(w.anchor.alias("anchor"), w.start.alias("start"), w.run.alias("run"), w.n.alias("n"), w.bytes.alias("bytes"), F.substr(F.col("octets"), w.start + 1, w.run + F.lit(window - 1)).alias("piece")))
-    cut = both.withColumn("octets", F.col("text").cast("binary")).select("id", "mark", F.explode(slices).alias("s")).select("id", "mark", "s.*")
-    cut = stored(cut)
+    copies = segs.where("n > 1").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"))
+    copied = near.join(copies, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")), "left_semi")
+    start, run = start_of(F.col("place")), run_of(F.col("place"))
+    copied = copied.select("id", "mark", F.struct(F.lit(None).cast("bigint").alias("anchor"), start.alias("start"), run.alias("run"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("bytes")).alias("x"))
+
+    # One text of each other segment goes to the index, with the size of all that share its anchor.
+    several = segs.where("several").withColumn("start", start_of(F.col("at.place"))).withColumn("run", run_of(F.col("at.place")))
+    sizes = several.groupBy(F.col("anchor").alias("a3")).agg(F.sum(F.col("run") + window).alias("bytes"))
+    wanted = several.join(sizes, F.col("anchor") == F.col("a3")).select("at.id", "at.mark", F.struct("anchor", "start", "run", "n", "bytes").alias("x"))
+    return copied.unionByName(wanted).groupBy("id", "mark").agg(
+        F.collect_list(F.when(F.col("x.anchor").isNull(), F.struct("x.start", "x.run"))).alias("copied"),
+        F.collect_list(F.when(F.col("x.anchor").isNotNull(), F.col("x"))).alias("wanted"),
+    )
+
+
+def settled(docs: DataFrame, plan: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """Every ``keyed`` row, with its result if nothing of it goes to the index, else with its packed text, stretches and segments."""
+    plan = plan.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "copied", "wanted")
+    both = packed(docs).join(plan, same_row("id2", "mark2"), "left").select("id", "mark", "packed", "copied", "wanted")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = unpacked(batch.column(2))
+            rows = []
+            for i, (copied, wanted) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                if wanted.is_valid and len(wanted):
+                    rows.append((None,) * 5)
+                else:
+                    x = fields(copied)
+                    rows.append(result(data[offsets[i] : offsets[i + 1]], x["start"], x["start"] + x["run"] + window - 1, keep_text))
+            done = pa.array([r[0] is not None for r in rows], pa.bool_())
+            rest = [pc.if_else(done, pa.scalar(None, batch.column(k).type), batch.column(k)) for k in (2, 3, 4)]
+            results = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, RESULT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *results, *rest], names=["id", "mark", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "packed", "copied", "wanted"])
+
+    return stored(both.mapInArrow(run, f"id bigint, mark bigint, {RESULT}, packed binary, copied array<struct<start:int,run:int>>, wanted {PLAN}"))
+
+
+def cut(rows: DataFrame, window: int) -> DataFrame:
+    """(anchor, id, mark, start, run, n, bytes, piece) of each wanted segment, piece being its text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = unpacked(batch.column(2))
+            for i, wanted in enumerate(batch.column(3)):
+                x = fields(wanted)
+                pieces = [data[offsets[i] + a : offsets[i] + a + n + window - 1].tobytes() for a, n in zip(x["start"].tolist(), x["run"].tolist(), strict=True)]
+                same = [pa.array([batch.column(k)[i].as_py()] * len(pieces), pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x["anchor"]), *same, pa.array(x["start"], pa.int32()), pa.array(x["run"], pa.int32()), pa.array(x["n"]), pa.array(pieces, pa.binary())], names=["anchor", "id", "mark", "start", "run", "n", "piece"])
+
+    return rows.select("id", "mark", "packed", "wanted").mapInArrow(run, "anchor bigint, id bigint, mark bigint, start int, run int, n bigint, piece binary")
+
+
+def indexed_spans(rows: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(id, mark, start, end): of the segments that occur once, the stretches covered by windows that also start elsewhere."""
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -151,68 +202,62 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
         def flush() -> Iterator[pa.RecordBatch]:
             ids, marks, starts, ends = [], [], [], []
             if held:
-                for (id_, mark, start, run, n, _), hit in zip(held, repeated_windows([x[5] for x in held], window), strict=True):
+                for (_, id_, mark, start, run, n, _), hit in zip(held, repeated_windows([x[-1] for x in held], window), strict=True):
                     if n == 1:  # of those that occur again, all is marked anyway
                         for a, z in zip(*runs_of(hit[:run]), strict=True):
                             ids.append(id_), marks.append(mark), starts.append(start + int(a)), ends.append(start + int(z) + window - 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "mark", "start", "end"])
 
         for batch in batches:
-            for anchor, id_, mark, start, run, n, piece in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if anchor != last and size + (len(piece)) > block_bytes // 2:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[0] != last and size + len(row[-1]) > block_bytes // 2:
                     yield from flush()
                     held, size = [], 0
-                last = anchor
-                held.append((id_, mark, start, run, n, np.frombuffer(piece, np.uint8)))
-                size += len(piece) + 1
+                last = row[0]
+                held.append((*row[:-1], np.frombuffer(row[-1], np.uint8)))
+                size += len(row[-1]) + 1
         yield from flush()
 
-    spark = docs.sparkSession
-    small = cut.where(F.col("bytes") <= block_bytes // 2).repartition(tasks(spark), "anchor").sortWithinPartitions("anchor")
-    indexed = small.select("anchor", "id", "mark", "start", "run", "n", "piece").mapInArrow(index, "id bigint, mark bigint, start int, end int")
-
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, mark, start, run, n, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for _, id_, mark, start, run, n, piece in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 sums, at = prefix_hashes(byte_values()[np.frombuffer(piece, np.uint8)]), np.arange(run)
                 key = hash_between(sums, at, at + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([id_] * run, pa.int64()), pa.array([mark] * run, pa.int64()), pa.array((start + at).astype(np.int32)), pa.array([n] * run, pa.int64())], names=["window", "id", "mark", "start", "n"])
 
-    hot = cut.where(F.col("bytes") > block_bytes // 2)
-    windows = hot.select("id", "mark", "start", "run", "n", "piece").mapInArrow(single, "window bigint, id bigint, mark bigint, start int, n bigint")
+    most = F.lit(block_bytes // 2)
+    part = lambda hot: rows.withColumn("wanted", F.filter("wanted", lambda w: (w.bytes > most) if hot else (w.bytes <= most))).where(F.size("wanted") > 0)
+    dealt = cut(part(False), window).repartition(tasks(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
+    spans = dealt.mapInArrow(index, "id bigint, mark bigint, start int, end int")
+    windows = cut(part(True), window).mapInArrow(single, "window bigint, id bigint, mark bigint, start int, n bigint")
     again = windows.groupBy(F.col("window").alias("w2")).agg(F.sum("n").alias("times")).where("times > 1").select("w2")
-    hot_spans = windows.where("n = 1").join(again, F.col("window") == F.col("w2"), "left_semi").select("id", "mark", "start", (F.col("start") + window).alias("end"))
-    return copied.unionByName(indexed).unionByName(hot_spans)
+    return spans.unionByName(windows.where("n = 1").join(again, F.col("window") == F.col("w2"), "left_semi").select("id", "mark", "start", (F.col("start") + window).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per input row: (id_col, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+    """One row per input row: (id_col, n_bytes, n_removed, n_spans, kept binary, kept_sha256); without keep_text, kept is null.
 
     Removed is each byte of the UTF-8 text that lies in a string of ``window`` bytes which also starts at another place, of this row or
     of any other; judged on the input. Null text: as empty. Null and repeated ids: rows of their own; repeated rows are copies of each
     other. Kept bytes need not be whole characters. Other columns are ignored; an empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = intervals(repeated_spans(rows, window, gram)).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "spans")
-    both = rows.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
+    first = settled(rows, planned(rows, window, gram), window, keep_text)
+    open_ = first.where(F.col("packed").isNotNull())
+    spans = indexed_spans(open_, window, block_bytes).groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = open_.join(spans, same_row("id2", "mark2"), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = raw(batch.column(1))
+            data, offsets = unpacked(batch.column(1))
             out = []
-            for i, spans in enumerate(batch.column(2)):
-                text = data[offsets[i] : offsets[i + 1]]
-                gone = covered(pairs(spans), len(text)) if spans.is_valid else np.zeros(len(text), bool)
-                kept = text[~gone].tobytes()
-                out.append((len(text), int(gone.sum()), len(runs_of(gone)[0]), kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    return both.select("id", "text", "spans").mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
-
-
-def pairs(spans: pa.ListScalar) -> np.ndarray:
-    """Rows of (a, z)."""
-    values = spans.values
-    return np.stack([values.field(0).to_numpy(), values.field(1).to_numpy()], axis=1).astype(np.int64)
+            for i, (copied, spans) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = fields(copied), fields(spans)
+                starts, ends = np.concatenate([x["start"], y["start"]]), np.concatenate([x["start"] + x["run"] + window - 1, y["end"]])
+                out.append(result(data[offsets[i] : offsets[i + 1]], starts, ends, keep_text))
+            results = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 5, RESULT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *results], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    last = both.select("id", "packed", "copied", "spans").mapInArrow(run, f"id bigint, {RESULT}")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    return first.where(F.col("packed").isNull()).select("id", *columns).unionByName(last).withColumnRenamed("id", id_col)

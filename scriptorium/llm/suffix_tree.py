@@ -20,15 +20,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.anchors import covered, find_segments, hash_between, intervals, keyed, prefix_hashes, raw, word_symbols, words
+from scriptorium.llm.anchors import covered, fields, find_segments, hash_between, keyed, packed, prefix_hashes, run_of, same_row, start_of, unpacked, word_symbols, words
 from scriptorium.llm.common import stored, tasks
-from scriptorium.llm.suffix_array import pairs
 
 #: Words of a repeat, of an anchor's string and of one name.
-WINDOW, GRAM, STEP = 50, 25, 10
+WINDOW, GRAM, STEP = 50, 20, 10
 #: Suffixes of one subtree; texts of an anchor from which prefixes are three names long, and from which they have full depth.
 TREE_SUFFIXES, LONG_TEXTS, HOT_TEXTS = 200_000, 1_000, 10_000
 LAST = (1 << 63) - 1
@@ -54,119 +54,177 @@ def marked(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return docs > np.repeat(least, np.diff(np.append(nodes, len(docs))))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, step: int = STEP, long_texts: int = LONG_TEXTS, hot_texts: int = HOT_TEXTS, tree_suffixes: int = TREE_SUFFIXES) -> DataFrame:
-    """(id, mark, start, end) of ``keyed`` rows: word stretches covered by windows that also start in a document of smaller id."""
-    depth = -(-window // step)
-    order = F.coalesce("id", F.lit(LAST))  # null ids come last
-    found = stored(find_segments(docs, words, window, gram).withColumn("order", order).drop("twice"))
-    segs = found.groupBy("anchor", "seg").agg(F.min("order").alias("first"), F.max("order").alias("final"), F.min(F.struct("order", "id", "mark", "start", "run")).alias("at"))
-    anchors = segs.groupBy("anchor").agg(F.count("*").alias("texts"), F.min("first").alias("low"), F.max("first").alias("high"))
-    anchors = anchors.where("low < high").select(F.col("anchor").alias("anchor_"), "texts")
+#: What is known of a row after its own segments: the result, or else the text and the segments whose suffixes go to the trees.
+PLAN = "array<struct<anchor:bigint,seg:bigint,start:int,run:int,texts:bigint>>"
+RESULT = "n_words bigint, n_removed bigint, kept string, kept_sha256 string"
+RESULT_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string())
+
+
+def result(text: bytes, starts: np.ndarray, ends: np.ndarray, keep_text: bool) -> tuple:
+    found = text.split()  # at ASCII white space
+    kept = list(compress(found, (~covered(starts, ends, len(found))).tolist())) if len(starts) else found
+    text = b" ".join(kept)
+    return len(found), len(found) - len(kept), text.decode() if keep_text else None, hashlib.sha256(text).hexdigest()
+
+
+def order() -> Column:
+    """Null ids come last."""
+    return F.coalesce("id", F.lit(LAST))
+
+
+def planned(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that have anything to do, (id, mark, copied, wanted): stretches that are repeated for certain, segments for the trees;
+    and the segments near others, (anchor, seg, id, mark, place)."""
+    found = stored(find_segments(docs, words, window, gram).drop("twice"))
+    # Only anchors that two documents have matter; that leaves a fraction of the segments.
+    again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.min("seg").alias("low"), F.max("seg").alias("high"), F.min(order()).alias("first_"), F.max(order()).alias("final"))
+    again = again.where("first_ < final").select("anchor_", (F.col("low") != F.col("high")).alias("several"))
+    near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place", "several"))
+    segs = near.groupBy("anchor", "seg").agg(F.min(order()).alias("first"), F.max(order()).alias("final"), F.max("several").alias("several"), F.min(F.struct(order().alias("order"), "id", "mark", "place")).alias("at"))
 
     copies = segs.where("first < final").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "first")
-    copied = found.join(copies, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2"))).where(F.col("order") > F.col("first"))
-    copied = copied.select("id", "mark", "start", (F.col("start") + F.col("run") + (window - 1)).alias("end"))
+    copied = near.join(copies, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2"))).where(order() > F.col("first"))
+    none = F.lit(None).cast("bigint")
+    copied = copied.select("id", "mark", F.struct(none.alias("anchor"), none.alias("seg"), start_of(F.col("place")).alias("start"), run_of(F.col("place")).alias("run"), none.alias("texts")).alias("x"))
+
+    # Of anchors whose texts begin in different documents, one text of each segment.
+    several = segs.where("several")
+    anchors = several.groupBy(F.col("anchor").alias("a3")).agg(F.count("*").alias("texts"), F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+    wanted = several.join(anchors, F.col("anchor") == F.col("a3"))
+    wanted = wanted.select("at.id", "at.mark", F.struct("anchor", "seg", start_of(F.col("at.place")).alias("start"), run_of(F.col("at.place")).alias("run"), "texts").alias("x"))
+    plan = copied.unionByName(wanted).groupBy("id", "mark").agg(
+        F.collect_list(F.when(F.col("x.anchor").isNull(), F.struct("x.start", "x.run"))).alias("copied"),
+        F.collect_list(F.when(F.col("x.anchor").isNotNull(), F.col("x"))).alias("wanted"),
+    )
+    # A segment may stand in its first document more than once, so rows that only hold another place of one stay open as well.
+    return plan, near.where("several").select("anchor", "seg", "id", "mark", "place")
+
+
+def settled(docs: DataFrame, plan: DataFrame, near: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """Every ``keyed`` row, with its result if the trees cannot change it, else with its packed text, stretches and segments."""
+    unsure = near.groupBy("id", "mark").agg(F.lit(True).alias("open")).select(F.col("id").alias("id3"), F.col("mark").alias("mark3"), "open")
+    plan = plan.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "copied", "wanted")
+    both = packed(docs).join(plan, same_row("id2", "mark2"), "left").join(unsure, same_row("id3", "mark3"), "left").select("id", "mark", "packed", "copied", "wanted", F.coalesce("open", F.lit(False)).alias("open"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = unpacked(batch.column(2))
+            rows = []
+            for i, (copied, open_) in enumerate(zip(batch.column(3), batch.column(5).to_pylist(), strict=True)):
+                x = fields(copied)
+                rows.append((None,) * 4 if open_ else result(data[offsets[i] : offsets[i + 1]].tobytes(), x["start"], x["start"] + x["run"] + window - 1, keep_text))
+            rest = [pc.if_else(batch.column(5), batch.column(k), pa.scalar(None, batch.column(k).type)) for k in (2, 3, 4)]
+            results = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, RESULT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *results, *rest], names=["id", "mark", "n_words", "n_removed", "kept", "kept_sha256", "packed", "copied", "wanted"])
+
+    return stored(both.mapInArrow(run, f"id bigint, mark bigint, {RESULT}, packed binary, copied array<struct<start:int,run:int>>, wanted {PLAN}"))
 
-    # Suffixes at the windows of the different texts of an anchor, from the first document of each text.
-    wanted = segs.join(anchors, F.col("anchor") == F.col("anchor_"))
-    wanted = wanted.groupBy(F.col("at.id").alias("id2"), F.col("at.mark").alias("mark2")).agg(F.collect_list(F.struct("anchor", "seg", F.col("at.start").alias("start"), F.col("at.run").alias("run"), "texts")).alias("wanted"))
-    both = docs.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")))
 
-    def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def suffixes(rows: DataFrame, window: int, step: int, long_texts: int, hot_texts: int) -> DataFrame:
+    """(length, group, order, anchor, seg, off, n0, n1, ...): the suffix at each window of the wanted segments, as names of ``step``
+    words; it goes to the group of its first ``length`` names."""
+    depth = -(-window // step)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = raw(batch.column(1))
+            data, offsets = unpacked(batch.column(1))
             values, bounds, _, _ = word_symbols(data, offsets)
-            for i, (id_, wanted_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                segs_ = wanted_.values
-                anchor, seg, start, run, texts = (segs_.field(k).to_numpy() for k in range(5))
-                nth = np.repeat(np.arange(len(run)), run)
-                off = np.arange(len(nth)) - np.repeat(np.cumsum(run) - run, run)
-                at = start[nth] + off
+            for i, (id_, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                x = fields(wanted)
+                nth = np.repeat(np.arange(len(x["run"])), x["run"])
+                off = np.arange(len(nth)) - np.repeat(np.cumsum(x["run"]) - x["run"], x["run"])
+                at = x["start"][nth] + off
                 sums = prefix_hashes(values[bounds[i] : bounds[i + 1]])
                 names = [hash_between(sums, at + k, at + min(k + step, window)).view(np.int64) for k in range(0, window, step)]
-                length = np.where(texts > hot_texts, depth, np.where(texts > long_texts, min(3, depth), 1))[nth]
+                length = np.where(x["texts"] > hot_texts, depth, np.where(x["texts"] > long_texts, min(3, depth), 1))[nth]
                 group = names[0].copy()
                 for k in range(1, depth):
-                    with np.errstate(over="ignore"):
-                        group = np.where(length > k, group * np.int64(31) + names[k], group)
-                columns = [pa.array(length.astype(np.int32)), pa.array(group), pa.array(np.full(len(at), LAST if id_ is None else id_)), pa.array(anchor[nth]), pa.array(seg[nth]), pa.array(off.astype(np.int32)), *(pa.array(x) for x in names)]
+                    group = np.where(length > k, group * np.int64(31) + names[k], group)
+                columns = [pa.array(length.astype(np.int32)), pa.array(group), pa.array(np.full(len(at), LAST if id_ is None else id_)), pa.array(x["anchor"][nth]), pa.array(x["seg"][nth]), pa.array(off.astype(np.int32)), *(pa.array(n) for n in names)]
                 yield pa.RecordBatch.from_arrays(columns, names=["length", "group", "order", "anchor", "seg", "off", *(f"n{k}" for k in range(depth))])
 
+    kinds = ", ".join(f"n{k} bigint" for k in range(depth))
+    rows = rows.where(F.size("wanted") > 0)
+    return rows.select("id", "packed", "wanted").mapInArrow(run, f"length int, group bigint, order bigint, anchor bigint, seg bigint, off int, {kinds}")
+
+
+def tree_hits(rows: DataFrame, depth: int, tree_suffixes: int) -> DataFrame:
+    """(anchor, seg, off) of the suffixes below a deep node that a smaller document has too."""
     columns = [f"n{k}" for k in range(depth)]
-    rows = stored(both.select("id", "text", "wanted").mapInArrow(suffixes, "length int, group bigint, order bigint, anchor bigint, seg bigint, off int, " + ", ".join(f"{c} bigint" for c in columns)))
 
-    def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
+    def spelled(table: pa.Table) -> np.ndarray:
+        return np.stack([table[c].to_numpy() for c in columns], axis=1)
 
-        def grown(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if len(table):
-                names = np.stack([table[c].to_numpy() for c in columns], axis=1)
-                kept = table.filter(pa.array(marked(names, table["order"].to_numpy()))).select(["anchor", "seg", "off"])
-                yield from kept.to_batches()
+    def hits(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(table):
+            yield from table.filter(pa.array(marked(spelled(table), table["order"].to_numpy()))).select(["anchor", "seg", "off"]).to_batches()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
             held.append(batch)
             count += len(batch)
-            if count >= tree_suffixes:
-                table = pa.Table.from_batches(held)
-                names = np.stack([table[c].to_numpy() for c in columns], axis=1)
-                common = SubTree(names).depth
-                # Cut at the shortest prefix that changes; a subtree whose suffixes are all equal goes on with its smallest document.
-                for length in range(1, depth + 1):
-                    if len(cuts := np.flatnonzero(common < length)):
-                        yield from grown(table.slice(0, int(cuts[-1]) + 1))
-                        table = table.slice(int(cuts[-1]) + 1)
-                        break
-                else:
-                    hit = marked(names, table["order"].to_numpy())
-                    yield from table.filter(pa.array(hit)).select(["anchor", "seg", "off"]).to_batches()
-                    table = table.slice(0, 1)
-                held, count = table.to_batches(), len(table)
+            if count < tree_suffixes:
+                continue
+            table = pa.Table.from_batches(held)
+            common = SubTree(spelled(table)).depth
+            # Cut where the shortest prefix changes; if all suffixes are equal, the one of the smallest document goes on alone.
+            for length in range(1, depth + 1):
+                if len(cuts := np.flatnonzero(common < length)):
+                    yield from hits(table.slice(0, int(cuts[-1]) + 1))
+                    table = table.slice(int(cuts[-1]) + 1)
+                    break
+            else:
+                yield from hits(table)
+                table = table.slice(0, 1)
+            held, count = table.to_batches(), len(table)
         if held:
-            yield from grown(pa.Table.from_batches(held))
+            yield from hits(pa.Table.from_batches(held))
 
-    spark = docs.sparkSession
-    dealt = rows.where(F.col("length") < depth).repartition(tasks(spark), "group").sortWithinPartitions(*columns, "order")
-    hits = dealt.select(*columns, "order", "anchor", "seg", "off").mapInArrow(trees, "anchor bigint, seg bigint, off int")
+    dealt = rows.where(F.col("length") < depth).repartition(tasks(rows.sparkSession), "group").sortWithinPartitions(*columns, "order")
+    found = dealt.select(*columns, "order", "anchor", "seg", "off").mapInArrow(run, "anchor bigint, seg bigint, off int")
     deep = rows.where(F.col("length") == depth)
     least = deep.groupBy(*(F.col(c).alias(f"{c}_") for c in columns)).agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least < most")
-    on = [F.col(c) == F.col(f"{c}_") for c in columns]
-    hits = hits.unionByName(deep.join(least, on).where(F.col("order") > F.col("least")).select("anchor", "seg", "off"))
-
-    # Back to the segments' places in their first document.
-    hits = hits.groupBy(F.col("anchor").alias("a2"), F.col("seg").alias("s2")).agg(F.collect_list("off").alias("offs"))
-    firsts = segs.select(F.col("anchor").alias("a3"), F.col("seg").alias("s3"), "first")
-    placed = found.join(hits.join(firsts, (F.col("a2") == F.col("a3")) & (F.col("s2") == F.col("s3"))), (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
-    placed = placed.where(F.col("order") == F.col("first")).select("id", "mark", F.explode(F.transform("offs", lambda o: F.col("start") + o)).alias("start"))
-    return copied.unionByName(placed.withColumn("end", F.col("start") + window))
+    return found.unionByName(deep.join(least, [F.col(c) == F.col(f"{c}_") for c in columns]).where(F.col("order") > F.col("least")).select("anchor", "seg", "off"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, step: int = STEP,
+    long_texts: int = LONG_TEXTS, hot_texts: int = HOT_TEXTS, tree_suffixes: int = TREE_SUFFIXES, keep_text: bool = True,
+) -> DataFrame:
     """One row per input row: (id_col, n_words, n_removed, kept, kept_sha256); kept words are joined by one space.
 
     Removed is each word in a window of ``window`` words whose words also start in a document with a smaller id; judged on the input.
     Words are runs of bytes other than U+0020 and U+0009 to U+000D. Null text: no words. Null id: after every other id. Rows that
-    repeat an id are one document here, so they remove nothing from each other. Other columns are ignored; an empty table gives an
-    empty result.
+    repeat an id are one document here, so they remove nothing from each other. Without keep_text, kept is null. Other columns are
+    ignored; an empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = intervals(repeated_spans(rows, window, gram, **limits)).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "spans")
-    both = rows.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
+    plan, near = planned(rows, window, gram)
+    first = settled(rows, plan, near, window, keep_text)
+    open_ = first.where(F.col("packed").isNotNull())
+    hits = tree_hits(stored(suffixes(open_, window, step, long_texts, hot_texts)), -(-window // step), tree_suffixes)
+    # A hit is of a segment in its first document, wherever it stands there.
+    offs = hits.groupBy(F.col("anchor").alias("a2"), F.col("seg").alias("s2")).agg(F.collect_list("off").alias("offs"))
+    firsts = near.groupBy(F.col("anchor").alias("a3"), F.col("seg").alias("s3")).agg(F.min(order()).alias("first"))
+    offs = offs.join(firsts, (F.col("a2") == F.col("a3")) & (F.col("s2") == F.col("s3"))).select("a2", "s2", "offs", "first")
+    placed = near.join(offs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2"))).where(order() == F.col("first"))
+    placed = placed.groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct(start_of(F.col("place")).alias("start"), "offs")).alias("hits"))
+    at = F.flatten(F.transform("hits", lambda h: F.transform(h.offs, lambda o: h.start + o)))
+    both = open_.join(placed.select("id2", "mark2", at.alias("at")), same_row("id2", "mark2"), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = raw(batch.column(1))
+            data, offsets = unpacked(batch.column(1))
             out = []
-            for i, spans in enumerate(batch.column(2)):
-                found = data[offsets[i] : offsets[i + 1]].tobytes().split()  # at ASCII white space
-                kept = found
-                if spans.is_valid:
-                    kept = list(compress(found, (~covered(pairs(spans), len(found))).tolist()))
-                text = b" ".join(kept)
-                out.append((len(found), len(found) - len(kept), text.decode(), hashlib.sha256(text).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[id_col, "n_words", "n_removed", "kept", "kept_sha256"])
-
-    return both.select("id", "text", "spans").mapInArrow(run, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+            for i, (copied, hit) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = fields(copied), hit.values.to_numpy().astype(np.int64) if hit.is_valid else np.zeros(0, np.int64)
+                starts, ends = np.concatenate([x["start"], y]), np.concatenate([x["start"] + x["run"] + window - 1, y + window])
+                out.append(result(data[offsets[i] : offsets[i + 1]].tobytes(), starts, ends, keep_text))
+            results = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, RESULT_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *results], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
+
+    last = both.select("id", "packed", "copied", "at").mapInArrow(run, f"id bigint, {RESULT}")
+    columns = ["n_words", "n_removed", "kept", "kept_sha256"]
+    return first.where(F.col("packed").isNull()).select("id", *columns).unionByName(last).withColumnRenamed("id", id_col)
