@@ -86,7 +86,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per input row: (id_col, size, source_size, target, taken).
+    """One row per input row: (id_col, size, source_size, target, taken, mark); mark is a hash of the text.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words of the document that the mix takes, repeats counted. A source's
     taken words are its target, rounded; no document exceeds three times its size. Null source: a source of its own, last. Null ids are
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     agree. Other columns are ignored; an empty table gives an empty result.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), count_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
     rows = written(rows.withColumn("bucket", F.substring("key", 1, 3)))
     targets = written(source_targets(rows).withColumn("goal", F.round("target").cast("bigint")))
     b = F.lit(block_words)
@@ -102,10 +102,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # A source's stream: where each bucket starts, then where each document starts in its bucket.
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("from"))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "id", "size")
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "mark")
     placed = rows.withColumn("nth", F.row_number().over(in_bucket)).withColumn("off", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)))
     placed = placed.alias("p").join(sums.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.bucket") == F.col("s.bucket")))
-    placed = placed.select("p.id", "p.source", "p.bucket", "p.nth", "p.size", (F.col("s.from") + F.coalesce("p.off", F.lit(0))).alias("lo"))
+    placed = placed.select("p.id", "p.source", "p.bucket", "p.nth", "p.size", "p.mark", (F.col("s.from") + F.coalesce("p.off", F.lit(0))).alias("lo"))
 
     # Slot of rank r: block r modulo the blocks, cut where the source reaches its goal.
     slots = schedule(targets, block_words).alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
@@ -122,6 +122,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = pieces.withColumn("a", F.greatest("lo", F.col("block") * b)).withColumn("z", F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * b))
     pieces = pieces.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")), "left")
     words = (F.col("p.z") - F.col("p.a")) * F.coalesce("t.times", F.lit(0)) + F.greatest(F.lit(0), F.least(F.col("p.z"), F.col("p.block") * b + F.coalesce("t.part", F.lit(0))) - F.col("p.a"))
-    done = pieces.groupBy("p.source", "p.bucket", "p.nth", "p.id", "p.size").agg(F.sum(words).cast("bigint").alias("taken"))
+    done = pieces.groupBy("p.source", "p.bucket", "p.nth", "p.id", "p.size", "p.mark").agg(F.sum(words).cast("bigint").alias("taken"))
     done = done.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    return done.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), F.col("d.taken").alias("taken"))
+    return done.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), F.col("d.taken").alias("taken"), F.col("d.mark").alias("mark"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes its words, to the nearest whole time (0 to 3).
+
+    Rows without words are not taken. Rows that repeat id and text each come as often as all of them are taken, shared out evenly and
+    rounded down.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **how).where("size > 0")
+    times = F.floor(F.sum(F.round(F.col("taken") / F.col("size"))) / F.count("*")).cast("int")
+    times = taken.groupBy(F.col(id_col).alias("_mix_id"), F.col("mark").alias("_mix_mark")).agg(times.alias("_times")).where("_times > 0")
+    both = docs.join(times, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_mark")))
+    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

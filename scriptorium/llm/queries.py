@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).drop("mark")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,30 @@ SQL = {
                doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
     """,
+    "op4_line_dedup": r"""
+        WITH x AS (
+          SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line
+          FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, no, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM x),
+        f AS (SELECT norm, min({'d': doc_id, 'n': no}) AS first, count(*) AS times FROM l WHERE norm <> '' GROUP BY norm),
+        k AS (
+          SELECT norm, first, s, side, CASE side WHEN 0 THEN norm[1:s // 2] ELSE norm[length(norm) - (s - s // 2) + 1:] END AS part
+          FROM f, (VALUES (0), (1)) v(side), LATERAL (SELECT unnest([length(norm), length(norm) - 1]) AS s) WHERE length(norm) >= 20),
+        p AS (
+          SELECT DISTINCT a.norm AS a, b.norm AS b FROM k a JOIN k b USING (s, side, part)
+          WHERE a.norm <> b.norm AND a.first < b.first AND abs(length(a.norm) - length(b.norm)) <= 1),
+        c AS (SELECT a, b, len(list_filter(range(1, length(a) + 1), lambda i: a[1:i] = b[1:i])) AS n FROM p),
+        near AS (
+          SELECT DISTINCT b AS norm FROM c
+          WHERE CASE length(a) - length(b) WHEN 0 THEN a[n + 2:] = b[n + 2:] WHEN 1 THEN a[n + 2:] = b[n + 1:] ELSE a[n + 1:] = b[n + 2:] END),
+        g AS (
+          SELECT l.doc_id, l.no FROM l JOIN f USING (norm) LEFT JOIN near ON near.norm = l.norm
+          WHERE near.norm IS NOT NULL OR {'d': l.doc_id, 'n': l.no} > f.first),
+        r AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
+               coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN r USING (doc_id)
+    """,
     "op6_mixing": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,

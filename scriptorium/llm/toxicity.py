@@ -188,3 +188,15 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= reject).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts score below ``reject``; a null text is scored as an empty one."""
+    python_workers(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(model, t) < reject for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
