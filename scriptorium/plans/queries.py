@@ -1,11 +1,225 @@
-"""The queries over the driver tables, and their SQL."""
+"""The queries over the driver tables; ``oracle`` has their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text
+from scriptorium.operators import boolean, evaluation, graph, ranking
+from scriptorium.operators.index import build
+from scriptorium.plans import oracle
+from scriptorium.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Fixed queries: name to (level, op, words or phrases), and name to (level, model, words).
+BOOLEAN = {
+    "bool_and_scene": {"and1": ("scene", "and", ["the", "stupid"]), "and2": ("scene", "AND", ["der", "und", "mit"])},
+    "bool_or_scene": {"or1": ("scene", "or", ["idiot", "trash"]), "or2": ("scene", "or", ["bomentera", "scum"])},
+    "bool_and_play": {"andp": ("play", "and", ["idiot", "clown"]), "andp2": ("play", "and", ["the", "moron", "que"])},
+    "bool_or_play": {"orp": ("play", "or", ["bomentera", "pathetic"])},
+    "bool_phrase_scene": {"ph1": ("scene", "and", ["of the"]), "ph2": ("scene", "and", ["the and the"])},
+    "bool_phrase_and_term": {"pt1": ("scene", "and", ["of the", "and", "is a"]), "pt2": ("scene", "and", ["in the", "the"])},
+    "bool_phrase_or_term": {"po1": ("scene", "or", ["is the of", "trash"]), "po2": ("scene", "or", ["der die", "die der"])},
+    "bool_phrase_play": {"pp1": ("play", "and", ["the of the", "idiot"]), "pp2": ("play", "or", ["stupid the", "the stupid"])},
+    "bool_unknown_term": {"un1": ("scene", "and", ["the", "zzzunknown"]), "un2": ("scene", "or", ["scum", "zzzunknown", "zzzother"])},
+}
+RANKED = {
+    "bm25_scene": {"b1": ("scene", "bm25", ["the", "stupid", "of"]), "b2": ("scene", "bm25", ["idiot", "trash", "idiot"]), "b3": ("scene", "bm25", ["der", "zzzunknown", "und"])},
+    "bm25_play": {"p1": ("play", "bm25", ["the", "idiot"]), "p2": ("play", "bm25", ["bomentera", "scum", "achlicher"])},
+    "ql_scene": {"q1": ("scene", "ql", ["the", "stupid", "of"]), "q2": ("scene", "ql", ["idiot", "trash"]), "q3": ("scene", "ql", ["zzzunknown", "scum"])},
+    "ql_play": {"r1": ("play", "ql", ["the", "idiot"]), "r2": ("play", "ql", ["bomentera", "scum"])},
+    "ql_duplicate_term": {"d1": ("scene", "ql", ["idiot", "the", "idiot"])},
+}
+#: Strings with every special case of the tokenizer, and words with every one of the stemmer.
+LINES = [
+    "A.B.C.'s", "Ph.D.", "U.S.A.", "www.google.com", "u.s.army", "a.bc", "3.14", "3.1", "a..b", ".a.b", "a.b.cd", "it's", "été",
+    "x-y_z", "", "...", "Café.s", "a.b", "ab.c.d",
+]
+HONORIFICS = [
+    "Mr. Darcy met Mrs. Long", "Mr.  Darcy", "Mr.\nDarcy", "see Mr.", "Mr. Mrs. X", "Mr. Ms. Mrs. Y", "Mr.  Mrs. Y", "Mr. U.S.A. ok", "Mr. a.bc",
+    "Mr.Smith", "dr. who Mr.' Fox", "Mr. ... z", "a\r\nb\rc",
+]
+WORDS = (
+    "stresses gaps gas cries ties stress agreed feed fished falling this ied aed aing sing hopping troubled falls agreedly playing gaseous rating "
+    "buzzed kissed sized hoping failing pirating wanted bled seedly bus was easily ingly edly"
+).split()
+
+
+def values(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "no bigint, value string")
+
+
+def boolean_table(spark: SparkSession, queries: dict) -> DataFrame:
+    rows = [(name, level, op, i, term.split()) for name, (level, op, terms) in queries.items() for i, term in enumerate(terms)]
+    return spark.createDataFrame(rows, "qname string, level string, op string, unit_no int, unit array<string>")
+
+
+def ranked_table(spark: SparkSession, queries: dict) -> DataFrame:
+    rows = [(name, level, model, i, term) for name, (level, model, terms) in queries.items() for i, term in enumerate(terms)]
+    return spark.createDataFrame(rows, "qname string, level string, model string, qpos int, term string")
+
+
+def index(spark: SparkSession, sf_dir: str):
+    return build(readers.documents_corpus(spark, sf_dir))
+
+
+def lists(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return values(spark, rows).select("no", "value", F.array_join(text.tokenize(F.col("value")), " ").alias("tokens"))
+
+
+def per_document(spark: SparkSession, sf_dir: str, stop: bool, column: str) -> DataFrame:
+    rows = text.analyze(readers.table(spark, sf_dir, "documents"), text.STOPWORDS if stop else [""])
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct(column).alias("different"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", column))), lambda x: x[column]), " ")).alias("digest"))
+
+
+def tok_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(spark, sf_dir, False, "token")
+
+
+def tok_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(spark, sf_dir, True, "token")
+
+
+def tok_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(spark, sf_dir, True, "stem")
+
+
+def tok_words_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists(spark, LINES)
+
+
+def tok_honorific_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists(spark, HONORIFICS)
+
+
+def tok_stem_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, WORDS).select("no", "value", text.stem(F.col("value")).alias("stem"))
+
+
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.top_terms(text.analyze(readers.table(spark, sf_dir, "documents")))
+
+
+def vocab_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.vocab_growth(text.analyze(readers.table(spark, sf_dir, "documents")))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).postings().select("term", "play_id", "scene_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def unit_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).unit_tf("play")
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).unit_len("scene")
+
+
+def group_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).unit_len("play")
+
+
+def collection_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).cf()
+
+
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).df("scene")
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = index(spark, sf_dir)
+    return own.stats("scene").unionByName(own.stats("play"))
+
+
+def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = build(readers.conversations_corpus(spark, sf_dir))
+    return own.stats("scene").unionByName(own.stats("play"))
+
+
+def search(name: str) -> Query:
+    return lambda spark, sf_dir: boolean.search(index(spark, sf_dir), boolean_table(spark, BOOLEAN[name]))
+
+
+def rank(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = (ranking.bm25 if name.startswith("bm25") else ranking.ql)(index(spark, sf_dir), ranked_table(spark, RANKED[name]))
+        return found.withColumn("score", F.round("score", 6))
+
+    return query
+
+
+def link_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes(readers.page_edges(spark, sf_dir))
+
+
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.out_degree(readers.page_edges(spark, sf_dir))
+
+
+def top_inlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_inlinks(readers.page_edges(spark, sf_dir))
+
+
+def dangling_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dangling(readers.page_edges(spark, sf_dir))
+
+
+def pagerank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(readers.page_edges(spark, sf_dir))[0].select("page", F.round("rank", 9).alias("rank"))
+
+
+def pagerank_multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(readers.trade_edges(spark, sf_dir), tau=1e-3)[0].select("page", F.round("rank", 9).alias("rank"))
+
+
+def pagerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = graph.pagerank(readers.trade_edges(spark, sf_dir), tau=1e-3)[0].withColumn("score", F.round("rank", 9)).select("page", "score")
+    return graph.top_pages(ranks, "score")
+
+
+def pagerank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = graph.pagerank(readers.trade_edges(spark, sf_dir), tau=1e-3)[1]
+    return spark.createDataFrame(trace, "iteration bigint, change double").select("iteration", F.round("change", 9).alias("change"))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The BM25 run, and graded judgements of labelled documents for each of its queries (negative ones among them)."""
+    run = ranking.bm25(index(spark, sf_dir), ranked_table(spark, RANKED["bm25_scene"])).select(F.col("qname").alias("qid"), F.col("unit_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), "score")
+    labels = readers.table(spark, sf_dir, "labels")
+    qids = F.explode(F.array(*[F.lit(q) for q in [*RANKED["bm25_scene"], "never_run"]]))
+    return run, labels.select(qids.alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") * 2 - F.col("toxic")).cast("double").alias("rel"))
+
+
+def eval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.per_query(*judged(spark, sf_dir))
+
+
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.summary(eval_per_query(spark, sf_dir))
+
+
+def eval_ideal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.ideal(judged(spark, sf_dir)[1])
+
+
+def qrels_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.qrels_totals(judged(spark, sf_dir)[1])
+
+
+def queries() -> dict[str, Query]:
+    own = (
+        tok_tokens, tok_stopped, tok_stems, tok_words_literal, tok_stem_literal, tok_honorific_literal, top_terms, vocab_growth, postings, unit_tf,
+        doc_lengths, group_lengths, collection_freq, doc_freq, corpus_stats, turn_stats, link_nodes, out_degree, top_inlinks, dangling_pages, pagerank_pages,
+        pagerank_multigraph, pagerank_top, pagerank_trace, eval_per_query, eval_summary, eval_ideal, qrels_totals,
+    )
+    return {f.__name__: f for f in own} | {n: search(n) for n in BOOLEAN} | {n: rank(n) for n in RANKED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql(BOOLEAN, RANKED, LINES, HONORIFICS, WORDS, text.STOPWORDS)
