@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import python_workers
 
 #: Most symbols hashed at once, and most windows of one segment (a longer run is cut; that is allowed anywhere).
-CHUNK, MAX_RUN = 1 << 20, 4096
+CHUNK, MAX_RUN = 1 << 19, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -92,8 +92,14 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     last = offsets[1:][offsets[1:] > 0] - 1
     closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sums = prefix_hashes(byte_values()[data])
-    return hash_between(sums, starts, ends) | np.uint64(1), np.searchsorted(starts, offsets), starts, ends
+    values = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # words of some CHUNK bytes at a time
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
+        sums = prefix_hashes(byte_values()[data[starts[at] : ends[to - 1]]])
+        values[at:to] = hash_between(sums, starts[at:to] - starts[at], ends[at:to] - starts[at])
+        at = to
+    return values | np.uint64(1), np.searchsorted(starts, offsets), starts, ends
 
 
 def segments(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -115,6 +121,7 @@ def segments(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -
 
 
 def _chunk(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    symbols = byte_values()[symbols] if symbols.dtype == np.uint8 else symbols
     starts, ends = offsets[:-1], offsets[1:]
     texts = np.flatnonzero(ends - starts >= window)
     if not len(texts):
@@ -160,7 +167,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def octets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_values()[data], offsets
+    return data, offsets
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -3,7 +3,7 @@
 1. Segments (see anchors) say which stretches of the corpus share an anchor with another stretch. Equal segments collapse to one
    with a count: every window of a segment that occurs twice is repeated.
 2. The other stretches whose anchor has more than one text go to the index, one text of each. Texts of an anchor stay together, and
-   whole anchors fill a block of at most ``BLOCK_BYTES``.
+   whole anchors fill a block of about a quarter of ``BLOCK_BYTES``, or one of them a block of at most that.
 3. Of each block a run-compressed Burrows-Wheeler transform is built, with the suffix positions sampled at the ends of its runs. Only
    there is a common prefix with the suffix next in order ever measured; inside a run it is one less than that of the position before,
    so one stream over the text gives the matching statistic of every position: the longest string there that also starts elsewhere.
@@ -28,34 +28,33 @@ from scriptorium.llm.anchors import byte_values, covered, fields, find_segments,
 from scriptorium.llm.common import stored, tasks
 
 #: Bytes of a match that is removed, bytes of an anchor's string, most bytes of one index.
-WINDOW, GRAM, BLOCK_BYTES = 400, 160, 1 << 22
+WINDOW, GRAM, BLOCK_BYTES = 400, 160, 1 << 21
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; only groups of suffixes that are still equal are sorted again. The last symbol is unique."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.empty(n, np.int64)
-    new = np.empty(n, bool)
-    new[0] = True
-    new[1:] = symbols[order[1:]] != symbols[order[:-1]]
-    # A rank is the place of its group's first suffix, so ranks of finished suffixes never change.
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    size = np.diff(np.append(np.flatnonzero(new), n))
-    open_ = np.flatnonzero(np.repeat(size > 1, size))  # places in order whose suffix is not alone
+    order = np.argsort(symbols, kind="stable").astype(np.int32)
+    rank = np.empty(n, np.int32)
+
+    def groups(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each of some sorted keys (the first place of its group, so finished ranks never change); whether it is not alone."""
+        new = np.ones(len(key) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        return np.maximum.accumulate(np.where(new[:-1], place, 0)), ~(new[:-1] & new[1:])
+
+    rank[order], tied = groups(symbols[order], np.arange(n, dtype=np.int32))
+    open_ = np.flatnonzero(tied).astype(np.int32)  # places in order whose suffix is not alone
     depth = 1
     while len(open_):
         at = order[open_]
-        key = rank[at] * np.int64(n + 1) + np.where(at + depth < n, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="quicksort")
-        at, key = at[by], key[by]
+        key = rank[at] * np.int64(n + 1)
+        key += np.where(at < n - depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at = at[by]
         order[open_] = at
-        new = np.empty(len(key), bool)
-        new[0] = True
-        new[1:] = key[1:] != key[:-1]
-        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))
-        open_ = open_[np.repeat(size > 1, size)]
+        rank[at], tied = groups(key[by], open_)
+        open_ = open_[tied]
         depth *= 2
     return order
 
@@ -63,7 +62,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 def common_prefix(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, by binary search on hashes."""
     n = len(sums) - 1
-    low, high = np.zeros(len(a), np.int64), np.minimum(most, n - np.maximum(a, b))
+    low, high = np.zeros(len(a), np.int32), np.minimum(most, n - np.maximum(a, b)).astype(np.int32)
     while (open_ := low < high).any():
         mid = (low + high + 1) // 2
         same = hash_between(sums, a, a + mid) == hash_between(sums, b, b + mid)
@@ -101,7 +100,7 @@ class RunLengthIndex:
         length[-1 if not whole else 0] = 0  # the first and the last suffix in order have no neighbour on one side
         by = np.argsort(at)
         at, length = at[by], length[by]
-        places = np.arange(self.size)
+        places = np.arange(self.size, dtype=np.int32)
         latest = np.searchsorted(at, places, "right") - 1
         return np.where(latest >= 0, np.maximum(length[latest] - (places - at[latest]), 0), 0)
 
@@ -210,7 +209,7 @@ def indexed_spans(rows: DataFrame, window: int, block_bytes: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if row[0] != last and size + len(row[-1]) > block_bytes // 2:
+                if row[0] != last and size + len(row[-1]) > block_bytes // 4:
                     yield from flush()
                     held, size = [], 0
                 last = row[0]
@@ -225,7 +224,7 @@ def indexed_spans(rows: DataFrame, window: int, block_bytes: int) -> DataFrame:
                 key = hash_between(sums, at, at + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([id_] * run, pa.int64()), pa.array([mark] * run, pa.int64()), pa.array((start + at).astype(np.int32)), pa.array([n] * run, pa.int64())], names=["window", "id", "mark", "start", "n"])
 
-    most = F.lit(block_bytes // 2)
+    most = F.lit(block_bytes)
     part = lambda hot: rows.withColumn("wanted", F.filter("wanted", lambda w: (w.bytes > most) if hot else (w.bytes <= most))).where(F.size("wanted") > 0)
     dealt = cut(part(False), window).repartition(tasks(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
     spans = dealt.mapInArrow(index, "id bigint, mark bigint, start int, end int")
