@@ -126,10 +126,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text_col) with every confirmed match of the base kinds replaced by its kind in brackets; null stays null."""
     text = F.col(text_col)
-    for k in KINDS[:4]:
-        rule = F.lit(rf"(?s)\G(.*?)({k.pattern})")
-        gaps, hits = F.regexp_extract_all(text, rule, F.lit(1)), F.regexp_extract_all(text, rule, F.lit(2))
-        rest = F.substr(text, F.char_length(F.array_join(gaps, "")) + F.char_length(F.array_join(hits, "")) + 1)
-        masked = F.concat(F.array_join(F.zip_with(gaps, hits, lambda gap, hit, k=k: F.concat(gap, F.when(k.check(hit), f"[{k.name}]").otherwise(hit))), ""), rest)
-        text = F.when(text.rlike(k.maybe), masked).otherwise(text)
+    for kind in KINDS[:4]:
+        text = masked(text, kind)
     return docs.select(F.col(id_col), text.alias(text_col))
+
+
+def masked(text: Column, kind: Kind) -> Column:
+    """A text with the confirmed matches of one kind replaced."""
+    rule = F.lit(rf"(?s)\G(.*?)({kind.pattern})")
+    gaps, hits = F.regexp_extract_all(text, rule, F.lit(1)), F.regexp_extract_all(text, rule, F.lit(2))
+    rest = F.substr(text, F.char_length(F.array_join(gaps, "")) + F.char_length(F.array_join(hits, "")) + 1)
+    parts = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.when(kind.check(hit), f"[{kind.name}]").otherwise(hit)))
+    return F.when(text.rlike(kind.maybe), F.concat(F.array_join(parts, ""), rest)).otherwise(text)
