@@ -30,7 +30,7 @@ from scriptorium.llm.common import stored, tasks
 #: Words of a repeat, of an anchor's string and of one name.
 WINDOW, GRAM, STEP = 50, 20, 10
 #: Suffixes of one subtree; texts of an anchor from which prefixes are three names long, and from which they have full depth.
-TREE_SUFFIXES, LONG_TEXTS, HOT_TEXTS = 200_000, 1_000, 10_000
+TREE_SUFFIXES, LONG_TEXTS, HOT_TEXTS = 200_000, 64, 1_000
 LAST = (1 << 63) - 1
 
 
