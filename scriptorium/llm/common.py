@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scratch import scratch, written
+
+__all__ = ["python_workers", "scratch", "stored", "tasks", "written"]
+
 #: One white-space character, and one word, of the digest contracts.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,19 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 256
 
 
-def scratch(spark: SparkSession) -> None:
-    """Make sure there is a checkpoint folder: the cluster's (``spark.checkpoint.dir``), or our own where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from files in the shared checkpoint folder: lineage ends here and lost executors lose nothing."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a compressed table in the shared checkpoint folder; for what is large or dear to compute again."""
     spark = df.sparkSession

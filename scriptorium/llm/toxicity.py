@@ -17,6 +17,7 @@ import functools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,15 @@ def marks(own: list[bytes], others: list[bytes]) -> list[bytes]:
         words = {b" " + w + b" " for w in text.split()}
         return {w[:n] for w in words for n in BEGINNINGS if len(w) >= n}
 
+    # Most beginnings are in a document or two: counts by hash tell which are worth a place of their own.
+    rough = np.zeros(1 << 20, np.int32)
+    for text in own:
+        np.add.at(rough, [crc32(x) & 0xFFFFF for x in beginnings(text)], 1)
     ours, theirs = Counter(), Counter()
     for text in own:
-        ours.update(beginnings(text))
+        ours.update(x for x in beginnings(text) if rough[crc32(x) & 0xFFFFF] >= LEAST_DOCS)
     for text in others:
-        theirs.update(beginnings(text))
+        theirs.update(x for x in beginnings(text) if ours.get(x, 0) >= LEAST_DOCS)
     n, m = max(1, len(own)), max(1, len(others))
 
     def z(x: bytes) -> float:
