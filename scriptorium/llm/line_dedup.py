@@ -52,7 +52,8 @@ def half_keys(norm: Column, n: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, no, line, norm) of the lines that are not blank; mark is a hash of the text."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    return rows.withColumn("norm", normal(F.col("line"))).where("norm <> ''")
+    # A filter on norm would be evaluated apart from it, below, and cost as much again.
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("norm", normal(F.col("line")))
 
 
 def place() -> Column:
