@@ -12,6 +12,9 @@
    are still in different classes are verified one by one. No similar pair that shares a bucket ends up in two classes, and no bucket is expanded
    into all of its pairs.
 4. Classes are connected components of the verified links, by label propagation with pointer jumping.
+5. Links are counted inside each class that has pairs without a verdict: its nodes are dealt to blocks, by size and hash, and a task per two
+   blocks takes the common n-grams of all their pairs as a product of two 0/1 matrices. A link is between sizes of a ratio of at least the
+   threshold, so only blocks of the same or the next size meet. Rows grow with nodes x blocks, pairs are never rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from scriptorium.llm.common import python_workers, stored, written
 NGRAM, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Nodes of a bucket up to which, after its leader's turn, its nodes of different classes meet one by one.
 SMALL = 32
+#: Most nodes and most n-grams, by expectation, of a block in which links are counted; columns of a matrix at a time.
+BLOCK_NODES, BLOCK_GRAMS, COLUMNS = 256, 500_000, 4096
 #: Node ids are 64-bit hashes of sets: of n different sets, n**2 / 2**65 pairs are expected to be taken for equal.
 SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -147,8 +152,77 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def similar_nodes(docs: DataFrame, ngram: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, mark, node) of all documents with words; links (a, b) between nodes; classes (node, label) of nodes that share a bucket."""
+def common_grams(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of common n-grams of each set of ``one`` with each of ``two``."""
+    words = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+    out = np.zeros((len(one), len(two)), np.int64)
+
+    def places(sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.searchsorted(words, np.intersect1d(s, words, assume_unique=True)) for s in sets]
+
+    def matrix(at: list[np.ndarray], first: int) -> np.ndarray:
+        found = np.zeros((len(at), COLUMNS), np.float32)
+        for row, k in zip(found, at, strict=True):
+            row[k[np.searchsorted(k, first) : np.searchsorted(k, first + COLUMNS)] - first] = 1
+        return found
+
+    x, y = places(one), places(two)
+    for first in range(0, len(words), COLUMNS):
+        out += (matrix(x, first) @ matrix(y, first).T).astype(np.int64)
+    return out
+
+
+def links_in_classes(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): the other nodes of its class that are similar to each node; nodes without any may be left out."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    sizes = members.groupBy("node").agg(F.first("grams").alias("grams"))
+    kept = classes.join(ends.groupBy("node").agg(F.count("*").alias("n")), "node")
+    whole = kept.groupBy(F.col("label").alias("label_")).agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    kept = written(kept.join(whole.select("label_", (F.col("n") == F.col("k") * (F.col("k") - 1)).alias("whole")), F.col("label") == F.col("label_")).select("node", "label", "n", "whole"))
+    done = kept.where("whole").select("node", F.col("n").alias("n_links"))
+
+    # Sizes of one band differ by less than the threshold's ratio, so the partners of a node are in its own band and the two beside it.
+    width = max(-np.log(threshold) * (1 + 1e-9), 1e-9)
+    open_ = kept.where("NOT whole").join(sizes, "node").select("node", "label", "grams", F.floor(F.log("grams") / F.lit(float(width))).alias("band"))
+    open_ = written(open_)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
+    blocks = open_.groupBy("label", "band").agg(blocks.alias("blocks"))
+    blocks = blocks.select("label", "band", "blocks")
+    beside = [blocks.select("label", (F.col("band") + k).alias("band"), F.col("blocks").alias(name)) for k, name in ((1, "below"), (-1, "above"))]
+    blocks = written(blocks.join(beside[0], ["label", "band"], "left").join(beside[1], ["label", "band"], "left"))
+    dealt = open_.join(blocks, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    # A tile is two blocks; side 0 is the smaller band, or the smaller block of a band, and both sides where the block meets itself.
+    j, at = F.col("block"), lambda name: F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(0)) - 1)
+    tile = lambda band, i, next_, k, side: F.struct(F.xxhash64("label", band.alias("b"), i, next_, k).alias("tile"), side.cast("int").alias("side"))
+    none = F.expr("cast(array() as array<struct<tile:bigint,side:int>>)")
+    own = F.transform(at("blocks"), lambda k: tile(F.col("band"), F.least(j, k), F.lit(0), F.greatest(j, k), F.when(k == j, 2).when(j < k, 0).otherwise(1)))
+    up = F.when(F.col("above") > 0, F.transform(at("above"), lambda k: tile(F.col("band"), j, F.lit(1), k, F.lit(0)))).otherwise(none)
+    down = F.when(F.col("below") > 0, F.transform(at("below"), lambda k: tile(F.col("band") - 1, k, F.lit(1), j, F.lit(1)))).otherwise(none)
+    dealt = dealt.select("node", F.explode(F.concat(own, up, down)).alias("t")).select("node", "t.tile", "t.side")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        count, here = np.array([len(g) for g in grams], np.int64), [np.flatnonzero(side != 1), np.flatnonzero(side != 0)]
+        n = np.zeros(len(nodes), np.int64)
+        if len(here[0]) and len(here[1]):
+            common = common_grams([grams[i] for i in here[0]], [grams[i] for i in here[1]])
+            near = common / (count[here[0]][:, None] + count[here[1]][None, :] - common) >= threshold
+            near &= nodes[here[0]][:, None] != nodes[here[1]][None, :]
+            n[here[0]] = near.sum(axis=1)
+            other = here[1][side[here[1]] == 1]
+            n[other] = near[:, side[here[1]] == 1].sum(axis=0)
+        return pa.table({"node": pa.array(nodes), "n": pa.array(n)})
+
+    rows = dealt.join(sets, "node").select("tile", "side", "node", "grams")
+    counted = rows.groupBy("tile").applyInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return done.unionByName(counted)
+
+
+def similar_nodes(docs: DataFrame, ngram: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, mark, node, grams) of all documents with words; links (a, b) between nodes; classes (node, label) of nodes that share a bucket;
+    the (node, grams) of those nodes, grams being the bytes of the set."""
     members = stored(nodes_of(docs, ngram, bands_for(threshold, recall, rows), rows))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "buckets")
     nodes = members.groupBy("node").agg(F.min(order).alias("at"))
@@ -198,24 +272,29 @@ def similar_nodes(docs: DataFrame, ngram: int, threshold: float, recall: float,
             links, classes = links.unionByName(new), merged(classes, new)
     links = links if links is not None else classes.limit(0).select(F.col("node").alias("a"), F.col("label").alias("b"))
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return members.select("id", "mark", "node"), ends, classes
+    return members.select("id", "mark", "node", "grams"), ends, classes, sets
+
+
+def labelled_rows(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, mark, node, class_id, class_size) of documents with words."""
+    labelled = members.join(classes, "node", "left").select("id", "mark", "node", F.coalesce("label", "node").alias("label"))
+    sizes = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    sizes = sizes.where("class_size > 1")
+    return labelled.join(sizes, "label", "left").select("id", "mark", "node", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per input row: (id_col, class_id, class_size, n_links, mark).
 
     A class is a connected component of links, copies included; ``class_id`` is its least id (null only if all its ids are), and
-    ``class_size`` its number of rows. ``n_links`` counts the verified links of the row's set to other sets; within a class some links
-    are implied by others and not verified. ``mark`` is a hash of the text, which tells rows that repeat an id apart. Null and empty
+    ``class_size`` its number of rows. ``n_links`` counts the other sets of the class that are similar to the row's set. ``mark`` is a
+    hash of the text, which tells rows that repeat an id apart. Null and empty
     texts have no n-grams: each such row is a class of its own. Other columns are ignored; an empty table gives an empty result.
     """
     rows_ = keyed(docs, id_col, text_col)
-    members, links, classes = similar_nodes(rows_, ngram, threshold, recall, rows)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    labelled = members.join(classes, "node", "left").join(ends, "node", "left").select("id", "mark", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    sizes = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    sizes = sizes.where("class_size > 1")
-    done = labelled.join(sizes, "label", "left").select("id", "mark", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), "n_links")
+    members, links, classes, sets = similar_nodes(rows_, ngram, threshold, recall, rows)
+    ends = links_in_classes(members, links, classes, sets, threshold)
+    done = labelled_rows(members, classes).join(ends, "node", "left").select("id", "mark", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     empty = rows_.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", "mark", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return done.unionByName(empty).withColumnRenamed("id", id_col)
 
@@ -226,7 +305,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat the least id of a class with another text stay only where their text is the first by hash; rows that repeat id and
     text all stay. Rows without words, and rows whose class has no id at all, stay.
     """
-    found = join_similar(docs, id_col, text_col, **how).where("class_size > 1")
+    how = {"ngram": NGRAM, "threshold": THRESHOLD, "recall": RECALL, "rows": ROWS} | how
+    members, _, classes, _ = similar_nodes(keyed(docs, id_col, text_col), **how)
+    found = labelled_rows(members, classes).where("class_size > 1").withColumnRenamed("id", id_col)
     firsts = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("mark").alias("first"))
     joined = found.join(firsts, "class_id", "left").where(F.col("class_id").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) != F.col("class_id")) | (F.col("mark") != F.col("first"))))
     gone = joined.select(F.col(id_col).alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()

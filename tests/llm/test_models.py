@@ -108,6 +108,28 @@ def test_join(spark):
     assert ngram_join.join_similar(frame(spark, docs).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("nodes", [7, 256])
+def test_link_counts(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes, raising=False)
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnop") * 2 + str(k) for k in range(n)] for n in (60, 130, 400)]
+    docs = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice("qrstuv")
+        docs.append((i, " ".join(w[: len(w) - rng.choice([0, 0, 3, 9])])))
+    docs += [(200, docs[0][1]), (201, None), (202, "all alone")]
+    sets = {}
+    for i, t in docs:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
+    others = set(sets.values()) - {frozenset()}
+    expected = {i: sum(x != y and len(x & y) / len(x | y) >= 0.8 for y in others) for i, x in sets.items()}
+    assert max(expected.values()) > 20
+    assert {r.doc_id: r.n_links for r in ngram_join.join_similar(frame(spark, docs)).collect()} == expected
+
+
 def test_bands():
     bands = ngram_join.bands_for()
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** bands >= ngram_join.RECALL
