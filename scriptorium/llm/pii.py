@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 
 #: Code points before a span in which context words count, what they add, and the score that an added kind needs.
 CONTEXT_CHARS, CONTEXT_SCORE, LEAST_SCORE = 48, 0.35, 0.6
+#: Letters and digits of an IBAN by country; other codes may have any number from 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def luhn(digits: Column) -> Column:
@@ -42,6 +48,15 @@ def mod97(iban: Column) -> Column:
     return rest == 1
 
 
+def iban_at(seen: Column) -> Column:
+    """The longest IBAN that starts a stretch of text and ends at a word's end, or an empty string."""
+    ends = F.array(*[F.regexp_extract(seen, rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0) for n in range(30, 10, -1)])
+    fits = lambda x: F.length(only("A-Z0-9", x))
+    code = F.substr(seen, F.lit(1), F.lit(2))
+    length = F.coalesce(*[F.when(code.isin(countries.split()), n) for n, countries in IBAN_LENGTHS.items()])
+    return F.coalesce(F.get(F.filter(ends, lambda x: (x != "") & (fits(x) == F.coalesce(length, fits(x))) & mod97(only("A-Z0-9", x))), F.lit(0)), F.lit(""))
+
+
 def only(chars: str, hit: Column) -> Column:
     """The characters of hit in the class ``chars``."""
     return F.regexp_replace(hit, f"[^{chars}]", "")
@@ -60,7 +75,8 @@ def digits_between(least: int, most: int) -> Callable[[Column], Column]:
 @dataclass(frozen=True)
 class Kind:
     """maybe: a cheap pattern without which the text has no match. pattern: no part of it gives back what it took (possessive), so time
-    is linear in the text; ``\\G`` is the end of the match before. score: before context. base: stays whatever the score."""
+    is linear in the text; ``\\G`` is the end of the match before. score: before context. base: stays whatever the score. pick: for a
+    pattern that looks ahead (in a group of its own) further than it takes, the span that starts what it has seen, for ``check``."""
 
     name: str
     maybe: str
@@ -69,6 +85,7 @@ class Kind:
     score: float
     context: str
     base: bool = True
+    pick: Callable[[Column], Column] | None = None
 
 
 KINDS = (
@@ -76,7 +93,7 @@ KINDS = (
     Kind("ip", r"[0-9]\.[0-9]++\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", ip_parts, 0.6, r"\bip\b|host|server|address|login"),
     Kind("card", "[0-9]{4}[ -]?[0-9]{2}|(?:[0-9][ -]?){16}", r"[0-9]++(?:[ -][0-9]++)*+", lambda hit: digits_between(16, 19)(hit) & luhn(only("0-9", hit)), 0.7, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", digits_between(8, 15), 0.6, r"phone|\btel\b|call|mobile|fax"),
-    Kind("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda hit: mod97(only("A-Z0-9", hit)), 0.9, "iban|bank|account", False),
+    Kind("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", lambda hit: hit != "", 0.9, "iban|bank|account", False, iban_at),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda hit: F.lit(True), 0.3, r"\bssn\b|social|security", False),
     Kind("short_card", "[0-9]{4}[ -]?[0-9]{2}|(?:[0-9][ -]?){13}", r"[0-9]++(?:[ -][0-9]++)*+", lambda hit: digits_between(13, 15)(hit) & luhn(only("0-9", hit)), 0.3, "card|visa|credit|amex", False),
     Kind("local_phone", "[0-9]{3}[ .)-]", r"(?<![0-9+.-])\(?[0-9]{3}[ .)-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])", lambda hit: F.lit(True), 0.3, r"phone|\btel\b|call|mobile|fax", False),
@@ -87,16 +104,22 @@ def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<kind, start, end, score>> of one kind in a non-null text; starts ascend.
 
     One pattern, anchored to the end of the match before it, takes the gap and the match: the lengths of both give code-point offsets.
+    Of spans that overlap, as those of a pattern that looks ahead can, the first stays.
     """
     rule = F.lit(rf"(?s)\G(.*?)({kind.pattern})")
     gaps, hits = F.regexp_extract_all(text, rule, F.lit(1)), F.regexp_extract_all(text, rule, F.lit(2))
-    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
+    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("took"), hit.alias("hit")))
+    last = lambda acc: F.get(acc["all"], F.size(acc["all"]) - 1)
+    free = lambda acc, x: F.lit(True)
+    if kind.pick:
+        free = lambda acc, x: F.coalesce(acc.at + x.gap >= last(acc).start + F.char_length(last(acc).hit), F.lit(True))
+        both = F.zip_with(both, F.regexp_extract_all(text, rule, F.lit(3)), lambda x, ahead: F.struct(x.gap.alias("gap"), x.took.alias("took"), kind.pick(F.concat(x.hit, ahead)).alias("hit")))
     placed = F.aggregate(
         both,
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("all")),
         lambda acc, x: F.struct(
-            (acc.at + x.gap + F.char_length(x.hit)).alias("at"),
-            F.concat(acc["all"], F.when(kind.check(x.hit), F.array(F.struct((acc.at + x.gap).alias("start"), x.hit.alias("hit")))).otherwise(F.expr("cast(array() as array<struct<start:int,hit:string>>)"))).alias("all"),
+            (acc.at + x.gap + x.took).alias("at"),
+            F.concat(acc["all"], F.when(kind.check(x.hit) & free(acc, x), F.array(F.struct((acc.at + x.gap).alias("start"), x.hit.alias("hit")))).otherwise(F.expr("cast(array() as array<struct<start:int,hit:string>>)"))).alias("all"),
         ),
         lambda acc: acc["all"],
     )

@@ -65,6 +65,14 @@ def test_added_kinds(spark):
     assert found == {1: [("iban", 5, 32)], 2: [], 3: [("ssn", 11, 22)], 4: [], 5: [("local_phone", 5, 19)], 6: [("short_card", 5, 20)]}
 
 
+def test_ibans_in_running_text(spark):
+    gb, de, no = "GB29NWBK60161331926819", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = [f"account {gb} Please pay", f"iban {de} 12 items", f"{de} BIC COBADEFF", f"{gb} I", f"{gb} {de} {no}", f"AB12 {gb} X", f"{no} 1A", f"{gb}x", f"{gb}7", f"x{gb}", f"{de[:-1]}1 Ok", "ZZ68 1234 5678 901 A", "AB12 " * 4000]
+    found = {r.doc_id: r.found for r in pii.find_pii(frame(spark, list(enumerate(texts)))).collect()}
+    got = [[texts[i][s.start : s.end] for s in found[i] if s.kind == "iban"] for i in range(len(texts))]
+    assert got[:11] == [[gb], [de], [de], [gb], [gb, de, no], [gb], [no], [], [], [], []]
+
+
 def test_mask(spark):
     docs = [(1, "to a.b@c.de, é 1.2.3.4!"), (2, None), (3, "300.1.1.1 plain")]
     assert {r.doc_id: r.text for r in pii.mask_pii(frame(spark, docs)).collect()} == {1: "to [email], é [ip]!", 2: None, 3: "300.1.1.1 plain"}
