@@ -29,8 +29,9 @@ from scriptorium.llm.common import python_workers
 
 #: Bounds of the sample for fitting, bytes of a window, and the score from which a text is called toxic.
 FIT_ROWS, FIT_CHARS, WINDOW, REJECT = 8_000, 20_000, 60, 0.3
-#: Lengths in bytes of word beginnings, least documents and score of one that marks a class, most of them, common words of a dictionary.
-BEGINNINGS, LEAST_DOCS, LEAST_Z, MARKS, COMMON = (6, 7, 8, 10, 12), 4, 6.0, 40, 1_500
+#: Lengths in bytes of word beginnings, least documents of one that marks a class, scores from which it does (fitting picks one), and common
+#: words of a dictionary. The shortest beginning is as long as the shortest match.
+BEGINNINGS, LEAST_DOCS, LEVELS, COMMON = (6, 7, 8, 10, 12), 4, (6.0, 5.0, 4.5, 4.0, 3.7), 1_500
 #: What every window ends in; both dictionaries end in it too.
 TAIL = b"<0123456789abcdef>"
 
@@ -87,8 +88,8 @@ def figures(gains: np.ndarray, threshold: int) -> tuple[float, ...]:
     return float(gains.max()), np.log1p(reached), reached / len(gains), total / len(gains), total / len(gains) ** 0.5
 
 
-def marks(own: list[bytes], others: list[bytes]) -> list[bytes]:
-    """Word beginnings that are in far more of our documents than of the others, best first."""
+def marks(own: list[bytes], others: list[bytes]) -> list[list[bytes]]:
+    """For each of ``LEVELS``, all word beginnings that are in so far more of our documents than of the others, best first."""
 
     def beginnings(text: bytes) -> set[bytes]:
         words = {b" " + w + b" " for w in text.split()}
@@ -111,17 +112,18 @@ def marks(own: list[bytes], others: list[bytes]) -> list[bytes]:
 
     scored = {x: z(x) for x, k in ours.items() if k >= LEAST_DOCS}
     best: list[bytes] = []
-    for x in sorted((x for x, s in scored.items() if s > LEAST_Z), key=lambda x: (-scored[x], -len(x), x)):
-        if len(best) < MARKS and not any(x in y or y in x for y in best):
+    for x in sorted((x for x, s in scored.items() if s > min(LEVELS)), key=lambda x: (-scored[x], -len(x), x)):
+        if not any(x in y or y in x for y in best):
             best.append(x)
-    return best
+    return [[x for x in best if scored[x] > level] for level in LEVELS]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The content that is nearest to a text in a dictionary is cheapest to refer to: common words stand last in both."""
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A pair for each of ``LEVELS``, equal ones once. The content that is nearest to a text in a dictionary is cheapest to refer to: common
+    words stand last in both, and what marks a class best stands before them."""
     common = b"".join(b" " + w for w, _ in sorted(Counter(w for t in ordinary for w in t.split()).items(), key=lambda x: (-x[1], x[0]))[:COMMON][::-1])
-    own, other = marks(toxic, ordinary), marks(ordinary, toxic)
-    return b"\0".join([*own[::-1], common]), b"\0".join([*other[::-1], common])
+    pairs = zip(marks(toxic, ordinary), marks(ordinary, toxic), strict=True)
+    return list(dict.fromkeys((b"\0".join([*own[::-1], common]), b"\0".join([*other[::-1], common])) for own, other in pairs))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -141,17 +143,17 @@ def fit(rows: Iterable[tuple[int | None, str | None, int]]) -> Model | float:
     build, tune = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     if len({y for _, y in build}) < 2 or len({y for _, y in tune}) < 2:
         return float(np.mean([y for _, y in rows])) if rows else 0.0
-    toxic, ordinary = train_dictionaries([t for t, y in build if y], [t for t, y in build if not y])
-    gains, labels = [differences(t, toxic, ordinary) for t, _ in tune], np.array([y for _, y in tune], float)
-    best = None
-    for threshold in range(1, 9):
-        x = np.array([figures(g, threshold) for g in gains])
-        centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        w = logistic((x - centre) / scale, labels)
-        p = np.clip(1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -float(np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
-        if best is None or loss < best[0] - 1e-9:
-            best = loss, Model(toxic, ordinary, threshold, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1]))
+    labels, best = np.array([y for _, y in tune], float), None
+    for toxic, ordinary in train_dictionaries([t for t, y in build if y], [t for t, y in build if not y]):
+        gains = [differences(t, toxic, ordinary) for t, _ in tune]
+        for threshold in range(1, 9):
+            x = np.array([figures(g, threshold) for g in gains])
+            centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+            w = logistic((x - centre) / scale, labels)
+            p = np.clip(1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -30, 30))), 1e-9, 1 - 1e-9)
+            loss = -float(np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
+            if best is None or loss < best[0] - 1e-9:
+                best = loss, Model(toxic, ordinary, threshold, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1]))
     return best[1]
 
 

@@ -57,6 +57,16 @@ def test_toxicity_edges(spark):
     assert toxicity.keep_clean(docs.limit(0), model).collect() == []
 
 
+def test_every_mark_is_in_the_dictionary():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    vile, plain = [word() for _ in range(80)], [word() for _ in range(400)]
+    rows = [(i, " ".join(rng.sample(plain, 40) + (rng.sample(vile, 20) if i % 2 else [])), i % 2) for i in range(1200)]
+    model = toxicity.fit(rows)
+    assert sum(w.encode() in model.toxic for w in vile) == 80
+    assert not any(w.encode() in model.ordinary for w in vile)
+
+
 def test_windows_cover_the_text():
     rng = random.Random(6)
     for _ in range(200):
