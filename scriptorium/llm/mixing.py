@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import count_words, written
+from scriptorium.llm.common import count_words, stored, written
 
-#: Words of one block, most epochs of a source, cells of the grid over [0, 1) that finds a point's source, slots of a chunk.
-BLOCK_WORDS, MAX_EPOCHS, CELLS, CHUNK = 1024, 3, 4096, 4096
+#: Words of one block, most epochs of a source, cells of the grid over [0, 1) that finds a point's source, slots of a chunk; parts in which
+#: rows that repeat id and text are numbered.
+BLOCK_WORDS, MAX_EPOCHS, CELLS, CHUNK, PARTS = 1024, 3, 4096, 4096, 64
 WEIGHTS = (1, 2, 3)
 PHI = 0.6180339887498949
 
@@ -130,11 +131,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes its words, to the nearest whole time (0 to 3).
 
-    Rows without words are not taken. Rows that repeat id and text each come as often as all of them are taken, shared out evenly and
-    rounded down.
+    Rows without words are not taken. Rows that repeat id and text come together as often as all of them are taken: shared out evenly, and
+    some of them once more for what is left.
     """
     taken = mix(docs, id_col, text_col, source_col, **how).where("size > 0")
-    times = F.floor(F.sum(F.round(F.col("taken") / F.col("size"))) / F.count("*")).cast("int")
-    times = taken.groupBy(F.col(id_col).alias("_mix_id"), F.col("mark").alias("_mix_mark")).agg(times.alias("_times")).where("_times > 0")
-    both = docs.join(times, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_mark")))
-    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times, n = F.sum(F.round(F.col("taken") / F.col("size"))).cast("bigint"), F.count("*")
+    times = taken.groupBy(F.col(id_col).alias("_mix_id"), F.col("mark").alias("_mix_mark")).agg(F.floor(times / n).cast("int").alias("_times"), F.pmod(times, n).alias("_more"))
+    times = written(times.where("_times > 0 OR _more > 0"))
+
+    def rows(some: DataFrame) -> DataFrame:
+        return docs.join(some, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_mark")))
+
+    def repeated(some: DataFrame) -> DataFrame:
+        return some.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+    even, uneven = times.where("_more = 0"), times.where("_more > 0")
+    if uneven.isEmpty():
+        return repeated(rows(even))
+    # Repeated rows are numbered part by part, so that no task gets all rows of a group.
+    parts = stored(rows(uneven).withColumn("_part", F.floor(F.rand(3) * PARTS)))
+    group = ["_mix_id", "_mix_mark"]
+    sums = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n"))
+    sums = sums.select(F.col("_mix_id").alias("_sum_id"), F.col("_mix_mark").alias("_sum_mark"), F.col("_part").alias("_sum_part"), "_before")
+    numbered = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(F.lit(0))))
+    numbered = numbered.join(sums, F.col("_mix_id").eqNullSafe(F.col("_sum_id")) & (F.col("_mix_mark") == F.col("_sum_mark")) & (F.col("_part") == F.col("_sum_part")))
+    numbered = numbered.withColumn("_times", F.col("_times") + (F.col("_before") + F.col("_nth") <= F.col("_more")).cast("int"))
+    return repeated(rows(even)).unionByName(repeated(numbered))

@@ -183,6 +183,18 @@ def test_mixed_rows(spark):
     assert mixing.mixed(docs.limit(0)).collect() == []
 
 
+def test_repeated_rows_are_all_taken(spark):
+    docs = spark.createDataFrame([(7, "a b c d", "x")] * 9 + [(None, "a b c d", "x")] * 3 + [(i, "a b c d", "y") for i in range(1, 6)], "doc_id long, text string, source string")
+    wanted = defaultdict(int)
+    for r in mixing.mix(docs, block_words=4).collect():
+        wanted[r.doc_id] += round(r.taken / r.size)
+    got = defaultdict(int)
+    for r in mixing.mixed(docs, block_words=4).collect():
+        got[r.doc_id] += 1
+    assert 0 < wanted[7] < 9
+    assert {i: n for i, n in wanted.items() if n} == dict(got)
+
+
 def test_golden_points_are_even(spark):
     from pyspark.sql import functions as F
 
