@@ -6,14 +6,16 @@ import functools
 import tempfile
 import uuid
 import zipfile
+from itertools import count, islice
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.scratch import scratch, written
 
-__all__ = ["python_workers", "scratch", "stored", "tasks", "written"]
+__all__ = ["discarded", "fresh_names", "python_workers", "scratch", "stored", "tasks", "written"]
 
 #: One white-space character, and one word, of the digest contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -32,6 +34,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    own = urlsplit(spark.sparkContext.getCheckpointDir()).path
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if urlsplit(path).path.startswith(own):
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that a table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((x for x in (f"_own{k}" for k in count()) if x not in taken), n))
+
+
 @functools.lru_cache(maxsize=8)
 def _shipped(app: str) -> bool:
     """Give this package to the Python workers of an application, once: executors need no checkout of it."""

@@ -118,9 +118,10 @@ def test_join(spark):
     assert ngram_join.join_similar(frame(spark, docs).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("nodes", [7, 256])
-def test_link_counts(spark, monkeypatch, nodes):
-    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes, raising=False)
+@pytest.mark.parametrize(("nodes", "signatures"), [(7, 4), (512, 1024)])
+def test_link_counts(spark, monkeypatch, nodes, signatures):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(ngram_join, "SIGNATURES", signatures)
     rng = random.Random(8)
     base = [[rng.choice("abcdefghijklmnop") * 2 + str(k) for k in range(n)] for n in (60, 130, 400)]
     docs = []
@@ -129,15 +130,48 @@ def test_link_counts(spark, monkeypatch, nodes):
         for _ in range(rng.choice([0, 1, 2, 4])):
             w[rng.randrange(len(w))] = rng.choice("qrstuv")
         docs.append((i, " ".join(w[: len(w) - rng.choice([0, 0, 3, 9])])))
-    docs += [(200, docs[0][1]), (201, None), (202, "all alone")]
+    docs += [(200, docs[0][1]), (201, None), (202, "all alone"), (203, docs[0][1] + " "), (204, "all  alone")]
     sets = {}
     for i, t in docs:
         w = (t or "").split()
         sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
-    others = set(sets.values()) - {frozenset()}
-    expected = {i: sum(x != y and len(x & y) / len(x | y) >= 0.8 for y in others) for i, x in sets.items()}
-    assert max(expected.values()) > 20
-    assert {r.doc_id: r.n_links for r in ngram_join.join_similar(frame(spark, docs)).collect()} == expected
+    near = lambda x, y: bool(x and y) and len(x & y) / len(x | y) >= 0.8
+    expected = {i: (sum(near(x, y) for j, y in sets.items() if i != j), sum(near(x, y) for y in set(sets.values()) - {x})) for i, x in sets.items()}
+    assert max(n for _, n in expected.values()) > 20
+    found = ngram_join.join_similar(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.n_links, r.n_sets) for r in found} == expected
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in found), key=str) == classes(docs)
+
+
+@pytest.mark.parametrize("signatures", [2, 1024])
+def test_mixed_buckets(spark, monkeypatch, signatures):
+    """Buckets whose leader is unlike most of the others: a low bar for buckets, so that unlike texts meet."""
+    monkeypatch.setattr(ngram_join, "SIGNATURES", signatures)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(150)]
+    docs = []
+    for i in range(150):
+        own = [f"g{i % 6}w{k}" for k in range(rng.choice([40, 60, 80]))]
+        w = common + own
+        for _ in range(rng.choice([0, 1, 2])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        docs.append((i, " ".join(w)))
+    found = ngram_join.join_similar(frame(spark, docs), rows=2).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in found), key=str) == classes(docs)
+    assert len({r.class_id for r in found}) > 1
+
+
+def test_signatures_lose_nothing():
+    least = ngram_join.least_agreeing(120)
+    assert 60 < least < 96
+    rng = np.random.default_rng(1)
+    for n in (5, 9, 50, 400):
+        for _ in range(50):
+            every = rng.integers(0, 1 << 63, n + n // 4, np.uint64)
+            one, two = np.sort(every[: n + n // 8]), np.sort(every[n // 8 :])
+            common = len(np.intersect1d(one, two))
+            if common / (len(one) + len(two) - common) >= 0.8:
+                assert (ngram_join.minhashes(one, 120) == ngram_join.minhashes(two, 120)).sum() >= least
 
 
 def test_bands():
