@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut before the encoder sees them, at white space that follows something else: no match of the split pattern reaches
-from a visible character into the white space after it, so the ids are those of the uncut text. Texts go through Arrow in small
-batches; the encoder is made once per Python worker.
+from a visible character into the white space after it, so the ids are those of the uncut text. Very long runs of white space do not go
+through the library's pattern, which fails on them: such a run is one match, but for its last character if something follows, and is
+encoded as that. Texts go through Arrow in small batches; the encoder is made once per Python worker.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from scriptorium.llm.common import python_workers
 #: Code points after which a text is cut at the next safe place.
 PIECE = 20_000
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space by the Unicode property, which the split pattern goes by, and code points from which a run of it is long.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 10_000
+RUN = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{LONG_RUN},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -46,7 +51,13 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
 
 def encode_text(coder: tiktoken.Encoding, text: str) -> list[int]:
     ids: list[int] = []
-    for piece in pieces(text):
+    at = 0
+    for run in RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        for piece in pieces(text[at : run.start()]):
+            ids += coder.encode_ordinary(piece)
+        at = run.end() - (run.end() < len(text))
+        ids += coder._encode_single_piece(text[run.start() : at].encode())
+    for piece in pieces(text[at:]):
         ids += coder.encode_ordinary(piece)
     return ids
 

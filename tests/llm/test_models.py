@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from scriptorium.llm import bpe, fingerprints, ngram_join, queries, toxicity
@@ -33,6 +34,23 @@ def test_bpe(spark):
     assert bpe.bpe_encode(frame(spark, docs).limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\xa0", "\u3000\n", " \x85"])
+def test_bpe_long_white_space(spark, white):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    matches = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    n = 3_000_000 // len(white)
+    # The library itself can do 200,000 characters; more are encoded match by match.
+    for text in ("a" + white * 100_000 + "b", white * 100_000, "x\x1c" + white * 30_000 + "'s", white * 20_000 + "1 2" + white * 20_000 + "\x1f"):
+        assert bpe.encode_text(own, text) == own.encode_ordinary(text)
+        assert [t for m in matches.findall(text) for t in own._encode_single_piece(m.encode())] == own.encode_ordinary(text)
+    text = "a" + white * n + "b"
+    expected = [t for m in matches.findall(text) for t in own._encode_single_piece(m.encode())]
+    rows = bpe.bpe_encode(frame(spark, [(1, text), (2, text[:-1])]), RANKS, public_tokenizers.PATTERN).collect()
+    assert next(r.ids for r in rows if r.doc_id == 1) == expected
+    assert {r.decoded_sha256 for r in rows} == {hashlib.sha256(t.encode()).hexdigest() for t in (text, text[:-1])}
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
