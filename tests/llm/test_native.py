@@ -34,6 +34,26 @@ def test_repeated_rows_share_a_decision(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False)]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    docs = [(1, "a b c"), (1, "abc"), (2, "ab c"), (None, "x"), (None, "x "), (3, "y z"), (3, " yz"), (3, "yz ")]
+    rows = exact_dedup.exact_dedup(frame(spark, docs)).collect()
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id in (1, 2)) == [("1", 1, 3, False), ("1", 1, 3, True), ("2", 1, 3, False)]
+    assert sum(r.kept for r in rows) == 3
+    assert exact_dedup.exact_dedup(spark.createDataFrame([("b", "t"), ("a", "t")], "doc_id string, text string")).where("kept").first().doc_id == "a"
+
+
+@pytest.mark.parametrize("runs", [1, 2, 5, 32])
+def test_runs_merge_to_one(spark, runs):
+    rng = random.Random(3)
+    docs = [(i, " " * rng.randint(0, 3) + "t" + str(rng.randint(0, 40)) * (i % 3 > 0)) for i in range(400)]
+    best = {}
+    for i, t in docs:
+        best[t.strip()] = min(best.get(t.strip(), (1, 0)), (-len(t), i))
+    rows = exact_dedup.merge_runs(exact_dedup.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)), runs).collect()
+    assert sorted((r.digest, r.best.id) for r in rows) == sorted((hashlib.sha256(t.encode()).hexdigest(), i) for t, (_, i) in best.items())
+    assert sum(r.n for r in rows) == len(docs)
+
+
 def luhn(digits):
     values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(v - 9 * (v > 9) for v in values) % 10 == 0
