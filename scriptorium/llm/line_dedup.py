@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import stored
+from scriptorium.llm.common import fresh_names, stored
 
 #: Least code points of a line that may differ by an edit, and code points of a stretch.
 LEAST_CHARS, PIECE = 20, 32
@@ -133,9 +133,13 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` with the text of each row rid of its repeated lines; null stays null."""
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("gone").alias("_gone"))
-    marked = docs.withColumn("_mark", F.xxhash64(text_col))
-    both = marked.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return both.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """The rows and columns of ``docs`` with the text of each row rid of its repeated lines; null stays null, an empty table empty.
+
+    Which lines go is as in ``line_report``; a text all of whose lines go becomes empty.
+    """
+    id_, mark, numbers, own = fresh_names(docs, 4)
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("gone").alias(numbers))
+    marked = docs.withColumn(own, F.xxhash64(text_col))
+    both = marked.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark)), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(numbers, i)), "\n")
+    return both.withColumn(text_col, F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

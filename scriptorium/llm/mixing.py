@@ -5,7 +5,8 @@
    the sources' cumulative target weights.
 3. A source's slots are ranked; its documents, in shuffled order, form one stream that is cut into equal blocks of words. The slot of
    rank r takes block r modulo the number of blocks, so blocks repeat in epochs. The slot that reaches the target is cut there.
-4. A document's share is the words of it in the blocks taken.
+4. A document's share is the words of it in the blocks taken, and its place in the mix the slots that take them: ``mixed`` gives the
+   rows in the order of their slots, so every stretch of the output is mixed to the targets.
 
 Nothing grows beyond a task: ranks and stream positions are two-level prefix sums (over chunks or buckets, then inside one).
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import count_words, stored, written
+from scriptorium.llm.common import count_words, fresh_names, stored, written
 
 #: Words of one block, most epochs of a source, cells of the grid over [0, 1) that finds a point's source, slots of a chunk; parts in which
 #: rows that repeat id and text are numbered.
@@ -57,13 +58,13 @@ def golden(i: Column) -> Column:
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(source, rank, slot): the slots that each source needs to reach its target, in the order of the low-discrepancy points.
 
-    A source short of slots after the last one (by the sequence's discrepancy, a few at most) gets the missing ranks at the end.
+    A source short of slots after the last one (by the sequence's discrepancy, a few at most) gets the missing ranks in slots after it.
     """
     need = F.ceil(F.col("target") / F.lit(block_words)) + F.lit(MAX_EPOCHS + 1)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     whole = F.sum("target").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     shares = targets.where(F.col("target") > 0).select(
-        "source", need.cast("bigint").alias("need"), whole.alias("all"),
+        "source", need.cast("bigint").alias("need"), whole.alias("all"), F.ceil(whole / F.lit(block_words)).alias("slots"),
         ((F.sum("target").over(by_name) - F.col("target")) / whole).alias("lo"), (F.sum("target").over(by_name) / whole).alias("hi"),
     ).withColumn("hi", F.when(F.lead("hi").over(by_name).isNull(), F.lit(2.0)).otherwise(F.lead("lo").over(by_name)))
     cells = shares.select("source", "need", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS)))).alias("cell"))
@@ -82,14 +83,15 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ranked = ranked.select("d.source", "d.need", (F.col("s.start") + F.col("d.inside")).alias("rank"), "d.slot").where(F.col("rank") < F.col("need"))
     had = counts.groupBy(F.col("source").alias("had")).agg(F.sum("n").alias("n"))
     short = shares.join(had, F.col("source").eqNullSafe(F.col("had")), "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")).where(F.col("n") < F.col("need"))
-    rest = short.select("source", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"), F.lit(None).cast("bigint").alias("slot"))
+    rest = short.select("source", "slots", "n", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank")).select("source", "rank", (F.col("slots") + F.col("rank") - F.col("n")).alias("slot"))
     return ranked.select("source", "rank", "slot").unionByName(rest)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per input row: (id_col, size, source_size, target, taken, mark); mark is a hash of the text.
+    """One row per input row: (id_col, size, source_size, target, taken, first_slot, slots, mark); mark is a hash of the text.
 
-    ``size`` is the number of words (null text: 0), ``taken`` the words of the document that the mix takes, repeats counted. A source's
+    ``size`` is the number of words (null text: 0), ``taken`` the words of the document that the mix takes, repeats counted, ``first_slot``
+    the first slot that takes any of them (null: none does) and ``slots`` those that take its first word, in order. A source's
     taken words are its target, rounded; no document exceeds three times its size. Null source: a source of its own, last. Null ids are
     shuffled as empty strings; rows that repeat an id are documents of their own. The order depends on ids and sizes only, so reruns
     agree. Other columns are ignored; an empty table gives an empty result.
@@ -114,47 +116,59 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epoch, block = F.floor(F.col("d.rank") / blocks), F.pmod(F.col("d.rank"), blocks)
     start = epoch * F.col("t.source_size") + block * b
     length = F.least(b, F.col("t.source_size") - block * b)
-    slots = slots.select(F.col("t.source").alias("source"), block.alias("block"), length.alias("len"), F.least(length, F.col("t.goal") - start).alias("take")).where("take > 0")
-    taken = slots.groupBy("source", "block").agg(F.sum((F.col("take") == F.col("len")).cast("bigint")).alias("times"), F.coalesce(F.max(F.when(F.col("take") < F.col("len"), F.col("take"))), F.lit(0)).alias("part"))
+    slots = slots.select(F.col("t.source").alias("source"), block.alias("block"), length.alias("len"), F.least(length, F.col("t.goal") - start).alias("take"), "d.slot").where("take > 0")
+    full = F.col("take") == F.col("len")
+    taken = slots.groupBy("source", "block").agg(F.sum(full.cast("bigint")).alias("times"), F.coalesce(F.max(F.when(~full, F.col("take"))), F.lit(0)).alias("part"), F.min(F.when(full, F.col("slot"))).alias("whole_slot"), F.min(F.when(~full, F.col("slot"))).alias("part_slot"), F.sort_array(F.collect_list(F.struct("slot", "take"))).alias("slots"))
 
     # A document's pieces, one for each block that it reaches into.
     last = F.floor((F.col("lo") + F.greatest(F.col("size"), F.lit(1)) - 1) / b)
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / b), last)))
     pieces = pieces.withColumn("a", F.greatest("lo", F.col("block") * b)).withColumn("z", F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * b))
     pieces = pieces.alias("p").join(taken.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")), "left")
+    in_part = F.col("p.a") < F.least(F.col("p.z"), F.col("p.block") * b + F.coalesce("t.part", F.lit(0)))
+    first = F.when(F.col("p.z") > F.col("p.a"), F.least("t.whole_slot", F.when(in_part, F.col("t.part_slot"))))
+    own = F.transform(F.filter("t.slots", lambda s: F.col("p.block") * b + s.take > F.col("p.lo")), lambda s: s.slot)
     words = (F.col("p.z") - F.col("p.a")) * F.coalesce("t.times", F.lit(0)) + F.greatest(F.lit(0), F.least(F.col("p.z"), F.col("p.block") * b + F.coalesce("t.part", F.lit(0))) - F.col("p.a"))
-    done = pieces.groupBy("p.source", "p.bucket", "p.nth", "p.id", "p.size", "p.mark").agg(F.sum(words).cast("bigint").alias("taken"))
+    done = pieces.groupBy("p.source", "p.bucket", "p.nth", "p.id", "p.size", "p.mark").agg(F.sum(words).cast("bigint").alias("taken"), F.min(first).alias("first_slot"), F.max(F.when((F.col("p.a") == F.col("p.lo")) & (F.col("p.z") > F.col("p.a")), own)).alias("slots"))
     done = done.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    return done.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), F.col("d.taken").alias("taken"), F.col("d.mark").alias("mark"))
+    return done.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), F.col("d.taken").alias("taken"), F.col("d.first_slot").alias("first_slot"), F.coalesce("d.slots", F.array().cast("array<bigint>")).alias("slots"), F.col("d.mark").alias("mark"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes its words, to the nearest whole time (0 to 3).
+    """The rows of ``docs``, all columns, each as often as the mix takes its words, to the nearest whole time (0 to 3), in slot order.
 
-    Rows without words are not taken. Rows that repeat id and text come together as often as all of them are taken: shared out evenly, and
-    some of them once more for what is left.
+    Each time stands at a slot that takes the row's first word. Rows without words are not taken. Rows that repeat id and text come
+    together as often as all of them are taken, shared out evenly and some of them once more for what is left, at the slots of one of them.
+    An empty table gives an empty one.
     """
+    id_, mark, times_, more, slots, first, time, part, sum_id, sum_mark, sum_part, n_, before, nth = fresh_names(docs, 14)
     taken = mix(docs, id_col, text_col, source_col, **how).where("size > 0")
     times, n = F.sum(F.round(F.col("taken") / F.col("size"))).cast("bigint"), F.count("*")
-    times = taken.groupBy(F.col(id_col).alias("_mix_id"), F.col("mark").alias("_mix_mark")).agg(F.floor(times / n).cast("int").alias("_times"), F.pmod(times, n).alias("_more"))
-    times = written(times.where("_times > 0 OR _more > 0"))
+    times = taken.groupBy(F.col(id_col).alias(id_), F.col("mark").alias(mark)).agg(
+        F.floor(times / n).cast("int").alias(times_), F.pmod(times, n).alias(more), F.max("slots").alias(slots), F.min("first_slot").alias(first),
+    )
+    times = written(times.where((F.col(times_) > 0) | (F.col(more) > 0)))
 
     def rows(some: DataFrame) -> DataFrame:
-        return docs.join(some, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_mark")))
+        return docs.join(some, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(mark)))
 
     def repeated(some: DataFrame) -> DataFrame:
-        return some.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        again = some.where(F.col(times_) > 0).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times_))))
+        at = F.coalesce(F.get(F.col(slots), F.col(time) - 1), F.get(F.col(slots), F.size(slots) - 1), F.col(first))
+        return again.select(*docs.columns, at.alias(time))
+
+    def in_order(some: DataFrame) -> DataFrame:
+        return some.repartitionByRange(time, id_col).sortWithinPartitions(time, id_col).select(*docs.columns)
 
-    even, uneven = times.where("_more = 0"), times.where("_more > 0")
+    even, uneven = times.where(F.col(more) == 0), times.where(F.col(more) > 0)
     if uneven.isEmpty():
-        return repeated(rows(even))
+        return in_order(repeated(rows(even)))
     # Repeated rows are numbered part by part, so that no task gets all rows of a group.
-    parts = stored(rows(uneven).withColumn("_part", F.floor(F.rand(3) * PARTS)))
-    group = ["_mix_id", "_mix_mark"]
-    sums = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    sums = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n"))
-    sums = sums.select(F.col("_mix_id").alias("_sum_id"), F.col("_mix_mark").alias("_sum_mark"), F.col("_part").alias("_sum_part"), "_before")
-    numbered = parts.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(F.lit(0))))
-    numbered = numbered.join(sums, F.col("_mix_id").eqNullSafe(F.col("_sum_id")) & (F.col("_mix_mark") == F.col("_sum_mark")) & (F.col("_part") == F.col("_sum_part")))
-    numbered = numbered.withColumn("_times", F.col("_times") + (F.col("_before") + F.col("_nth") <= F.col("_more")).cast("int"))
-    return repeated(rows(even)).unionByName(repeated(numbered))
+    parts = stored(rows(uneven).withColumn(part, F.floor(F.rand(3) * PARTS)))
+    sums = parts.groupBy(id_, mark, part).agg(F.count("*").alias(n_))
+    sums = sums.withColumn(before, F.sum(n_).over(Window.partitionBy(id_, mark).orderBy(part)) - F.col(n_))
+    sums = sums.select(F.col(id_).alias(sum_id), F.col(mark).alias(sum_mark), F.col(part).alias(sum_part), before)
+    numbered = parts.withColumn(nth, F.row_number().over(Window.partitionBy(id_, mark, part).orderBy(F.lit(0))))
+    numbered = numbered.join(sums, F.col(id_).eqNullSafe(F.col(sum_id)) & (F.col(mark) == F.col(sum_mark)) & (F.col(part) == F.col(sum_part)))
+    numbered = numbered.withColumn(times_, F.col(times_) + (F.col(before) + F.col(nth) <= F.col(more)).cast("int"))
+    return in_order(repeated(rows(even)).unionByName(repeated(numbered)))

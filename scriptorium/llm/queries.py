@@ -46,7 +46,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("mark")
+    slots = F.array_join(F.transform("slots", lambda x: x.cast("string")), ",")
+    return mixing.mix(documents(spark, sf_dir)).withColumn("slots", slots).drop("mark")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +117,35 @@ SQL = {
           FROM s WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
         w AS (SELECT arg_min(level, i) AS water FROM l WHERE cap / weight >= level),
         t AS (SELECT source, source_size, CAST(least(cap, weight * water) AS DOUBLE) AS target FROM l, w),
-        p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size) - size AS lo FROM d)
-        SELECT p.doc_id, p.size, t.source_size, t.target,
-               CAST(p.size * (CAST(round(t.target) AS BIGINT) // greatest(t.source_size, 1))
-                    + greatest(0, least(p.lo + p.size, CAST(round(t.target) AS BIGINT) % greatest(t.source_size, 1)) - p.lo) AS BIGINT) AS taken
-        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
-    """,
+        c AS (
+          SELECT *, ceil(total / {block}) AS n_slots, CAST(ceil(target / {block}) AS BIGINT) + 4 AS need,
+                 CASE WHEN source IS NOT DISTINCT FROM last_value(source) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+                      THEN 2.0 ELSE upto / total END AS hi, (upto - target) / total AS lo
+          FROM (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) AS upto, sum(target) OVER () AS total FROM t WHERE target > 0)),
+        e AS (SELECT source, target, source_size, n_slots, need, lo, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), hi) AS hi FROM c),
+        i AS (SELECT slot, (((slot >> 20) * {step}) % 1.0::DOUBLE + (slot & 1048575) * {phi}) % 1.0::DOUBLE AS u
+              FROM (SELECT unnest(range(CAST((SELECT max(n_slots) FROM e) AS BIGINT))) AS slot)),
+        a AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM i JOIN e ON u >= lo AND u < hi),
+        n AS (SELECT e.source, count(slot) AS had FROM e LEFT JOIN a ON a.source IS NOT DISTINCT FROM e.source GROUP BY e.source),
+        x AS (
+          SELECT source, rank, slot FROM a
+          UNION ALL
+          SELECT e.source, rank, CAST(n_slots AS BIGINT) + rank - had AS slot
+          FROM (SELECT e.*, had, unnest(range(had, need)) AS rank FROM e JOIN n ON n.source IS NOT DISTINCT FROM e.source) e),
+        y AS (
+          SELECT x.source, slot, rank % nb * {block} AS start,
+                 least({block}, source_size - rank % nb * {block}, goal - (rank // nb * source_size + rank % nb * {block})) AS take
+          FROM x JOIN (SELECT source, source_size, CAST(ceil(source_size / {block}) AS BIGINT) AS nb, CAST(round(target) AS BIGINT) AS goal FROM e) z
+            ON z.source IS NOT DISTINCT FROM x.source),
+        p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size) - size AS lo FROM d),
+        m AS (
+          SELECT p.doc_id, sum(least(p.lo + size, start + take) - greatest(p.lo, start)) AS taken, min(slot) AS first_slot,
+                 string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) FILTER (start <= p.lo) AS slots
+          FROM p JOIN y ON y.source IS NOT DISTINCT FROM p.source AND start < p.lo + size AND start + take > p.lo
+          WHERE take > 0 AND size > 0 GROUP BY p.doc_id)
+        SELECT p.doc_id, p.size, t.source_size, t.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, coalesce(slots, '') AS slots
+        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (doc_id)
+    """.replace("{block}", str(mixing.BLOCK_WORDS)).replace("{phi}", f"'{mixing.PHI!r}'::DOUBLE").replace("{step}", f"'{(2**20 * mixing.PHI) % 1.0!r}'::DOUBLE"),
 }
 
 

@@ -203,6 +203,35 @@ def test_mixed_rows(spark):
     assert mixing.mixed(docs.limit(0)).collect() == []
 
 
+def test_rows_come_in_slot_order(spark):
+    docs = [(i, f"a b c {s}{i}", s) for s, n in (("x", 40), ("y", 30), ("z", 2)) for i in range(n)]
+    rows = mixing.mixed(spark.createDataFrame([(*d, "k", 5) for d in docs], "doc_id long, text string, source string, _own0 string, _times int"), block_words=4).collect()
+    assert {(r["_own0"], r["_times"]) for r in rows} == {("k", 5)}
+    target = shares({"x": 160, "y": 120, "z": 8})
+    edges, total = [], sum(target.values())
+    for s in "xyz":
+        edges.append((s, sum(target[k] for k in "xyz" if k <= s) / total))
+    dealt = [next(s for s, z in edges if (i * mixing.PHI) % 1 < z) for i in range(72)]
+    got = [r.source for r in rows]
+    assert abs(len(got) - 72) <= 2
+    assert got[:60] == dealt[:60]
+    mixed = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), block_words=4).collect()
+    assert all(dealt[k] == next(s for _, t, s in docs if hash_of(spark, t) == r.mark) for r in mixed for k in r.slots if k < 60)
+    assert all((r.first_slot is None) == (r.taken == 0) for r in mixed)
+
+
+def hash_of(spark, text, known={}):  # noqa: B006
+    if text not in known:
+        known[text] = spark.sql("SELECT xxhash64(:t) AS h", {"t": text}).first().h
+    return known[text]
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "line one here\nother", 7, 8, "p"), (2, "line one here", 7, 8, "p")], "doc_id long, text string, _mark int, _own2 int, _gone string")
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert sorted(map(tuple, rows)) == [(1, "line one here\nother", 7, 8, "p"), (2, "", 7, 8, "p")]
+
+
 def test_repeated_rows_are_all_taken(spark):
     docs = spark.createDataFrame([(7, "a b c d", "x")] * 9 + [(None, "a b c d", "x")] * 3 + [(i, "a b c d", "y") for i in range(1, 6)], "doc_id long, text string, source string")
     wanted = defaultdict(int)
