@@ -3,18 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> None:
-    """Make sure there is a checkpoint folder: the cluster's (``spark.checkpoint.dir``), or our own where none is set."""
+def scratch(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's (``spark.checkpoint.dir``), or in local mode, where none is set, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptorium-"))
+    return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from files in the shared checkpoint folder: lineage ends here and lost executors lose nothing."""
+    """The rows of ``df``, as they are partitioned, from files in the shared checkpoint folder: lineage ends here and lost executors lose
+    nothing."""
     scratch(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the checkpoint folder that nothing has been written to yet."""
+    return f"{scratch(spark)}/{uuid.uuid4().hex}.parquet"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a compressed table in the shared checkpoint folder, which is written once, where ``written`` works twice."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

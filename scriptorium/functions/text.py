@@ -6,11 +6,15 @@ than ASCII letters, digits, full stop and apostrophe, and dotted abbreviations b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Between an honorific and its word, until the word has been split.
-GLUE = "\x01"
+from scriptorium.functions.scratch import written
+
+#: Between an honorific and its word, and after each character of a dotted abbreviation, until the text has been split.
+GLUE, DOT = "\x01", "\x02"
 #: Our own stopwords.
 STOPWORDS = (
     "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so "
@@ -26,56 +30,81 @@ def prepared(text: Column) -> Column:
     return F.regexp_replace(s, r"(^| )(mrs|mr|ms)\. ([^ ]*)", f"$1$2{GLUE}$3")
 
 
-def abbreviation(word: Column) -> Column:
-    """Longest start of single characters with full stops between; '' unless the second character is a full stop."""
-    return F.regexp_extract(word, r"^(?:[^.]\.+)+(?:[^.]\z)?", 0)
-
-
-def word_tokens(word: Column) -> Column:
-    """array<string>: the abbreviation without its full stops, then the rest split at them; no empty tokens."""
-    start = abbreviation(word)
-    rest = F.split(F.substr(word, F.length(start) + 1), "[.]")
-    return F.filter(F.concat(F.array(F.replace(start, F.lit("."), F.lit(""))), rest), lambda x: x != "")
-
-
 def tokenize(text: Column) -> Column:
-    """array<string> of the tokens of a whole text."""
-
-    def tokens(word: Column) -> Column:
-        glued = F.instr(word, GLUE) > 0
-        right = word_tokens(F.substring_index(word, GLUE, -1))
-        left = F.substring_index(word, GLUE, 1)
-        first = F.when(F.size(right) > 0, F.concat(F.array(F.concat(left, F.get(right, F.lit(0)))), F.slice(right, 2, F.greatest(F.size(right), F.lit(1))))).otherwise(right)
-        return F.when(glued, first).otherwise(word_tokens(word))
+    """array<string> of the tokens of a whole text, by passes over it whose time is linear; no function is called per word.
 
-    return F.flatten(F.transform(F.split(prepared(text), " "), tokens))
+    A word's abbreviation is its longest start of single characters with full stops between; it is one token without its full stops, and
+    the rest of the word is split at them. A word after an honorific starts behind the glue; if it has no token, the honorific goes too.
+    """
+    s = F.regexp_replace(prepared(text), rf"(?:(?<![^ {GLUE}])|\G(?!^))([^. {GLUE}])\.+", f"$1{DOT}")
+    # Characters of an abbreviation come together, with a last one that ends the word as well.
+    s = F.regexp_replace(s, f"{DOT}(?=[^ .](?:{DOT}|(?![^ ])))", "")
+    s = F.regexp_replace(s, f"{GLUE}[.]+", GLUE)
+    s = F.regexp_replace(s, f"(?:mrs|mr|ms){GLUE}(?![^ ])", "")
+    s = F.regexp_replace(F.replace(s, F.lit(GLUE), F.lit("")), f"[ .{DOT}]+", " ")
+    return F.array_remove(F.split(s, " "), "")
 
 
 def cut(word: Column, chars: int) -> Column:
     return F.left(word, F.length(word) - chars)
 
 
-def stem(token: Column) -> Column:
-    """Plurals and verb endings off (the first two steps of the Porter algorithm, with their own repairs)."""
-    a = (
+def ends(word: Column, *endings: str) -> Column:
+    found = word.endswith(endings[0])
+    for e in endings[1:]:
+        found = found | word.endswith(e)
+    return found
+
+
+def _singular(token: Column) -> Column:
+    return (
         F.when(token.endswith("sses"), cut(token, 2))
-        .when(token.rlike("(ies|ied)$"), F.when(F.length(token) > 4, cut(token, 2)).otherwise(F.concat(cut(token, 2), F.lit("e"))))
-        .when(token.rlike("(ss|us)$"), token)
-        .when(token.rlike("[aeiou].+s$"), cut(token, 1))
+        .when(ends(token, "ies", "ied"), F.when(F.length(token) > 4, cut(token, 2)).otherwise(F.concat(cut(token, 2), F.lit("e"))))
+        .when(ends(token, "ss", "us"), token)
+        .when(token.endswith("s") & token.rlike("[aeiou].+s$"), cut(token, 1))
         .otherwise(token)
     )
-    enough = a.rlike("[aeiou][^aeiou].*eed(ly)?$")
-    size = F.when(a.rlike("[aeiou].*ingly$"), 5).when(a.rlike("[aeiou].*edly$"), 4).when(a.rlike("[aeiou].*ing$"), 3).when(a.rlike("[aeiou].*ed$"), 2).otherwise(0)
-    rest = F.left(a, F.length(a) - size)
+
+
+def _ending(a: Column) -> Column:
+    """With the length of the verb ending that goes; the ending needs a vowel before it."""
+    size = F.lit(0)
+    for ending in ("ed", "ing", "edly", "ingly"):
+        size = F.when(a.endswith(ending) & a.rlike(f"[aeiou].*{ending}$"), len(ending)).otherwise(size)
+    return F.struct(a.alias("a"), size.alias("size"))
+
+
+def _cut(x: Column) -> Column:
+    return F.struct(x.a.alias("a"), x.size.alias("size"), F.left(x.a, F.length(x.a) - x.size).alias("rest"))
+
+
+def _repaired(x: Column) -> Column:
+    a, rest = x.a, x.rest
     repaired = (
-        F.when(size == 0, a)
-        .when(rest.rlike("(at|bl|iz)$"), F.concat(rest, F.lit("e")))
+        F.when(x.size == 0, a)
+        .when(ends(rest, "at", "bl", "iz"), F.concat(rest, F.lit("e")))
         .when(F.length(rest) == 1, F.lit(""))
         .when(rest.rlike(r"([^lsz])\1$"), cut(rest, 1))
         .when(short(rest), F.concat(rest, F.lit("e")))
         .otherwise(rest)
     )
-    return F.when(a.endswith("eedly"), F.when(enough, cut(a, 3)).otherwise(a)).when(a.endswith("eed"), F.when(enough, cut(a, 1)).otherwise(a)).otherwise(repaired)
+    less = F.when(a.endswith("eedly"), 3).otherwise(1)
+    enough = a.rlike("[aeiou][^aeiou].*eed(ly)?$")
+    return F.when(ends(a, "eedly", "eed"), F.when(enough, F.left(a, F.length(a) - less)).otherwise(a)).otherwise(repaired)
+
+
+def stems(tokens: Column) -> Column:
+    """array<string>: plurals and verb endings off (the first two steps of the Porter algorithm, with their own repairs).
+
+    Each step is a pass over the array, so that its outcome is worked out once per token.
+    """
+    for step in (_singular, _ending, _cut, _repaired):
+        tokens = F.transform(tokens, step)
+    return tokens
+
+
+def stem(token: Column) -> Column:
+    return F.get(stems(F.array(token)), F.lit(0))
 
 
 def short(word: Column) -> Column:
@@ -89,33 +118,54 @@ def ws_tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
+def without(tokens: Column, stopwords: list[str]) -> Column:
+    """array<string> of the tokens that are not stopwords."""
+    return F.filter(tokens, lambda x: ~x.isin(list(stopwords))) if stopwords else tokens
+
+
+def token_rows(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, token) of the tokens that are not stopwords; pos counts all tokens, from 0."""
+    rows = docs.select(F.col(id_col), F.posexplode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "token"))
+    if isinstance(stopwords, DataFrame):
+        return rows.join(stopwords.select(F.col(stopwords.columns[0]).alias("token")), "token", "left_anti").select(id_col, "pos", "token")
+    return rows.where(~F.col("token").isin(list(stopwords))) if stopwords else rows
+
+
 def analyze(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, token, stem) of the tokens that are not stopwords; pos counts all tokens, from 0. Empty stems stay."""
-    rows = docs.select(F.col(id_col), F.posexplode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "token"))
-    rows = rows.where(~F.col("token").isin(list(stopwords))) if not isinstance(stopwords, DataFrame) else rows.join(stopwords.select(F.col(stopwords.columns[0]).alias("token")), "token", "left_anti")
-    return rows.select(id_col, "pos", "token", stem(F.col("token")).alias("stem"))
+    return token_rows(docs, stopwords, id_col, text_col).withColumn("stem", stem(F.col("token")))
 
 
-def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, str] = ("doc_id", "pos")) -> DataFrame:
-    """(term, cnt): most frequent terms, those that occur first before others of the same count."""
+def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | None, order: tuple[str, str]) -> DataFrame:
+    """(term, cnt, first) of each term; with ``to``, of what it makes of them, worked out once per different term."""
     counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("first"))
-    return counts.orderBy(F.desc("cnt"), "first").limit(n).select("term", "cnt")
+    if to is None:
+        return counts
+    return counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
 
 
-def vocab_growth(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos: str = "pos") -> DataFrame:
+def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, str] = ("doc_id", "pos"), to: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, cnt, ord): most frequent terms, those that occur first before others of the same count; ord is their order, from 1."""
+    best = firsts_of(tokens, term, to, order).orderBy(F.desc("cnt"), "first").limit(n)
+    return best.select("term", "cnt", F.row_number().over(Window.orderBy(F.desc("cnt"), "first")).cast("bigint").alias("ord"))
+
+
+def vocab_growth(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos: str = "pos", to: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc_id, word_count, unique_count) at the end of each document: tokens and different terms so far.
 
     The order of documents is their id's. Counts per document come first; the running sums go over documents, in two levels (blocks of
     ids, then inside a block), so no task sees all tokens or all documents.
     """
-    firsts = tokens.groupBy(term).agg(F.min(F.struct(doc, pos)).alias("first")).groupBy(F.col(f"first.{doc}").alias(doc)).agg(F.count("*").alias("fresh"))
+    firsts = firsts_of(tokens, term, to, (doc, pos)).groupBy(F.col(f"first.{doc}").alias(doc)).agg(F.count("*").alias("fresh"))
     counts = tokens.groupBy(doc).agg(F.count("*").alias("words")).join(firsts, doc, "left").select(doc, "words", F.coalesce("fresh", F.lit(0)).alias("fresh"))
     counts = counts.withColumn("block", F.floor(F.col(doc) / 4096))
-    blocks = counts.groupBy("block").agg(F.sum("words").alias("bw"), F.sum("fresh").alias("bf"))
+    # Inside a block first; its last document has the block's sums, so the tokens are read once for both levels.
+    inside = Window.partitionBy("block").orderBy(doc)
+    counts = written(counts.select(doc, "block", F.sum("words").over(inside).alias("words"), F.sum("fresh").over(inside).alias("fresh")))
+    blocks = counts.groupBy("block").agg(F.max("words").alias("bw"), F.max("fresh").alias("bf"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("block", F.coalesce(F.sum("bw").over(before), F.lit(0)).alias("bw"), F.coalesce(F.sum("bf").over(before), F.lit(0)).alias("bf"))
-    inside = Window.partitionBy("block").orderBy(doc)
-    return counts.join(blocks, "block").select(doc, (F.col("bw") + F.sum("words").over(inside)).alias("word_count"), (F.col("bf") + F.sum("fresh").over(inside)).alias("unique_count"))
+    return counts.join(blocks, "block").select(doc, (F.col("bw") + F.col("words")).alias("word_count"), (F.col("bf") + F.col("fresh")).alias("unique_count"))
 
 
 def vocab_curve(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos: str = "pos") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scratch import stored
 from scriptorium.operators.index import LEVELS, Index
 
 OPS = ("and", "or")
@@ -28,7 +29,7 @@ def matches(index: Index, queries: DataFrame) -> DataFrame:
     known = known.withColumn("phrase", F.size("unit"))
     counts = known.groupBy("qname").agg(F.countDistinct("unit_no").alias("units"))
     words = known.select("qname", "level", "op", "unit_no", "phrase", F.posexplode("unit").alias("off", "term"))
-    found = index.of_terms(words).join(words, "term").withColumn("start", F.col("pos") - F.col("off"))
+    found = index.tokens(words).join(words, "term").withColumn("start", F.col("pos") - F.col("off"))
     whole = found.groupBy("qname", "level", "op", "unit_no", "phrase", "play_id", "scene_id", "doc_ord", "start").agg(F.countDistinct("off").alias("offs")).where("offs = phrase")
     unit_id = F.when(F.col("level") == "play", F.col("play_id")).otherwise(F.col("scene_id"))
     return whole.groupBy("qname", "level", "op", "unit_no", unit_id.alias("unit_id")).agg(F.min("doc_ord").alias("ord")).join(counts, "qname")
@@ -36,8 +37,17 @@ def matches(index: Index, queries: DataFrame) -> DataFrame:
 
 def search(index: Index, queries: DataFrame) -> DataFrame:
     """(qname, ord, unit_id): AND in corpus order, OR by id. A query with an unknown word under AND has no rows; under OR the word counts
-    for nothing."""
+    for nothing.
+
+    Hits are numbered in two levels: inside ranges of the order, which are written once, and by the sizes of the ranges before, so no
+    task has all hits of a query.
+    """
     hits = matches(index, queries).groupBy("qname", "op", "units", "unit_id").agg(F.count("*").alias("have"), F.min("ord").alias("first"))
     hits = hits.where((F.col("op") == "or") | (F.col("have") == F.col("units")))
-    order = Window.partitionBy("qname").orderBy(F.when(F.col("op") == "and", F.col("first")), "unit_id")
-    return hits.select("qname", F.row_number().over(order).cast("bigint").alias("ord"), "unit_id")
+    hits = hits.select("qname", F.when(F.col("op") == "and", F.col("first")).alias("first"), "unit_id")
+    ranges = stored(hits.repartitionByRange("qname", F.col("first").asc_nulls_first(), "unit_id").withColumn("range", F.spark_partition_id()))
+    sums = ranges.groupBy("qname", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("qname").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("qname", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("qname", "range").orderBy(F.col("first").asc_nulls_first(), "unit_id"))
+    return ranges.withColumn("no", inside).join(sums, ["qname", "range"]).select("qname", (F.col("before") + F.col("no")).cast("bigint").alias("ord"), "unit_id")

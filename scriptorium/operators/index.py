@@ -1,15 +1,25 @@
-"""Positional and counting indexes over a two-level corpus: scenes (documents) in plays (groups of documents)."""
+"""A positional index over a two-level corpus: scenes (documents) in plays (groups of documents).
+
+The index is built once, in one pass over the corpus, and kept as two tables: postings, in folders by a hash of the term and sorted by
+term inside, and the scenes with their lengths. Searches read the folders of their terms and no text at all; everything that is counted
+(term, document and collection frequencies, lengths, means) comes from these tables.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scratch import new_path
 from scriptorium.functions.text import ws_tokens
 
 LEVELS = ("scene", "play")
+#: Folders of postings, and parts of a folder, so that a term which every scene has is not one task's work.
+BUCKETS, PARTS = 64, 8
+POSTINGS = "term string, play_id string, scene_id string, doc_ord bigint, tf bigint, positions array<int>, bucket int"
+SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint"
 
 
 def unit(level: str) -> str:
@@ -19,37 +29,45 @@ def unit(level: str) -> str:
     return f"{level}_id"
 
 
-@dataclass(frozen=True)
-class Index:
-    """Lazy tables over a corpus (play_id, scene_id, scene_num, doc_ord, text); scene ids are unique."""
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    corpus: DataFrame
 
-    @property
-    def scenes(self) -> DataFrame:
-        """The corpus with its tokens; scenes without any stay."""
-        return self.corpus.select("play_id", "scene_id", "doc_ord", ws_tokens(F.col("text")).alias("tokens"))
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, play_id, scene_id, doc_ord, tf, positions, bucket) and scenes (play_id, scene_id, doc_ord, len) of a corpus."""
 
-    @property
-    def tokens(self) -> DataFrame:
-        """(play_id, scene_id, doc_ord, pos, term), pos from 0."""
-        return self.scenes.select("play_id", "scene_id", "doc_ord", F.posexplode("tokens").alias("pos", "term"))
+    stored_postings: DataFrame
+    scenes: DataFrame
+    buckets: int = BUCKETS
 
     def of_terms(self, terms: DataFrame | None) -> DataFrame:
-        """Tokens, of some terms only if a table (term) is given: others leave before any shuffle of tokens."""
-        return self.tokens if terms is None else self.tokens.join(terms.select("term").distinct(), "term", "left_semi")
+        """Postings, of some terms only if a table (term) is given: folders without any of them are not read."""
+        if terms is None:
+            return self.stored_postings.drop("bucket")
+        wanted = terms.select("term").where("term <> ''").distinct().select(F.col("term").alias("term_"), bucket_of(F.col("term"), self.buckets).alias("bucket_"))
+        own = self.stored_postings
+        return own.join(wanted, (own.bucket == F.col("bucket_")) & (own.term == F.col("term_")), "left_semi").drop("bucket")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, play_id, scene_id, doc_ord, positions)."""
-        return self.of_terms(terms).groupBy("term", "play_id", "scene_id", "doc_ord").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        """(term, play_id, scene_id, doc_ord, positions), positions from 0."""
+        return self.of_terms(terms).drop("tf")
+
+    def tokens(self, terms: DataFrame | None = None) -> DataFrame:
+        """(play_id, scene_id, doc_ord, pos, term)."""
+        return self.of_terms(terms).select("play_id", "scene_id", "doc_ord", F.explode("positions").alias("pos"), "term")
 
     def unit_tf(self, level: str, terms: DataFrame | None = None) -> DataFrame:
         """(term, unit_id, tf, first_ord): occurrences in each unit, and where in the corpus the first one is."""
-        return self.of_terms(terms).groupBy("term", F.col(unit(level)).alias("unit_id")).agg(F.count("*").alias("tf"), F.min("doc_ord").alias("first_ord"))
+        rows = self.of_terms(terms).select("term", F.col(unit(level)).alias("unit_id"), "tf", "doc_ord")
+        if level == "scene":
+            return rows.withColumnRenamed("doc_ord", "first_ord")
+        return rows.groupBy("term", "unit_id").agg(F.sum("tf").alias("tf"), F.min("doc_ord").alias("first_ord"))
 
     def unit_len(self, level: str) -> DataFrame:
         """(unit_id, len); units without tokens have length 0."""
-        return self.scenes.groupBy(F.col(unit(level)).alias("unit_id")).agg(F.sum(F.size("tokens")).alias("len"))
+        rows = self.scenes.select(F.col(unit(level)).alias("unit_id"), "len")
+        return rows if level == "scene" else rows.groupBy("unit_id").agg(F.sum("len").alias("len"))
 
     def df(self, level: str, terms: DataFrame | None = None) -> DataFrame:
         """(term, n): units that have the term."""
@@ -57,12 +75,31 @@ class Index:
 
     def cf(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, cf): occurrences in the collection."""
-        return self.of_terms(terms).groupBy("term").agg(F.count("*").alias("cf"))
+        return self.of_terms(terms).groupBy("term").agg(F.sum("tf").alias("cf"))
 
     def stats(self, level: str) -> DataFrame:
         """One row (level, n_units, total_terms, avdl)."""
         return self.unit_len(level).agg(F.lit(level).alias("level"), F.count("*").alias("n_units"), F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("total_terms"), F.avg("len").alias("avdl"))
 
 
-def build(corpus: DataFrame) -> Index:
-    return Index(corpus)
+def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
+    """An index that has been built at ``path``, with as many buckets."""
+    return Index(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(SCENES).parquet(f"{path}/scenes"), buckets)
+
+
+def build(corpus: DataFrame, path: str | None = None, buckets: int = BUCKETS, parts: int = PARTS) -> Index:
+    """The index of a corpus (play_id, scene_id, scene_num, doc_ord, text), written at ``path`` (else in the checkpoint folder).
+
+    Scene ids are unique. Scenes without tokens stay, with length 0. A scene's postings are made from its own token list; one shuffle
+    brings them to their folders.
+    """
+    spark = corpus.sparkSession
+    path = path or new_path(spark)
+    tokens = corpus.select("play_id", "scene_id", "doc_ord", ws_tokens(F.col("text")).alias("tokens"))
+    tokens.select("play_id", "scene_id", "doc_ord", F.size("tokens").cast("bigint").alias("len")).write.parquet(f"{path}/scenes")
+    rows = tokens.select("play_id", "scene_id", "doc_ord", F.posexplode("tokens").alias("pos", "term"))
+    rows = rows.select("*", bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("scene_id"), F.lit(parts)).alias("part"))
+    rows = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "play_id", "scene_id", "doc_ord").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = rows.select("term", "play_id", "scene_id", "doc_ord", F.size("positions").cast("bigint").alias("tf"), "positions", "bucket")
+    rows.sortWithinPartitions("bucket", "term", "doc_ord").write.partitionBy("bucket").parquet(f"{path}/postings")
+    return open_index(spark, path, buckets)

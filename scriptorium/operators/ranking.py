@@ -1,4 +1,4 @@
-"""Ranked search: BM25 and query likelihood, all queries of a batch in one job."""
+"""Ranked search: BM25 and query likelihood, all queries of a batch, of both levels, in one job."""
 
 from __future__ import annotations
 
@@ -26,27 +26,38 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return ranked.select("qname", "unit_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
-def terms_of(queries: DataFrame, model: str, level: str) -> DataFrame:
-    """(qname, term, qf, qpos): different words, how often and where first."""
-    own = check(queries).where((F.col("model") == model) & (F.col("level") == level))
-    return own.groupBy("qname", "term").agg(F.count("*").alias("qf"), F.min("qpos").alias("qpos"))
+def terms_of(queries: DataFrame, model: str) -> DataFrame:
+    """(qname, level, term, qf, qpos): different words, how often and where first."""
+    own = check(queries).where(F.col("model") == model)
+    return own.groupBy("qname", "level", "term").agg(F.count("*").alias("qf"), F.min("qpos").alias("qpos"))
+
+
+def units_of(index: Index, terms: DataFrame) -> DataFrame:
+    """(level, term, unit_id, tf, first_ord) of the terms, in the units of the levels at which they are asked for."""
+    wanted = terms.select(F.col("term").alias("term_"), "level").distinct()
+    rows = index.of_terms(terms).join(wanted, F.col("term") == F.col("term_"))
+    unit_id = F.when(F.col("level") == "play", F.col("play_id")).otherwise(F.col("scene_id"))
+    return rows.groupBy("level", "term", unit_id.alias("unit_id")).agg(F.sum("tf").alias("tf"), F.min("doc_ord").alias("first_ord"))
+
+
+def lengths(index: Index) -> DataFrame:
+    """(level, unit_id, len) of all units."""
+    own = [index.unit_len(level).select(F.lit(level).alias("level"), "unit_id", "len") for level in LEVELS]
+    return own[0].unionByName(own[1])
 
 
 def bm25(index: Index, queries: DataFrame, k1: float = 1.8, k2: float = 5.0, b: float = 0.75, k: int = 100) -> DataFrame:
     """(qname, unit_id, rank, score). Negative idf stays negative; unknown words count for nothing."""
-    scored = None
-    for level in LEVELS:
-        terms = terms_of(queries, "bm25", level)
-        tf, stats = index.unit_tf(level, terms), index.stats(level)
-        total, mean = stats.select("n_units").scalar(), stats.select("avdl").scalar()
-        n = tf.groupBy("term").agg(F.count("*").alias("n"))
-        rows = terms.join(n, "term").join(tf, "term").join(index.unit_len(level), "unit_id")
-        idf = F.ln((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        norm = k1 * ((1 - b) + b * F.col("len") / mean)
-        score = idf * ((k1 + 1) * F.col("tf") / (norm + F.col("tf"))) * ((k2 + 1) * F.col("qf") / (k2 + F.col("qf")))
-        own = rows.groupBy("qname", "unit_id").agg(F.sum(score).alias("score"), F.min(F.struct("qpos", "first_ord")).alias("first"))
-        scored = own if scored is None else scored.unionByName(own)
-    return top(scored, k)
+    terms = terms_of(queries, "bm25")
+    tf = units_of(index, terms)
+    n = tf.groupBy("level", "term").agg(F.count("*").alias("n"))
+    stats = index.stats("scene").unionByName(index.stats("play"))
+    known = terms.join(n, ["level", "term"]).join(stats, "level")
+    rows = known.join(tf, ["level", "term"]).join(lengths(index), ["level", "unit_id"])
+    idf = F.ln((F.col("n_units") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    norm = k1 * ((1 - b) + b * F.col("len") / F.col("avdl"))
+    score = idf * ((k1 + 1) * F.col("tf") / (norm + F.col("tf"))) * ((k2 + 1) * F.col("qf") / (k2 + F.col("qf")))
+    return top(rows.groupBy("qname", "unit_id").agg(F.sum(score).alias("score"), F.min(F.struct("qpos", "first_ord")).alias("first")), k)
 
 
 def ql(index: Index, queries: DataFrame, mu: float = 250.0, k: int = 100) -> DataFrame:
@@ -54,16 +65,13 @@ def ql(index: Index, queries: DataFrame, mu: float = 250.0, k: int = 100) -> Dat
 
     A word that a unit lacks adds the same as its smoothing, so it is added once per query and only the words present are joined.
     """
-    scored = None
-    for level in LEVELS:
-        terms = terms_of(queries, "ql", level)
-        total = index.stats("scene").select("total_terms").scalar()
-        smooth = terms.join(index.cf(terms), "term").select("qname", "term", "qf", "qpos", (mu * F.col("cf") / total).alias("bg"))
-        base = smooth.groupBy("qname").agg(F.sum(F.col("qf") * F.ln("bg")).alias("base"), F.sum("qf").alias("words"))
-        rows = smooth.join(index.unit_tf(level, terms), "term")
-        gain = F.col("qf") * (F.ln(F.col("tf") + F.col("bg")) - F.ln("bg"))
-        own = rows.groupBy("qname", "unit_id").agg(F.sum(gain).alias("gain"), F.min(F.struct("qpos", "first_ord")).alias("first"))
-        own = own.join(base, "qname").join(index.unit_len(level), "unit_id")
-        own = own.select("qname", "unit_id", (F.col("base") + F.col("gain") - F.col("words") * F.ln(F.col("len") + mu)).alias("score"), "first")
-        scored = own if scored is None else scored.unionByName(own)
-    return top(scored, k)
+    terms = terms_of(queries, "ql")
+    tf = units_of(index, terms)
+    total = index.stats("scene").select("total_terms").scalar()
+    smooth = terms.join(index.cf(terms), "term").select("qname", "level", "term", "qf", "qpos", (mu * F.col("cf") / total).alias("bg"))
+    base = smooth.groupBy("qname").agg(F.sum(F.col("qf") * F.ln("bg")).alias("base"), F.sum("qf").alias("words"))
+    rows = smooth.join(tf, ["level", "term"])
+    gain = F.col("qf") * (F.ln(F.col("tf") + F.col("bg")) - F.ln("bg"))
+    own = rows.groupBy("qname", "level", "unit_id").agg(F.sum(gain).alias("gain"), F.min(F.struct("qpos", "first_ord")).alias("first"))
+    own = own.join(base, "qname").join(lengths(index), ["level", "unit_id"])
+    return top(own.select("qname", "unit_id", (F.col("base") + F.col("gain") - F.col("words") * F.ln(F.col("len") + mu)).alias("score"), "first"), k)

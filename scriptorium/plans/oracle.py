@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SPACED = r"string_split_regex(coalesce(text, ''), '\s+')"
+SPACED = r"string_split_regex(coalesce(text, ''), '[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')"
 CORPUS = "c AS (SELECT source AS play_id, CAST(doc_id AS VARCHAR) AS scene_id, doc_id AS doc_ord, text FROM documents)"
 TURNS = "c AS (SELECT CAST(conv_id AS VARCHAR) AS play_id, concat(conv_id, ':', turn) AS scene_id, conv_id * 100000 + turn AS doc_ord, text FROM conversations)"
 TOKENS = f"""s AS (SELECT play_id, scene_id, doc_ord, list_filter({SPACED}, lambda x: x <> '') AS w FROM c),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text
 from scriptorium.operators import boolean, evaluation, graph, ranking
-from scriptorium.operators.index import build
+from scriptorium.operators.index import Index, build
 from scriptorium.plans import oracle
 from scriptorium.sources import readers
 
@@ -63,29 +64,39 @@ def ranked_table(spark: SparkSession, queries: dict) -> DataFrame:
     return spark.createDataFrame(rows, "qname string, level string, model string, qpos int, term string")
 
 
-def index(spark: SparkSession, sf_dir: str):
-    return build(readers.documents_corpus(spark, sf_dir))
+@functools.lru_cache(maxsize=16)
+def _built(app: str, files: tuple[str, ...]) -> Index:
+    spark = SparkSession.active()
+    return build(readers.documents_corpus(spark, files[0]))
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents, built when an application first asks for it and read from then on."""
+    files = sorted(readers.table(spark, sf_dir, "documents").inputFiles())
+    return _built(spark.sparkContext.applicationId, (sf_dir, *files))
 
 
 def lists(spark: SparkSession, rows: list[str]) -> DataFrame:
     return values(spark, rows).select("no", "value", F.array_join(text.tokenize(F.col("value")), " ").alias("tokens"))
 
 
-def per_document(spark: SparkSession, sf_dir: str, stop: bool, column: str) -> DataFrame:
-    rows = text.analyze(readers.table(spark, sf_dir, "documents"), text.STOPWORDS if stop else [""])
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct(column).alias("different"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", column))), lambda x: x[column]), " ")).alias("digest"))
+def per_document(spark: SparkSession, sf_dir: str, stop: bool, stemmed: bool = False) -> DataFrame:
+    tokens = text.tokenize(F.coalesce("text", F.lit("")))
+    rows = readers.table(spark, sf_dir, "documents").select("doc_id", text.without(tokens, text.STOPWORDS if stop else []).alias("tokens"))
+    rows = rows.withColumn("tokens", text.stems(F.col("tokens"))) if stemmed else rows
+    return rows.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.size(F.array_distinct("tokens")).cast("bigint").alias("different"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 def tok_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_document(spark, sf_dir, False, "token")
+    return per_document(spark, sf_dir, False)
 
 
 def tok_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_document(spark, sf_dir, True, "token")
+    return per_document(spark, sf_dir, True)
 
 
 def tok_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_document(spark, sf_dir, True, "stem")
+    return per_document(spark, sf_dir, True, stemmed=True)
 
 
 def tok_words_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +112,11 @@ def tok_stem_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.top_terms(text.analyze(readers.table(spark, sf_dir, "documents")))
+    return text.top_terms(text.token_rows(readers.table(spark, sf_dir, "documents")), term="token", to=text.stem).select("term", "cnt")
 
 
 def vocab_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.vocab_growth(text.analyze(readers.table(spark, sf_dir, "documents")))
+    return text.vocab_growth(text.token_rows(readers.table(spark, sf_dir, "documents")), term="token", to=text.stem)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +165,10 @@ def rank(name: str) -> Query:
     return query
 
 
+def ranked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.bm25(index(spark, sf_dir), ranked_table(spark, RANKED["bm25_scene"]))
+
+
 def link_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(readers.page_edges(spark, sf_dir))
 
@@ -190,7 +205,7 @@ def pagerank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The BM25 run, and graded judgements of labelled documents for each of its queries (negative ones among them)."""
-    run = ranking.bm25(index(spark, sf_dir), ranked_table(spark, RANKED["bm25_scene"])).select(F.col("qname").alias("qid"), F.col("unit_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), "score")
+    run = ranked_run(spark, sf_dir).select(F.col("qname").alias("qid"), F.col("unit_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), "score")
     labels = readers.table(spark, sf_dir, "labels")
     qids = F.explode(F.array(*[F.lit(q) for q in [*RANKED["bm25_scene"], "never_run"]]))
     return run, labels.select(qids.alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") * 2 - F.col("toxic")).cast("double").alias("rel"))

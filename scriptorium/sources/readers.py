@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import ws_tokens
+
 CORPUS = "corpus array<struct<playId:string,sceneId:string,sceneNum:bigint,text:string>>"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, line_no, line) of plain text files; CRLF and CR end lines too."""
+    """(doc_id, line_no, line) of plain text files; CRLF and CR end lines too, and a file's last line need not be ended."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    whole = whole.where("text <> ''").withColumn("text", F.regexp_replace("text", "\n\\z", ""))
     return whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
@@ -38,7 +41,7 @@ def _queries(spark: SparkSession, path: str) -> DataFrame:
 
 def boolean_queries(spark: SparkSession, path: str) -> DataFrame:
     """(qname, level, op, unit_no, unit array<string>); blank terms and lines with too few columns are skipped."""
-    rows = _queries(spark, path).select("qname", "level", F.col("how").alias("op"), F.col("no").alias("unit_no"), F.filter(F.split("term", r"\s+"), lambda x: x != "").alias("unit"))
+    rows = _queries(spark, path).select("qname", "level", F.col("how").alias("op"), F.col("no").alias("unit_no"), ws_tokens(F.col("term")).alias("unit"))
     return rows.where(F.size("unit") > 0)
 
 
@@ -53,7 +56,7 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("p"))
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), ws_tokens(F.col("value")).alias("p"))
     return rows.where(F.size("p") >= least)
 
 

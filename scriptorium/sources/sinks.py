@@ -1,17 +1,55 @@
-"""Writers of the native text formats."""
+"""Writers of the native text formats. Each has a function that gives its lines, in order, and one that writes them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.evaluation import METRICS
 
 #: Metric names in reports: of one query, and of their means.
 NAMES = {"ndcg75": ("NDCG", "NDCG"), "rr": ("RR", "MRR"), "p15": ("P@15", "P@15"), "r20": ("R@20", "R@20"), "f1_25": ("F1@25", "F1@25"), "ap": ("AP", "MAP")}
+BIG = "decimal(38,0)"
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A finite double with so many digits after the point, rounded half to even on its exact binary value.
+
+    The value's first 88 bits after the point are taken apart in three whole numbers, so that the rest is arithmetic of integers; smaller
+    bits only occur in values that round to zero. Up to 6 digits, and values below 2**31.
+    """
+    whole = lambda c: c.cast("bigint").cast(BIG)
+    number = lambda n: F.lit(str(n)).cast(BIG)
+    times = lambda a, n: (a * F.lit(str(n)).cast("decimal(20,0)")).cast(BIG)
+    add = lambda a, b: (a + b).cast(BIG)
+
+    def apart(v: Column) -> Column:
+        size = F.abs(v)
+        return F.struct((v < 0).alias("minus"), F.floor(size).cast("bigint").alias("high"), ((size - F.floor(size)) * float(1 << 32)).alias("one"))
+
+    def halved(v: Column) -> Column:
+        return F.struct(v.minus.alias("minus"), v.high.alias("high"), F.floor(v.one).alias("mid"), ((v.one - F.floor(v.one)) * float(1 << 32)).alias("two"))
+
+    def scaled(v: Column) -> Column:
+        # What is below the point, in units of 2**-88 and times 10**digits; what is above it needs no rounding.
+        last = F.floor((v.two - F.floor(v.two)) * float(1 << 24))
+        below = times(add(times(add(times(whole(v.mid), 1 << 32), whole(F.floor(v.two))), 1 << 24), whole(last)), 10**digits)
+        return F.struct(v.minus.alias("minus"), v.high.alias("high"), below.alias("below"), (below % number(1 << 88)).cast(BIG).alias("rest"))
+
+    def rounded(v: Column) -> Column:
+        down = ((v.below - v.rest).cast(BIG) / number(1 << 88)).cast("bigint")
+        up = (v.rest > number(1 << 87)) | ((v.rest == number(1 << 87)) & (F.pmod(down, F.lit(2)) == 1))
+        return F.struct(v.minus.alias("minus"), (v.high * 10**digits + down + up.cast("bigint")).alias("units"))
+
+    def spelled(v: Column) -> Column:
+        sign = F.when(v.minus, F.lit("-")).otherwise(F.lit(""))
+        return F.concat(sign, F.floor(v.units / 10**digits).cast("string"), F.lit("."), F.lpad((v.units % 10**digits).cast("string"), digits, "0"))
+
+    # Each step is a pass over an array of one, so that its outcome is worked out once.
+    value = F.array(x)
+    for step in (apart, halved, scaled, rounded, spelled):
+        value = F.transform(value, step)
+    return F.get(value, F.lit(0))
 
 
 def text(rows: DataFrame, path: str, *order: str) -> None:
@@ -24,8 +62,13 @@ def tokens(rows: DataFrame, path: str, token: str = "stem", order: tuple[str, ..
     rows.orderBy(*order).select(F.col(token).alias("line")).write.mode("overwrite").text(path)
 
 
+def term_count_lines(rows: DataFrame) -> DataFrame:
+    """(no, line) of (term, cnt, ord): term and count; equal counts stay in the order of ``top_terms``, by first occurrence."""
+    return rows.select(F.col("ord").alias("no"), F.concat_ws(" ", "term", F.col("cnt").cast("string")).alias("line"))
+
+
 def term_counts(rows: DataFrame, path: str) -> None:
-    text(rows.withColumn("line", F.concat_ws(" ", "term", F.col("cnt").cast("string"))).withColumn("by", -F.col("cnt")), path, "by", "term")
+    text(term_count_lines(rows), path, "no")
 
 
 def boolean_results(rows: DataFrame, path: str) -> None:
@@ -33,25 +76,33 @@ def boolean_results(rows: DataFrame, path: str) -> None:
     rows.orderBy("qname", "ord").select("qname", F.col("unit_id").alias("line")).write.mode("overwrite").partitionBy("qname").text(path)
 
 
+def run_lines(rows: DataFrame, tag: str = "scriptorium") -> DataFrame:
+    """(qname, rank, line): qname skip doc rank score tag; a score that rounds to -0 is written as 0."""
+    score = fixed(F.when(F.abs("score") < 5e-7, F.lit(0.0)).otherwise(F.col("score")), 6)
+    return rows.select("qname", "rank", F.concat_ws(" ", "qname", F.lit("skip"), "unit_id", F.col("rank").cast("string"), score, F.lit(tag)).alias("line"))
+
+
 def run_file(rows: DataFrame, path: str, tag: str = "scriptorium") -> None:
-    """qname skip doc rank score tag; a score that rounds to -0 is written as 0."""
-    score = F.format_string("%.6f", F.when(F.abs("score") < 5e-7, F.lit(0.0)).otherwise(F.col("score")))
-    text(rows.withColumn("line", F.concat_ws(" ", "qname", F.lit("skip"), "unit_id", F.col("rank").cast("string"), score, F.lit(tag))), path, "qname", "rank")
+    text(run_lines(rows, tag), path, "qname", "rank")
 
 
-def top_pages(rows: DataFrame, path: str, value: str) -> None:
-    text(rows.withColumn("line", F.concat_ws("\t", "page", F.col("rank").cast("string"), F.col(value).cast("string"))), path, "rank")
+def top_page_lines(rows: DataFrame, value: str) -> DataFrame:
+    """(no, line): page, rank and value between tabs."""
+    return rows.select(F.col("rank").alias("no"), F.concat_ws("\t", "page", F.col("rank").cast("string"), F.col(value).cast("string")).alias("line"))
 
 
-def report(metrics: DataFrame, means: DataFrame, path: str) -> None:
-    """Six lines per query, then six of means; four digits, rounded half to even on the binary value, as Python's round does."""
+def top_pages(rows: DataFrame, path: str, value: str) -> None:
+    text(top_page_lines(rows, value), path, "no")
 
-    def lines(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame(
-                [(r.part, r.qid, i, f"{NAMES[m][r.part]} {r.qid if not r.part else ' all'} {round(getattr(r, m), 4):.4f}") for r in frame.itertuples() for i, m in enumerate(METRICS)],
-                columns=["part", "qid", "no", "line"],
-            )
 
+def report_lines(metrics: DataFrame, means: DataFrame) -> DataFrame:
+    """(part, qid, no, line): six lines per query (part 0), then six of means (part 1); four digits, rounded half to even on the binary value."""
     rows = metrics.select(F.lit(0).alias("part"), F.col("qid").cast("string").alias("qid"), *METRICS).unionByName(means.select(F.lit(1).alias("part"), F.lit("").alias("qid"), *METRICS))
-    text(rows.mapInPandas(lines, "part int, qid string, no int, line string"), path, "part", "qid", "no")
+    name = lambda m: F.when(F.col("part") == 0, F.lit(NAMES[m][0])).otherwise(F.lit(NAMES[m][1]))
+    of = F.when(F.col("part") == 0, F.col("qid")).otherwise(F.lit(" all"))
+    lines = F.array(*[F.struct(F.lit(i).alias("no"), F.concat_ws(" ", name(m), of).alias("head"), F.col(m).alias("value")) for i, m in enumerate(METRICS)])
+    return rows.select("part", "qid", F.inline(lines)).select("part", "qid", "no", F.concat_ws(" ", "head", fixed(F.col("value"), 4)).alias("line"))
+
+
+def report(metrics: DataFrame, means: DataFrame, path: str) -> None:
+    text(report_lines(metrics, means), path, "part", "qid", "no")

@@ -1,5 +1,8 @@
 import gzip
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from scriptorium.operators import evaluation
 from scriptorium.sources import readers, sinks
@@ -44,7 +47,14 @@ def test_sinks(spark, tmp_path):
     assert sorted(lines(tmp_path / "bool")) == ["u0", "u1"]
     sinks.top_pages(spark.createDataFrame([("p", 1, 3)], "page string, rank long, cnt long"), str(tmp_path / "top"), "cnt")
     assert lines(tmp_path / "top") == ["p\t1\t3"]
-    sinks.term_counts(spark.createDataFrame([("b", 1), ("a", 4)], "term string, cnt long"), str(tmp_path / "terms"))
-    assert lines(tmp_path / "terms") == ["a 4", "b 1"]
+    sinks.term_counts(spark.createDataFrame([("b", 1, 2), ("a", 4, 1), ("a2", 1, 3)], "term string, cnt long, ord long"), str(tmp_path / "terms"))
+    assert lines(tmp_path / "terms") == ["a 4", "b 1", "a2 1"]
     sinks.tokens(spark.createDataFrame([(1, 1, "x"), (1, 0, "")], "doc_id long, pos int, stem string"), str(tmp_path / "tokens"))
     assert lines(tmp_path / "tokens") == ["", "x"]
+
+
+def test_fixed_point_is_that_of_the_binary_value(spark):
+    rng = random.Random(2)
+    values = [0.0, 1.0, -1.5, 0.03125, 0.00005, 0.00015, 0.99995, 0.12345, 2.5, 1e-12, -1e-9, 123.4567895, 0.5000005, 1 / 3, *(rng.random() for _ in range(3000)), *(rng.randrange(1 << 20) / (1 << 17) for _ in range(3000))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", sinks.fixed(F.col("x"), 4).alias("four"), sinks.fixed(F.col("x"), 6).alias("six")).collect()
+    assert [r for r in rows if r.four != f"{round(r.x, 4):.4f}" or r.six != f"{r.x:.6f}"] == []

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from scriptorium.operators import boolean, ranking
-from scriptorium.operators.index import build
+from scriptorium.operators.index import build, open_index
 
 SCENES = [
     ("p1", "p1:1", 0, 0, "to be or not to be"), ("p1", "p1:2", 1, 1, "lady macbeth sleeps"),
@@ -62,6 +62,24 @@ def test_ranking(spark, index, model, level, terms, expected):
     assert [r.score for r in rows] == pytest.approx([s for _, s in expected], abs=1e-6)
 
 
+def test_stored_index_is_read_by_folders(spark, tmp_path):
+    path = str(tmp_path / "index")
+    build(spark.createDataFrame(SCENES + MORE, SCHEMA), path, buckets=5)
+    index = open_index(spark, path, buckets=5)
+    terms = spark.createDataFrame([("lady",), ("zzz",)], "term string")
+    assert sorted((r.term, r.scene_id, r.tf) for r in index.of_terms(terms).collect()) == [("lady", s, 1) for s in ("p1:2", "p2:1", "p2:2", "p3:1")]
+    plan = index.of_terms(terms)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert "text" not in plan.split("ReadSchema")[-1]
+
+
+def test_many_hits_are_numbered_in_order(spark):
+    index = build(spark.createDataFrame([(f"p{i % 7}", f"s{i}", i, i, "a b" if i % 3 else "b") for i in range(300)], SCHEMA))
+    found = boolean.search(index, boole(spark, "scene", "and", "a", "b").union(boole(spark, "scene", "or", "a", "b").replace("q", "r", "qname"))).collect()
+    assert [r.unit_id for r in sorted((r for r in found if r.qname == "q"), key=lambda r: r.ord)] == [f"s{i}" for i in range(300) if i % 3]
+    assert [r.unit_id for r in sorted((r for r in found if r.qname == "r"), key=lambda r: r.ord)] == sorted(f"s{i}" for i in range(300))
+
+
 def test_tables(spark, index):
     assert {(r.scene_id, tuple(r.positions)) for r in index.postings().where("term = 'to'").collect()} == {("p1:1", (0, 4)), ("p2:1", (4,))}
     assert tuple(index.stats("scene").first()) == ("scene", 4, 17, 4.25)

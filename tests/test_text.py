@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +29,36 @@ def test_stems(spark):
     assert {r.word: r.s for r in rows} == STEMS
 
 
+def by_word(text):
+    """The tokenizer as a loop over words."""
+    s = re.sub(r"\r\n|\r|\n", "  ", text)
+    s = re.sub(r"[^a-zA-Z0-9.']", " ", s).lower().replace("'", "")
+    s = re.sub(r"(^| )(mrs|mr|ms)\. ([^ ]*)", "\\1\\2\x01\\3", s)
+    out = []
+
+    def parts(word):
+        start = re.match(r"(?:[^.]\.+)+(?:[^.]\Z)?", word)
+        start = start.group() if start else ""
+        return [x for x in [start.replace(".", ""), *word[len(start) :].split(".")] if x]
+
+    for word in s.split(" "):
+        if "\x01" in word:
+            left, right = word.split("\x01")
+            own = parts(right)
+            out += [left + own[0], *own[1:]] if own else []
+        else:
+            out += parts(word)
+    return out
+
+
+def test_tokens_word_by_word(spark):
+    rng = random.Random(7)
+    bits = ["a", "b", "bc", ".", ".", "..", " ", " ", "  ", "\n", "'", "Mr. ", "Mrs. ", "ms.", "mr", "é", "-", "3", "Ms. .", "x.y"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["a." * 50_000, "ab." * 50_000, "mr. " * 9000, "." * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "no long, text string").select("no", text.tokenize(F.col("text")).alias("t")).collect()
+    assert [(texts[r.no], r.t) for r in rows if r.t != by_word(texts[r.no])] == []
+
+
 def test_white_space(spark):
     row = spark.createDataFrame([("a b\u0085c\x1cd  E\n",)], "text string").select(text.ws_tokens(F.col("text")).alias("t")).first()
     assert row.t == ["a", "b", "c", "d", "E"]
@@ -39,7 +72,9 @@ def docs(spark):
 def test_analyze_and_top(docs):
     tokens = text.analyze(docs)
     assert [(r.doc_id, r.pos, r.stem) for r in tokens.orderBy("doc_id", "pos").collect()] == [(1, 1, "cat"), (1, 4, "hat"), (5000, 1, "cat"), (5000, 2, "sat"), (5000, 3, "hat"), (5000, 4, "fishe")]
-    assert [tuple(r) for r in text.top_terms(tokens, 3).collect()] == [("cat", 2), ("hat", 2), ("sat", 1)]
+    assert [tuple(r) for r in text.top_terms(tokens, 3).collect()] == [("cat", 2, 1), ("hat", 2, 2), ("sat", 1, 3)]
+    again = text.top_terms(text.token_rows(docs), 3, term="token", to=text.stem)
+    assert [tuple(r) for r in again.collect()] == [("cat", 2, 1), ("hat", 2, 2), ("sat", 1, 3)]
 
 
 def test_growth(docs):
