@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import python_workers
+from scriptorium.llm.common import python_workers, whole_ids
 
 #: Most symbols hashed at once, and most windows of one segment (a longer run is cut; that is allowed anywhere).
 CHUNK, MAX_RUN = 1 << 19, 4096
@@ -173,7 +173,7 @@ def octets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, text): rows are known by id and a hash of their text, so that repeated and null ids do no harm."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return whole_ids(docs, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def find_segments(docs: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:

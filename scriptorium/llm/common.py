@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import tempfile
-import uuid
 import zipfile
 from itertools import count, islice
 from pathlib import Path
@@ -13,9 +12,9 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import scratch, written
+from scriptorium.functions.scratch import scratch, stored, written
 
-__all__ = ["discarded", "fresh_names", "python_workers", "scratch", "stored", "tasks", "written"]
+__all__ = ["discarded", "fresh_names", "python_workers", "scratch", "stored", "tasks", "whole_ids", "written"]
 
 #: One white-space character, and one word, of the digest contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,15 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one Arrow batch brings to Python; documents are long, so far fewer than Spark's default of 10,000.
 ARROW_ROWS = 256
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a compressed table in the shared checkpoint folder; for what is large or dear to compute again."""
-    spark = df.sparkSession
-    scratch(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes after which an Arrow batch ends in any case, however long its texts are.
+ARROW_BYTES = 32 << 20
 
 
 def discarded(df: DataFrame) -> None:
@@ -50,6 +42,14 @@ def fresh_names(df: DataFrame, n: int) -> list[str]:
     return list(islice((x for x in (f"_own{k}" for k in count()) if x not in taken), n))
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs``, if its ids are integers; other types of ids have no place in the operators that order documents by them."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}: ids have to be integers here")
+    return docs
+
+
 @functools.lru_cache(maxsize=8)
 def _shipped(app: str) -> bool:
     """Give this package to the Python workers of an application, once: executors need no checkout of it."""
@@ -63,8 +63,12 @@ def _shipped(app: str) -> bool:
 
 
 def python_workers(spark: SparkSession) -> None:
-    """Ready the session for Arrow functions: the package goes to the workers, and batches stay small whatever the length of a text."""
+    """Ready the session for Arrow functions: the package goes to the workers, and batches stay small whatever the length of a text.
+
+    The two settings of batches stay with the session, since Spark reads them when a plan runs; rows and results are the same under any.
+    """
     _shipped(spark.sparkContext.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.anchors import mixed, raw, word_symbols
-from scriptorium.llm.common import python_workers, tasks
+from scriptorium.llm.common import python_workers, tasks, whole_ids
 
 SAMPLES, TERMS, SEED = 128, 1 << 16, 7
 
@@ -94,7 +94,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Parts are sorted inside their partition by id (null ids last), then text. Only the bounds of the parts go to the driver. The texts
     are shuffled once.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = whole_ids(docs, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low = rows.agg(F.min("id")).first()[0]
     parts = 4 * tasks(docs.sparkSession)
     bounds = sorted({int(x) for x in rows.select("id").where("id IS NOT NULL").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)} - {low}) if low is not None else []

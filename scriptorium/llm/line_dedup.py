@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import fresh_names, stored
+from scriptorium.llm.common import fresh_names, stored, whole_ids
 
 #: Least code points of a line that may differ by an edit, and code points of a stretch.
 LEAST_CHARS, PIECE = 20, 32
@@ -51,7 +51,7 @@ def half_keys(norm: Column, n: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, no, line, norm) of the lines that are not blank; mark is a hash of the text."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    rows = whole_ids(docs, id_col).where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     # A filter on norm would be evaluated apart from it, below, and cost as much again.
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("norm", normal(F.col("line")))
 

@@ -1,11 +1,13 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
 
-Both dictionaries hold the same common words of ordinary text; in front of them stand the word beginnings that mark their own class (by
-how many documents of each class have them). A window of a text that compresses to fewer bytes with the toxic dictionary has what toxic
-text has. Windows are so short that their literals stay bytes, and each ends in a tail that both dictionaries hold: without it, most
-windows would not compress at all and the differences would drown. From the windows' differences come five figures per text: the
-largest, how many reach a threshold (log and share), and their sum by length and by its root. The threshold and a logistic curve over
-these figures are fitted on labelled rows that gave nothing to the dictionaries.
+``zstandard.train_dictionary`` gets a sample of each document of its class: of the text, the word beginnings that mark the class (by how
+many documents of each class have them). Trained on the texts as they are, dictionaries fill up with what all texts have in common, and
+tell the classes apart far worse (README has the figures). Both dictionaries end in the same common words of ordinary text. A window of
+a text that compresses to fewer bytes with the toxic dictionary has what toxic text has. Windows are so short that their literals stay
+bytes, and each ends in a tail that both dictionaries hold: without it, most windows would not compress at all and the differences would
+drown. From the windows' differences come five figures per text: the largest, how many reach a threshold (log and share), and their sum
+by length and by its root. The threshold and a logistic curve over these figures are calibrated on labelled rows that gave nothing to the
+dictionaries.
 
 Fitting takes at most ``FIT_ROWS`` labelled rows of at most ``FIT_CHARS`` code points each, those with the least hash of the id, so its
 cost does not grow with the corpus. Scoring reads every whole text.
@@ -30,8 +32,10 @@ from scriptorium.llm.common import python_workers
 #: Bounds of the sample for fitting, bytes of a window, and the score from which a text is called toxic.
 FIT_ROWS, FIT_CHARS, WINDOW, REJECT = 8_000, 20_000, 60, 0.3
 #: Lengths in bytes of word beginnings, least documents of one that marks a class, scores from which it does (fitting picks one), and common
-#: words of a dictionary. The shortest beginning is as long as the shortest match.
+#: words of a dictionary. The shortest beginning is as long as the shortest match. A trained dictionary has ``ROOM`` bytes, and ``ROOMS`` more
+#: for each byte of its marks; the trainer needs ``SAMPLES`` documents.
 BEGINNINGS, LEAST_DOCS, LEVELS, COMMON = (6, 7, 8, 10, 12), 4, (6.0, 5.0, 4.5, 4.0, 3.7), 1_500
+ROOM, ROOMS, SAMPLES = 512, 2, 8
 #: What every window ends in; both dictionaries end in it too.
 TAIL = b"<0123456789abcdef>"
 
@@ -118,12 +122,25 @@ def marks(own: list[bytes], others: list[bytes]) -> list[list[bytes]]:
     return [[x for x in best if scored[x] > level] for level in LEVELS]
 
 
+def trained(own: list[bytes], texts: list[bytes]) -> bytes:
+    """Content of a dictionary trained on what the texts have of the marks, after those that the trainer has left out; the marks alone if
+    there is too little to train on."""
+    samples = [b"\0".join(found) for found in ([x for x in own if x in t] for t in texts) if found]
+    if len(samples) >= SAMPLES:
+        try:
+            content = zstandard.train_dictionary(ROOM + ROOMS * sum(map(len, own)), samples).as_bytes()
+            return b"\0".join([*(x for x in own[::-1] if x not in content), content])
+        except zstandard.ZstdError:  # the trainer finds nothing that repeats often enough
+            pass
+    return b"\0".join(own[::-1])
+
+
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> list[tuple[bytes, bytes]]:
     """A pair for each of ``LEVELS``, equal ones once. The content that is nearest to a text in a dictionary is cheapest to refer to: common
-    words stand last in both, and what marks a class best stands before them."""
+    words stand last in both, and the trainer puts what occurs most often last."""
     common = b"".join(b" " + w for w, _ in sorted(Counter(w for t in ordinary for w in t.split()).items(), key=lambda x: (-x[1], x[0]))[:COMMON][::-1])
     pairs = zip(marks(toxic, ordinary), marks(ordinary, toxic), strict=True)
-    return list(dict.fromkeys((b"\0".join([*own[::-1], common]), b"\0".join([*other[::-1], common])) for own, other in pairs))
+    return list(dict.fromkeys((b"\0".join([trained(own, toxic), common]), b"\0".join([trained(other, ordinary), common])) for own, other in pairs))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -171,12 +188,14 @@ def held_out(id_col: str):
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model | float:
-    """Model of a bounded sample of the labelled rows that are not held out; null labels and ids are left out."""
-    sample = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    """Model of a bounded sample of the labelled rows that are not held out: at most ``fit_rows``, repeated ids included. Null labels and
+    ids and longer texts are left out; without any row, or with one class only, the model is a number, every text's score."""
+    sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     sample = sample.where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= FIT_CHARS)
-    # The sample's size is bounded by fit_rows, so it may go to every executor.
-    return fit((r.id, r.text, r.label) for r in texts.join(F.broadcast(sample), "id").collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= FIT_CHARS)
+    # The sample's size is bounded by fit_rows, so it may go to every executor; ids that repeat must not make it larger.
+    rows = texts.join(F.broadcast(sample), "id").orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(fit_rows)
+    return fit((r.id, r.text, r.label) for r in rows.collect())
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:

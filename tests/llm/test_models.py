@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -11,8 +12,9 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import zstandard
 
-from scriptorium.llm import bpe, fingerprints, ngram_join, queries, toxicity
+from scriptorium.llm import bpe, fingerprints, line_dedup, ngram_join, queries, suffix_array, suffix_tree, toxicity
 
 SF = "/root/testdata/sf0.01"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -85,6 +87,59 @@ def test_every_mark_is_in_the_dictionary():
     assert not any(w.encode() in model.ordinary for w in vile)
 
 
+def test_scores_are_those_of_a_plain_loop(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    vile, plain = [word() + "ous" for _ in range(20)], [word() for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(vile if i % 2 and rng.random() < 0.2 else plain) for _ in range(40)), i % 2) for i in range(400)]
+    model = toxicity.fit(rows)
+    assert len(model.toxic) > toxicity.ROOM
+
+    def size(content, window):
+        words = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(
+            window_log=16, hash_log=15, chain_log=14, search_log=4, min_match=6, target_length=8, strategy=zstandard.STRATEGY_GREEDY,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        return len(zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress(window + toxicity.TAIL))
+
+    def plain_score(text):
+        left, gains = f" {' '.join((text or '').lower().split())} ".encode(), []
+        while True:
+            end = len(left) if len(left) <= toxicity.WINDOW else max([k + 1 for k in range(1, toxicity.WINDOW) if left[k] == 0x20 and k > 0], default=toxicity.WINDOW)
+            end = toxicity.WINDOW if end <= 1 else end
+            window = left[:end]
+            gains.append(size(model.ordinary, window) - size(model.toxic, window))
+            if end >= len(left):
+                break
+            left = left[end - (window[-1] == 0x20 and end > 1) :]
+        up = [max(0, g) for g in gains]
+        reached = sum(g >= model.threshold for g in gains)
+        figures = [max(gains), math.log1p(reached), reached / len(gains), sum(up) / len(gains), sum(up) / math.sqrt(len(gains))]
+        z = model.bias + sum(w * (f - c) / s for w, f, c, s in zip(model.weights, figures, model.centre, model.scale, strict=True))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    docs = [(i, t) for i, t, _ in rows[:60]] + [(900, None), (901, ""), (902, "z" * 500), (903, "  x  "), (904, vile[0])]
+    found = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(frame(spark, docs), model).collect()}
+    for i, t in docs:
+        assert found[i][0] == pytest.approx(plain_score(t), abs=1e-9)
+        assert found[i][1] == int(found[i][0] >= 0.3)
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: taken.extend(rows) or 0.0)
+    docs = spark.createDataFrame([(i % 5, f"t{i}") for i in range(100)], "doc_id long, text string")
+    toxicity.fit_on(docs, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int"), fit_rows=7)
+    assert len(taken) == 7
+
+
+@pytest.mark.parametrize("use", [ngram_join.join_similar, ngram_join.keep_first, fingerprints.compare_edited, suffix_array.remove_repeats, suffix_tree.remove_repeats, line_dedup.line_report])
+def test_ids_are_integers(spark, use):
+    with pytest.raises(TypeError, match="integers"):
+        use(spark.createDataFrame([("a", "t")], "doc_id string, text string"))
+
+
 def test_windows_cover_the_text():
     rng = random.Random(6)
     for _ in range(200):
