@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (built-in functions only).
 
 Lines are compared in lower case with white space runs as one space. A line goes if an earlier line (by document id, then line number)
-is equal to it or, for lines of ``LEAST_CHARS`` code points and more, one edit away: one code point replaced, inserted or deleted.
+is equal to it or, for lines of ``LEAST_CHARS`` (a parameter) code points and more, one edit away: one code point replaced, inserted or deleted.
 
 Equal lines collapse first. Two lines that are one edit apart give an equal string once the edited code point is deleted, so all
 deletions of a line are emitted as hashed keys and equal keys meet. To delete anywhere in every line would be too much, so the place is
@@ -29,7 +29,9 @@ LEAST_CHARS, PIECE = 20, 32
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    # Most lines have single spaces only, which is quickly seen.
+    even = F.when(line.contains("  ") | line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    return F.lower(F.trim(even))
 
 
 def line_key(norm: Column) -> list[Column]:
@@ -43,10 +45,16 @@ def half(n: Column) -> Column:
     return (F.floor(F.floor(n / 2) / grain) * grain).cast("int")
 
 
-def half_keys(norm: Column, n: Column) -> Column:
-    """Keys of the first and the last near-half, for the line's own length and for the length less one."""
-    keys = [F.xxhash64(F.lit(side), size, F.left(norm, size) if side == 0 else F.right(norm, size)) for size in (half(n), half(n - 1)) for side in (0, 1)]
-    return F.when(n >= LEAST_CHARS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+def half_keys(least_chars: int) -> list[Column]:
+    """Keys of the first and the last near-half of ``norm``, whose sizes are ``p`` and, for the length less one, ``q``; null for short lines.
+
+    They are columns of numbers, so that the aggregate over lines needs no sort of arrays.
+    """
+    part = lambda side, size: F.left(F.col("norm"), size) if side == 0 else F.right(F.col("norm"), size)
+    return [F.when(F.col("n") >= least_chars, F.xxhash64(F.lit(side), F.col(c), part(side, F.col(c)))).alias(f"half{side}{c}") for c in "pq" for side in (0, 1)]
+
+
+HALVES = ("half0p", "half1p", "half0q", "half1q")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,7 +71,7 @@ def place() -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of the different lines that are one edit away from a line which occurs earlier."""
-    keys = distinct.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), F.col("no").alias("no2"), F.explode("halves").alias("key"))
+    keys = distinct.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), F.col("no").alias("no2"), F.explode(F.array_distinct(F.array(*HALVES))).alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("n")).where("n > 1").select("key_")
     some = keys.join(shared, F.col("key") == F.col("key_"), "left_semi").groupBy("id2", "mark2").agg(F.collect_set("no2").alias("nos"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
@@ -104,13 +112,13 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     return both.where(F.levenshtein("mine", "theirs", 1).between(0, 1)).select(F.col("m1").alias("h1"), F.col("m2").alias("h2")).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, mark, gone): of each row that loses lines, the numbers (from 0) of those that go; mark is the text's hash."""
     lines = lines_of(docs, id_col, text_col)
-    n = F.char_length("norm")
-    distinct = lines.select("id", "mark", "no", *line_key(F.col("norm")), half_keys(F.col("norm"), n).alias("halves"))
-    distinct = distinct.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves"))
-    distinct = stored(distinct.select("h1", "h2", "first.id", "first.no", "first.mark", "times", "halves"))
+    sized = lines.withColumn("n", F.char_length("norm")).withColumns({"p": half(F.col("n")), "q": half(F.col("n") - 1)})
+    distinct = sized.select("id", "mark", "no", *line_key(F.col("norm")), *half_keys(least_chars))
+    distinct = distinct.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in HALVES])
+    distinct = stored(distinct.select("h1", "h2", "first.id", "first.no", "first.mark", "times", *HALVES))
     near = near_lines(docs, distinct, id_col, text_col).withColumn("near", F.lit(True))
     decided = distinct.select("h1", "h2", place().alias("first"), "times").join(near, ["h1", "h2"], "left").where("times > 1 OR near")
     decided = decided.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -118,27 +126,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per input row: (id_col, n_lines, n_removed, removed), removed being the numbers of the lines that go, comma-joined.
 
-    Blank lines stay. Null text: no lines. Null ids come after all others; rows that repeat id and text are the same place, so they keep
+    A line goes if it is equal to an earlier one or, from ``least_chars`` code points on, one edit away from it. Blank lines stay. Null
+    text: no lines. Null ids come after all others; rows that repeat id and text are the same place, so they keep
     and lose the same lines. Ties cannot occur otherwise: rows that repeat an id are told apart by their text. Other columns are
     ignored; an empty table gives an empty result.
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("bigint").alias("n_lines"))
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "gone")
+    gone = repeated_lines(docs, id_col, text_col, least_chars).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "gone")
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
     return both.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows and columns of ``docs`` with the text of each row rid of its repeated lines; null stays null, an empty table empty.
 
     Which lines go is as in ``line_report``; a text all of whose lines go becomes empty.
     """
     id_, mark, numbers, own = fresh_names(docs, 4)
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("gone").alias(numbers))
+    gone = repeated_lines(docs, id_col, text_col, least_chars).select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("gone").alias(numbers))
     marked = docs.withColumn(own, F.xxhash64(text_col))
     both = marked.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(mark)), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(numbers, i)), "\n")

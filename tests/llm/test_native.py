@@ -157,6 +157,13 @@ def test_lines(spark, lined):
     assert line_dedup.line_report(frame(spark, lined).limit(0)).collect() == []
 
 
+def test_short_lines_too(spark):
+    docs = [(1, "abcd\nxy"), (2, "abxd\nxyz\nq")]
+    rows = line_dedup.line_report(frame(spark, docs), least_chars=2).collect()
+    assert {r.doc_id: r.removed for r in rows} == {1: "", 2: "0,1"}
+    assert {r.removed for r in line_dedup.line_report(frame(spark, docs)).collect()} == {""}
+
+
 def shares(sizes):
     """Sharing by weight, with resharing round by round."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
