@@ -4,7 +4,9 @@ A term is a word; its weight is the number of times it occurs, times its length
 Each of ``SAMPLES`` samples draws, for each term, two gamma variates and a uniform one that depend on the term and the sample alone, and
 keeps the term and level of the least draw. Two documents keep the same with the probability of their generalised Jaccard similarity
 (sum of least weights over sum of greatest), so the share of equal samples estimates it; its standard error is below
-0.5 / sqrt(SAMPLES). Words are hashed to ``TERMS`` terms, which bounds the tables and the work of a text of any length.
+0.5 / sqrt(SAMPLES). A term is the 64-bit hash of its word. Its variates are put together from rows of tables of ``ROWS`` rows, picked by
+three parts of the hash: a gamma(2, 1) variate as the sum of two exponential ones, the uniform one as the sum of two modulo 1. So two of
+``ROWS`` ** 3 terms have no draw in common, however many words there are, and the tables stay small.
 """
 
 from __future__ import annotations
@@ -21,34 +23,40 @@ from pyspark.sql import functions as F
 from scriptorium.llm.anchors import mixed, raw, word_symbols
 from scriptorium.llm.common import python_workers, tasks, whole_ids
 
-SAMPLES, TERMS, SEED = 128, 1 << 16, 7
+SAMPLES, ROWS, SEED = 128, 1 << 14, 7
 
 
 @functools.lru_cache(maxsize=1)
-def draws(samples: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each term and sample: gamma(2, 1), log of another gamma(2, 1), and a uniform variate."""
+def draws(samples: int) -> tuple[np.ndarray, ...]:
+    """Tables of exponential variates (two), of uniform ones (two), and of the log of gamma(2, 1) variates; a column per sample."""
     rng = np.random.default_rng(SEED)
-    shape = (terms, samples)
-    return rng.standard_gamma(2.0, shape, np.float32) + np.float32(1e-6), np.log(rng.standard_gamma(2.0, shape, np.float32) + np.float32(1e-12)), rng.random(shape, np.float32)
+    shape = (ROWS, samples)
+    return (
+        rng.standard_exponential(shape, np.float32) + np.float32(1e-6), rng.standard_exponential(shape, np.float32),
+        rng.random(shape, np.float32), rng.random(shape, np.float32), np.log(rng.standard_gamma(2.0, shape, np.float32) + np.float32(1e-12)),
+    )
 
 
-def sample(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, size: int = TERMS) -> np.ndarray:
-    """The 16-bit mark of each sample of one weighted set; all marks of the empty set are 0."""
+def sample(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """The 16-bit mark of each sample of one weighted set of 64-bit terms; all marks of the empty set are 0."""
     if not len(terms):
         return np.zeros(samples, np.uint16)
     least, mark = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64)
-    every = np.arange(samples)
-    r_all, c_all, b_all = draws(samples, size)
-    for at in range(0, len(terms), 2048):
-        part = terms[at : at + 2048]
-        r, b = r_all[part], b_all[part]
-        level = np.floor(np.log(weights[at : at + 2048]).astype(np.float32)[:, None] / r + b)
-        score = c_all[part] - r * (level - b + np.float32(1))
+    every, part_of = np.arange(samples), np.uint64(ROWS - 1)
+    r1, r2, b1, b2, c = draws(samples)
+    for at in range(0, len(terms), 1024):
+        part = terms[at : at + 1024]
+        i, j, k = ((part >> np.uint64(shift) & part_of).astype(np.int64) for shift in (0, 14, 28))
+        r = r1[i] + r2[j]
+        b = b1[i] + b2[j]
+        b -= b >= 1
+        level = np.floor(np.log(weights[at : at + 1024]).astype(np.float32)[:, None] / r + b)
+        score = c[k] - r * (level - b + np.float32(1))
         best = score.argmin(axis=0)
         own = score[best, every]
         better = own < least
         least[better] = own[better]
-        mark[better] = (part[best].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + level[best, every].astype(np.int64).astype(np.uint64))[better]
+        mark[better] = (part[best] * np.uint64(0x9E3779B97F4A7C15) + level[best, every].astype(np.int64).astype(np.uint64))[better]
     return (mixed(mark) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
@@ -58,7 +66,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     if not len(data):
         return np.zeros((len(texts), SAMPLES), np.uint16)
     values, bounds, starts, ends = word_symbols(data, offsets)
-    terms, lengths = (mixed(values) >> np.uint64(64 - 16)).astype(np.int64) % TERMS, (ends - starts).astype(np.float64)
+    terms, lengths = mixed(values), (ends - starts).astype(np.float64)
     out = np.zeros((len(texts), SAMPLES), np.uint16)
     for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
         if z > a:
@@ -76,7 +84,11 @@ def as_text(marks: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id_col, fingerprint), 4 hex digits a sample. Null text: as empty, whose fingerprint is all zeros."""
+    """One row per input row: (id_col, fingerprint), 4 hex digits a sample. Null text: as empty, whose fingerprint is all zeros.
+
+    Equal texts have equal fingerprints. Ids are of any type; null and repeated ones are rows like others. Other columns are ignored; an
+    empty table gives an empty result.
+    """
     python_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

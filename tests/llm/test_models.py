@@ -274,6 +274,48 @@ def test_fingerprints(spark):
         assert same.setdefault(t, rows[i].fingerprint) == rows[i].fingerprint
 
 
+def test_samples_estimate_the_jaccard_similarity_of_large_sets():
+    """Against a plain loop of weighted sampling with draws of its own for every term; the sets have more terms than a table has rows."""
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 1 << 63, 24_000, np.uint64)
+    for share in (0.2, 0.5, 0.8):
+        cut = int(len(every) * (1 - share) / 2)
+        one, two = every[: len(every) - cut], every[cut:]
+        w = rng.integers(1, 60, len(every)).astype(float)
+        v = np.where(rng.random(len(every)) < 0.7, w, rng.integers(1, 60, len(every)))
+        exact = np.minimum(w, v)[cut : len(every) - cut].sum() / (w[:cut].sum() + np.maximum(w, v)[cut : len(every) - cut].sum() + v[len(every) - cut :].sum())
+        found = [fingerprints.likeness(fingerprints.sample(one ^ salt, w[: len(one)]), fingerprints.sample(two ^ salt, v[cut:])) for salt in rng.integers(0, 1 << 63, 6, np.uint64)]
+        assert abs(np.mean(found) - exact) < 0.06
+
+    def plain(terms, weights, samples, seed):
+        marks = []
+        for k in range(samples):
+            best = None
+            for t, x in zip(terms, weights, strict=True):
+                own = np.random.default_rng([seed, k, int(t)])
+                r, c, b = own.standard_gamma(2.0), own.standard_gamma(2.0), own.random()
+                level = math.floor(math.log(x) / r + b)
+                score = math.log(c) - r * (level - b + 1)
+                if best is None or score < best[0]:
+                    best = score, t, level
+            marks.append(best[1:])
+        return marks
+
+    one, two = {1: 3.0, 2: 9.0, 3: 1.0, 4: 7.0, 5: 2.0}, {2: 9.0, 3: 4.0, 4: 5.0, 6: 6.0}
+    exact = sum(min(one.get(t, 0), two.get(t, 0)) for t in range(7)) / sum(max(one.get(t, 0), two.get(t, 0)) for t in range(7))
+    a, b = plain(one, one.values(), 400, 1), plain(two, two.values(), 400, 1)
+    assert abs(np.mean([x == y for x, y in zip(a, b, strict=True)]) - exact) < 0.09
+    ours = []
+    for salt in rng.integers(0, 1 << 63, 40, np.uint64):
+        x, y = (fingerprints.sample(np.array([mixed_term(t, salt) for t in d], np.uint64), np.array(list(d.values()))) for d in (one, two))
+        ours.append(fingerprints.likeness(x, y))
+    assert abs(np.mean(ours) - exact) < 0.03
+
+
+def mixed_term(t, salt):
+    return fingerprints.mixed(np.array([t], np.uint64) ^ salt)[0]
+
+
 def test_fingerprint_edges(spark):
     docs = [(3, "b c d e"), (3, "a"), (None, "x y z w"), (1, None), (9, ""), (5, "é" * 9)]
     order = sorted(((i, t or "") for i, t in docs), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
