@@ -1,15 +1,16 @@
 """Substring dedup of words by prefix-partitioned suffix trees.
 
-1. Segments (see anchors) say which stretches share an anchor with a stretch of another document; equal segments collapse to one with
-   the smallest document id. In a document with a larger id, all of such a segment is repeated.
-2. Of the different segments of an anchor, the suffixes at each window start are taken to the depth that matters, ``WINDOW`` words,
-   spelled as names of ``STEP`` words each.
-3. Suffixes are dealt to groups by a prefix: of ``STEP`` words, or longer where an anchor has many texts. In its partition each group is
-   sorted; as many neighbouring groups as fit in memory make one subtree, and a larger group is cut where a longer prefix changes.
-4. A node at depth ``WINDOW`` is a repeat; the smallest document below it keeps it, all other suffixes below it are marked.
-
-Where one anchor has more than ``HOT_TEXTS`` texts (a passage in very many contexts) the prefix takes the full depth at once: such a
-prefix is a deep node by itself, and a partial aggregate finds its smallest document before the shuffle.
+1. Segments (see anchors) say which stretches share an anchor with a stretch of another document. Equal segments collapse to one leaf,
+   labelled with the smallest and the largest of its documents, before anything moves.
+2. Of the different segments of an anchor, the suffixes at each window start are taken to the depth of ``WINDOW`` words, spelled as names
+   of ``STEP`` words each. A segment that several documents have is taken once more, from its start to its end: spelled as its first
+   ``WINDOW`` words and a last name for all of it. That suffix is the maximal repeat of its documents.
+3. Suffixes are dealt to groups by variable-length prefixes: groups are counted, and where one has more than ``GROUP_SUFFIXES``, its prefix
+   is made longer by a name, again and again. In its partition each group is sorted; as many neighbouring groups as fit in memory make one
+   subtree, and where more come together, they are cut where a prefix changes.
+4. The deep internal nodes of the subtrees are the repeats: at the depth of ``WINDOW`` words all suffixes below a node, and at the end of a
+   segment all documents below it, that are not of the node's smallest document are marked. A prefix that has come to the full depth
+   is a deep node by itself, and a partial aggregate finds its smallest document before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from scriptorium.llm.common import stored, tasks
 
 #: Words of a repeat, of an anchor's string and of one name.
 WINDOW, GRAM, STEP = 50, 20, 10
-#: Suffixes of one subtree; texts of an anchor from which prefixes are three names long, and from which they have full depth.
-TREE_SUFFIXES, LONG_TEXTS, HOT_TEXTS = 200_000, 64, 1_000
+#: Suffixes of one subtree, and of a group that needs no longer prefix.
+TREE_SUFFIXES, GROUP_SUFFIXES = 200_000, 20_000
 LAST = (1 << 63) - 1
 
 
@@ -46,16 +47,22 @@ class SubTree:
         """First leaf of each subtree below an edge that reaches ``depth`` names, in leaf order."""
         return np.append(0, np.flatnonzero(self.depth < depth) + 1)
 
+    def least(self, depth: int, labels: np.ndarray) -> np.ndarray:
+        """Of each leaf, the smallest label below the node at ``depth`` names that it is under."""
+        nodes = self.nodes(depth)
+        return np.repeat(np.minimum.reduceat(labels, nodes), np.diff(np.append(nodes, len(labels))))
 
-def marked(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which suffixes have the whole depth in common with one of a smaller document."""
-    nodes = SubTree(names).nodes(names.shape[1])
-    least = np.minimum.reduceat(docs, nodes)
-    return docs > np.repeat(least, np.diff(np.append(nodes, len(docs))))
 
+def marked(names: np.ndarray, whole: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which leaves are below a deep node of a smaller document: for windows (``whole`` is 0) at the full depth of ``names``, for whole
+    segments at the end of them, where the leaf's own documents reach from ``first`` to ``last``."""
+    tree, depth = SubTree(np.column_stack([names, whole])), names.shape[1]
+    windows = whole == 0
+    return np.where(windows, first > tree.least(depth, np.where(windows, first, LAST)), last > tree.least(depth + 1, first))
 
-#: What is known of a row after its own segments: the result, or else the text and the segments whose suffixes go to the trees.
-PLAN = "array<struct<anchor:bigint,seg:bigint,start:int,run:int,texts:bigint>>"
+
+#: The segments of a row whose suffixes go to the trees: all of them (many), or but the whole segment; order and last are its documents.
+PLAN = "array<struct<anchor:bigint,seg:bigint,start:int,run:int,last:bigint,many:int>>"
 RESULT = "n_words bigint, n_removed bigint, kept string, kept_sha256 string"
 RESULT_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string())
 
@@ -73,56 +80,42 @@ def order() -> Column:
 
 
 def planned(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The rows that have anything to do, (id, mark, copied, wanted): stretches that are repeated for certain, segments for the trees;
-    and the segments near others, (anchor, seg, id, mark, place)."""
+    """The segments whose suffixes go to the trees, by the row that has them first, (id, mark, wanted); and all segments that may have
+    anything to lose, (anchor, seg, id, mark, place)."""
     found = stored(find_segments(docs, words, window, gram).drop("twice"))
     # Only anchors that two documents have matter; that leaves a fraction of the segments.
-    again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.min("seg").alias("low"), F.max("seg").alias("high"), F.min(order()).alias("first_"), F.max(order()).alias("final"))
-    again = again.where("first_ < final").select("anchor_", (F.col("low") != F.col("high")).alias("several"))
-    near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place", "several"))
-    segs = near.groupBy("anchor", "seg").agg(F.min(order()).alias("first"), F.max(order()).alias("final"), F.max("several").alias("several"), F.min(F.struct(order().alias("order"), "id", "mark", "place")).alias("at"))
-
-    copies = segs.where("first < final").select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "first")
-    copied = near.join(copies, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2"))).where(order() > F.col("first"))
-    none = F.lit(None).cast("bigint")
-    copied = copied.select("id", "mark", F.struct(none.alias("anchor"), none.alias("seg"), start_of(F.col("place")).alias("start"), run_of(F.col("place")).alias("run"), none.alias("texts")).alias("x"))
-
-    # Of anchors whose texts begin in different documents, one text of each segment.
-    several = segs.where("several")
-    anchors = several.groupBy(F.col("anchor").alias("a3")).agg(F.count("*").alias("texts"), F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    wanted = several.join(anchors, F.col("anchor") == F.col("a3"))
-    wanted = wanted.select("at.id", "at.mark", F.struct("anchor", "seg", start_of(F.col("at.place")).alias("start"), run_of(F.col("at.place")).alias("run"), "texts").alias("x"))
-    plan = copied.unionByName(wanted).groupBy("id", "mark").agg(
-        F.collect_list(F.when(F.col("x.anchor").isNull(), F.struct("x.start", "x.run"))).alias("copied"),
-        F.collect_list(F.when(F.col("x.anchor").isNotNull(), F.col("x"))).alias("wanted"),
-    )
-    # A segment may stand in its first document more than once, so rows that only hold another place of one stay open as well.
-    return plan, near.where("several").select("anchor", "seg", "id", "mark", "place")
+    again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.min(order()).alias("first_"), F.max(order()).alias("final")).where("first_ < final").select("anchor_")
+    near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place"))
+    segs = near.groupBy("anchor", "seg").agg(F.min(order()).alias("first"), F.max(order()).alias("last"), F.min(F.struct(order().alias("order"), "id", "mark", "place")).alias("at"))
+    # Windows can only repeat between segments of an anchor that begin in different documents.
+    anchors = segs.groupBy(F.col("anchor").alias("a3")).agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    wanted = segs.join(anchors, F.col("anchor") == F.col("a3")).withColumn("many", F.col("low") < F.col("high")).where("many OR first < last")
+    wanted = wanted.select("at.id", "at.mark", F.struct("anchor", "seg", start_of(F.col("at.place")).alias("start"), run_of(F.col("at.place")).alias("run"), "last", F.col("many").cast("int").alias("many")).alias("x"))
+    return wanted.groupBy("id", "mark").agg(F.collect_list("x").alias("wanted")), near
 
 
 def settled(docs: DataFrame, plan: DataFrame, near: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Every ``keyed`` row, with its result if the trees cannot change it, else with its packed text, stretches and segments."""
-    unsure = near.groupBy("id", "mark").agg(F.lit(True).alias("open")).select(F.col("id").alias("id3"), F.col("mark").alias("mark3"), "open")
-    plan = plan.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "copied", "wanted")
-    both = packed(docs).join(plan, same_row("id2", "mark2"), "left").join(unsure, same_row("id3", "mark3"), "left").select("id", "mark", "packed", "copied", "wanted", F.coalesce("open", F.lit(False)).alias("open"))
+    """Every ``keyed`` row, with its result if no document shares anything with it, else with its packed text and segments."""
+    open_ = near.groupBy("id", "mark").agg(F.lit(True).alias("open")).select(F.col("id").alias("id3"), F.col("mark").alias("mark3"), "open")
+    plan = plan.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "wanted")
+    plan = open_.join(plan, F.col("id3").eqNullSafe(F.col("id2")) & (F.col("mark3") == F.col("mark2")), "left")
+    both = packed(docs).join(plan, same_row("id3", "mark3"), "left").select("id", "mark", "packed", "wanted", F.coalesce("open", F.lit(False)).alias("open"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = unpacked(batch.column(2))
-            rows = []
-            for i, (copied, open_) in enumerate(zip(batch.column(3), batch.column(5).to_pylist(), strict=True)):
-                x = fields(copied)
-                rows.append((None,) * 4 if open_ else result(data[offsets[i] : offsets[i + 1]].tobytes(), x["start"], x["start"] + x["run"] + window - 1, keep_text))
-            rest = [pc.if_else(batch.column(5), batch.column(k), pa.scalar(None, batch.column(k).type)) for k in (2, 3, 4)]
+            rows = [(None,) * 4 if open_ else result(data[offsets[i] : offsets[i + 1]].tobytes(), none, none, keep_text) for i, open_ in enumerate(batch.column(4).to_pylist())]
+            rest = [pc.if_else(batch.column(4), batch.column(k), pa.scalar(None, batch.column(k).type)) for k in (2, 3)]
             results = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, RESULT_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *results, *rest], names=["id", "mark", "n_words", "n_removed", "kept", "kept_sha256", "packed", "copied", "wanted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *results, *rest], names=["id", "mark", "n_words", "n_removed", "kept", "kept_sha256", "packed", "wanted"])
 
-    return stored(both.mapInArrow(run, f"id bigint, mark bigint, {RESULT}, packed binary, copied array<struct<start:int,run:int>>, wanted {PLAN}"))
+    return stored(both.mapInArrow(run, f"id bigint, mark bigint, {RESULT}, packed binary, wanted {PLAN}"))
 
 
-def suffixes(rows: DataFrame, window: int, step: int, long_texts: int, hot_texts: int) -> DataFrame:
-    """(length, group, order, anchor, seg, off, n0, n1, ...): the suffix at each window of the wanted segments, as names of ``step``
-    words; it goes to the group of its first ``length`` names."""
+def suffixes(rows: DataFrame, window: int, step: int) -> DataFrame:
+    """(first, last, anchor, seg, off, whole, n0, n1, ...): the suffix at each window of the wanted segments, as names of ``step`` words,
+    and of segments with several documents the one from start to end, whose ``off`` is -1 and whose last name is ``whole``."""
     depth = -(-window // step)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +123,46 @@ def suffixes(rows: DataFrame, window: int, step: int, long_texts: int, hot_texts
             data, offsets = unpacked(batch.column(1))
             values, bounds, _, _ = word_symbols(data, offsets)
             for i, (id_, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-                x = fields(wanted)
-                nth = np.repeat(np.arange(len(x["run"])), x["run"])
-                off = np.arange(len(nth)) - np.repeat(np.cumsum(x["run"]) - x["run"], x["run"])
-                at = x["start"][nth] + off
+                x, first = fields(wanted), LAST if id_ is None else id_
+                count = np.where(x["many"] != 0, x["run"], 0)
+                every = np.flatnonzero(x["last"] > first)
+                nth = np.append(np.repeat(np.arange(len(count)), count), every)
+                off = np.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), np.full(len(every), -1))
+                at = x["start"][nth] + np.maximum(off, 0)
                 sums = prefix_hashes(values[bounds[i] : bounds[i + 1]])
                 names = [hash_between(sums, at + k, at + min(k + step, window)).view(np.int64) for k in range(0, window, step)]
-                length = np.where(x["texts"] > hot_texts, depth, np.where(x["texts"] > long_texts, min(3, depth), 1))[nth]
-                group = names[0].copy()
-                for k in range(1, depth):
-                    group = np.where(length > k, group * np.int64(31) + names[k], group)
-                columns = [pa.array(length.astype(np.int32)), pa.array(group), pa.array(np.full(len(at), LAST if id_ is None else id_)), pa.array(x["anchor"][nth]), pa.array(x["seg"][nth]), pa.array(off.astype(np.int32)), *(pa.array(n) for n in names)]
-                yield pa.RecordBatch.from_arrays(columns, names=["length", "group", "order", "anchor", "seg", "off", *(f"n{k}" for k in range(depth))])
+                whole = np.where(off < 0, x["seg"][nth] | 1, 0)
+                columns = [pa.array(np.full(len(at), first)), pa.array(x["last"][nth]), pa.array(x["anchor"][nth]), pa.array(x["seg"][nth]), pa.array(off.astype(np.int32)), pa.array(whole), *(pa.array(n) for n in names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["first", "last", "anchor", "seg", "off", "whole", *(f"n{k}" for k in range(depth))])
 
     kinds = ", ".join(f"n{k} bigint" for k in range(depth))
     rows = rows.where(F.size("wanted") > 0)
-    return rows.select("id", "packed", "wanted").mapInArrow(run, f"length int, group bigint, order bigint, anchor bigint, seg bigint, off int, {kinds}")
+    return rows.select("id", "packed", "wanted").mapInArrow(run, f"first bigint, last bigint, anchor bigint, seg bigint, off int, whole bigint, {kinds}")
+
 
+def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame, bool]:
+    """The suffixes with ``length``, the names of their prefix, and ``group``: prefixes of more than ``group_suffixes`` become longer.
+    And whether any comes to the full depth.
 
-def tree_hits(rows: DataFrame, depth: int, tree_suffixes: int) -> DataFrame:
-    """(anchor, seg, off) of the suffixes below a deep node that a smaller document has too."""
+    At most one prefix in ``group_suffixes`` suffixes is that large, so the tables of large prefixes are small against the suffixes.
+    """
+    deep = False
+    names, length, under = [F.col(f"n{k}") for k in range(depth)], F.lit(1), rows.select(*[f"n{k}" for k in range(depth)])
+    for k in range(1, depth):
+        large = stored(under.groupBy(*names[:k]).agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select(*[n.alias(f"p{k}_{i}") for i, n in enumerate(names[:k])]))
+        if large.isEmpty():
+            break
+        on = [names[i] == F.col(f"p{k}_{i}") for i in range(k)]
+        under = under.join(large, on, "left_semi")
+        rows = rows.join(large, on, "left")
+        length = length + F.col(f"p{k}_0").isNotNull().cast("int")
+        deep = k == depth - 1
+    rows = rows.withColumn("length", length)
+    return rows.withColumn("group", F.xxhash64("length", *[F.when(F.col("length") > k, n) for k, n in enumerate(names)])), deep or depth == 1
+
+
+def tree_hits(rows: DataFrame, any_deep: bool, depth: int, tree_suffixes: int) -> DataFrame:
+    """(anchor, seg, off) of the leaves below a deep node that a smaller document has too, of ``grouped`` suffixes."""
     columns = [f"n{k}" for k in range(depth)]
 
     def spelled(table: pa.Table) -> np.ndarray:
@@ -157,7 +170,8 @@ def tree_hits(rows: DataFrame, depth: int, tree_suffixes: int) -> DataFrame:
 
     def hits(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(table):
-            yield from table.filter(pa.array(marked(spelled(table), table["order"].to_numpy()))).select(["anchor", "seg", "off"]).to_batches()
+            found = marked(spelled(table), *(table[c].to_numpy() for c in ("whole", "first", "last")))
+            yield from table.filter(pa.array(found)).select(["anchor", "seg", "off"]).to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -169,7 +183,7 @@ def tree_hits(rows: DataFrame, depth: int, tree_suffixes: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches(held)
             common = SubTree(spelled(table)).depth
-            # Cut where the shortest prefix changes; if all suffixes are equal, the one of the smallest document goes on alone.
+            # Cut where the shortest prefix changes; if all suffixes are equal, those of the smallest document go on alone.
             for length in range(1, depth + 1):
                 if len(cuts := np.flatnonzero(common < length)):
                     yield from hits(table.slice(0, int(cuts[-1]) + 1))
@@ -177,21 +191,25 @@ def tree_hits(rows: DataFrame, depth: int, tree_suffixes: int) -> DataFrame:
                     break
             else:
                 yield from hits(table)
-                table = table.slice(0, 1)
+                windows = np.flatnonzero(table["whole"].to_numpy() == 0)
+                table = table.take(pa.array(windows[np.argsort(table["first"].to_numpy()[windows], kind="stable")[:1]]))
             held, count = table.to_batches(), len(table)
         if held:
             yield from hits(pa.Table.from_batches(held))
 
-    dealt = rows.where(F.col("length") < depth).repartition(tasks(rows.sparkSession), "group").sortWithinPartitions(*columns, "order")
-    found = dealt.select(*columns, "order", "anchor", "seg", "off").mapInArrow(run, "anchor bigint, seg bigint, off int")
+    dealt = rows.where(F.col("length") < depth).repartition(tasks(rows.sparkSession), "group").sortWithinPartitions(*columns, "whole", "first")
+    found = dealt.select(*columns, "whole", "first", "last", "anchor", "seg", "off").mapInArrow(run, "anchor bigint, seg bigint, off int")
+    if not any_deep:
+        return found
     deep = rows.where(F.col("length") == depth)
-    least = deep.groupBy(*(F.col(c).alias(f"{c}_") for c in columns)).agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least < most")
-    return found.unionByName(deep.join(least, [F.col(c) == F.col(f"{c}_") for c in columns]).where(F.col("order") > F.col("least")).select("anchor", "seg", "off"))
+    least = deep.where("whole = 0").groupBy(*(F.col(c).alias(f"{c}_") for c in columns)).agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
+    below = deep.where("whole = 0").join(least, [F.col(c) == F.col(f"{c}_") for c in columns]).where(F.col("first") > F.col("least"))
+    return found.unionByName(below.select("anchor", "seg", "off")).unionByName(deep.where("whole <> 0 AND last > first").select("anchor", "seg", "off"))
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, step: int = STEP,
-    long_texts: int = LONG_TEXTS, hot_texts: int = HOT_TEXTS, tree_suffixes: int = TREE_SUFFIXES, keep_text: bool = True,
+    group_suffixes: int = GROUP_SUFFIXES, tree_suffixes: int = TREE_SUFFIXES, keep_text: bool = True,
 ) -> DataFrame:
     """One row per input row: (id_col, n_words, n_removed, kept, kept_sha256); kept words are joined by one space.
 
@@ -204,27 +222,30 @@ def remove_repeats(
     plan, near = planned(rows, window, gram)
     first = settled(rows, plan, near, window, keep_text)
     open_ = first.where(F.col("packed").isNotNull())
-    hits = tree_hits(stored(suffixes(open_, window, step, long_texts, hot_texts)), -(-window // step), tree_suffixes)
-    # A hit is of a segment in its first document, wherever it stands there.
-    offs = hits.groupBy(F.col("anchor").alias("a2"), F.col("seg").alias("s2")).agg(F.collect_list("off").alias("offs"))
+    depth = -(-window // step)
+    hits = tree_hits(*grouped(stored(suffixes(open_, window, step)), depth, group_suffixes), depth, tree_suffixes)
+    # What is below a node of a smaller document is of the leaf's first document, wherever it stands there; all later documents of a whole
+    # segment lose it all.
+    offs = hits.groupBy(F.col("anchor").alias("a2"), F.col("seg").alias("s2")).agg(F.collect_list(F.when(F.col("off") >= 0, F.col("off"))).alias("offs"), F.max(F.col("off") < 0).alias("whole"))
     firsts = near.groupBy(F.col("anchor").alias("a3"), F.col("seg").alias("s3")).agg(F.min(order()).alias("first"))
-    offs = offs.join(firsts, (F.col("a2") == F.col("a3")) & (F.col("s2") == F.col("s3"))).select("a2", "s2", "offs", "first")
-    placed = near.join(offs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2"))).where(order() == F.col("first"))
-    placed = placed.groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct(start_of(F.col("place")).alias("start"), "offs")).alias("hits"))
-    at = F.flatten(F.transform("hits", lambda h: F.transform(h.offs, lambda o: h.start + o)))
-    both = open_.join(placed.select("id2", "mark2", at.alias("at")), same_row("id2", "mark2"), "left")
+    offs = offs.join(firsts, (F.col("a2") == F.col("a3")) & (F.col("s2") == F.col("s3"))).select("a2", "s2", "offs", "whole", "first")
+    placed = near.join(offs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
+    start, later = start_of(F.col("place")), order() > F.col("first")
+    windows = F.when(later & F.col("whole"), F.array(F.struct(start.alias("at"), run_of(F.col("place")).alias("n")))).when(~later, F.transform("offs", lambda o: F.struct((start + o).alias("at"), F.lit(1).alias("n"))))
+    placed = placed.select("id", "mark", windows.alias("windows")).where(F.size("windows") > 0)
+    placed = placed.groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    both = open_.join(placed, same_row("id2", "mark2"), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = unpacked(batch.column(1))
             out = []
-            for i, (copied, hit) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = fields(copied), hit.values.to_numpy().astype(np.int64) if hit.is_valid else np.zeros(0, np.int64)
-                starts, ends = np.concatenate([x["start"], y]), np.concatenate([x["start"] + x["run"] + window - 1, y + window])
-                out.append(result(data[offsets[i] : offsets[i + 1]].tobytes(), starts, ends, keep_text))
+            for i, windows in enumerate(batch.column(2)):
+                x = fields(windows)
+                out.append(result(data[offsets[i] : offsets[i + 1]].tobytes(), x["at"], x["at"] + x["n"] + window - 1, keep_text))
             results = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, RESULT_TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *results], names=["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    last = both.select("id", "packed", "copied", "at").mapInArrow(run, f"id bigint, {RESULT}")
+    last = both.select("id", "packed", "windows").mapInArrow(run, f"id bigint, {RESULT}")
     columns = ["n_words", "n_removed", "kept", "kept_sha256"]
     return first.where(F.col("packed").isNull()).select("id", *columns).unionByName(last).withColumnRenamed("id", id_col)

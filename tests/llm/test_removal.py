@@ -75,7 +75,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(*d, 1, "x", 2.0) for d in docs], "doc_id long, text string, id int, mark string, start double").repartition(3)
 
 
-@pytest.mark.parametrize("limits", [{}, {"long_texts": 1, "tree_suffixes": 3}, {"hot_texts": 2, "long_texts": 1, "tree_suffixes": 10}])
+@pytest.mark.parametrize("limits", [{}, {"group_suffixes": 4, "tree_suffixes": 3}, {"group_suffixes": 1, "tree_suffixes": 10}, {"group_suffixes": 30, "tree_suffixes": 10}])
 def test_words(spark, limits):
     docs = corpus("  ")
     found = suffix_tree.remove_repeats(frame(spark, docs), window=11, gram=6, step=3, **limits)
