@@ -144,18 +144,23 @@ def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame
     """The suffixes with ``length``, the names of their prefix, and ``group``: prefixes of more than ``group_suffixes`` become longer.
     And whether any comes to the full depth.
 
-    At most one prefix in ``group_suffixes`` suffixes is that large, so the tables of large prefixes are small against the suffixes.
+    Prefixes are counted by a few values of their hash first, as many as fits the number of suffixes, and only those of values that are
+    large enough by the whole hash. At most one prefix in ``group_suffixes`` suffixes is large, so the tables of large prefixes are
+    small against the suffixes. Prefixes of one hash would become longer together, which does no harm.
     """
     deep = False
+    cells = F.lit(max(1024, 8 * rows.count() // group_suffixes))
     names, length, under = [F.col(f"n{k}") for k in range(depth)], F.lit(1), rows.select(*[f"n{k}" for k in range(depth)])
     for k in range(1, depth):
-        large = stored(under.groupBy(*names[:k]).agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select(*[n.alias(f"p{k}_{i}") for i, n in enumerate(names[:k])]))
+        prefix = F.xxhash64(*names[:k])
+        full = under.groupBy(F.pmod(prefix, cells).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select("cell")
+        named = under.join(full, F.pmod(prefix, cells) == F.col("cell"), "left_semi").groupBy(prefix.alias(f"p{k}")).agg(F.count("*").alias("n"))
+        large = stored(named.where(F.col("n") > group_suffixes).select(f"p{k}"))
         if large.isEmpty():
             break
-        on = [names[i] == F.col(f"p{k}_{i}") for i in range(k)]
-        under = under.join(large, on, "left_semi")
-        rows = rows.join(large, on, "left")
-        length = length + F.col(f"p{k}_0").isNotNull().cast("int")
+        under = stored(under.join(large, prefix == F.col(f"p{k}"), "left_semi"))
+        rows = rows.join(large, prefix == F.col(f"p{k}"), "left")
+        length = length + F.col(f"p{k}").isNotNull().cast("int")
         deep = k == depth - 1
     rows = rows.withColumn("length", length)
     return rows.withColumn("group", F.xxhash64("length", *[F.when(F.col("length") > k, n) for k, n in enumerate(names)])), deep or depth == 1
