@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.scratch import scratch, stored, written
 
-__all__ = ["discarded", "fresh_names", "python_workers", "scratch", "stored", "tasks", "whole_ids", "written"]
+__all__ = ["discarded", "fresh_names", "lookup", "python_workers", "scratch", "stored", "tasks", "whole_ids", "written"]
 
 #: One white-space character, and one word, of the digest contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -36,6 +36,12 @@ def discarded(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lookup(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A ``stored`` table of a number or two a row, to be joined to a far larger one: broadcast if it has at most ``most`` rows, so that hot
+    keys of the larger one stay where they are; beyond that, joined as Spark sees fit."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def fresh_names(df: DataFrame, n: int) -> list[str]:
     """Column names that a table does not have, in any case."""
     taken = {c.lower() for c in df.columns}

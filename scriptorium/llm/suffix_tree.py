@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.anchors import covered, fields, find_segments, hash_between, keyed, packed, prefix_hashes, run_of, same_row, start_of, unpacked, word_symbols, words
-from scriptorium.llm.common import stored, tasks
+from scriptorium.llm.common import lookup, stored, tasks
 
 #: Words of a repeat, of an anchor's string and of one name.
 WINDOW, GRAM, STEP = 50, 20, 10
@@ -154,10 +154,11 @@ def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame
     for k in range(1, depth):
         prefix = F.xxhash64(*names[:k])
         full = under.groupBy(F.pmod(prefix, cells).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > group_suffixes).select("cell")
-        named = under.join(full, F.pmod(prefix, cells) == F.col("cell"), "left_semi").groupBy(prefix.alias(f"p{k}")).agg(F.count("*").alias("n"))
+        named = under.join(lookup(stored(full)), F.pmod(prefix, cells) == F.col("cell"), "left_semi").groupBy(prefix.alias(f"p{k}")).agg(F.count("*").alias("n"))
         large = stored(named.where(F.col("n") > group_suffixes).select(f"p{k}"))
         if large.isEmpty():
             break
+        large = lookup(large)
         under = stored(under.join(large, prefix == F.col(f"p{k}"), "left_semi"))
         rows = rows.join(large, prefix == F.col(f"p{k}"), "left")
         length = length + F.col(f"p{k}").isNotNull().cast("int")
