@@ -147,7 +147,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_col) with every confirmed match of the base kinds replaced by its kind in brackets; null stays null."""
+    """(id_col, text_col) with every confirmed match of the base kinds replaced by its kind in brackets.
+
+    A null text stays null, an empty one empty. Null and repeated ids: a row each. Kinds are replaced one after another, so what one kind has
+    replaced is text to the next. Other columns are left out; an empty table gives an empty result.
+    """
     text = F.col(text_col)
     for kind in KINDS[:4]:
         text = masked(text, kind)

@@ -362,3 +362,13 @@ def test_pipeline(spark, small):
     done = corpus_pipeline.run(spark, small)
     assert done.count() == mixed.count()
     assert set(ids(done)) <= kept
+
+
+def test_pipeline_of_an_empty_table(spark, small, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{small}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert done.collect() == []
+    assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
