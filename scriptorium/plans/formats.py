@@ -113,7 +113,7 @@ def snk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
-    sinks.term_counts(text.top_terms(text.token_rows(readers.table(spark, sf_dir, "documents")), term="token", to=text.stem), path)
+    sinks.term_counts(text.top_terms(text.token_rows(queries.texts(spark, sf_dir)), term="token", to=text.stem), path)
     return back(spark, path)
 
 

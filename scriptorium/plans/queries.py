@@ -67,7 +67,7 @@ def ranked_table(spark: SparkSession, queries: dict) -> DataFrame:
 @functools.lru_cache(maxsize=16)
 def _built(app: str, files: tuple[str, ...]) -> Index:
     spark = SparkSession.active()
-    return build(readers.documents_corpus(spark, files[0]))
+    return build(readers.spread(readers.documents_corpus(spark, files[0])))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
@@ -80,11 +80,17 @@ def lists(spark: SparkSession, rows: list[str]) -> DataFrame:
     return values(spark, rows).select("no", "value", F.array_join(text.tokenize(F.col("value")), " ").alias("tokens"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.spread(readers.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def per_document(spark: SparkSession, sf_dir: str, stop: bool, stemmed: bool = False) -> DataFrame:
     tokens = text.tokenize(F.coalesce("text", F.lit("")))
-    rows = readers.table(spark, sf_dir, "documents").select("doc_id", text.without(tokens, text.STOPWORDS if stop else []).alias("tokens"))
+    rows = texts(spark, sf_dir).select("doc_id", text.without(tokens, text.STOPWORDS if stop else []).alias("tokens"))
     rows = rows.withColumn("tokens", text.stems(F.col("tokens"))) if stemmed else rows
-    return rows.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.size(F.array_distinct("tokens")).cast("bigint").alias("different"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+    # Rows without tokens are left out by a generator: a filter would be evaluated apart from the tokens, below, and cost as much again.
+    row = F.struct(F.size("tokens").cast("bigint").alias("n"), F.size(F.array_distinct("tokens")).cast("bigint").alias("different"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+    return rows.select("doc_id", F.inline(F.when(F.size("tokens") > 0, F.array(row))))
 
 
 def tok_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +118,11 @@ def tok_stem_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.top_terms(text.token_rows(readers.table(spark, sf_dir, "documents")), term="token", to=text.stem).select("term", "cnt")
+    return text.top_terms(text.token_rows(texts(spark, sf_dir)), term="token", to=text.stem).select("term", "cnt")
 
 
 def vocab_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.vocab_growth(text.token_rows(readers.table(spark, sf_dir, "documents")), term="token", to=text.stem)
+    return text.vocab_growth(text.token_rows(texts(spark, sf_dir)), term="token", to=text.stem)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input with too few splits to keep all cores busy (a file of one row group, say), dealt out anew; others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() > 2 * cores else rows.repartition(2 * cores)
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scenes, sources as plays."""
     docs = table(spark, sf_dir, "documents")
