@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Code points before a span in which context words count, what they add, and the score that an added kind needs.
 CONTEXT_CHARS, CONTEXT_SCORE, LEAST_SCORE = 48, 0.35, 0.6
+#: Matches that are gone through before their spans are set aside.
+CHUNK = 256
 #: Letters and digits of an IBAN by country; other codes may have any number from 15 to 34.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -48,13 +50,31 @@ def mod97(iban: Column) -> Column:
     return rest == 1
 
 
+def may_be_iban(seen: Column) -> Column:
+    """True if some beginning of at least 15 letters and digits passes the ISO 13616 check, found in one pass over them."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(F.ascii(c) - 55)
+    add = lambda rest, c: F.pmod(rest * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97))
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    def state(n: Column, rest: Column, head: Column, found: Column) -> Column:
+        return F.struct(n.alias("n"), rest.alias("rest"), head.alias("head"), found.alias("found"))
+
+    # Two letters and two digits move to the end: that is 6 digits more, and 10**6 is 27 modulo 97.
+    def step(acc: Column, c: Column) -> Column:
+        rest = F.when(acc.n >= 4, add(acc.rest, c)).otherwise(acc.rest)
+        head = F.when(acc.n < 4, add(acc.head, c)).otherwise(acc.head)
+        return state(acc.n + 1, rest, head, acc.found | ((acc.n >= 14) & (F.pmod(rest * 27 + acc.head, F.lit(97)) == 1)))
+
+    return F.aggregate(letters(only("A-Z0-9", seen)), state(F.lit(0), F.lit(0), F.lit(0), F.lit(False)), step, lambda acc: acc.found)
+
+
 def iban_at(seen: Column) -> Column:
     """The longest IBAN that starts a stretch of text and ends at a word's end, or an empty string."""
     ends = F.array(*[F.regexp_extract(seen, rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0) for n in range(30, 10, -1)])
     fits = lambda x: F.length(only("A-Z0-9", x))
     code = F.substr(seen, F.lit(1), F.lit(2))
     length = F.coalesce(*[F.when(code.isin(countries.split()), n) for n, countries in IBAN_LENGTHS.items()])
-    return F.coalesce(F.get(F.filter(ends, lambda x: (x != "") & (fits(x) == F.coalesce(length, fits(x))) & mod97(only("A-Z0-9", x))), F.lit(0)), F.lit(""))
+    longest = F.coalesce(F.get(F.filter(ends, lambda x: (x != "") & (fits(x) == F.coalesce(length, fits(x))) & mod97(only("A-Z0-9", x))), F.lit(0)), F.lit(""))
+    return F.when(may_be_iban(seen), longest).otherwise(F.lit(""))
 
 
 def only(chars: str, hit: Column) -> Column:
@@ -103,32 +123,44 @@ KINDS = (
 def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<kind, start, end, score>> of one kind in a non-null text; starts ascend.
 
-    One pattern, anchored to the end of the match before it, takes the gap and the match: the lengths of both give code-point offsets.
-    Of spans that overlap, as those of a pattern that looks ahead can, the first stays.
+    One pattern, anchored to the end of the match before it, takes the gap and the match: the lengths of both give code-point offsets, and
+    the last code points of what has been passed are a match's context. Of spans that overlap, as those of a pattern that looks ahead can,
+    the first stays. Matches are gone through in chunks and their spans put together at the end, so time is linear in the matches of a text.
     """
     rule = F.lit(rf"(?s)\G(.*?)({kind.pattern})")
     gaps, hits = F.regexp_extract_all(text, rule, F.lit(1)), F.regexp_extract_all(text, rule, F.lit(2))
-    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("took"), hit.alias("hit")))
-    last = lambda acc: F.get(acc["all"], F.size(acc["all"]) - 1)
-    free = lambda acc, x: F.lit(True)
+    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("took"), hit.alias("hit")))
     if kind.pick:
-        free = lambda acc, x: F.coalesce(acc.at + x.gap >= last(acc).start + F.char_length(last(acc).hit), F.lit(True))
         both = F.zip_with(both, F.regexp_extract_all(text, rule, F.lit(3)), lambda x, ahead: F.struct(x.gap.alias("gap"), x.took.alias("took"), kind.pick(F.concat(x.hit, ahead)).alias("hit")))
-    placed = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("all")),
-        lambda acc, x: F.struct(
-            (acc.at + x.gap + x.took).alias("at"),
-            F.concat(acc["all"], F.when(kind.check(x.hit) & free(acc, x), F.array(F.struct((acc.at + x.gap).alias("start"), x.hit.alias("hit")))).otherwise(F.expr("cast(array() as array<struct<start:int,hit:string>>)"))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    before = lambda x: F.lower(F.substr(text, F.greatest(x.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x.start, F.lit(CONTEXT_CHARS))))
-    scored = F.transform(placed, lambda x: F.struct(F.lit(kind.name).alias("kind"), x.start.alias("start"), (x.start + F.char_length(x.hit)).alias("end"), (F.lit(kind.score) + F.when(before(x).rlike(kind.context), CONTEXT_SCORE).otherwise(0.0)).alias("score")))
+    both = F.transform(both, lambda x: F.struct(x.gap.alias("gap"), x.took.alias("took"), F.char_length(x.gap).alias("skip"), F.char_length(x.took).alias("size"), F.char_length(x.hit).alias("chars"), kind.check(x.hit).alias("good")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,before:string>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc.at + x.skip
+        before = F.right(F.concat(acc.tail, x.gap), F.lit(CONTEXT_CHARS))
+        good = x.good & (start >= acc.until)
+        span = F.when(good, F.array(F.struct(start.alias("start"), (start + x.chars).alias("end"), before.alias("before")))).otherwise(none)
+        tail = F.right(F.concat(acc.tail, x.gap, x.took), F.lit(CONTEXT_CHARS))
+        return F.struct((start + x["size"]).alias("at"), tail.alias("tail"), F.when(good, start + x.chars).otherwise(acc.until).alias("until"), F.concat(acc.spans, span).alias("spans"))
+
+    def chunk(found: Column) -> Callable[[Column, Column], Column]:
+        def merge(acc: Column, no: Column) -> Column:
+            begin = F.struct(acc.now["at"].alias("at"), acc.now.tail.alias("tail"), acc.now.until.alias("until"), none.alias("spans"))
+            return F.struct(F.aggregate(F.slice(found, no * CHUNK + 1, F.lit(CHUNK)), begin, step).alias("now"), F.concat(acc.done, F.array(acc.now.spans)).alias("done"))
+
+        return merge
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("until"), none.alias("spans"))
+    start = F.struct(zero.alias("now"), F.expr("cast(array() as array<array<struct<start:int,end:int,before:string>>>)").alias("done"))
+    chunks = lambda found: F.when(F.size(found) > 0, F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    every = lambda acc: F.flatten(F.concat(acc.done, F.array(acc.now.spans)))
+    # The matches are an array of one here, so that they are worked out once for all chunks.
+    placed = F.get(F.transform(F.array(both), lambda found: F.aggregate(chunks(found), start, chunk(found), every)), F.lit(0))
+    scored = F.transform(placed, lambda x: F.struct(F.lit(kind.name).alias("kind"), x.start.alias("start"), x.end.alias("end"), (F.lit(kind.score) + F.when(F.lower(x.before).rlike(kind.context), CONTEXT_SCORE).otherwise(0.0)).alias("score")))
     if not kind.base:
         scored = F.filter(scored, lambda x: x.score >= LEAST_SCORE)
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
-    return F.when(text.rlike(kind.maybe), scored).otherwise(none)
+    nothing = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
+    return F.when(text.rlike(kind.maybe), scored).otherwise(nothing)
 
 
 def joined(spans: Column) -> Column:

@@ -93,6 +93,21 @@ def test_ibans_in_running_text(spark):
     assert got[:11] == [[gb], [de], [de], [gb], [gb, de, no], [gb], [no], [], [], [], []]
 
 
+def test_time_is_linear_in_the_matches_of_a_text(spark):
+    text = "".join(f"é{'call ' * (i % 7 == 0)}a{i}@b.de" + " " * (i % 90 == 0) for i in range(100_000))
+    numbers = " ".join(f"+49 {i:08d}" + ", phone" * (i % 5 == 0) for i in range(40_000))
+    ibans = "AB12 " * 60_000 + "GB29NWBK60161331926819 x"
+    rows = {r.doc_id: r.found for r in pii.find_pii(frame(spark, [(1, text), (2, numbers), (3, ibans)])).collect()}
+    pattern = re.compile(BASE[0][1])
+    assert [(x.start, x.end) for x in rows[1] if x.kind == "email"] == [m.span() for m in pattern.finditer(text)]
+    phones = [x for x in rows[2] if x.kind == "phone"]
+    good = [m for m in re.finditer(BASE[3][1], numbers) if BASE[3][2](m.group())]
+    assert [(x.start, x.end) for x in phones] == [m.span() for m in good]
+    heard = [bool(re.search(r"phone|\btel\b|call|mobile|fax", numbers[max(m.start() - 48, 0) : m.start()].lower())) for m in good]
+    assert [x.score > 0.7 for x in phones] == heard
+    assert [ibans[x.start : x.end] for x in rows[3] if x.kind == "iban"] == ["GB29NWBK60161331926819"]
+
+
 def test_mask(spark):
     docs = [(1, "to a.b@c.de, é 1.2.3.4!"), (2, None), (3, "300.1.1.1 plain")]
     assert {r.doc_id: r.text for r in pii.mask_pii(frame(spark, docs)).collect()} == {1: "to [email], é [ip]!", 2: None, 3: "300.1.1.1 plain"}
