@@ -32,7 +32,14 @@ def new_path(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a compressed table in the shared checkpoint folder, which is written once, where ``written`` works twice."""
+    """The rows of ``df`` from a compressed table in the shared checkpoint folder, whose columns are read apart, as ``written`` ones are not."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, *files: str) -> None:
+    """Delete the folders of files that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in files}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import written
+from scriptorium.functions.scratch import deleted, new_path, stored
+
+#: Edges of one source in one part, and edges of a bucket.
+SOURCE_EDGES, BUCKET_EDGES = 1 << 20, 1 << 22
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -41,25 +48,61 @@ def top_inlinks(edges: DataFrame, k: int = 100) -> DataFrame:
     return top_pages(counts, "cnt", k, ("first", "page"))
 
 
-def pagerank(edges: DataFrame, lam: float = 0.2, tau: float = 0.005, max_iter: int | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+@contextmanager
+def bucketed(rows: DataFrame, buckets: int, *keys: str) -> Iterator[DataFrame]:
+    """The rows from a table in the checkpoint folder that is bucketed by ``keys``: joins on these leave its rows where they are. The table
+    goes when the context ends."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    try:
+        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        deleted(spark, f"{path}/x")
+
+
+def weighted(edges: DataFrame, degree: DataFrame, most: int = SOURCE_EDGES) -> DataFrame:
+    """(src, part, dst, weight): the share of a page's rank that goes to each of its targets. A page's targets are dealt out to parts of some
+    ``most`` edges, as ``degree`` (page, cnt, parts) has it."""
+    rows = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(degree.withColumnRenamed("page", "src"), "src")
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
+    return rows.select("src", part.alias("part"), "dst", (F.col("m") / F.col("cnt")).alias("weight"))
+
+
+def contributions(weights: DataFrame, state: DataFrame) -> DataFrame:
+    """(dst, got): what pages get by their links. Ranks go to the edges, which stay in their buckets, once for each part of a page's targets."""
+    ranks = state.where("parts > 0").select(F.col("page").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rank")
+    return weights.join(ranks, ["src", "part"]).groupBy("dst").agg(F.sum(F.col("weight") * F.col("rank")).alias("got"))
+
+
+def pagerank(edges: DataFrame, lam: float = 0.2, tau: float = 0.005, max_iter: int | None = None, most: int = SOURCE_EDGES) -> tuple[DataFrame, list[tuple[int, float]]]:
     """((page, rank), [(iteration, change)]): at least one iteration, until the L2 change is below tau or max_iter is reached.
 
-    Each iteration is one join of ranks and weighted edges, one grouped sum and one join back to all pages; its rows are written to the
-    shared checkpoint folder, so plans stay short. Only two sums per iteration come to the driver.
+    Edges are written once, bucketed by source, and are not moved in any iteration; what moves are ranks and the sums of what pages get. A
+    source of more than ``most`` edges is several parts, in different buckets. Each iteration's ranks are written to the shared checkpoint
+    folder, those before are deleted, and two sums, observed as the rows are written, come to the driver.
     """
-    degree = out_degree(edges)
-    weights = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(degree.withColumnRenamed("page", "src"), "src").select("src", "dst", (F.col("m") / F.col("cnt")).alias("weight"))
-    weights = written(weights)
-    pages = nodes(edges).join(degree, "page", "left").select("page", F.col("cnt").isNull().alias("ends"))
-    state, trace = written(pages.withColumn("rank", F.lit(0.0))), []
+    spark = edges.sparkSession
+    degree = stored(out_degree(edges).withColumn("parts", F.ceil(F.col("cnt") / most).cast("int")))
+    n_edges = degree.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // BUCKET_EDGES))
+    pages = nodes(edges).join(degree.select("page", "parts"), "page", "left")
+    state, trace = stored(pages.select("page", F.coalesce("parts", F.lit(0)).alias("parts"), F.lit(0.0).alias("rank"))), []
     n = state.count()
-    state = state.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    lost = state.where("ends").count() / max(n, 1)
-    while n and (not trace or trace[-1][1] >= tau) and (max_iter is None or len(trace) < max_iter):
-        got = weights.join(state, F.col("src") == F.col("page")).groupBy("dst").agg(F.sum(F.col("weight") * F.col("rank")).alias("got"))
-        rank = F.lit(lam / n + (1 - lam) * lost / n) + (1 - lam) * F.coalesce("got", F.lit(0.0))
-        state = written(state.join(got, F.col("page") == F.col("dst"), "left").select("page", "ends", F.col("rank").alias("old"), rank.alias("rank")))
-        change, lost = state.agg(F.sqrt(F.sum(F.pow(F.col("rank") - F.col("old"), 2))), F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0))).first()
-        trace.append((len(trace) + 1, change))
-        state = state.select("page", "ends", "rank")
-    return state.select("page", "rank"), trace
+    lost, first = state.where("parts = 0").count() / max(n, 1), F.lit(1.0 / max(n, 1))
+    if not n:
+        return state.select("page", "rank"), trace
+    with bucketed(weighted(edges, degree, most), buckets, "src", "part") as weights:
+        while (not trace or trace[-1][1] >= tau) and (max_iter is None or len(trace) < max_iter):
+            now = state if trace else state.withColumn("rank", first)
+            rank = F.lit(lam / n + (1 - lam) * lost / n) + (1 - lam) * F.coalesce("got", F.lit(0.0))
+            after = now.withColumnRenamed("rank", "old").join(contributions(weights, now).withColumnRenamed("dst", "page"), "page", "left").select("page", "parts", "old", rank.alias("rank"))
+            seen = Observation()
+            sums = {"change": F.sqrt(F.sum(F.pow(F.col("rank") - F.col("old"), 2))), "lost": F.coalesce(F.sum(F.when(F.col("parts") == 0, F.col("rank"))), F.lit(0.0))}
+            after = stored(after.observe(seen, *[c.alias(k) for k, c in sums.items()]).drop("old"))
+            deleted(spark, *state.inputFiles())
+            state, lost = after, seen.get["lost"]
+            trace.append((len(trace) + 1, seen.get["change"]))
+    deleted(spark, *degree.inputFiles())
+    return state.select("page", "rank") if trace else state.select("page", first.alias("rank")), trace

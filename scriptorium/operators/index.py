@@ -1,25 +1,42 @@
 """A positional index over a two-level corpus: scenes (documents) in plays (groups of documents).
 
-The index is built once, in one pass over the corpus, and kept as two tables: postings, in folders by a hash of the term and sorted by
-term inside, and the scenes with their lengths. Searches read the folders of their terms and no text at all; everything that is counted
-(term, document and collection frequencies, lengths, means) comes from these tables.
+Scenes are numbered in slices of ``SLICE``. A block is what one slice has of one term: the scenes' places in the corpus (rising), with the
+occurrences, length, play and positions of each, and beside these their number, least and greatest place, and bounds of occurrences and
+lengths. Blocks of different terms meet if they are of one slice, so an intersection is a join on slices, and whatever has no partner or
+cannot score high enough is left out before its contents are read; a term that every scene has is as many blocks as there are slices.
+
+An index is a folder of segments, each written once: ``build`` writes the first, ``append`` one more for new scenes, ``merge`` puts all into
+one. Blocks are in folders by a hash of the term and one of the slice, their numbers taken from the size of the corpus, and sorted by term
+inside. Files are written with Parquet's delta encodings, so places and positions cost their gaps. A small table lists the live segments;
+its last version counts, so a search never sees half of a segment.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import new_path
+from scriptorium.functions.scratch import deleted, new_path, stored
 from scriptorium.functions.text import ws_tokens
 
 LEVELS = ("scene", "play")
-#: Folders of postings, and parts of a folder, so that a term which every scene has is not one task's work.
-BUCKETS, PARTS = 64, 8
-POSTINGS = "term string, play_id string, scene_id string, doc_ord bigint, tf bigint, positions array<int>, bucket int"
-SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint"
+#: Scenes of a slice, as a power of two; tokens of a folder of blocks, and scenes whose blocks are together in the folders of a term.
+SLICE_BITS, FOLDER_TOKENS, SPAN_SCENES = 7, 4 << 20, 1 << 16
+#: What is beside a block's contents, and these: arrays with an entry per scene, in step.
+BESIDE = ("segment", "bucket", "span", "slice", "term", "n", "lo", "hi", "least_tf", "most_tf", "least_len", "most_len")
+CONTENTS = {"ords": "bigint", "tfs": "bigint", "lens": "bigint", "plays": "string", "positions": "array<int>"}
+BLOCKS = (
+    "slice bigint, term string, n bigint, lo bigint, hi bigint, least_tf bigint, most_tf bigint, least_len bigint, most_len bigint, "
+    + ", ".join(f"{c} array<{t}>" for c, t in CONTENTS.items()) + ", segment string, bucket int, span int"
+)
+SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint, segment string"
+LIVE = "segment string, buckets int, spans int, version int"
+DELTA = {"parquet.writer.version": "v2"}
 
 
 def unit(level: str) -> str:
@@ -29,40 +46,46 @@ def unit(level: str) -> str:
     return f"{level}_id"
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def folder_of(key: Column, folders: int | Column) -> Column:
+    return F.pmod(F.xxhash64(key), folders if isinstance(folders, Column) else F.lit(folders)).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, play_id, scene_id, doc_ord, tf, positions, bucket) and scenes (play_id, scene_id, doc_ord, len) of a corpus."""
+    """The live segments of an index: (segment, buckets, spans) of each, blocks (columns BESIDE and CONTENTS), and scenes (play_id, scene_id,
+    doc_ord, len)."""
 
-    stored_postings: DataFrame
+    path: str
+    segments: tuple[tuple[str, int, int], ...]
+    blocks: DataFrame
     scenes: DataFrame
-    buckets: int = BUCKETS
+
+    def placed(self, table: DataFrame) -> DataFrame:
+        """A table with a column ``term``, and with the ``segment`` and ``bucket`` in which each segment has the term's blocks."""
+        live = F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(b).alias("buckets")) for s, b, _ in self.segments])
+        own = table.where("term <> ''").select("*", F.inline(live))
+        return own.withColumn("bucket", folder_of(F.col("term"), F.col("buckets"))).drop("buckets")
 
     def of_terms(self, terms: DataFrame | None) -> DataFrame:
-        """Postings, of some terms only if a table (term) is given: folders without any of them are not read."""
-        if terms is None:
-            return self.stored_postings.drop("bucket")
-        wanted = terms.select("term").where("term <> ''").distinct().select(F.col("term").alias("term_"), bucket_of(F.col("term"), self.buckets).alias("bucket_"))
-        own = self.stored_postings
-        return own.join(wanted, (own.bucket == F.col("bucket_")) & (own.term == F.col("term_")), "left_semi").drop("bucket")
+        """Blocks, of some terms only if a table (term) is given: folders without any of them are not read, nor are columns not asked for."""
+        return self.blocks if terms is None else self.blocks.join(self.placed(terms.select("term").distinct()), ["segment", "bucket", "term"], "left_semi")
+
+    def entries(self, blocks: DataFrame, *contents: str) -> DataFrame:
+        """(term, ord, one column per content without its s) of blocks: a row per scene that has the term."""
+        columns = ["ords", *contents]
+        return blocks.select("term", F.inline(F.arrays_zip(*columns))).toDF("term", *[c.removesuffix("s") for c in columns])
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, play_id, scene_id, doc_ord, positions), positions from 0."""
-        return self.of_terms(terms).drop("tf")
-
-    def tokens(self, terms: DataFrame | None = None) -> DataFrame:
-        """(play_id, scene_id, doc_ord, pos, term)."""
-        return self.of_terms(terms).select("play_id", "scene_id", "doc_ord", F.explode("positions").alias("pos"), "term")
+        rows = self.entries(self.of_terms(terms), "plays", "positions").withColumnRenamed("ord", "doc_ord")
+        return rows.join(self.scenes.select("doc_ord", "scene_id"), "doc_ord").select("term", F.col("play").alias("play_id"), "scene_id", "doc_ord", F.col("position").alias("positions"))
 
     def unit_tf(self, level: str, terms: DataFrame | None = None) -> DataFrame:
         """(term, unit_id, tf, first_ord): occurrences in each unit, and where in the corpus the first one is."""
-        rows = self.of_terms(terms).select("term", F.col(unit(level)).alias("unit_id"), "tf", "doc_ord")
-        if level == "scene":
-            return rows.withColumnRenamed("doc_ord", "first_ord")
-        return rows.groupBy("term", "unit_id").agg(F.sum("tf").alias("tf"), F.min("doc_ord").alias("first_ord"))
+        if unit(level) == "play_id":
+            return self.entries(self.of_terms(terms), "tfs", "plays").groupBy("term", F.col("play").alias("unit_id")).agg(F.sum("tf").alias("tf"), F.min("ord").alias("first_ord"))
+        rows = self.entries(self.of_terms(terms), "tfs").join(self.scenes.select(F.col("doc_ord").alias("ord"), F.col("scene_id").alias("unit_id")), "ord")
+        return rows.select("term", "unit_id", "tf", F.col("ord").alias("first_ord"))
 
     def unit_len(self, level: str) -> DataFrame:
         """(unit_id, len); units without tokens have length 0."""
@@ -70,36 +93,127 @@ class Index:
         return rows if level == "scene" else rows.groupBy("unit_id").agg(F.sum("len").alias("len"))
 
     def df(self, level: str, terms: DataFrame | None = None) -> DataFrame:
-        """(term, n): units that have the term."""
+        """(term, n): units that have the term; of scenes, from what is beside the blocks."""
+        if unit(level) == "scene_id":
+            return self.of_terms(terms).groupBy("term").agg(F.sum("n").alias("n"))
         return self.unit_tf(level, terms).groupBy("term").agg(F.count("*").alias("n"))
 
     def cf(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, cf): occurrences in the collection."""
-        return self.of_terms(terms).groupBy("term").agg(F.sum("tf").alias("cf"))
+        own = F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return self.of_terms(terms).groupBy("term").agg(F.sum(own).alias("cf"))
 
     def stats(self, level: str) -> DataFrame:
         """One row (level, n_units, total_terms, avdl)."""
         return self.unit_len(level).agg(F.lit(level).alias("level"), F.count("*").alias("n_units"), F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("total_terms"), F.avg("len").alias("avdl"))
 
 
-def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
-    """An index that has been built at ``path``, with as many buckets."""
-    return Index(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(SCENES).parquet(f"{path}/scenes"), buckets)
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index at ``path``, as its last version has it."""
+    live = spark.read.schema(LIVE).parquet(f"{path}/live")
+    rows = live.collect()  # a row per segment and version
+    version = max(r.version for r in rows)
+    segments = tuple(sorted((r.segment, r.buckets, r.spans) for r in rows if r.version == version))
+    read = lambda kind, schema: spark.read.schema(schema).option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/segment={s}" for s, *_ in segments])
+    return Index(path, segments, read("blocks", BLOCKS), read("scenes", SCENES))
+
+
+def _made_live(spark: SparkSession, path: str, segments: list[tuple[str, int, int]], version: int) -> Index:
+    spark.createDataFrame(segments, "segment string, buckets int, spans int").coalesce(1).write.parquet(f"{path}/live/version={version}")
+    return open_index(spark, path)
+
 
+def _last_version(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(LIVE).parquet(f"{path}/live").agg(F.max("version")).first()[0]
 
-def build(corpus: DataFrame, path: str | None = None, buckets: int = BUCKETS, parts: int = PARTS) -> Index:
+
+def term_positions(tokens: Column) -> Column:
+    """array<struct<term, positions>> of the different tokens of a list, by passes over the list sorted by token and position.
+
+    Each pass is over an array of one, so that its outcome is worked out once.
+    """
+    placed = lambda ts: F.sort_array(F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    at = lambda s, i: F.get(s, i).t
+    begins = lambda s: F.struct(s.alias("s"), F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (at(s, i) != at(s, i - 1))).alias("a"))
+    ends = lambda v: F.struct(v.s.alias("s"), v.a.alias("a"), F.concat(F.slice(v.a, 2, F.size(v.a)), F.array(F.size(v.s))).alias("b"))
+    cut = lambda v: F.zip_with(v.a, v.b, lambda a, b: F.struct(at(v.s, a).alias("term"), F.transform(F.slice(v.s, a + 1, b - a), lambda x: x.i).alias("positions")))
+    value = F.array(tokens)
+    for step in (placed, begins, ends, cut):
+        value = F.transform(value, step)
+    return F.get(value, F.lit(0))
+
+
+@contextmanager
+def grouped_by_sort(spark: SparkSession) -> Iterator[None]:
+    """Lists are collected from sorted rows, whose order the result keeps; Spark would begin with a hash table of groups, and sort when it is full."""
+    key = "spark.sql.execution.useObjectHashAggregateExec"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _write(rows: DataFrame, scenes: DataFrame, path: str, segment: str, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
+    """Write a segment from postings (term, ord, play, len, slice, positions) and scenes (play_id, scene_id, doc_ord, len); both are stored.
+
+    One shuffle brings postings to their folders, where they are sorted once, for grouping and for the files. What comes together in a group
+    is a slice's at most.
+    """
+    n, tokens = scenes.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    least = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = max(1, -(-n // span_scenes))
+    buckets = max(1, -(-max(least, -(-tokens // folder_tokens)) // spans))
+    scenes.write.options(**DELTA).parquet(f"{path}/scenes/segment={segment}")
+    rows = rows.withColumns({"bucket": folder_of(F.col("term"), buckets), "span": folder_of(F.col("slice"), spans)}).repartition(buckets * spans, "bucket", "span")
+    rows = rows.sortWithinPartitions("bucket", "span", "term", "slice", "ord")
+    entry = F.struct("ord", F.size("positions").cast("bigint").alias("tf"), "len", "play", "positions")
+    blocks = rows.groupBy("bucket", "span", "term", "slice").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    each = lambda c: F.transform("e", lambda x: x[c])
+    blocks = blocks.select("bucket", "span", "slice", "term", F.size("e").cast("bigint").alias("n"), each("ord").alias("ords"), each("tf").alias("tfs"), each("len").alias("lens"), each("play").alias("plays"), each("positions").alias("positions"))
+    bounds = {"lo": F.array_min("ords"), "hi": F.array_max("ords"), "least_tf": F.array_min("tfs"), "most_tf": F.array_max("tfs"), "least_len": F.array_min("lens"), "most_len": F.array_max("lens")}
+    blocks = blocks.withColumns(bounds).sortWithinPartitions("bucket", "span", "term", "slice")
+    with grouped_by_sort(rows.sparkSession):
+        blocks.write.options(**DELTA).partitionBy("bucket", "span").parquet(f"{path}/blocks/segment={segment}")
+    return segment, buckets, spans
+
+
+def _segment(corpus: DataFrame, path: str, slice_bits: int, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
+    """Write a segment of a corpus. Tokens are made once, and scenes numbered by task and row as they are written, so both tables agree."""
+    segment = uuid.uuid4().hex[:12]
+    own = stored(corpus.select("play_id", "scene_id", "doc_ord", F.shiftright(F.monotonically_increasing_id(), slice_bits).alias("slice"), ws_tokens(F.col("text")).alias("tokens")))
+    scenes = own.select("play_id", "scene_id", "doc_ord", F.size("tokens").cast("bigint").alias("len"))
+    rows = own.where(F.size("tokens") > 0).select(F.col("doc_ord").alias("ord"), F.col("play_id").alias("play"), F.size("tokens").cast("bigint").alias("len"), "slice", F.inline(term_positions(F.col("tokens"))))
+    made = _write(rows, scenes, path, segment, folder_tokens, span_scenes)
+    deleted(corpus.sparkSession, *own.inputFiles())
+    return made
+
+
+def build(corpus: DataFrame, path: str | None = None, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
     """The index of a corpus (play_id, scene_id, scene_num, doc_ord, text), written at ``path`` (else in the checkpoint folder).
 
-    Scene ids are unique. Scenes without tokens stay, with length 0. A scene's postings are made from its own token list; one shuffle
-    brings them to their folders.
+    Scene ids and places (doc_ord) are unique. Scenes without tokens stay, with length 0.
     """
+    path = path or new_path(corpus.sparkSession)
+    return _made_live(corpus.sparkSession, path, [_segment(corpus, path, slice_bits, folder_tokens, span_scenes)], 0)
+
+
+def append(index: Index, corpus: DataFrame, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
+    """The index with the scenes of a corpus in one more segment; nothing that is there is read or written again. The scenes are new ones."""
     spark = corpus.sparkSession
-    path = path or new_path(spark)
-    tokens = corpus.select("play_id", "scene_id", "doc_ord", ws_tokens(F.col("text")).alias("tokens"))
-    tokens.select("play_id", "scene_id", "doc_ord", F.size("tokens").cast("bigint").alias("len")).write.parquet(f"{path}/scenes")
-    rows = tokens.select("play_id", "scene_id", "doc_ord", F.posexplode("tokens").alias("pos", "term"))
-    rows = rows.select("*", bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("scene_id"), F.lit(parts)).alias("part"))
-    rows = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "play_id", "scene_id", "doc_ord").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows = rows.select("term", "play_id", "scene_id", "doc_ord", F.size("positions").cast("bigint").alias("tf"), "positions", "bucket")
-    rows.sortWithinPartitions("bucket", "term", "doc_ord").write.partitionBy("bucket").parquet(f"{path}/postings")
-    return open_index(spark, path, buckets)
+    made = _segment(corpus, index.path, slice_bits, folder_tokens, span_scenes)
+    return _made_live(spark, index.path, [*index.segments, made], _last_version(spark, index.path) + 1)
+
+
+def merge(index: Index, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
+    """The index with all segments in one, scenes numbered anew by their places; files of the old ones go once the new version stands."""
+    spark, segment = index.blocks.sparkSession, uuid.uuid4().hex[:12]
+    placed = index.scenes.drop("segment").repartitionByRange("doc_ord").sortWithinPartitions("doc_ord")
+    own = stored(placed.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), slice_bits)))
+    entries = index.entries(index.blocks, "plays", "lens", "positions").withColumnRenamed("position", "positions")
+    rows = entries.join(own.select(F.col("doc_ord").alias("ord"), "slice"), "ord")
+    made = _write(rows, own.drop("slice"), index.path, segment, folder_tokens, span_scenes)
+    merged = _made_live(spark, index.path, [made], _last_version(spark, index.path) + 1)
+    deleted(spark, *own.inputFiles(), *[f"{index.path}/{kind}/segment={s}/x" for kind in ("blocks", "scenes") for s, *_ in index.segments])
+    return merged

@@ -1,5 +1,11 @@
+import random
+from collections import Counter
+from pathlib import Path
+from urllib.parse import urlsplit
+
 import pytest
 
+from scriptorium.functions.scratch import scratch
 from scriptorium.operators import evaluation, graph
 
 EDGES = [("A", "B"), ("A", "C"), ("B", "C"), ("C", "A"), ("C", "A"), ("C", "D")]
@@ -15,6 +21,56 @@ def test_pagerank(spark):
     assert trace[-1] == (7, pytest.approx(0.002903802, abs=1e-9))
 
 
+def ranks_by_loops(edges, rounds, lam=0.2):
+    pages = sorted({p for e in edges for p in e})
+    out, rank = Counter(s for s, _ in edges), {p: 1 / len(pages) for p in pages}
+    for _ in range(rounds):
+        lost = sum(r for p, r in rank.items() if not out[p])
+        after = {p: lam / len(pages) + (1 - lam) * lost / len(pages) for p in pages}
+        for s, d in edges:
+            after[d] += (1 - lam) * rank[s] / out[s]
+        rank = after
+    return rank
+
+
+def test_edges_of_a_hot_source_are_parted(spark):
+    rng = random.Random(2)
+    edges = [("hub", f"n{i}") for i in range(300)] + [(f"n{rng.randrange(300)}", rng.choice(["hub", "n1", f"n{rng.randrange(300)}"])) for _ in range(300)]
+    table = spark.createDataFrame(edges, "src string, dst string")
+    ranks, trace = graph.pagerank(table, max_iter=5, tau=0.0, most=20)
+    assert {r.page: r.rank for r in ranks.collect()} == pytest.approx(ranks_by_loops(edges, 5), abs=1e-12)
+    assert len(trace) == 5
+    degree = graph.out_degree(table).selectExpr("*", "cast(ceil(cnt / 20) as int) parts")
+    assert graph.weighted(table, degree, 20).where("src = 'hub'").select("part").distinct().count() == 15
+
+
+def test_edges_stay_in_their_buckets(spark):
+    edges = spark.createDataFrame(EDGES, "src string, dst string")
+    degree = graph.out_degree(edges).selectExpr("*", "1 parts")
+    state = graph.nodes(edges).selectExpr("page", "1 parts", "0.25D rank").repartition(3).checkpoint()
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        with graph.bucketed(graph.weighted(edges, degree), 4, "src", "part") as weights:
+            plan = graph.contributions(weights, state)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    above = plan[: next(i for i, line in enumerate(plan) if "bucketed_" in line or "SelectedBucketsCount" in line) + 1]
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert [line for line in above[join:] if "Exchange" in line and "rank" not in line] == []
+    assert any("SelectedBucketsCount: 4 out of 4" in line for line in plan)
+
+
+def test_only_the_last_ranks_are_kept(spark):
+    folder = Path(urlsplit(scratch(spark)).path)
+    before = set(folder.iterdir())
+    graph.pagerank(spark.createDataFrame(EDGES, "src string, dst string"))
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 def test_links(spark):
     edges = spark.createDataFrame([(*e, i) for i, e in enumerate(EDGES)], "src string, dst string, ord int")
     assert [(r.page, r.rank, r.cnt) for r in graph.top_inlinks(edges).collect()] == [("C", 1, 2), ("A", 2, 2), ("B", 3, 1), ("D", 4, 1)]

@@ -1,8 +1,13 @@
+import math
+import random
+from collections import Counter, defaultdict
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 
 from scriptorium.operators import boolean, ranking
-from scriptorium.operators.index import build, open_index
+from scriptorium.operators.index import append, build, merge, open_index
 
 SCENES = [
     ("p1", "p1:1", 0, 0, "to be or not to be"), ("p1", "p1:2", 1, 1, "lady macbeth sleeps"),
@@ -12,7 +17,7 @@ MORE = [("p3", "p3:1", 4, 4, "lady waits"), ("p3", "p3:2", 5, 5, "hail macbeth")
 SCHEMA = "play_id string, scene_id string, scene_num long, doc_ord long, text string"
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def index(spark):
     return build(spark.createDataFrame(SCENES, SCHEMA))
 
@@ -21,16 +26,18 @@ def boole(spark, level, op, *units):
     return spark.createDataFrame([("q", level, op, i, u.split()) for i, u in enumerate(units)], "qname string, level string, op string, unit_no int, unit array<string>")
 
 
-@pytest.mark.parametrize(
-    ("level", "op", "units", "expected"),
-    [
-        ("scene", "and", ["to be", "not"], ["p1:1", "p2:1"]), ("scene", "AND", ["lady macbeth"], ["p1:2"]), ("scene", "and", ["lady", "macbeth"], ["p1:2", "p2:1", "p2:2"]),
-        ("scene", "or", ["lady", "to"], ["p1:1", "p1:2", "p2:1", "p2:2"]), ("scene", "and", ["lady macbeth", "zzz"], []), ("scene", "or", ["sleeps", "zzz", "yyy"], ["p1:2"]),
-        ("play", "and", ["lady macbeth"], ["p1"]), ("scene", "and", ["to be or not to be"], ["p1:1"]), ("scene", "and", ["to be to"], []),
-    ],
-)
-def test_boolean(spark, index, level, op, units, expected):
-    assert [r.unit_id for r in boolean.search(index, boole(spark, level, op, *units)).orderBy("ord").collect()] == expected
+ASKED = [
+    ("scene", "and", ["to be", "not"], ["p1:1", "p2:1"]), ("scene", "AND", ["lady macbeth"], ["p1:2"]), ("scene", "and", ["lady", "macbeth"], ["p1:2", "p2:1", "p2:2"]),
+    ("scene", "or", ["lady", "to"], ["p1:1", "p1:2", "p2:1", "p2:2"]), ("scene", "and", ["lady macbeth", "zzz"], []), ("scene", "or", ["sleeps", "zzz", "yyy"], ["p1:2"]),
+    ("play", "and", ["lady macbeth"], ["p1"]), ("scene", "and", ["to be or not to be"], ["p1:1"]), ("scene", "and", ["to be to"], []),
+]
+
+
+def test_boolean(spark, index):
+    rows = [(f"q{q}", level, op, i, u.split()) for q, (level, op, units, _) in enumerate(ASKED) for i, u in enumerate(units)]
+    found = boolean.search(index, spark.createDataFrame(rows, "qname string, level string, op string, unit_no int, unit array<string>")).orderBy("ord").collect()
+    for q, (*_, expected) in enumerate(ASKED):
+        assert [r.unit_id for r in found if r.qname == f"q{q}"] == expected, ASKED[q]
 
 
 def test_phrase_does_not_cross_scenes(spark):
@@ -44,33 +51,141 @@ def test_unknown_op_and_level_raise(spark, index):
             boolean.search(index, boole(spark, level, op, "to")).collect()
 
 
-def ask(spark, level, model, *terms):
-    return spark.createDataFrame([("q", level, model, i, t) for i, t in enumerate(terms)], "qname string, level string, model string, qpos int, term string")
+RANKED = [
+    ("bm25", "scene", ["sleeps", "be"], [("p1:2", 0.987304), ("p1:1", 0.0), ("p2:1", 0.0)]), ("bm25", "scene", ["to", "to", "or"], [("p1:1", 0.706948), ("p2:1", 0.0)]),
+    ("bm25", "play", ["sleeps", "lady"], [("p1", -1.565051), ("p2", -2.422427)]), ("ql", "scene", ["sleeps", "be"], [("p1:2", -4.525884), ("p1:1", -4.570912), ("p2:1", -4.592834)]),
+    ("ql", "scene", ["to", "to", "or"], [("p1:1", -6.219106), ("p2:1", -6.328738)]), ("ql", "play", ["sleeps", "lady", "zzz"], [("p1", -4.550347), ("p2", -4.586476)]),
+]
 
 
-@pytest.mark.parametrize(
-    ("model", "level", "terms", "expected"),
-    [
-        ("bm25", "scene", ["sleeps", "be"], [("p1:2", 0.987304), ("p1:1", 0.0), ("p2:1", 0.0)]), ("bm25", "scene", ["to", "to", "or"], [("p1:1", 0.706948), ("p2:1", 0.0)]),
-        ("bm25", "play", ["sleeps", "lady"], [("p1", -1.565051), ("p2", -2.422427)]), ("ql", "scene", ["sleeps", "be"], [("p1:2", -4.525884), ("p1:1", -4.570912), ("p2:1", -4.592834)]),
-        ("ql", "scene", ["to", "to", "or"], [("p1:1", -6.219106), ("p2:1", -6.328738)]), ("ql", "play", ["sleeps", "lady", "zzz"], [("p1", -4.550347), ("p2", -4.586476)]),
-    ],
-)
-def test_ranking(spark, index, model, level, terms, expected):
-    rows = (ranking.bm25 if model == "bm25" else ranking.ql)(index, ask(spark, level, model, *terms)).orderBy("rank").collect()
-    assert [r.unit_id for r in rows] == [u for u, _ in expected]
-    assert [r.score for r in rows] == pytest.approx([s for _, s in expected], abs=1e-6)
+def test_ranking(spark, index):
+    rows = [(f"q{q}", level, model, i, t) for q, (model, level, terms, _) in enumerate(RANKED) for i, t in enumerate(terms)]
+    table = spark.createDataFrame(rows, "qname string, level string, model string, qpos int, term string")
+    found = ranking.bm25(index, table).union(ranking.ql(index, table)).orderBy("rank").collect()
+    for q, (*_, expected) in enumerate(RANKED):
+        own = [r for r in found if r.qname == f"q{q}"]
+        assert [r.unit_id for r in own] == [u for u, _ in expected]
+        assert [r.score for r in own] == pytest.approx([s for _, s in expected], abs=1e-6)
 
 
 def test_stored_index_is_read_by_folders(spark, tmp_path):
     path = str(tmp_path / "index")
-    build(spark.createDataFrame(SCENES + MORE, SCHEMA), path, buckets=5)
-    index = open_index(spark, path, buckets=5)
+    build(spark.createDataFrame(SCENES + MORE, SCHEMA), path)
+    index = open_index(spark, path)
     terms = spark.createDataFrame([("lady",), ("zzz",)], "term string")
-    assert sorted((r.term, r.scene_id, r.tf) for r in index.of_terms(terms).collect()) == [("lady", s, 1) for s in ("p1:2", "p2:1", "p2:2", "p3:1")]
-    plan = index.of_terms(terms)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.term, r.scene_id) for r in index.postings(terms).collect()) == [("lady", s) for s in ("p1:2", "p2:1", "p2:2", "p3:1")]
+    plan = index.of_terms(terms).select("term", "n")._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
-    assert "text" not in plan.split("ReadSchema")[-1]
+    assert "positions" not in plan.split("ReadSchema")[-1]
+
+
+def random_scenes(rng, n, first=0, words="abcdefgh"):
+    weights = [2.0**-i for i in range(len(words))]
+    texts = (" ".join(rng.choices(words, weights, k=rng.choice([0, 1, 3, 12, 40]))) for _ in range(n))
+    return [(f"p{rng.randrange(5)}", f"s{i}", i, i * 7, t) for i, t in enumerate(texts, first)]
+
+
+def as_rows(index):
+    return sorted((r.term, r.play_id, r.scene_id, r.doc_ord, tuple(r.positions)) for r in index.postings().collect())
+
+
+def test_appended_and_merged_segments_are_one_build(spark, tmp_path):
+    rng = random.Random(1)
+    rows = random_scenes(rng, 400)
+    parts = [spark.createDataFrame(rows[a:b], SCHEMA) for a, b in ((150, 400), (0, 90), (90, 150))]
+    whole = build(spark.createDataFrame(rows, SCHEMA).repartition(3), slice_bits=4, span_scenes=100)
+    path = str(tmp_path / "index")
+    index = append(append(build(parts[0], path, slice_bits=3), parts[1], slice_bits=5), parts[2])
+    assert len(index.segments) == 3
+    asked = [boole(spark, "scene", op, *units).replace("q", name, "qname") for name, op, units in (("x", "and", ("a b", "c")), ("y", "or", ("h g", "d e a")), ("z", "and", ("f", "a")))]
+    asked = asked[0].union(asked[1]).union(asked[2])
+    found = [sorted(map(tuple, boolean.search(i, asked).collect())) for i in (whole, index)]
+    assert found[0] == found[1]
+    assert found[0]
+    assert as_rows(index) == as_rows(whole)
+    merged = merge(index, slice_bits=4)
+    assert len(merged.segments) == 1
+    assert as_rows(merged) == as_rows(open_index(spark, path)) == as_rows(whole)
+    assert sorted(map(tuple, boolean.search(merged, asked).collect())) == found[0]
+    assert len(list(Path(path, "blocks").glob("segment=*"))) == 1
+    for r in merged.blocks.collect():
+        assert (r.n, r.lo, r.hi, r.least_tf, r.most_tf) == (len(r.ords), min(r.ords), max(r.ords), min(r.tfs), max(r.tfs))
+        assert r.n <= 16
+        assert r.ords == sorted(r.ords)
+
+
+def test_a_word_of_every_scene_goes_to_many_folders(spark):
+    index = build(spark.createDataFrame([("p", f"s{i}", i, i, "the") for i in range(640)], SCHEMA).coalesce(1), slice_bits=4, span_scenes=40, folder_tokens=10)
+    blocks = index.blocks.where("term = 'the'")
+    assert blocks.count() == 40
+    assert (index.segments[0][2], blocks.select("span").distinct().count() >= 12) == (16, True)
+
+
+def test_blocks_without_a_meeting_are_not_read(spark):
+    rows = [("p", f"s{i}", i, i, "the rare pair" if i in (70, 333) else "the") for i in range(640)]
+    index = build(spark.createDataFrame(rows, SCHEMA).coalesce(1), slice_bits=4)
+    asked = boole(spark, "scene", "and", "the", "rare").union(boole(spark, "scene", "or", "the", "rare").replace("q", "o", "qname")).union(boole(spark, "play", "and", "the rare", "the").replace("q", "p", "qname"))
+    found = {r.qname: (r.blocks, r.read) for r in boolean.skipped(index, asked).collect()}
+    assert found == {"q": (42, 4), "o": (42, 42), "p": (82, 44)}
+    assert [r.unit_id for r in boolean.search(index, asked.where("qname = 'q'")).orderBy("ord").collect()] == ["s70", "s333"]
+
+
+def by_loops(rows, units, op, level):
+    """Units that have the words and phrases, scene by scene."""
+    have = defaultdict(set)
+    for play, scene, _, _, text in rows:
+        ws = text.split()
+        for i, u in enumerate(units):
+            if any(ws[k : k + len(u.split())] == u.split() for k in range(len(ws))):
+                have[play if level == "play" else scene].add(i)
+    return {u for u, got in have.items() if op == "or" or len(got) == len(units)}
+
+
+def test_boolean_against_loops(spark):
+    rng = random.Random(5)
+    rows = random_scenes(rng, 300, words="abcdefghij")
+    index = build(spark.createDataFrame(rows, SCHEMA).repartition(4), slice_bits=3)
+    asked = {}
+    for i in range(48):
+        units = [" ".join(rng.choices("abcdefghijz", k=rng.choice([1, 1, 2, 3]))) for _ in range(rng.randint(1, 3))]
+        asked[f"q{i}"] = (["scene", "play"][i % 2], rng.choice(["and", "or"]), units)
+    table = spark.createDataFrame([(q, level, op, i, u.split()) for q, (level, op, us) in asked.items() for i, u in enumerate(us)], "qname string, level string, op string, unit_no int, unit array<string>")
+    found = defaultdict(list)
+    for r in boolean.search(index, table).orderBy("qname", "ord").collect():
+        found[r.qname].append(r.unit_id)
+    for q, (level, op, units) in asked.items():
+        assert set(found[q]) == by_loops(rows, units, op, level), (op, units)
+        assert len(found[q]) == len(set(found[q]))
+        if op == "or":
+            assert found[q] == sorted(found[q])
+
+
+def bm25_by_loops(rows, terms, k):
+    docs = {s: Counter(t.split()) for _, s, _, _, t in rows}
+    size, mean = {s: sum(c.values()) for s, c in docs.items()}, sum(sum(c.values()) for c in docs.values()) / len(docs)
+    n, qf = {t: sum(t in c for c in docs.values()) for t in terms}, Counter(terms)
+    scores = {}
+    for s, c in docs.items():
+        own = [t for t in qf if c[t]]
+        if own:
+            scores[s] = sum(math.log((len(docs) - n[t] + 0.5) / (n[t] + 0.5)) * 2.8 * c[t] / (1.8 * (0.25 + 0.75 * size[s] / mean) + c[t]) * 6 * qf[t] / (5 + qf[t]) for t in own)
+    return sorted(scores.values(), reverse=True)[:k]
+
+
+def test_only_blocks_that_can_be_among_the_best_are_scored(spark):
+    rng = random.Random(9)
+    rows = random_scenes(rng, 900, words="abcdefghijkl")
+    index = build(spark.createDataFrame(rows, SCHEMA).coalesce(2), slice_bits=3)
+    asked = {"one": ["h"], "both": ["a", "j", "k"], "common": ["a", "b"], "all": ["a", "a", "c", "f", "zzz"]}
+    table = spark.createDataFrame([(q, "scene", "bm25", i, t) for q, ts in asked.items() for i, t in enumerate(ts)], "qname string, level string, model string, qpos int, term string")
+    for k in (1, 20):
+        found = defaultdict(list)
+        for r in ranking.bm25(index, table, k=k).orderBy("qname", "rank").collect():
+            found[r.qname].append(r.score)
+        for q, ts in asked.items():
+            assert found[q] == pytest.approx(bm25_by_loops(rows, ts, k), abs=1e-9), (q, k)
+    blocks = {r.qname: (r.blocks, r.scored) for r in ranking.skipped(index, table, k=1).collect()}
+    assert all(scored < n for n, scored in blocks.values()), blocks
 
 
 def test_many_hits_are_numbered_in_order(spark):
