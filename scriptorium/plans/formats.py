@@ -3,7 +3,7 @@ writer has written, line by line. Their SQL starts from the tables."""
 
 from __future__ import annotations
 
-import inspect
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +18,6 @@ from scriptorium.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Functions whose arguments have defaults, and these.
-DEFAULTS = {
-    "top_terms": (text.top_terms, {"n": 300}), "bm25": (ranking.bm25, {"k1": 1.8, "k2": 5.0, "b": 0.75, "k": 100}), "ql": (ranking.ql, {"mu": 250.0, "k": 100}),
-    "pagerank": (graph.pagerank, {"lam": 0.2, "tau": 0.005}), "top_pages": (graph.top_pages, {"k": 100}), "top_inlinks": (graph.top_inlinks, {"k": 100}), "ideal": (evaluation.ideal, {"k": 75}),
-}
 EMPTY = {"em1": ("scene", "and", ["the", "zzzunknown"]), "em2": ("scene", "or", ["scum"])}
 
 
@@ -101,8 +96,20 @@ def src_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, k, float(inspect.signature(f).parameters[k].default)) for name, (f, wanted) in DEFAULTS.items() for k in wanted]
-    return spark.createDataFrame(rows, "function string, argument string, value double")
+    """(function, item, value) of functions that are given nothing but tables: their arguments are the defaults."""
+    index, edges = queries.index(spark, sf_dir), readers.page_edges(spark, sf_dir)
+    unit = F.concat_ws(" ", "qname", "unit_id")
+    found = {
+        "top_terms": (text.top_terms(text.token_rows(queries.texts(spark, sf_dir)), term="token", to=text.stem), F.col("term"), F.col("cnt")),
+        "bm25": (ranking.bm25(index, queries.ranked_table(spark, queries.RANKED["bm25_scene"])), unit, F.round("score", 6)),
+        "ql": (ranking.ql(index, queries.ranked_table(spark, queries.RANKED["ql_scene"])), unit, F.round("score", 6)),
+        "pagerank": (graph.pagerank(edges)[0], F.col("page"), F.round("rank", 9)),
+        "top_inlinks": (graph.top_inlinks(edges), F.col("page"), F.col("cnt")),
+        "top_pages": (graph.top_pages(graph.out_degree(edges), "cnt"), F.col("page"), F.col("rank")),
+        "ideal": (queries.eval_ideal(spark, sf_dir), F.col("qid"), F.round("idcg", 6)),
+    }
+    rows = [df.select(F.lit(name).alias("function"), item.alias("item"), value.cast("double").alias("value")) for name, (df, item, value) in found.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 def snk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +184,17 @@ def sql(found: dict[str, str]) -> dict[str, str]:
     stems = f"WITH {oracle.tokenized('benchmark', 'item_id', 'text')}, kept AS (SELECT * FROM tok WHERE {stop}), {oracle.stemmed('kept', 'token', 'item_id, pos')}"
     run = oracle.ranked(queries.RANKED["bm25_scene"]).replace("round(score, 6)", "score")
     fixed = "format('{:.6f}', CASE WHEN abs(score) < 5e-7 THEN 0.0 ELSE score END)"
-    names = ", ".join(f"({i}, '{m}', '{a}', '{b}')" for i, (m, (a, b)) in enumerate(sinks.NAMES.items()))
-    pick = "CASE m " + " ".join(f"WHEN '{m}' THEN {m}" for m in sinks.NAMES) + " END"
-    defaults = ", ".join(f"('{n}', '{k}', {float(v)}::DOUBLE)" for n, (_, wanted) in DEFAULTS.items() for k, v in wanted.items())
+    # Labels of a query's metrics and of their means, spelled out here and not taken from the writer.
+    names = """(0, 'ndcg75', 'NDCG@75', 'NDCG@75'), (1, 'rr', 'RR', 'MRR'), (2, 'p15', 'P@15', 'P@15'), (3, 'r20', 'R@20', 'R@20'),
+        (4, 'f1_25', 'F1@25', 'F1@25'), (5, 'ap', 'AP', 'MAP')"""
+    pick = "CASE m " + " ".join(f"WHEN '{m}' THEN {m}" for m in ("ndcg75", "rr", "p15", "r20", "f1_25", "ap")) + " END"
+    values = {
+        "top_terms": ("top_terms", "term", "cnt"), "bm25": ("bm25_scene", "concat_ws(' ', qname, unit_id)", "score"), "ql": ("ql_scene", "concat_ws(' ', qname, unit_id)", "score"),
+        "pagerank": ("pagerank_pages", "page", "rank"), "top_inlinks": ("top_inlinks", "page", "cnt"), "ideal": ("eval_ideal", "qid", "round(idcg, 6)"),
+    }
+    defaults = [f"SELECT '{name}' AS function, {item} AS item, CAST({value} AS DOUBLE) AS value FROM ({found[query]})" for name, (query, item, value) in values.items()]
+    most = f"SELECT page, row_number() OVER (ORDER BY cnt DESC, page) AS rank FROM ({found['out_degree']}) ORDER BY rank LIMIT 100"
+    defaults.append(f"SELECT 'top_pages' AS function, page AS item, CAST(rank AS DOUBLE) AS value FROM ({most})")
     return {
         "src_stopwords": "SELECT p_name AS word FROM part",
         "src_lines": "WITH a AS (SELECT string_split(string_agg(text, chr(10) ORDER BY item_id), chr(10)) AS l FROM benchmark) SELECT CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line FROM a",
@@ -191,7 +206,7 @@ def sql(found: dict[str, str]) -> dict[str, str]:
         "src_edges": f"WITH {oracle.LINKS} SELECT src, dst FROM e WHERE NOT regexp_matches(dst, '[\\t\\r\\n]')",
         "src_run": f"SELECT qname AS qid, unit_id AS doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, row_number() OVER (ORDER BY qname, rank) AS no FROM ({run})",
         "src_qrels": "SELECT 'q' AS qid, CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality * 2 - toxic AS DOUBLE) AS rel FROM labels",
-        "src_defaults": f"SELECT * FROM (VALUES {defaults}) x(function, argument, value)",
+        "src_defaults": " UNION ALL ".join(defaults),
         "snk_tokens": f"{stems} SELECT row_number() OVER (ORDER BY item_id, pos) AS no, stem AS line FROM st",
         "snk_term_counts": f"SELECT row_number() OVER (ORDER BY cnt DESC, f) AS no, concat(term, ' ', cnt) AS line FROM ({found['top_terms'].replace('SELECT term, cnt FROM', 'SELECT term, cnt, f FROM')})",
         "snk_vocabulary": f"""{stems}, firsts AS (SELECT stem, row_number() OVER (ORDER BY item_id, pos) AS n, row_number() OVER (PARTITION BY stem ORDER BY item_id, pos) AS k FROM st)

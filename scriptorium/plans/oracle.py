@@ -16,8 +16,9 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'" if not set(value) & set("\r\n") else "concat(" + ", ".join(f"chr({ord(c)})" for c in value) + ")"
 
 
-def rows(values: list[str]) -> str:
-    return "v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {quoted(v)})" for i, v in enumerate(values)) + ") x(no, value))"
+def lined(heads: list[str], rest: str, before: str = "''") -> str:
+    """A line for each part, one of ``heads`` in turn."""
+    return f"v AS (SELECT p_partkey AS no, concat({before}, ([{', '.join(quoted(h) for h in heads)}])[p_partkey % {len(heads)} + 1], {rest}) AS value FROM part)"
 
 
 def word_list(word: str) -> str:
@@ -130,7 +131,7 @@ def sql(booleans: dict, ranks: dict, lines: list[str], honorifics: list[str], wo
     stop = "token NOT IN (" + ", ".join(f"'{w}'" for w in stopwords) + ")"
     stems = f"WITH {docs}, kept AS (SELECT * FROM tok WHERE {stop}), {stemmed('kept', 'token', 'doc_id, pos')}"
     each = lambda c, t: f"SELECT doc_id, count(*) AS n, count(DISTINCT {c}) AS different, md5(string_agg({c}, ' ' ORDER BY pos)) AS digest FROM {t} GROUP BY doc_id"
-    listed = lambda v: f"WITH {rows(v)}, {tokenized('v', 'no, value', 'value')} SELECT v.no, v.value, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens FROM v LEFT JOIN tok ON v.no = tok.no GROUP BY ALL"
+    listed = lambda v, rest: f"WITH {lined(v, rest)}, {tokenized('v', 'no, value', 'value')} SELECT v.no, v.value, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens FROM v LEFT JOIN tok ON v.no = tok.no GROUP BY ALL"
     base = f"WITH {CORPUS}, {TOKENS}"
     level = lambda name, key: f"SELECT '{name}' AS level, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS total_terms, avg(n) AS avdl FROM (SELECT {key}, sum(len(w)) AS n FROM s GROUP BY 1)"
     stats = f"{level('scene', 'scene_id')} UNION ALL {level('play', 'play_id')}"
@@ -140,14 +141,15 @@ def sql(booleans: dict, ranks: dict, lines: list[str], honorifics: list[str], wo
         "tok_tokens": f"WITH {docs} {each('token', 'tok')}",
         "tok_stopped": f"WITH {docs}, kept AS (SELECT * FROM tok WHERE {stop}) {each('token', 'kept')}",
         "tok_stems": f"{stems} {each('stem', 'st')}",
-        "tok_words_literal": listed(lines),
-        "tok_honorific_literal": listed(honorifics),
-        "tok_stem_literal": f"WITH {rows(words)}, {stemmed('v', 'value', 'no')} SELECT no, token AS value, stem FROM st",
+        "tok_words_literal": listed(lines, "' ', p_name, '''s $', CAST(p_retailprice AS DECIMAL(12, 2))"),
+        "tok_honorific_literal": listed(honorifics, "' ', p_name, chr(13), chr(10), 'Ms. ', p_brand"),
+        "tok_stem_literal": f"WITH {lined(words, chr(39) * 2, before="split_part(p_name, ' ', 1)")}, {stemmed('v', 'value', 'no')} SELECT no, token AS value, stem FROM st",
         "top_terms": f"{stems} SELECT term, cnt FROM (SELECT stem AS term, count(*) AS cnt, min({{'d': doc_id, 'p': pos}}) AS f FROM st GROUP BY 1 ORDER BY cnt DESC, f LIMIT 300)",
         "vocab_growth": f"""{stems}, f AS (SELECT doc_id, row_number() OVER (PARTITION BY stem ORDER BY doc_id, pos) AS k FROM st),
             d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (k = 1) AS m FROM f GROUP BY 1)
             SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS word_count, CAST(sum(m) OVER (ORDER BY doc_id) AS BIGINT) AS unique_count FROM d""",
         "postings": f"{base} SELECT term, play_id, scene_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY term, play_id, scene_id",
+        "postings_merged": f"{base} SELECT term, play_id, scene_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY term, play_id, scene_id",
         "unit_tf": f"{base} SELECT term, play_id AS unit_id, count(*) AS tf, min(doc_ord) AS first_ord FROM t GROUP BY 1, 2",
         "doc_lengths": f"{base} SELECT scene_id AS unit_id, CAST(sum(len(w)) AS BIGINT) AS len FROM s GROUP BY 1",
         "group_lengths": f"{base} SELECT play_id AS unit_id, CAST(sum(len(w)) AS BIGINT) AS len FROM s GROUP BY 1",

@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
 from scriptorium.operators import boolean, evaluation, graph, ranking
-from scriptorium.operators.index import Index, build
+from scriptorium.operators.index import Index, append, build, merge
 from scriptorium.plans import oracle
 from scriptorium.sources import readers
 
@@ -26,16 +26,18 @@ BOOLEAN = {
     "bool_phrase_and_term": {"pt1": ("scene", "and", ["of the", "and", "is a"]), "pt2": ("scene", "and", ["in the", "the"])},
     "bool_phrase_or_term": {"po1": ("scene", "or", ["is the of", "trash"]), "po2": ("scene", "or", ["der die", "die der"])},
     "bool_phrase_play": {"pp1": ("play", "and", ["the of the", "idiot"]), "pp2": ("play", "or", ["stupid the", "the stupid"])},
+    "bool_rare_common": {"rc1": ("scene", "and", ["the", "of", "achlicher"]), "rc2": ("scene", "and", ["the of", "bomentera"]), "rc3": ("scene", "or", ["the of the", "achlicher"])},
     "bool_unknown_term": {"un1": ("scene", "and", ["the", "zzzunknown"]), "un2": ("scene", "or", ["scum", "zzzunknown", "zzzother"])},
 }
 RANKED = {
     "bm25_scene": {"b1": ("scene", "bm25", ["the", "stupid", "of"]), "b2": ("scene", "bm25", ["idiot", "trash", "idiot"]), "b3": ("scene", "bm25", ["der", "zzzunknown", "und"])},
+    "bm25_rare_common": {"w1": ("scene", "bm25", ["the", "achlicher"]), "w2": ("scene", "bm25", ["scum", "of", "and", "bomentera"]), "w3": ("scene", "bm25", ["the", "the", "and"])},
     "bm25_play": {"p1": ("play", "bm25", ["the", "idiot"]), "p2": ("play", "bm25", ["bomentera", "scum", "achlicher"])},
     "ql_scene": {"q1": ("scene", "ql", ["the", "stupid", "of"]), "q2": ("scene", "ql", ["idiot", "trash"]), "q3": ("scene", "ql", ["zzzunknown", "scum"])},
     "ql_play": {"r1": ("play", "ql", ["the", "idiot"]), "r2": ("play", "ql", ["bomentera", "scum"])},
     "ql_duplicate_term": {"d1": ("scene", "ql", ["idiot", "the", "idiot"])},
 }
-#: Strings with every special case of the tokenizer, and words with every one of the stemmer.
+#: What lines made of the columns of parts begin with: every special case of the tokenizer; and what their words end with: every one of the stemmer.
 LINES = [
     "A.B.C.'s", "Ph.D.", "U.S.A.", "www.google.com", "u.s.army", "a.bc", "3.14", "3.1", "a..b", ".a.b", "a.b.cd", "it's", "été",
     "x-y_z", "", "...", "Café.s", "a.b", "ab.c.d",
@@ -50,8 +52,10 @@ WORDS = (
 ).split()
 
 
-def values(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "no bigint, value string")
+def lined(spark: SparkSession, sf_dir: str, heads: list[str], rest: Column) -> DataFrame:
+    """(no, value): a line for each part, one of ``heads`` in turn and then ``rest`` of its columns."""
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("p_partkey") % len(heads) + 1).cast("int"))
+    return readers.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("no"), F.concat(head, rest).alias("value"))
 
 
 def boolean_table(spark: SparkSession, queries: dict) -> DataFrame:
@@ -76,8 +80,8 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _built(spark.sparkContext.applicationId, (sf_dir, *files))
 
 
-def lists(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return values(spark, rows).select("no", "value", F.array_join(text.tokenize(F.col("value")), " ").alias("tokens"))
+def lists(rows: DataFrame) -> DataFrame:
+    return rows.select("no", "value", F.array_join(text.tokenize(F.col("value")), " ").alias("tokens"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,15 +110,16 @@ def tok_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tok_words_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists(spark, LINES)
+    return lists(lined(spark, sf_dir, LINES, F.concat(F.lit(" "), "p_name", F.lit("'s $"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"))))
 
 
 def tok_honorific_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists(spark, HONORIFICS)
+    return lists(lined(spark, sf_dir, HONORIFICS, F.concat(F.lit(" "), "p_name", F.lit("\r\nMs. "), "p_brand")))
 
 
 def tok_stem_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, WORDS).select("no", "value", text.stem(F.col("value")).alias("stem"))
+    rows = lined(spark, sf_dir, [""], F.substring_index("p_name", " ", 1)).select("no", F.concat("value", F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("no") % len(WORDS) + 1).cast("int"))).alias("value"))
+    return rows.select("no", "value", text.stem(F.col("value")).alias("stem"))
 
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +134,15 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).postings().select("term", "play_id", "scene_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
+def postings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of an index whose second half has been appended, and merged with the first."""
+    corpus = readers.documents_corpus(spark, sf_dir)
+    half = corpus.agg(F.percentile_approx("doc_ord", 0.5)).first()[0]
+    later = F.coalesce(F.col("doc_ord") > half, F.lit(False))
+    own = merge(append(build(corpus.where(~later)), corpus.where(later)))
+    return own.postings().select("term", "play_id", "scene_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
 def unit_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).unit_tf("play")
 
@@ -235,7 +249,7 @@ def qrels_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        tok_tokens, tok_stopped, tok_stems, tok_words_literal, tok_stem_literal, tok_honorific_literal, top_terms, vocab_growth, postings, unit_tf,
+        tok_tokens, tok_stopped, tok_stems, tok_words_literal, tok_stem_literal, tok_honorific_literal, top_terms, vocab_growth, postings, postings_merged, unit_tf,
         doc_lengths, group_lengths, collection_freq, doc_freq, corpus_stats, turn_stats, link_nodes, out_degree, top_inlinks, dangling_pages, pagerank_pages,
         pagerank_multigraph, pagerank_top, pagerank_trace, eval_per_query, eval_summary, eval_ideal, qrels_totals,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators.evaluation import METRICS
 
 #: Metric names in reports: of one query, and of their means.
-NAMES = {"ndcg75": ("NDCG", "NDCG"), "rr": ("RR", "MRR"), "p15": ("P@15", "P@15"), "r20": ("R@20", "R@20"), "f1_25": ("F1@25", "F1@25"), "ap": ("AP", "MAP")}
+NAMES = {"ndcg75": ("NDCG@75", "NDCG@75"), "rr": ("RR", "MRR"), "p15": ("P@15", "P@15"), "r20": ("R@20", "R@20"), "f1_25": ("F1@25", "F1@25"), "ap": ("AP", "MAP")}
 BIG = "decimal(38,0)"
 
 

@@ -41,6 +41,7 @@ def test_sinks(spark, tmp_path):
     run = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 33)], "qid string, doc_id string, rank int")
     metrics = evaluation.per_query(run, spark.createDataFrame([("q", "d32", 1.0)], "qid string, doc_id string, rel double"))
     sinks.report(metrics, evaluation.summary(metrics), str(tmp_path / "report"))
+    assert lines(tmp_path / "report")[0] == "NDCG@75 q 0.2000"
     assert lines(tmp_path / "report")[1] == "RR q 0.0312"
     assert lines(tmp_path / "report")[7] == "MRR  all 0.0312"
     sinks.boolean_results(spark.createDataFrame([("q", 1, "u1"), ("q", 2, "u0")], "qname string, ord long, unit_id string").coalesce(1), str(tmp_path / "bool"))
