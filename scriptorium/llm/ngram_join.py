@@ -280,7 +280,14 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, ngram: int, t
     # A group of no more than a block meets in one tile, whatever its bands.
     all_ = F.array(F.struct(F.xxhash64("label").alias("tile"), F.lit(2).alias("side")))
     tiles = F.when(F.coalesce("whole", F.lit(False)), all_).otherwise(F.concat(own, up, down))
-    dealt = dealt.select("node", F.col("id").alias("id_"), F.col("mark").alias("mark_"), "times", tiles.alias("tiles"))
+    return in_tiles(docs, dealt.withColumn("tiles", tiles), ngram, threshold)
+
+
+def in_tiles(docs: DataFrame, dealt: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(node, low, n_docs, n_sets) of nodes (node, id, mark, times, tiles) whose sets meet in tiles, those of side 0 or 2 with those of side 1
+    or 2: for each tile that a node is in, the least node it is connected with there, and to how many documents and sets of other nodes it
+    is linked there."""
+    dealt = dealt.select("node", F.col("id").alias("id_"), F.col("mark").alias("mark_"), "times", "tiles")
     texts = docs.join(dealt, F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("node", "times", "tiles", "text")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,15 +335,53 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, ngram: int, t
     return rows.mapInArrow(run, "node bigint, low bigint, n_docs bigint, n_sets bigint")
 
 
-def similar_nodes(docs: DataFrame, ngram: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, mark, node) of all documents with words; classes (node, label) of the nodes that have links; (node, times, n_docs, n_sets) of
-    the nodes that other rows share or that have links: their rows, and the documents and sets of other nodes they are linked to."""
+def tile(*key: Column, side: int) -> Column:
+    return F.struct(F.xxhash64(*key).alias("tile"), F.lit(side).alias("side"))
+
+
+def spanning(docs: DataFrame, nodes: DataFrame, groups: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """(a, b): links whose components are those of all links, without looking at all of them.
+
+    Each group's sets meet its leader first, the one that most rows have. What is linked to it is in one component; only the rest then meets
+    the whole group. In a group of copies of one text that is next to nothing, and the work is linear in the group. Groups are cut into
+    blocks, each of which the leader goes to.
+    """
+    members = stored(groups.join(nodes, "node").select("node", "label", "id", "mark", "times", "grams"))
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
+    until = lambda n: F.sequence(F.lit(0), n - 1)
+    sizes = members.groupBy(F.col("label").alias("label_")).agg(blocks().alias("blocks"), F.max(F.struct("times", (-F.col("node")).alias("minus"), "node"))["node"].alias("leader"))
+    dealt = stored(members.join(sizes, F.col("label") == F.col("label_")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("label_"))
+    to_all = F.transform(until(F.col("blocks")), lambda k: tile(F.col("label"), k, side=0))
+    star = stored(in_tiles(docs, dealt.withColumn("tiles", F.when(F.col("node") == F.col("leader"), to_all).otherwise(F.array(tile(F.col("label"), F.col("block"), side=1)))), ngram, threshold))
+    links = star.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    apart = star.where("n_sets = 0").select(F.col("node").alias("node_")).distinct()
+    apart = stored(dealt.where("node <> leader").join(apart, F.col("node") == F.col("node_"), "left_semi").select("node", "label", "grams"))
+    if apart.isEmpty():
+        return links
+    rests = apart.groupBy(F.col("label").alias("label_")).agg(blocks().alias("rests"))
+    whole = dealt.join(rests, F.col("label") == F.col("label_")).join(apart.select(F.col("node").alias("node_"), F.lit(True).alias("rest")), F.col("node") == F.col("node_"), "left")
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("rests")).cast("int")
+    met = F.transform(until(F.col("rests")), lambda k: tile(F.col("label"), k, F.col("block"), side=1))
+    meets = F.transform(until(F.col("blocks")), lambda k: tile(F.col("label"), own, k, side=0))
+    found = in_tiles(docs, whole.withColumn("tiles", F.when(F.col("rest"), F.concat(met, meets)).otherwise(met)), ngram, threshold)
+    return links.union(found.where("node <> low").select("node", "low"))
+
+
+def candidates(docs: DataFrame, ngram: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, mark, node, ...) of all documents with words; (node, at, id, mark, times, grams, buckets, signature) of their different sets;
+    (node, label) of those that may have links, in groups that no link leaves."""
     bands = bands_for(threshold, recall, rows)
     members = stored(nodes_of(docs, ngram, bands, rows))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     nodes = members.groupBy("node").agg(F.min(order).alias("at"), F.count("*").alias("times"), F.first("grams").alias("grams"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature"))
     nodes = stored(nodes.select("node", "at.id", "at.mark", "times", "grams", "buckets", "signature"))
-    groups = candidate_groups(nodes, least_agreeing(bands * rows, threshold), threshold)
+    return members, nodes, candidate_groups(nodes, least_agreeing(bands * rows, threshold), threshold)
+
+
+def similar_nodes(docs: DataFrame, ngram: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, mark, node) of all documents with words; classes (node, label) of the nodes that have links; (node, times, n_docs, n_sets) of
+    the nodes that other rows share or that have links: their rows, and the documents and sets of other nodes they are linked to."""
+    members, nodes, groups = candidates(docs, ngram, threshold, recall, rows)
     found = stored(verified(docs, nodes, groups, ngram, threshold))
     classes = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     linked = found.groupBy(F.col("node").alias("node_")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_sets").alias("n_sets"))
@@ -379,8 +424,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text all stay. Rows without words, and rows whose class has no id at all, stay. Ids are integers; an empty table gives an empty one.
     """
     how = {"ngram": NGRAM, "threshold": THRESHOLD, "recall": RECALL, "rows": ROWS} | how
-    members, classes, _ = similar_nodes(keyed(docs, id_col, text_col), **how)
-    found = labelled_rows(members, classes).where("class_size > 1")
+    rows_ = keyed(docs, id_col, text_col)
+    members, nodes, groups = candidates(rows_, **how)
+    classes = components(spanning(rows_, nodes, groups, how["ngram"], how["threshold"]))
+    found = labelled_rows(members.select("id", "mark", "node"), classes).where("class_size > 1")
     firsts = found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("class_")).agg(F.min("mark").alias("first"))
     joined = found.join(firsts, F.col("class_id") == F.col("class_"), "left").where(F.col("class_id").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("class_id")) | (F.col("mark") != F.col("first"))))
     id_, mark = fresh_names(docs, 2)

@@ -163,7 +163,7 @@ SQL = {
           WHERE take > 0 AND size > 0 GROUP BY p.doc_id)
         SELECT p.doc_id, p.size, t.source_size, t.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, coalesce(slots, '') AS slots
         FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (doc_id)
-    """.replace("{block}", str(mixing.BLOCK_WORDS)).replace("{phi}", f"'{mixing.PHI!r}'::DOUBLE").replace("{step}", f"'{(2**20 * mixing.PHI) % 1.0!r}'::DOUBLE"),
+    """.replace("{block}", "1024").replace("{phi}", "'0.6180339887498949'::DOUBLE").replace("{step}", "(1048576 * '0.6180339887498949'::DOUBLE % 1.0::DOUBLE)"),
 }
 
 

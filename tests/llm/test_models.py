@@ -214,6 +214,30 @@ def test_link_counts(spark, monkeypatch, nodes, signatures):
     found = ngram_join.join_similar(frame(spark, docs)).collect()
     assert {r.doc_id: (r.n_links, r.n_sets) for r in found} == expected
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in found), key=str) == classes(docs)
+    assert sorted(r.doc_id for r in ngram_join.keep_first(frame(spark, docs)).collect()) == sorted({c for _, c, _ in classes(docs)})
+
+
+def test_classes_of_near_copies_take_linear_work(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 20)
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghijklmnop") * 2 + str(k) for k in range(300)]
+    docs = [(0, " ".join(base)), (1, " ".join(base) + " ")]
+    for i in range(2, 400):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        docs.append((i, " ".join(w)))
+    sent, in_tiles = [], ngram_join.in_tiles
+
+    def counted(docs_, dealt, *how):
+        sent.append(dealt.selectExpr("sum(size(tiles)) n").first().n)
+        return in_tiles(docs_, dealt, *how)
+
+    monkeypatch.setattr(ngram_join, "in_tiles", counted)
+    assert [r.doc_id for r in ngram_join.keep_first(frame(spark, docs)).collect()] == [0]
+    assert sum(sent) < 2 * len(docs)
+    ngram_join.join_similar(frame(spark, docs)).count()
+    assert sent[-1] > 10 * len(docs)
 
 
 @pytest.mark.parametrize("signatures", [2, 1024])
@@ -232,6 +256,7 @@ def test_mixed_buckets(spark, monkeypatch, signatures):
     found = ngram_join.join_similar(frame(spark, docs), rows=2).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in found), key=str) == classes(docs)
     assert len({r.class_id for r in found}) > 1
+    assert sorted(r.doc_id for r in ngram_join.keep_first(frame(spark, docs), rows=2).collect()) == sorted({c for _, c, _ in classes(docs)})
 
 
 def test_signatures_lose_nothing():
