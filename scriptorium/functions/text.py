@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import written
+from scriptorium.functions.scratch import stored, written
 
 #: Between an honorific and its word, and after each character of a dotted abbreviation, until the text has been split.
 GLUE, DOT = "\x01", "\x02"
+#: Positions of a document whose running sums are one task's.
+SPAN = 4096
 #: Our own stopwords.
 STOPWORDS = (
     "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so "
@@ -123,11 +125,13 @@ def without(tokens: Column, stopwords: list[str]) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(list(stopwords))) if stopwords else tokens
 
 
-def token_rows(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, token) of the tokens that are not stopwords; pos counts all tokens, from 0."""
-    rows = docs.select(F.col(id_col), F.posexplode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "token"))
+def token_rows(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_col: str | tuple[str, ...] = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, token) of the tokens that are not stopwords; pos counts all tokens, from 0. ``id_col`` may be several columns: lines of
+    files are known by the file and their number, and these and pos are a token's place."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    rows = docs.select(*ids, F.posexplode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "token"))
     if isinstance(stopwords, DataFrame):
-        return rows.join(stopwords.select(F.col(stopwords.columns[0]).alias("token")), "token", "left_anti").select(id_col, "pos", "token")
+        return rows.join(stopwords.select(F.col(stopwords.columns[0]).alias("token")), "token", "left_anti").select(*ids, "pos", "token")
     return rows.where(~F.col("token").isin(list(stopwords))) if stopwords else rows
 
 
@@ -136,7 +140,7 @@ def analyze(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_co
     return token_rows(docs, stopwords, id_col, text_col).withColumn("stem", stem(F.col("token")))
 
 
-def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | None, order: tuple[str, str]) -> DataFrame:
+def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | None, order: tuple[str, ...]) -> DataFrame:
     """(term, cnt, first) of each term; with ``to``, of what it makes of them, worked out once per different term."""
     counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("first"))
     if to is None:
@@ -144,8 +148,9 @@ def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | Non
     return counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
 
 
-def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, str] = ("doc_id", "pos"), to: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(term, cnt, ord): most frequent terms, those that occur first before others of the same count; ord is their order, from 1."""
+def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, ...] = ("doc_id", "pos"), to: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, cnt, ord): most frequent terms, those that occur first before others of the same count; ord is their order, from 1. ``order`` is a
+    token's place: an id and a position, or the file, line and position of texts that have no id."""
     best = firsts_of(tokens, term, to, order).orderBy(F.desc("cnt"), "first").limit(n)
     return best.select("term", "cnt", F.row_number().over(Window.orderBy(F.desc("cnt"), "first")).cast("bigint").alias("ord"))
 
@@ -168,12 +173,20 @@ def vocab_growth(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos
     return counts.join(blocks, "block").select(doc, (F.col("bw") + F.col("words")).alias("word_count"), (F.col("bf") + F.col("fresh")).alias("unique_count"))
 
 
-def vocab_curve(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos: str = "pos") -> DataFrame:
-    """(word_count, unique_count) after every token: the points of ``vocab_growth`` in between."""
+def vocab_curve(tokens: DataFrame, term: str = "stem", doc: str = "doc_id", pos: str = "pos", span: int = SPAN) -> DataFrame:
+    """(word_count, unique_count) after every token: the points of ``vocab_growth`` in between.
+
+    Sums go over documents, over spans of ``span`` positions of a document, and over the tokens of a span, so a very long document is
+    many tasks' work.
+    """
     firsts = tokens.groupBy(term).agg(F.min(F.struct(doc, pos)).alias("first")).select(F.col(f"first.{doc}").alias("d2"), F.col(f"first.{pos}").alias("p2"))
-    marked = tokens.join(firsts, (F.col(doc) == F.col("d2")) & (F.col(pos) == F.col("p2")), "left").withColumn("fresh", F.col("d2").isNotNull().cast("bigint"))
-    ends = vocab_growth(tokens, term, doc, pos)
-    own = marked.groupBy(doc).agg(F.count("*").alias("words"), F.sum("fresh").alias("new"))
-    base = ends.join(own, doc).select(doc, (F.col("word_count") - F.col("words")).alias("w0"), (F.col("unique_count") - F.col("new")).alias("u0"))
-    inside = Window.partitionBy(doc).orderBy(pos)
-    return marked.join(base, doc).select((F.col("w0") + F.row_number().over(inside)).alias("word_count"), (F.col("u0") + F.sum("fresh").over(inside)).alias("unique_count"))
+    marked = tokens.join(firsts, (F.col(doc) == F.col("d2")) & (F.col(pos) == F.col("p2")), "left")
+    marked = stored(marked.select(doc, pos, F.floor(F.col(pos) / span).alias("span"), F.col("d2").isNotNull().cast("bigint").alias("fresh")))
+    sums = marked.groupBy(doc, "span").agg(F.count("*").alias("words"), F.sum("fresh").alias("new"))
+    own = sums.groupBy(doc).agg(F.sum("words").alias("all_words"), F.sum("new").alias("all_new"))
+    base = vocab_growth(tokens, term, doc, pos).join(own, doc).select(doc, (F.col("word_count") - F.col("all_words")).alias("w0"), (F.col("unique_count") - F.col("all_new")).alias("u0"))
+    before = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy(doc).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.select(doc, "span", before("words").alias("w1"), before("new").alias("u1")).join(base, doc)
+    inside = Window.partitionBy(doc, "span").orderBy(pos)
+    words = F.col("w0") + F.col("w1") + F.row_number().over(inside)
+    return marked.join(spans, [doc, "span"]).select(words.alias("word_count"), (F.col("u0") + F.col("u1") + F.sum("fresh").over(inside)).alias("unique_count"))

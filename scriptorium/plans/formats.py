@@ -6,7 +6,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
@@ -21,19 +21,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 EMPTY = {"em1": ("scene", "and", ["the", "zzzunknown"]), "em2": ("scene", "or", ["scum"])}
 
 
-def lines_of(rows: DataFrame, line: Column, *order: str, compression: str = "none") -> str:
+def lines_of(rows: DataFrame, line: Column, *order: str, ending: str = ".txt", compression: str = "none") -> str:
     """Path of one text file of lines, in order."""
-    path = new_path(rows.sparkSession)
-    rows.orderBy(*order).coalesce(1).select(line.alias("line")).write.option("compression", compression).text(path)
+    path = new_path(rows.sparkSession).removesuffix(".parquet") + ending
+    sinks.text(rows.withColumn("line", line), path, *order, compression=compression)
     return path
 
 
 def back(spark: SparkSession, path: str) -> DataFrame:
-    """(no, line) of what has been written to one file or to several whose names sort as their lines do."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    sums = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    starts = sums.select("file", "low", F.expr("coalesce(sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("start"))
-    return rows.join(starts, "file").select((F.col("start") + F.col("at") - F.col("low") + 1).cast("bigint").alias("no"), "line")
+    """(no, line) of what has been written to one file or to several whose names sort as their lines do: by splits, and the files before."""
+    rows = readers.lines(spark, path)
+    sums = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    starts = sums.select("doc_id", F.expr("coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("start"))
+    return rows.join(starts, "doc_id").select((F.col("start") + F.col("line_no") + 1).cast("bigint").alias("no"), "line")
 
 
 def src_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,13 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.lines(spark, lines_of(readers.table(spark, sf_dir, "benchmark"), F.col("text"), "item_id")).select("line_no", "line")
 
 
+def src_file_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top terms of a text file; equal counts go by the place in the file, as there are no ids."""
+    rows = readers.lines(spark, lines_of(readers.table(spark, sf_dir, "benchmark"), F.col("text"), "item_id"))
+    tokens = text.token_rows(rows, id_col=("doc_id", "line_no"), text_col="line")
+    return text.top_terms(tokens, term="token", order=("doc_id", "line_no", "pos"), to=text.stem)
+
+
 def src_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.plain_text(spark, lines_of(readers.table(spark, sf_dir, "benchmark"), F.col("text"), "item_id"))
     return rows.select("text")
@@ -52,10 +59,10 @@ def src_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_file(spark: SparkSession, sf_dir: str) -> str:
     """A compressed file {"corpus": [...]} of the conversations' turns, a turn a line."""
     turns = readers.conversations_corpus(spark, sf_dir)
-    last = turns.agg(F.max("doc_ord")).first()[0]
+    first, last = turns.agg(F.min("doc_ord"), F.max("doc_ord")).first()
     scene = F.to_json(F.struct(F.col("play_id").alias("playId"), F.col("scene_id").alias("sceneId"), F.col("scene_num").alias("sceneNum"), "text"))
-    before = F.when(F.row_number().over(Window.orderBy("doc_ord")) == 1, F.lit('{"corpus": [')).otherwise(F.lit(""))
-    return lines_of(turns, F.concat(before, scene, F.when(F.col("doc_ord") == last, F.lit("]}")).otherwise(F.lit(","))), "doc_ord", compression="gzip")
+    before = F.when(F.col("doc_ord") == first, F.lit('{"corpus": [')).otherwise(F.lit(""))
+    return lines_of(turns, F.concat(before, scene, F.when(F.col("doc_ord") == last, F.lit("]}")).otherwise(F.lit(","))), "doc_ord", ending=".json.gz", compression="gzip")
 
 
 def src_corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +88,13 @@ def src_ranked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.page_edges(spark, sf_dir).where(~F.col("dst").rlike("[\t\r\n]"))
-    return readers.edges(spark, lines_of(rows, F.concat_ws("\t", "src", "dst"), "src", "dst", compression="gzip"))
+    return readers.edges(spark, lines_of(rows, F.concat_ws("\t", "src", "dst"), "src", "dst", ending=".tsv.gz", compression="gzip"))
 
 
 def src_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     sinks.run_file(queries.ranked_run(spark, sf_dir), path)
-    return readers.run_file(spark, path).select("qid", "doc_id", "rank", "score", F.row_number().over(Window.orderBy("ord")).cast("bigint").alias("no"))
+    return readers.run_file(spark, path).select("qid", "doc_id", "rank", "score", (F.col("ord") + 1).alias("no"))
 
 
 def src_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +138,8 @@ def snk_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boolean_file(spark: SparkSession, sf_dir: str, asked: dict) -> DataFrame:
     path = new_path(spark)
     sinks.boolean_results(boolean.search(queries.index(spark, sf_dir), queries.boolean_table(spark, asked)), path)
-    rows = spark.read.schema("line string, qname string").text(path).select("qname", F.monotonically_increasing_id().alias("at"), "line")
-    return rows.select("qname", F.row_number().over(Window.partitionBy("qname").orderBy("at")).cast("bigint").alias("no"), "line")
+    rows = readers.lines(spark, f"{path}/*.txt")
+    return rows.select(F.regexp_extract("doc_id", r"([^/]*)\.txt$", 1).alias("qname"), (F.col("line_no") + 1).alias("no"), "line")
 
 
 def snk_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +177,7 @@ def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table() -> dict[str, Query]:
     own = (
-        src_stopwords, src_lines, src_plain_text, src_corpus_index, src_corpus_rank, src_boolean_queries, src_ranked_queries, src_edges, src_run, src_qrels,
+        src_stopwords, src_lines, src_file_terms, src_plain_text, src_corpus_index, src_corpus_rank, src_boolean_queries, src_ranked_queries, src_edges, src_run, src_qrels,
         src_defaults, snk_tokens, snk_term_counts, snk_vocabulary, snk_boolean, snk_empty, snk_run, snk_pagerank, snk_inlinks, snk_report,
     )
     return {f.__name__: f for f in own}
@@ -197,7 +204,9 @@ def sql(found: dict[str, str]) -> dict[str, str]:
     defaults.append(f"SELECT 'top_pages' AS function, page AS item, CAST(rank AS DOUBLE) AS value FROM ({most})")
     return {
         "src_stopwords": "SELECT p_name AS word FROM part",
-        "src_lines": "WITH a AS (SELECT string_split(string_agg(text, chr(10) ORDER BY item_id), chr(10)) AS l FROM benchmark) SELECT CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line FROM a",
+        "src_lines": "WITH a AS (SELECT string_split(string_agg(text, chr(10) ORDER BY item_id), chr(10)) AS l FROM benchmark) SELECT unnest(range(len(l))) AS line_no, unnest(l) AS line FROM a",
+        "src_file_terms": f"""{stems}, tops AS (SELECT stem AS term, count(*) AS cnt, min({{'d': item_id, 'p': pos}}) AS f FROM st GROUP BY 1)
+            SELECT term, cnt, row_number() OVER (ORDER BY cnt DESC, f) AS ord FROM tops ORDER BY ord LIMIT 300""",
         "src_plain_text": "SELECT concat(string_agg(text, chr(10) ORDER BY item_id), chr(10)) AS text FROM benchmark",
         "src_corpus_index": f"{turns} SELECT c.play_id, c.scene_id, turn AS scene_num, row_number() OVER (ORDER BY c.doc_ord) - 1 AS doc_ord, c.text FROM c JOIN conversations v ON c.scene_id = concat(v.conv_id, ':', v.turn)",
         "src_corpus_rank": f"{turns}, {oracle.TOKENS} SELECT term, count(*) AS cf FROM t GROUP BY 1",

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scratch import stored
 from scriptorium.functions.text import ws_tokens
 
-CORPUS = "corpus array<struct<playId:string,sceneId:string,sceneNum:bigint,text:string>>"
+#: A scene of a JSON corpus; pieces of a file whose quotes are summed at once.
+SCENE, PIECES = "playId string, sceneId string, sceneNum bigint, text string", 4096
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, at, mid, ...) with ``no``, the number of each in its file, from 0, and without ``at`` and ``mid``.
+
+    ``at`` is where a split begins in its file and ``mid`` rises with the rows of a split; rows are stored, so both stay as they are. Rows are
+    counted by split, and what splits before have is added: a row per split goes to the others, and no split is seen as a whole.
+    """
+    splits = rows.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("mid").alias("low"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("file").alias("file_"), F.col("at").alias("at_"), "low", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = rows.join(splits, (F.col("file") == F.col("file_")) & (F.col("at") == F.col("at_")))
+    return joined.withColumn("no", F.col("before") + F.col("mid") - F.col("low")).drop("file_", "at_", "low", "before", "at", "mid")
+
+
+def fragments(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, at, mid, value), stored: the lines of text files, or what stands between separators, as their splits are read. LF, CR and CRLF
+    end lines, on either side of a split's end too; a file's last line need not be ended."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mid"), "value")
+    return stored(rows)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, line_no, line) of plain text files; CRLF and CR end lines too, and a file's last line need not be ended."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    whole = whole.where("text <> ''").withColumn("text", F.regexp_replace("text", "\n\\z", ""))
-    return whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, line_no, line) of plain text files, doc_id being the file's name and line_no counting from 0. Files are read in splits, so a
+    large one is many tasks' work and no row holds more than a line."""
+    return numbered(fragments(spark, path)).select(F.col("file").alias("doc_id"), F.col("no").alias("line_no"), F.col("value").alias("line"))
 
 
 def plain_text(spark: SparkSession, path: str) -> DataFrame:
@@ -28,9 +50,38 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(play_id, scene_id, scene_num, doc_ord, text) of a JSON file {"corpus": [...]}, compressed or not."""
-    rows = spark.read.schema(CORPUS).option("multiLine", True).json(path).select(F.posexplode("corpus").alias("doc_ord", "c"))
-    return rows.select(F.col("c.playId").alias("play_id"), F.col("c.sceneId").alias("scene_id"), F.col("c.sceneNum").alias("scene_num"), F.col("doc_ord").cast("bigint").alias("doc_ord"), F.col("c.text").alias("text"))
+    """(play_id, scene_id, scene_num, doc_ord, text) of a JSON file {"corpus": [{...}, ...]}, compressed or not, of any size.
+
+    The file is read in pieces between opening braces. A piece that begins inside a string, as the quotes before it tell, goes on with the
+    object before it; so every scene is put together from its own pieces, and is all that is parsed at once. Scenes are objects without
+    objects inside. Quotes are counted by split first, then over splits; a file that is not compressed is many tasks' work.
+    """
+    rows = fragments(spark, path, "{")
+    quotes = F.regexp_count(F.regexp_replace("value", r"(?s)\\.", ""), F.lit('"'))
+    rows = stored(numbered(rows.withColumn("quotes", quotes.cast("bigint"))))
+    rows = rows.withColumn("block", F.floor(F.col("no") / PIECES))
+    inside = Window.partitionBy("file", "block").orderBy("no")
+    blocks = rows.groupBy("file", "block").agg(F.sum("quotes").alias("q"))
+    before = Window.partitionBy("file_").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("file_"), F.col("block").alias("block_"), "q").withColumn("passed", F.coalesce(F.sum("q").over(before), F.lit(0))).drop("q")
+    rows = rows.join(blocks, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
+    so_far = F.col("passed") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A piece begins an object if an even number of quotes stands before it; the others are counted with the last one that does.
+    rows = stored(rows.select("file", "block", "no", "value", (so_far % 2 == 0).alias("begins")))
+    last = rows.groupBy("file", "block").agg(F.max(F.when(F.col("begins"), F.col("no"))).alias("last"))
+    last = last.select(F.col("file").alias("file_"), F.col("block").alias("block_"), F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("last"))
+    rows = rows.join(last, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
+    first = F.coalesce(F.max(F.when(F.col("begins"), F.col("no"))).over(inside), F.col("last"))
+    whole = rows.withColumn("first", first).groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("no", "value"))).alias("p"))
+    text = F.concat(F.lit("{"), F.regexp_extract(F.array_join(F.transform("p", lambda x: x.value), "{"), r"(?s)\A(.*\})", 1))
+    scenes = stored(whole.select("file", "first", F.from_json(text, SCENE).alias("c")).where("c.sceneId IS NOT NULL OR c.text IS NOT NULL"))
+    # Scenes get their place by the number of their first piece, in ranges again.
+    placed = scenes.withColumn("block", F.floor(F.col("first") / PIECES))
+    sums = placed.groupBy("file", "block").agg(F.count("*").alias("n"))
+    sums = sums.select(F.col("file").alias("file_"), F.col("block").alias("block_"), F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = placed.join(sums, (F.col("file") == F.col("file_")) & (F.col("block") == F.col("block_")))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("first")) - 1
+    return placed.select(F.col("c.playId").alias("play_id"), F.col("c.sceneId").alias("scene_id"), F.col("c.sceneNum").alias("scene_num"), place.cast("bigint").alias("doc_ord"), F.col("c.text").alias("text"))
 
 
 def _queries(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +107,7 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), ws_tokens(F.col("value")).alias("p"))
+    rows = lines(spark, path).select(F.col("line_no").alias("ord"), ws_tokens(F.col("line")).alias("p"))
     return rows.where(F.size("p") >= least)
 
 

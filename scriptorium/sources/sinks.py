@@ -1,10 +1,14 @@
-"""Writers of the native text formats. Each has a function that gives its lines, in order, and one that writes them."""
+"""Writers of the native text formats. Each has a function that gives its lines, in order, and one that writes them: parts by ranges of the
+order first, then one file of the given name."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.scratch import deleted
 from scriptorium.operators.evaluation import METRICS
 
 #: Metric names in reports: of one query, and of their means.
@@ -52,9 +56,45 @@ def fixed(x: Column, digits: int) -> Column:
     return F.get(value, F.lit(0))
 
 
-def text(rows: DataFrame, path: str, *order: str) -> None:
-    """One file of lines, in order; for reports and top-k lists, whose size is theirs by definition."""
-    rows.orderBy(*order).select("line").coalesce(1).write.mode("overwrite").text(path)
+def _files(spark: SparkSession, folder: str) -> tuple[object, list[object]]:
+    """The file system of a folder, and its files that have anything in them, by name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f for f in system.listStatus(where) if f.isFile() and f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda f: f.getPath().getName())
+    return system, [f.getPath() for f in found]
+
+
+def joined(spark: SparkSession, folder: str, path: str) -> None:
+    """Commit the part files of a folder as one file: one alone is renamed, several are put together by their names. The file has another name
+    until it is whole, and takes the place of one that is there."""
+    jvm = spark.sparkContext._jvm
+    system, parts = _files(spark, folder)
+    target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder}/_joined")
+    if len(parts) == 1:
+        made = parts[0]
+    else:
+        out = system.create(made, True)
+        try:
+            for part in parts:
+                source = system.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+    system.delete(target, True)
+    system.mkdirs(target.getParent())
+    if not system.rename(made, target):
+        raise OSError(f"{made.toString()} cannot be renamed to {path}")
+
+
+def text(rows: DataFrame, path: str, *order: str, compression: str = "none") -> None:
+    """One file, ``path``, of lines in order. Ranges of the order are written by as many tasks, and their files joined when all stand."""
+    spark, folder = rows.sparkSession, f"{path}.parts-{uuid.uuid4().hex[:8]}"
+    rows.orderBy(*order).select("line").write.option("compression", compression).text(folder)
+    joined(spark, folder, path)
+    deleted(spark, f"{folder}/x")
 
 
 def tokens(rows: DataFrame, path: str, token: str = "stem", order: tuple[str, ...] = ("doc_id", "pos")) -> None:
@@ -72,8 +112,20 @@ def term_counts(rows: DataFrame, path: str) -> None:
 
 
 def boolean_results(rows: DataFrame, path: str) -> None:
-    """A folder per query (qname=...) with one unit a line; a query without results has none."""
-    rows.orderBy("qname", "ord").select("qname", F.col("unit_id").alias("line")).write.mode("overwrite").partitionBy("qname").text(path)
+    """A file <qname>.txt per query in the folder ``path``, one unit a line; a query without results has none.
+
+    Ranges of all results are written at once, each to the folders of its queries, and a query's files are then joined. Characters of a name
+    that no file name can have are written as Spark writes them in names of folders.
+    """
+    spark, folder = rows.sparkSession, f"{path}/_parts-{uuid.uuid4().hex[:8]}"
+    ranges = rows.repartitionByRange("qname", "ord").sortWithinPartitions("qname", "ord")
+    ranges.select("qname", F.col("unit_id").alias("line")).write.partitionBy("qname").text(folder)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    for query in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where):
+        name = query.getPath().getName()
+        if name.startswith("qname="):
+            joined(spark, query.getPath().toString(), f"{path}/{name.removeprefix('qname=')}.txt")
+    deleted(spark, f"{folder}/x")
 
 
 def run_lines(rows: DataFrame, tag: str = "scriptorium") -> DataFrame:

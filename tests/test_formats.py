@@ -1,6 +1,9 @@
 import gzip
 import json
 import random
+from contextlib import contextmanager
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -30,7 +33,63 @@ def test_readers(spark, tmp_path):
     assert [tuple(r)[:3] for r in readers.qrels_file(spark, str(tmp_path / "qrels")).collect()] == [("q1", "d1", 2.0)]
 
 
+@contextmanager
+def small_splits(spark, size):
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_lines_of_a_file_of_many_splits(spark, tmp_path):
+    rng = random.Random(3)
+    wanted = {}
+    for name in ("a.txt", "b.txt"):
+        own = ["é" * rng.randint(0, 9) + "x" * rng.choice([0, 0, 1, 30, 700]) for _ in range(900)]
+        ends = [rng.choice(["\n", "\r\n", "\n"]) for _ in own]
+        (tmp_path / name).write_bytes("".join(a + b for a, b in zip(own, ends, strict=True)).encode())
+        wanted[name] = own
+    with small_splits(spark, "2000"):
+        rows = readers.lines(spark, str(tmp_path / "*.txt"))
+        splits = spark.read.text(str(tmp_path / "*.txt")).rdd.getNumPartitions()
+    assert splits > 20
+    found = {name: {r.line_no: r.line for r in rows.collect() if r.doc_id.endswith(name)} for name in wanted}
+    assert {name: [own[k] for k in range(len(own))] for name, own in found.items()} == wanted
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_json_corpus_is_read_in_pieces(spark, tmp_path, packed, monkeypatch):
+    monkeypatch.setattr(readers, "PIECES", 16)
+    rng = random.Random(4)
+    bits = ["{", "}", '"', "\\", '\\"', "{{", "a", " ", "\n", "é", "]}", '{"sceneId": 1}', "\\{"]
+    scenes = [{"playId": f"p{i % 3}", "sceneId": f"s{i}", "sceneNum": i, "text": "".join(rng.choices(bits, k=rng.choice([0, 1, 5, 60])))} for i in range(300)]
+    raw = json.dumps({"name": "{x}", "corpus": scenes}, ensure_ascii=packed, indent=rng.choice([None, 1])).encode()
+    path = tmp_path / ("c.json.gz" if packed else "c.json")
+    path.write_bytes(gzip.compress(raw) if packed else raw)
+    with small_splits(spark, "1500"):
+        rows = readers.corpus(spark, str(path)).orderBy("doc_ord").collect()
+    assert [tuple(r) for r in rows] == [(s["playId"], s["sceneId"], s["sceneNum"], i, s["text"]) for i, s in enumerate(scenes)]
+
+
+def test_files_have_the_given_names(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id ord", "concat('u', id) unit_id", "concat('q', id % 3) qname").repartition(4)
+    sinks.boolean_results(rows, str(tmp_path / "bool"))
+    assert sorted(p.name for p in (tmp_path / "bool").iterdir() if not p.name.startswith(".")) == ["q0.txt", "q1.txt", "q2.txt"]
+    for q in range(3):
+        assert (tmp_path / "bool" / f"q{q}.txt").read_text() == "".join(f"u{i}\n" for i in range(q, 500, 3))
+    ranked = spark.range(500).selectExpr("'q' qname", "concat('d', id) unit_id", "id + 1 rank", "cast(1000 - id as double) score").repartition(4)
+    for _ in range(2):
+        sinks.run_file(ranked, str(tmp_path / "run.txt"), "me")
+    assert (tmp_path / "run.txt").read_text() == "".join(f"q skip d{i} {i + 1} {1000 - i}.000000 me\n" for i in range(500))
+    assert [p for p in tmp_path.iterdir() if ".parts-" in p.name] == []
+
+
 def lines(path):
+    if path.is_file():
+        return path.read_text().splitlines()
     return [x for p in sorted(path.rglob("part-*")) for x in p.read_text().splitlines()]
 
 
@@ -45,7 +104,7 @@ def test_sinks(spark, tmp_path):
     assert lines(tmp_path / "report")[1] == "RR q 0.0312"
     assert lines(tmp_path / "report")[7] == "MRR  all 0.0312"
     sinks.boolean_results(spark.createDataFrame([("q", 1, "u1"), ("q", 2, "u0")], "qname string, ord long, unit_id string").coalesce(1), str(tmp_path / "bool"))
-    assert sorted(lines(tmp_path / "bool")) == ["u0", "u1"]
+    assert lines(tmp_path / "bool" / "q.txt") == ["u1", "u0"]
     sinks.top_pages(spark.createDataFrame([("p", 1, 3)], "page string, rank long, cnt long"), str(tmp_path / "top"), "cnt")
     assert lines(tmp_path / "top") == ["p\t1\t3"]
     sinks.term_counts(spark.createDataFrame([("b", 1, 2), ("a", 4, 1), ("a2", 1, 3)], "term string, cnt long, ord long"), str(tmp_path / "terms"))
