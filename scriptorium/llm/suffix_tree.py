@@ -1,16 +1,17 @@
 """Substring dedup of words by prefix-partitioned suffix trees.
 
-1. Segments (see anchors) say which stretches share an anchor with a stretch of another document. Equal segments collapse to one leaf,
+1. Segments (see anchors) say which stretches share an anchor with a stretch of another document. Equal segments collapse to one,
    labelled with the smallest and the largest of its documents, before anything moves.
-2. Of the different segments of an anchor, the suffixes at each window start are taken to the depth of ``WINDOW`` words, spelled as names
-   of ``STEP`` words each. A segment that several documents have is taken once more, from its start to its end: spelled as its first
-   ``WINDOW`` words and a last name for all of it. That suffix is the maximal repeat of its documents.
+2. Of each different segment the suffix at each window start is a leaf, taken to the depth of ``WINDOW`` words and spelled as names of
+   ``STEP`` words each, with the segment's two documents.
 3. Suffixes are dealt to groups by variable-length prefixes: groups are counted, and where one has more than ``GROUP_SUFFIXES``, its prefix
    is made longer by a name, again and again. In its partition each group is sorted; as many neighbouring groups as fit in memory make one
    subtree, and where more come together, they are cut where a prefix changes.
-4. The deep internal nodes of the subtrees are the repeats: at the depth of ``WINDOW`` words all suffixes below a node, and at the end of a
-   segment all documents below it, that are not of the node's smallest document are marked. A prefix that has come to the full depth
-   is a deep node by itself, and a partial aggregate finds its smallest document before the shuffle.
+4. At the depth of ``WINDOW`` words, a node's smallest document is the least of its leaves'. Leaves with a larger document, the node's own
+   or another leaf's, are repeats of it. A prefix that has come to the full depth is such a node by itself, and a partial aggregate finds its
+   smallest document before the shuffle.
+5. Neighbouring repeats of a segment with the same smallest document are one: the maximal repeat, (offset, windows, document), which every
+   occurrence of the segment in a later document loses. Nothing is removed but by these.
 """
 
 from __future__ import annotations
@@ -53,16 +54,9 @@ class SubTree:
         return np.repeat(np.minimum.reduceat(labels, nodes), np.diff(np.append(nodes, len(labels))))
 
 
-def marked(names: np.ndarray, whole: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which leaves are below a deep node of a smaller document: for windows (``whole`` is 0) at the full depth of ``names``, for whole
-    segments at the end of them, where the leaf's own documents reach from ``first`` to ``last``."""
-    tree, depth = SubTree(np.column_stack([names, whole])), names.shape[1]
-    windows = whole == 0
-    return np.where(windows, first > tree.least(depth, np.where(windows, first, LAST)), last > tree.least(depth + 1, first))
-
-
-#: The segments of a row whose suffixes go to the trees: all of them (many), or but the whole segment; order and last are its documents.
-PLAN = "array<struct<anchor:bigint,seg:bigint,start:int,run:int,last:bigint,many:int>>"
+#: The segments of a row whose suffixes go to the trees; the row's id and last are their documents. Half an anchor beside the hash is enough.
+PLAN = "array<struct<half:int,seg:bigint,start:int,run:int,last:bigint>>"
+LEAF = "half int, seg bigint, off int, least bigint"
 RESULT = "n_words bigint, n_removed bigint, kept string, kept_sha256 string"
 RESULT_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string())
 
@@ -79,6 +73,10 @@ def order() -> Column:
     return F.coalesce("id", F.lit(LAST))
 
 
+def half(anchor: str = "anchor") -> Column:
+    return F.shiftright(F.col(anchor), 32).cast("int")
+
+
 def planned(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The segments whose suffixes go to the trees, by the row that has them first, (id, mark, wanted); and all segments that may have
     anything to lose, (anchor, seg, id, mark, place)."""
@@ -89,8 +87,8 @@ def planned(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFra
     segs = near.groupBy("anchor", "seg").agg(F.min(order()).alias("first"), F.max(order()).alias("last"), F.min(F.struct(order().alias("order"), "id", "mark", "place")).alias("at"))
     # Windows can only repeat between segments of an anchor that begin in different documents.
     anchors = segs.groupBy(F.col("anchor").alias("a3")).agg(F.min("first").alias("low"), F.max("first").alias("high"))
-    wanted = segs.join(anchors, F.col("anchor") == F.col("a3")).withColumn("many", F.col("low") < F.col("high")).where("many OR first < last")
-    wanted = wanted.select("at.id", "at.mark", F.struct("anchor", "seg", start_of(F.col("at.place")).alias("start"), run_of(F.col("at.place")).alias("run"), "last", F.col("many").cast("int").alias("many")).alias("x"))
+    wanted = segs.join(anchors, F.col("anchor") == F.col("a3")).where("low < high OR first < last")
+    wanted = wanted.select("at.id", "at.mark", F.struct(half().alias("half"), "seg", start_of(F.col("at.place")).alias("start"), run_of(F.col("at.place")).alias("run"), "last").alias("x"))
     return wanted.groupBy("id", "mark").agg(F.collect_list("x").alias("wanted")), near
 
 
@@ -114,8 +112,8 @@ def settled(docs: DataFrame, plan: DataFrame, near: DataFrame, window: int, keep
 
 
 def suffixes(rows: DataFrame, window: int, step: int) -> DataFrame:
-    """(first, last, anchor, seg, off, whole, n0, n1, ...): the suffix at each window of the wanted segments, as names of ``step`` words,
-    and of segments with several documents the one from start to end, whose ``off`` is -1 and whose last name is ``whole``."""
+    """(first, last, half, seg, off, n0, n1, ...): the suffix at each window of the wanted segments, as names of ``step`` words. The first
+    name has 64 bits and the others 32, so two suffixes are told apart by 64 + 32 * (names - 1) of them."""
     depth = -(-window // step)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,20 +122,19 @@ def suffixes(rows: DataFrame, window: int, step: int) -> DataFrame:
             values, bounds, _, _ = word_symbols(data, offsets)
             for i, (id_, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
                 x, first = fields(wanted), LAST if id_ is None else id_
-                count = np.where(x["many"] != 0, x["run"], 0)
-                every = np.flatnonzero(x["last"] > first)
-                nth = np.append(np.repeat(np.arange(len(count)), count), every)
-                off = np.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), np.full(len(every), -1))
-                at = x["start"][nth] + np.maximum(off, 0)
+                count = x["run"]
+                nth = np.repeat(np.arange(len(count)), count)
+                off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = x["start"][nth] + off
                 sums = prefix_hashes(values[bounds[i] : bounds[i + 1]])
                 names = [hash_between(sums, at + k, at + min(k + step, window)).view(np.int64) for k in range(0, window, step)]
-                whole = np.where(off < 0, x["seg"][nth] | 1, 0)
-                columns = [pa.array(np.full(len(at), first)), pa.array(x["last"][nth]), pa.array(x["anchor"][nth]), pa.array(x["seg"][nth]), pa.array(off.astype(np.int32)), pa.array(whole), *(pa.array(n) for n in names)]
-                yield pa.RecordBatch.from_arrays(columns, names=["first", "last", "anchor", "seg", "off", "whole", *(f"n{k}" for k in range(depth))])
+                names = [names[0], *((n >> 32).astype(np.int32) for n in names[1:])]
+                columns = [pa.array(np.full(len(at), first)), pa.array(x["last"][nth]), pa.array(x["half"][nth].astype(np.int32)), pa.array(x["seg"][nth]), pa.array(off.astype(np.int32)), *(pa.array(n) for n in names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["first", "last", "half", "seg", "off", *(f"n{k}" for k in range(depth))])
 
-    kinds = ", ".join(f"n{k} bigint" for k in range(depth))
+    kinds = ", ".join(f"n{k} {'int' if k else 'bigint'}" for k in range(depth))
     rows = rows.where(F.size("wanted") > 0)
-    return rows.select("id", "packed", "wanted").mapInArrow(run, f"first bigint, last bigint, anchor bigint, seg bigint, off int, whole bigint, {kinds}")
+    return rows.select("id", "packed", "wanted").mapInArrow(run, f"first bigint, last bigint, half int, seg bigint, off int, {kinds}")
 
 
 def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame, bool]:
@@ -168,16 +165,18 @@ def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame
 
 
 def tree_hits(rows: DataFrame, any_deep: bool, depth: int, tree_suffixes: int) -> DataFrame:
-    """(anchor, seg, off) of the leaves below a deep node that a smaller document has too, of ``grouped`` suffixes."""
+    """(half, seg, off, least) of the leaves that have a larger document than the least one below their node at full depth, of ``grouped``
+    suffixes."""
     columns = [f"n{k}" for k in range(depth)]
 
     def spelled(table: pa.Table) -> np.ndarray:
-        return np.stack([table[c].to_numpy() for c in columns], axis=1)
+        return np.stack([table[c].to_numpy().astype(np.int64) for c in columns], axis=1)
 
     def hits(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(table):
-            found = marked(spelled(table), *(table[c].to_numpy() for c in ("whole", "first", "last")))
-            yield from table.filter(pa.array(found)).select(["anchor", "seg", "off"]).to_batches()
+            least = SubTree(spelled(table)).least(depth, table["first"].to_numpy())
+            found = table.select(["half", "seg", "off"]).append_column("least", pa.array(least))
+            yield from found.filter(pa.array(table["last"].to_numpy() > least)).to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,7 +188,7 @@ def tree_hits(rows: DataFrame, any_deep: bool, depth: int, tree_suffixes: int) -
                 continue
             table = pa.Table.from_batches(held)
             common = SubTree(spelled(table)).depth
-            # Cut where the shortest prefix changes; if all suffixes are equal, those of the smallest document go on alone.
+            # Cut where the shortest prefix changes; if all suffixes are equal, one of the smallest document goes on alone.
             for length in range(1, depth + 1):
                 if len(cuts := np.flatnonzero(common < length)):
                     yield from hits(table.slice(0, int(cuts[-1]) + 1))
@@ -197,20 +196,41 @@ def tree_hits(rows: DataFrame, any_deep: bool, depth: int, tree_suffixes: int) -
                     break
             else:
                 yield from hits(table)
-                windows = np.flatnonzero(table["whole"].to_numpy() == 0)
-                table = table.take(pa.array(windows[np.argsort(table["first"].to_numpy()[windows], kind="stable")[:1]]))
+                table = table.take(pa.array([int(np.argmin(table["first"].to_numpy()))]))
+                table = table.set_column(table.schema.get_field_index("last"), "last", table["first"])
             held, count = table.to_batches(), len(table)
         if held:
             yield from hits(pa.Table.from_batches(held))
 
-    dealt = rows.where(F.col("length") < depth).repartition(tasks(rows.sparkSession), "group").sortWithinPartitions(*columns, "whole", "first")
-    found = dealt.select(*columns, "whole", "first", "last", "anchor", "seg", "off").mapInArrow(run, "anchor bigint, seg bigint, off int")
+    dealt = rows.where(F.col("length") < depth).repartition(tasks(rows.sparkSession), "group").sortWithinPartitions(*columns, "first")
+    found = dealt.select(*columns, "first", "last", "half", "seg", "off").mapInArrow(run, LEAF)
     if not any_deep:
         return found
     deep = rows.where(F.col("length") == depth)
-    least = deep.where("whole = 0").groupBy(*(F.col(c).alias(f"{c}_") for c in columns)).agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
-    below = deep.where("whole = 0").join(least, [F.col(c) == F.col(f"{c}_") for c in columns]).where(F.col("first") > F.col("least"))
-    return found.unionByName(below.select("anchor", "seg", "off")).unionByName(deep.where("whole <> 0 AND last > first").select("anchor", "seg", "off"))
+    least = deep.groupBy(*(F.col(c).alias(f"{c}_") for c in columns)).agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most")
+    below = deep.join(least, [F.col(c) == F.col(f"{c}_") for c in columns]).where(F.col("last") > F.col("least"))
+    return found.unionByName(below.select("half", "seg", "off", "least"))
+
+
+def maximal(hits: DataFrame) -> DataFrame:
+    """(half, seg, repeats) of leaves: of each segment the maximal repeats (off, n, least), which are neighbouring windows with one smallest
+    document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for leaves in batch.column(2):
+                x = fields(leaves)
+                order_ = np.argsort(x["off"], kind="stable")
+                off, least = x["off"][order_], x["least"][order_]
+                begins = np.flatnonzero(np.append(True, (off[1:] != off[:-1] + 1) | (least[1:] != least[:-1])))
+                ends = np.append(begins[1:], len(off))
+                out.append([{"off": int(off[a]), "n": int(z - a), "least": int(least[a])} for a, z in zip(begins, ends, strict=True)])
+            kind = pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32()), ("least", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["half", "seg", "repeats"])
+
+    leaves = hits.groupBy("half", "seg").agg(F.collect_list(F.struct("off", "least")).alias("leaves"))
+    return leaves.mapInArrow(run, "half int, seg bigint, repeats array<struct<off:int,n:int,least:bigint>>")
 
 
 def remove_repeats(
@@ -230,14 +250,11 @@ def remove_repeats(
     open_ = first.where(F.col("packed").isNotNull())
     depth = -(-window // step)
     hits = tree_hits(*grouped(stored(suffixes(open_, window, step)), depth, group_suffixes), depth, tree_suffixes)
-    # What is below a node of a smaller document is of the leaf's first document, wherever it stands there; all later documents of a whole
-    # segment lose it all.
-    offs = hits.groupBy(F.col("anchor").alias("a2"), F.col("seg").alias("s2")).agg(F.collect_list(F.when(F.col("off") >= 0, F.col("off"))).alias("offs"), F.max(F.col("off") < 0).alias("whole"))
-    firsts = near.groupBy(F.col("anchor").alias("a3"), F.col("seg").alias("s3")).agg(F.min(order()).alias("first"))
-    offs = offs.join(firsts, (F.col("a2") == F.col("a3")) & (F.col("s2") == F.col("s3"))).select("a2", "s2", "offs", "whole", "first")
-    placed = near.join(offs, (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
-    start, later = start_of(F.col("place")), order() > F.col("first")
-    windows = F.when(later & F.col("whole"), F.array(F.struct(start.alias("at"), run_of(F.col("place")).alias("n")))).when(~later, F.transform("offs", lambda o: F.struct((start + o).alias("at"), F.lit(1).alias("n"))))
+    repeats = maximal(hits).select(F.col("half").alias("h2"), F.col("seg").alias("s2"), "repeats")
+    placed = near.join(repeats, (half() == F.col("h2")) & (F.col("seg") == F.col("s2")))
+    start = start_of(F.col("place"))
+    lost = F.filter("repeats", lambda x: order() > x.least)
+    windows = F.transform(lost, lambda x: F.struct((start + x.off).alias("at"), x.n.alias("n")))
     placed = placed.select("id", "mark", windows.alias("windows")).where(F.size("windows") > 0)
     placed = placed.groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.flatten(F.collect_list("windows")).alias("windows"))
     both = open_.join(placed, same_row("id2", "mark2"), "left")

@@ -111,3 +111,18 @@ def test_index():
 
     assert [int(stats[index.starts[i] + p]) for i, p in where] == [longest(i, p) for i, p in where]
     assert index.runs < index.size
+
+
+def test_all_that_goes_comes_from_the_trees(spark, monkeypatch):
+    docs = corpus(" ")
+    found = suffix_tree.remove_repeats(frame(spark, docs), window=11, gram=6, step=3).collect()
+    assert sum(r.n_removed for r in found) > 100
+    tree_hits = suffix_tree.tree_hits
+    monkeypatch.setattr(suffix_tree, "tree_hits", lambda *a: tree_hits(*a).limit(0))
+    assert {r.n_removed for r in suffix_tree.remove_repeats(frame(spark, docs), window=11, gram=6, step=3).collect()} == {0}
+
+
+def test_maximal_repeats(spark):
+    leaves = [(1, 5, 3, 0), (1, 5, 1, 0), (1, 5, 2, 0), (1, 5, 4, 7), (1, 5, 9, 7), (2, 5, 0, 1)]
+    found = suffix_tree.maximal(spark.createDataFrame(leaves, suffix_tree.LEAF)).collect()
+    assert {(r.half, r.seg): [tuple(x) for x in r.repeats] for r in found} == {(1, 5): [(1, 3, 0), (4, 1, 7), (9, 1, 7)], (2, 5): [(0, 1, 1)]}
