@@ -5,7 +5,9 @@ in it, so equal windows have equal anchors wherever they stand. Neighbouring win
 a segment, and one row per segment goes to the shuffle. Segments of equal text collapse before anything else is done with them, so a
 group of copies counts as one however large it is.
 
-Hashes are polynomials modulo 2**64 over random 64-bit symbol values. Texts count as equal if anchor, length and hash agree.
+Hashes are polynomials modulo 2**64 over random 64-bit symbol values. Strings of over a thousand symbols can be made whose polynomials
+agree modulo 2**64 in any base (Thue-Morse), so wherever longer stretches are told apart by a hash, it is put together with a polynomial
+modulo a prime, where they do not. Texts count as equal if anchor, length and hash agree.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from scriptorium.llm.common import python_workers, whole_ids
 
 #: Most symbols hashed at once, and most windows of one segment (a longer run is cut; that is allowed anywhere).
 CHUNK, MAX_RUN = 1 << 19, 4096
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -47,6 +50,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+@functools.cache
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the prime's base and of its inverse modulo the prime."""
+    both = []
+    for x in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
+        out = np.ones(n + 1, np.uint64)
+        done = 1
+        while done <= n:
+            to = min(done, n + 1 - done)
+            out[done : done + to] = out[:to] * np.uint64(pow(x, done, PRIME)) % np.uint64(PRIME)
+            done += to
+        both.append(out)
+    return both[0], both[1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(33))) * _MIX[0]
@@ -67,6 +85,21 @@ def hash_between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((sums[end] - sums[start]) * down[start])
 
 
+def strong_sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``prefix_hashes``, and those modulo the prime, which are not reduced: 2**33 of them fit into 64 bits."""
+    up, _ = prime_powers(1 << max(10, int(len(symbols)).bit_length()))
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum((symbols >> np.uint64(33)) * up[: len(symbols)] % np.uint64(PRIME), out=out[1:])
+    return prefix_hashes(symbols), out
+
+
+def strong_between(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits that rests on both polynomials."""
+    _, down = prime_powers(1 << max(10, int(len(sums[1]) - 1).bit_length()))
+    by_prime = (sums[1][end] - sums[1][start]) % np.uint64(PRIME) * down[start] % np.uint64(PRIME)
+    return mixed(hash_between(sums[0], start, end) ^ by_prime * _MIX[0])
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours."""
     step = 1
@@ -126,9 +159,9 @@ def _chunk(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     texts = np.flatnonzero(ends - starts >= window)
     if not len(texts):
         return
-    sums = prefix_hashes(symbols)
+    sums = strong_sums(symbols)
     places = np.arange(len(symbols) - gram + 1)
-    grams = hash_between(sums, places, places + gram)
+    grams = hash_between(sums[0], places, places + gram)
     least = sliding_min(grams, window - gram + 1)
     n = len(least)
     cut = np.empty(n + 1, bool)
@@ -148,7 +181,7 @@ def _chunk(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     seen = np.zeros(n + 1, np.int64)
     np.cumsum(grams[:n] == least, out=seen[1:])
     twice = seen[head + run - 1] > seen[head]
-    yield text, least[head], hash_between(sums, head, head + run + window - 1) ^ mixed(run.astype(np.uint64)), head - starts[text], run, twice
+    yield text, least[head], strong_between(sums, head, head + run + window - 1) ^ mixed(run.astype(np.uint64)), head - starts[text], run, twice
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

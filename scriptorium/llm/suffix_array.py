@@ -10,11 +10,15 @@
    Repetitive texts have few runs.
 4. Places within a match of ``WINDOW`` bytes or more are marked, and the marked bytes of each document removed.
 
-An anchor with more text than a block holds (a passage in very many contexts) is cut by content: its windows meet by their own hash.
+An anchor with more text than a block holds (a passage in very many contexts) is cut by content: its segments are cut anew by longer
+anchors, which take in more of the context, and again by longer ones where that is not enough. Equal windows have equal anchors of any
+length, so none is lost, and each group goes to an index of its own. Windows whose longest anchor is still that of more text than a block
+holds, most of the window being the same in thousands of contexts, meet by their own hash.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.anchors import byte_values, covered, fields, find_segments, hash_between, keyed, octets, packed, prefix_hashes, run_of, runs_of, same_row, start_of, unpacked
-from scriptorium.llm.common import stored, tasks
+from scriptorium.llm.anchors import byte_values, covered, fields, find_segments, hash_between, keyed, octets, packed, prefix_hashes, run_of, runs_of, same_row, segments, start_of, strong_between, strong_sums, unpacked
+from scriptorium.llm.common import lookup, stored, tasks
 
 #: Bytes of a match that is removed, bytes of an anchor's string, most bytes of one index.
 WINDOW, GRAM, BLOCK_BYTES = 400, 160, 1 << 21
@@ -59,13 +63,13 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefix(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def common_prefix(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, by binary search on hashes."""
-    n = len(sums) - 1
+    n = len(sums[0]) - 1
     low, high = np.zeros(len(a), np.int32), np.minimum(most, n - np.maximum(a, b)).astype(np.int32)
     while (open_ := low < high).any():
         mid = (low + high + 1) // 2
-        same = hash_between(sums, a, a + mid) == hash_between(sums, b, b + mid)
+        same = strong_between(sums, a, a + mid) == strong_between(sums, b, b + mid)
         low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
     return low
 
@@ -91,7 +95,7 @@ class RunLengthIndex:
         self.ends, self.after = np.append(order[edge], order[-1:]), np.append(order[edge + 1], order[:1])
         self.runs = len(edge) + 1
         self.size = n
-        self._sums = prefix_hashes(values)
+        self._sums = strong_sums(values)
         self._longest = int(max((len(x) for x in texts), default=0))
 
     def _stream(self, at: np.ndarray, other: np.ndarray, whole: bool) -> np.ndarray:
@@ -188,10 +192,46 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
                 same = [pa.array([batch.column(k)[i].as_py()] * len(pieces), pa.int64()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x["anchor"]), *same, pa.array(x["start"], pa.int32()), pa.array(x["run"], pa.int32()), pa.array(x["n"]), pa.array(pieces, pa.binary())], names=["anchor", "id", "mark", "start", "run", "n", "piece"])
 
-    return rows.select("id", "mark", "packed", "wanted").mapInArrow(run, "anchor bigint, id bigint, mark bigint, start int, run int, n bigint, piece binary")
+    return rows.select("id", "mark", "packed", "wanted").mapInArrow(run, PIECES)
 
 
-def indexed_spans(rows: DataFrame, window: int, block_bytes: int) -> DataFrame:
+PIECES = "anchor bigint, id bigint, mark bigint, start int, run int, n bigint, piece binary"
+
+
+def finer(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """Pieces cut anew where their windows' anchors of ``gram`` bytes change; each window is in one of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, mark, start, n, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                for _, anchor, _, at, count, _ in segments(data, np.array([0, len(data)]), window, gram):
+                    many = len(anchor)
+                    texts = [piece[a : a + c + window - 1] for a, c in zip(at.tolist(), count.tolist(), strict=True)]
+                    same = [pa.array([x] * many, pa.int64()) for x in (id_, mark)]
+                    columns = [pa.array(anchor.view(np.int64)), *same, pa.array((start + at).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array([n] * many, pa.int64()), pa.array(texts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "mark", "start", "run", "n", "piece"])
+
+    return pieces.mapInArrow(run, PIECES)
+
+
+def cut_finer(pieces: DataFrame, window: int, gram: int, block_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Pieces of large anchors by longer anchors: those whose anchors fit into a block, and what is left of those that do not with the
+    longest anchors, if anything is."""
+    done = []
+    while gram < window - 1:
+        gram = (gram + window) // 2
+        cut_ = stored(finer(pieces, window, gram))
+        large = cut_.groupBy(F.col("anchor").alias("a2")).agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > block_bytes).select("a2")
+        large = stored(large)
+        if large.isEmpty():
+            return [*done, cut_], None
+        done.append(cut_.join(large, F.col("anchor") == F.col("a2"), "left_anti"))
+        pieces = cut_.join(lookup(large), F.col("anchor") == F.col("a2"), "left_semi")
+    return done, pieces
+
+
+def indexed_spans(rows: DataFrame, window: int, gram: int, block_bytes: int) -> DataFrame:
     """(id, mark, start, end): of the segments that occur once, the stretches covered by windows that also start elsewhere."""
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +264,16 @@ def indexed_spans(rows: DataFrame, window: int, block_bytes: int) -> DataFrame:
                 key = hash_between(sums, at, at + window).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([id_] * run, pa.int64()), pa.array([mark] * run, pa.int64()), pa.array((start + at).astype(np.int32)), pa.array([n] * run, pa.int64())], names=["window", "id", "mark", "start", "n"])
 
-    most = F.lit(block_bytes)
-    part = lambda hot: rows.withColumn("wanted", F.filter("wanted", lambda w: (w.bytes > most) if hot else (w.bytes <= most))).where(F.size("wanted") > 0)
-    dealt = cut(part(False), window).repartition(tasks(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
+    part = lambda hot: rows.withColumn("wanted", F.filter("wanted", lambda w: (w.bytes > block_bytes) if hot else (w.bytes <= block_bytes))).where(F.size("wanted") > 0)
+    pieces, rest = [cut(part(False), window)], None
+    if not part(True).isEmpty():
+        more, rest = cut_finer(cut(part(True), window), window, gram, block_bytes)
+        pieces += more
+    dealt = functools.reduce(DataFrame.unionByName, pieces).repartition(tasks(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
     spans = dealt.mapInArrow(index, "id bigint, mark bigint, start int, end int")
-    windows = cut(part(True), window).mapInArrow(single, "window bigint, id bigint, mark bigint, start int, n bigint")
+    if rest is None:
+        return spans
+    windows = stored(rest.mapInArrow(single, "window bigint, id bigint, mark bigint, start int, n bigint"))
     again = windows.groupBy(F.col("window").alias("w2")).agg(F.sum("n").alias("times")).where("times > 1").select("w2")
     return spans.unionByName(windows.where("n = 1").join(again, F.col("window") == F.col("w2"), "left_semi").select("id", "mark", "start", (F.col("start") + window).alias("end")))
 
@@ -243,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     first = settled(rows, planned(rows, window, gram), window, keep_text)
     open_ = first.where(F.col("packed").isNotNull())
-    spans = indexed_spans(open_, window, block_bytes).groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = indexed_spans(open_, window, gram, block_bytes).groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     both = open_.join(spans, same_row("id2", "mark2"), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scriptorium.llm import suffix_array, suffix_tree
+from pyspark.sql import functions as F
+
+from scriptorium.llm import anchors, suffix_array, suffix_tree
 
 LAST = (1 << 63) - 1
 
@@ -89,6 +91,39 @@ def test_bytes(spark, block):
     assert sorted(map(tuple, found.collect()), key=str) == by_bytes(docs, 20)
 
 
+def thue_morse(n, two):
+    return [two[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_strings_that_agree_modulo_two_to_the_64(spark):
+    """In any base, polynomials of the two Thue-Morse strings of 2,048 symbols agree modulo 2**64."""
+    one, two = "".join(thue_morse(2048, "ab")), "".join(thue_morse(2048, "ba"))
+    both = [anchors.byte_values()[np.frombuffer(x.encode(), np.uint8)] for x in (one, two)]
+    ends = (np.array([0]), np.array([2048]))
+    assert anchors.hash_between(anchors.prefix_hashes(both[0]), *ends) == anchors.hash_between(anchors.prefix_hashes(both[1]), *ends)
+    assert anchors.strong_between(anchors.strong_sums(both[0]), *ends) != anchors.strong_between(anchors.strong_sums(both[1]), *ends)
+    docs = [(1, "x" * 40 + one + "y" * 30), (2, "z" * 40 + two + "u" * 30), (3, "v" * 50)]
+    found = suffix_array.remove_repeats(frame(spark, docs), window=1500, gram=1400)
+    assert sorted(map(tuple, found.collect()), key=str) == by_bytes(docs, 1500)
+    texts = [np.frombuffer(t.encode(), np.uint8) for _, t in docs[:2]]
+    assert not any(x.any() for x in suffix_array.repeated_windows(texts, 2000))
+
+
+def test_a_passage_in_many_contexts_is_cut_by_longer_anchors(spark):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcd") for _ in range(15))
+    some = ["".join(rng.choice("abcd") for _ in range(12)) for _ in range(6)]
+    docs = [(i, "".join(rng.choice("abcd") for _ in range(9)) + rng.choice(some) + passage + rng.choice(some)) for i in range(200)]
+    for block in (4000, 1500, 200):
+        found = suffix_array.remove_repeats(frame(spark, docs), window=20, gram=12, block_bytes=block)
+        assert sorted(map(tuple, found.collect()), key=str) == by_bytes(docs, 20)
+    pieces = spark.createDataFrame([(1, i, 0, 0, len(t) - 19, 1, bytearray(t.encode())) for i, t in docs], suffix_array.PIECES)
+    done, rest = suffix_array.cut_finer(pieces, 20, 12, 600)
+    assert sum(r.n for x in [*done, rest] if x is not None for r in x.selectExpr("sum(run) n").collect() if r.n) == sum(len(t) - 19 for _, t in docs)
+    assert all(r.b <= 600 for x in done for r in x.groupBy("anchor").agg(F.sum(F.length("piece")).alias("b")).collect())
+    assert len(done) > 1
+
+
 def test_empty(spark):
     none = frame(spark, corpus(" ")).limit(0)
     assert suffix_tree.remove_repeats(none).collect() == []
