@@ -37,9 +37,10 @@ def levels_of(terms: DataFrame) -> set[str]:
     return {r.level for r in terms.select("level").distinct().collect()}
 
 
-def weighed(index: Index, terms: DataFrame, n: DataFrame, level: str, k2: float) -> DataFrame:
-    """(qname, term, qpos, weight, avdl): what a full occurrence of each known word is worth to its query; negative if most units have it."""
-    rows = terms.where(F.col("level") == level).join(n, "term").join(F.broadcast(index.stats(level)), "level")
+def weighed(index: Index, known: DataFrame, level: str, k2: float) -> DataFrame:
+    """(qname, term, qpos, weight, avdl) of (qname, term, qf, qpos, n): what a full occurrence of each word is worth to its query; negative if
+    most units have it."""
+    rows = known.withColumn("level", F.lit(level)).join(F.broadcast(index.stats(level)), "level")
     idf = F.ln((F.col("n_units") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     return rows.select("qname", "term", "qpos", (idf * ((k2 + 1) * F.col("qf") / (k2 + F.col("qf")))).alias("weight"), "avdl")
 
@@ -67,10 +68,12 @@ def bounded(index: Index, terms: DataFrame, k1: float, k2: float, b: float, k: i
     bounds that have k scenes together are scored at once (role 0); their k-th score is what others have to reach. Slices whose bound does are
     role 1, and the rest, role 2, have none of the k best. The second table has the scores of role 0.
     """
-    beside = index.of_terms(terms).select("segment", "bucket", "span", "slice", "term", "n", "least_tf", "most_tf", "least_len", "most_len")
-    own = weighed(index, terms, beside.groupBy("term").agg(F.sum("n").alias("n")), "scene", k2)
+    own = index.blocks.select("segment", "bucket", "span", "slice", "term", "n", "least_tf", "most_tf", "least_len", "most_len")
+    beside = stored(own.join(index.placed(terms.drop("level")), ["segment", "bucket", "term"]))
+    weights = weighed(index, beside.groupBy("qname", "term", "qf", "qpos").agg(F.sum("n").alias("n")), "scene", k2)
     most = F.col("weight") * F.when(F.col("weight") >= 0, saturation("most_tf", "least_len", k1, b)).otherwise(saturation("least_tf", "most_len", k1, b))
-    blocks = stored(beside.join(own, "term").select("qname", "segment", "slice", "bucket", "span", "term", "n", most.alias("most"), "weight", "avdl", "qpos"))
+    blocks = beside.drop("qf", "qpos").join(weights, ["qname", "term"]).select("qname", "segment", "slice", "bucket", "span", "term", "n", most.alias("most"), "weight", "avdl", "qpos")
+    blocks = stored(blocks)
     bound = F.when(F.max("most") >= 0, F.sum(F.greatest("most", F.lit(0.0)))).otherwise(F.max("most"))
     slices = blocks.groupBy("qname", "segment", "slice").agg(bound.alias("bound"), F.max("n").alias("m"))
     order = Window.partitionBy("qname").orderBy(F.desc("bound"), "segment", "slice")
@@ -100,7 +103,8 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.8, k2: float = 5.0, b:
     levels = levels_of(terms)
     if "play" in levels:
         tf = index.unit_tf("play", terms)
-        rows = weighed(index, terms, tf.groupBy("term").agg(F.count("*").alias("n")), "play", k2).join(tf, "term").join(index.unit_len("play"), "unit_id")
+        known = terms.where("level = 'play'").join(tf.groupBy("term").agg(F.count("*").alias("n")), "term")
+        rows = weighed(index, known, "play", k2).join(tf, "term").join(index.unit_len("play"), "unit_id")
         score = F.col("weight") * saturation("tf", "len", k1, b)
         parts.append(top(rows.groupBy("qname", "unit_id").agg(F.sum(score).alias("score"), F.min(F.struct("qpos", "first_ord")).alias("first")), k))
     if "scene" in levels or not parts:

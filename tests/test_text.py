@@ -24,6 +24,24 @@ def test_lines(spark):
     assert {r.text: r.t for r in rows} == LINES
 
 
+def test_curve_in_spans(spark):
+    rng = random.Random(5)
+    rows = [(d, p, rng.choice("abcdefghijklmnop") * (1 + p // 40)) for d in (3, 4, 9) for p in range(0, 120, 1 + d % 2)]
+    table = spark.createDataFrame(rows, "doc_id bigint, pos int, stem string").repartition(3)
+    seen, wanted = set(), []
+    for n, (_, _, stem) in enumerate(sorted(rows), 1):
+        seen.add(stem)
+        wanted.append((n, len(seen)))
+    for span in (7, 4096):
+        assert sorted(map(tuple, text.vocab_curve(table, span=span).collect())) == wanted
+
+
+def test_ties_go_by_the_place_in_files(spark):
+    rows = [("a", 0, "b b c"), ("a", 10, "d e"), ("a", 2, "f"), ("b", 0, "e c d f")]
+    tokens = text.token_rows(spark.createDataFrame(rows, "file string, line_no bigint, line string"), [], ("file", "line_no"), "line")
+    assert [r.term for r in text.top_terms(tokens, term="token", order=("file", "line_no", "pos")).orderBy("ord").collect()] == ["b", "c", "f", "d", "e"]
+
+
 def test_stems(spark):
     rows = spark.createDataFrame([(k,) for k in STEMS], "word string").select("word", text.stem(F.col("word")).alias("s")).collect()
     assert {r.word: r.s for r in rows} == STEMS
