@@ -134,7 +134,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The edited text has its last quarter (floor of a quarter of the code points) replaced by as many code points from the start of the
     next row's text, or all of it; the row after the last is the first. Rows that repeat an id are ordered by text. Null text: as empty.
-    Null ids come last. Other columns are ignored; an empty table gives an empty result; the only row of a table is its own next.
+    Null ids come last; ordered by their texts, they are all in one task, row by row. Other columns are ignored; an empty table gives an empty
+    result; the only row of a table is its own next.
     """
     python_workers(docs.sparkSession)
 

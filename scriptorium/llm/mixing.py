@@ -94,7 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the first slot that takes any of them (null: none does) and ``slots`` those that take its first word, in order. A source's
     taken words are its target, rounded; no document exceeds three times its size. Null source: a source of its own, last. Null ids are
     shuffled as empty strings; rows that repeat an id are documents of their own. The order depends on ids and sizes only, so reruns
-    agree. Other columns are ignored; an empty table gives an empty result.
+    agree. Targets and slots of sources are worked out from a row per source, in one task: sources are tens or thousands, not as many as
+    documents. Other columns are ignored; an empty table gives an empty result.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))

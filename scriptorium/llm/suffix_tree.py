@@ -240,7 +240,8 @@ def remove_repeats(
     """One row per input row: (id_col, n_words, n_removed, kept, kept_sha256); kept words are joined by one space.
 
     Removed is each word in a window of ``window`` words whose words also start in a document with a smaller id; judged on the input.
-    Words are runs of bytes other than U+0020 and U+0009 to U+000D. Null text: no words. Null id: after every other id. Rows that
+    Words are runs of bytes other than U+0020 and U+0009 to U+000D. Null text: no words. Null id: after every other id, as
+    2**63 - 1, of which it is one document. Rows that
     repeat an id are one document here, so they remove nothing from each other. Without keep_text, kept is null. Other columns are
     ignored; an empty table gives an empty result.
     """
