@@ -130,7 +130,8 @@ def sql(booleans: dict, ranks: dict, lines: list[str], honorifics: list[str], wo
     docs = tokenized("documents", "doc_id", "coalesce(text, '')")
     stop = "token NOT IN (" + ", ".join(f"'{w}'" for w in stopwords) + ")"
     stems = f"WITH {docs}, kept AS (SELECT * FROM tok WHERE {stop}), {stemmed('kept', 'token', 'doc_id, pos')}"
-    each = lambda c, t: f"SELECT doc_id, count(*) AS n, count(DISTINCT {c}) AS different, md5(string_agg({c}, ' ' ORDER BY pos)) AS digest FROM {t} GROUP BY doc_id"
+    each = lambda c, t: f"""SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(different, 0) AS different, coalesce(digest, md5('')) AS digest FROM documents d LEFT JOIN
+        (SELECT doc_id, count(*) AS n, count(DISTINCT {c}) AS different, md5(string_agg({c}, ' ' ORDER BY pos)) AS digest FROM {t} GROUP BY doc_id) x ON x.doc_id = d.doc_id"""
     listed = lambda v, rest: f"WITH {lined(v, rest)}, {tokenized('v', 'no, value', 'value')} SELECT v.no, v.value, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens FROM v LEFT JOIN tok ON v.no = tok.no GROUP BY ALL"
     base = f"WITH {CORPUS}, {TOKENS}"
     level = lambda name, key: f"SELECT '{name}' AS level, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS total_terms, avg(n) AS avdl FROM (SELECT {key}, sum(len(w)) AS n FROM s GROUP BY 1)"

@@ -68,6 +68,12 @@ def ranked_table(spark: SparkSession, queries: dict) -> DataFrame:
     return spark.createDataFrame(rows, "qname string, level string, model string, qpos int, term string")
 
 
+def changed(spark: SparkSession, file: str) -> int:
+    """When a file was written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(file))
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+
+
 @functools.lru_cache(maxsize=16)
 def _built(app: str, files: tuple[str, ...]) -> Index:
     spark = SparkSession.active()
@@ -75,9 +81,9 @@ def _built(app: str, files: tuple[str, ...]) -> Index:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of the documents, built when an application first asks for it and read from then on."""
+    """The index of the documents, built when an application first asks for it and read from then on, until their files change."""
     files = sorted(readers.table(spark, sf_dir, "documents").inputFiles())
-    return _built(spark.sparkContext.applicationId, (sf_dir, *files))
+    return _built(spark.sparkContext.applicationId, (sf_dir, *(f"{f} {changed(spark, f)}" for f in files)))
 
 
 def lists(rows: DataFrame) -> DataFrame:
@@ -92,9 +98,9 @@ def per_document(spark: SparkSession, sf_dir: str, stop: bool, stemmed: bool = F
     tokens = text.tokenize(F.coalesce("text", F.lit("")))
     rows = texts(spark, sf_dir).select("doc_id", text.without(tokens, text.STOPWORDS if stop else []).alias("tokens"))
     rows = rows.withColumn("tokens", text.stems(F.col("tokens"))) if stemmed else rows
-    # Rows without tokens are left out by a generator: a filter would be evaluated apart from the tokens, below, and cost as much again.
+    # A generator gives the row, so that the tokens are worked out once for its three columns.
     row = F.struct(F.size("tokens").cast("bigint").alias("n"), F.size(F.array_distinct("tokens")).cast("bigint").alias("different"), F.md5(F.array_join("tokens", " ")).alias("digest"))
-    return rows.select("doc_id", F.inline(F.when(F.size("tokens") > 0, F.array(row))))
+    return rows.select("doc_id", F.inline(F.array(row)))
 
 
 def tok_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
