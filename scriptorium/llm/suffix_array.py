@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.anchors import byte_values, covered, fields, find_segments, hash_between, keyed, octets, packed, prefix_hashes, run_of, runs_of, same_row, segments, start_of, strong_between, strong_sums, unpacked
-from scriptorium.llm.common import lookup, stored, tasks
+from scriptorium.llm.common import discarded, lookup, stored, tasks
 
 #: Bytes of a match that is removed, bytes of an anchor's string, most bytes of one index.
 WINDOW, GRAM, BLOCK_BYTES = 400, 160, 1 << 21
@@ -139,6 +139,7 @@ def planned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("twice").alias("twice_"))
     again = again.where("n > 1 OR twice_").select("anchor_", (F.col("twice_") | (F.col("low") != F.col("high"))).alias("several"))
     near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place", "several"))
+    discarded(found)
     segs = near.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.max("several").alias("several"), F.min(F.struct("id", "mark", "place")).alias("at"))
 
     # All windows of a segment that occurs more than once are repeated.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.anchors import covered, fields, find_segments, hash_between, keyed, packed, prefix_hashes, run_of, same_row, start_of, unpacked, word_symbols, words
-from scriptorium.llm.common import lookup, stored, tasks
+from scriptorium.llm.common import discarded, lookup, stored, tasks
 
 #: Words of a repeat, of an anchor's string and of one name.
 WINDOW, GRAM, STEP = 50, 20, 10
@@ -84,6 +84,7 @@ def planned(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFra
     # Only anchors that two documents have matter; that leaves a fraction of the segments.
     again = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.min(order()).alias("first_"), F.max(order()).alias("final")).where("first_ < final").select("anchor_")
     near = stored(found.join(again, F.col("anchor") == F.col("anchor_")).select("anchor", "seg", "id", "mark", "place"))
+    discarded(found)
     segs = near.groupBy("anchor", "seg").agg(F.min(order()).alias("first"), F.max(order()).alias("last"), F.min(F.struct(order().alias("order"), "id", "mark", "place")).alias("at"))
     # Windows can only repeat between segments of an anchor that begin in different documents.
     anchors = segs.groupBy(F.col("anchor").alias("a3")).agg(F.min("first").alias("low"), F.max("first").alias("high"))
@@ -156,7 +157,9 @@ def grouped(rows: DataFrame, depth: int, group_suffixes: int) -> tuple[DataFrame
         if large.isEmpty():
             break
         large = lookup(large)
-        under = stored(under.join(large, prefix == F.col(f"p{k}"), "left_semi"))
+        last, under = under, stored(under.join(large, prefix == F.col(f"p{k}"), "left_semi"))
+        if k > 1:
+            discarded(last)
         rows = rows.join(large, prefix == F.col(f"p{k}"), "left")
         length = length + F.col(f"p{k}").isNotNull().cast("int")
         deep = k == depth - 1
