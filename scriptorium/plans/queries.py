@@ -229,12 +229,17 @@ def pagerank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(trace, "iteration bigint, change double").select("iteration", F.round("change", 9).alias("change"))
 
 
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded judgements of labelled documents for each query of the BM25 run, and one that is never run (negative ones among them)."""
+    qids = F.explode(F.array(*[F.lit(q) for q in [*RANKED["bm25_scene"], "never_run"]]))
+    labels = readers.table(spark, sf_dir, "labels")
+    return labels.select(qids.alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") * 2 - F.col("toxic")).cast("double").alias("rel"))
+
+
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The BM25 run, and graded judgements of labelled documents for each of its queries (negative ones among them)."""
+    """The BM25 run, and the judgements."""
     run = ranked_run(spark, sf_dir).select(F.col("qname").alias("qid"), F.col("unit_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), "score")
-    labels = readers.table(spark, sf_dir, "labels")
-    qids = F.explode(F.array(*[F.lit(q) for q in [*RANKED["bm25_scene"], "never_run"]]))
-    return run, labels.select(qids.alias("qid"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") * 2 - F.col("toxic")).cast("double").alias("rel"))
+    return run, judgements(spark, sf_dir)
 
 
 def eval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,11 +251,11 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_ideal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.ideal(judged(spark, sf_dir)[1])
+    return evaluation.ideal(judgements(spark, sf_dir))
 
 
 def qrels_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.qrels_totals(judged(spark, sf_dir)[1])
+    return evaluation.qrels_totals(judgements(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
