@@ -10,10 +10,10 @@
    Repetitive texts have few runs.
 4. Places within a match of ``WINDOW`` bytes or more are marked, and the marked bytes of each document removed.
 
-An anchor with more text than a block holds (a passage in very many contexts) is cut by content: its segments are cut anew by longer
-anchors, which take in more of the context, and again by longer ones where that is not enough. Equal windows have equal anchors of any
-length, so none is lost, and each group goes to an index of its own. Windows whose longest anchor is still that of more text than a block
-holds, most of the window being the same in thousands of contexts, meet by their own hash.
+An anchor with more text than a block holds (a passage in very many contexts) is cut by content: its segments are cut anew by a longer
+anchor, which takes in more of the context. Equal windows have equal anchors of any length, so none is lost, and each group goes to an
+index. Windows whose longer anchor is still that of more text than a block holds, most of the window being the same in thousands of
+contexts, meet by their own hash.
 """
 
 from __future__ import annotations
@@ -216,20 +216,16 @@ def finer(pieces: DataFrame, window: int, gram: int) -> DataFrame:
     return pieces.mapInArrow(run, PIECES)
 
 
-def cut_finer(pieces: DataFrame, window: int, gram: int, block_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Pieces of large anchors by longer anchors: those whose anchors fit into a block, and what is left of those that do not with the
-    longest anchors, if anything is."""
-    done = []
-    while gram < window - 1:
-        gram = (gram + window) // 2
-        cut_ = stored(finer(pieces, window, gram))
-        large = cut_.groupBy(F.col("anchor").alias("a2")).agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > block_bytes).select("a2")
-        large = stored(large)
-        if large.isEmpty():
-            return [*done, cut_], None
-        done.append(cut_.join(large, F.col("anchor") == F.col("a2"), "left_anti"))
-        pieces = cut_.join(lookup(large), F.col("anchor") == F.col("a2"), "left_semi")
-    return done, pieces
+def cut_finer(pieces: DataFrame, window: int, gram: int, block_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces of large anchors by anchors that are longer by three quarters of the way to a window: those whose anchors fit into a block, and
+    those whose anchors do not, if there are any."""
+    cut_ = stored(finer(pieces, window, (gram + 3 * window) // 4))
+    large = cut_.groupBy(F.col("anchor").alias("a2")).agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > block_bytes).select("a2")
+    large = stored(large)
+    if large.isEmpty():
+        return cut_, None
+    large = lookup(large)
+    return cut_.join(large, F.col("anchor") == F.col("a2"), "left_anti"), cut_.join(large, F.col("anchor") == F.col("a2"), "left_semi")
 
 
 def indexed_spans(rows: DataFrame, window: int, gram: int, block_bytes: int) -> DataFrame:
@@ -269,7 +265,7 @@ def indexed_spans(rows: DataFrame, window: int, gram: int, block_bytes: int) ->
     pieces, rest = [cut(part(False), window)], None
     if not part(True).isEmpty():
         more, rest = cut_finer(cut(part(True), window), window, gram, block_bytes)
-        pieces += more
+        pieces.append(more)
     dealt = functools.reduce(DataFrame.unionByName, pieces).repartition(tasks(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
     spans = dealt.mapInArrow(index, "id bigint, mark bigint, start int, end int")
     if rest is None:
