@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +64,26 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 
 
 def common_prefix(sums: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, by binary search on hashes."""
+    """Length of the common prefix of the suffixes at a and b, by binary search on hashes.
+
+    The search goes by the first of the two hashes, which never takes equal strings for different ones. What it finds has to agree by both;
+    where it does not, the search is done again by both.
+    """
     n = len(sums[0]) - 1
-    low, high = np.zeros(len(a), np.int32), np.minimum(most, n - np.maximum(a, b)).astype(np.int32)
-    while (open_ := low < high).any():
-        mid = (low + high + 1) // 2
-        same = strong_between(sums, a, a + mid) == strong_between(sums, b, b + mid)
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
-    return low
+
+    def search(between: Callable[..., np.ndarray], of: np.ndarray | tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a), np.int32), np.minimum(most, n - np.maximum(a, b)).astype(np.int32)
+        while (open_ := low < high).any():
+            mid = (low + high + 1) // 2
+            same = between(of, a, a + mid) == between(of, b, b + mid)
+            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        return low
+
+    found = search(hash_between, sums[0], a, b)
+    wrong = np.flatnonzero(strong_between(sums, a, a + found) != strong_between(sums, b, b + found))
+    if len(wrong):
+        found[wrong] = search(strong_between, sums, a[wrong], b[wrong])
+    return found
 
 
 class RunLengthIndex:
