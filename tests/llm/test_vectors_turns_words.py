@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scriptorium.llm import chat, spelling, whitening
 
@@ -128,6 +129,30 @@ def test_chat_examples(spark):
         assert r.formatted_chars == chars[r.conv_id] + sum(len(chat.formatted(*x)) for x in turns[last:])
 
 
+def test_chat_prefixes_are_spelled_out(spark):
+    rows = talk(random.Random(5), 6)
+    table = spark.createDataFrame(random.Random(6).sample(rows, len(rows)), "conv_id bigint, turn int, role string, text string").repartition(3)
+    by = defaultdict(list)
+    for conv, _, role, text in rows:
+        by[conv].append((role, text))
+    # A share of 300 code points: the long conversation's prefixes are many tasks' work.
+    results = []
+    for share in (300, chat.SHARE):
+        expanded = chat.expand(table, share=share)
+        found = {(r.conv_id, r.turn_no): r for r in expanded.collect()}
+        assert len(found) == len(rows)
+        for (conv, no), r in found.items():
+            before, here = by[conv][:no], by[conv][no]
+            assert r.piece == chat.formatted(*here)
+            assert r.prefix == ("".join(chat.formatted(*x) for x in before) if here[0] == "assistant" else None)
+            assert r.since == (max((i + 1 for i, x in enumerate(before) if x[0] == "assistant"), default=0) if r.is_reply else None)
+        results.append(sorted(chat.read_back(expanded).collect()))
+    assert results[0] == results[1]
+    # What is read back comes from the prefixes: another one gives other turns.
+    other = expanded.withColumn("prefix", F.regexp_replace("prefix", "é", "e"))
+    assert sorted(chat.read_back(other).collect()) != results[1]
+
+
 def test_chat_of_odd_rows(spark):
     schema = "conv_id int, turn int, role string, text string"
     rows = [(None, 1, "assistant", "x"), (None, None, None, None), (None, 1, "assistant", "x"), (2, 0, "user", "only"), (3, 5, "assistant", ""), (3, 5, "a\n:", "b")]
