@@ -58,12 +58,12 @@ def met(arrays: Column) -> Column:
 
 def scenes_of(index: Index, words: DataFrame) -> DataFrame:
     """(qname, grp, ord, play): the scenes that have every word and phrase of a group."""
-    keys, on = ["qname", "grp", "segment", "slice"], ["segment", "bucket", "span", "slice", "term"]
+    keys = ["qname", "grp", "segment", "slice"]
     uses = words.groupBy("qname", "grp", "term").agg(F.collect_set(F.when(F.col("phrase") > 1, F.struct("unit_no", "phrase", "off"))).alias("uses"))
     chosen = stored(meetings(index, words).where("all").drop("all", "n").join(uses, ["qname", "grp", "term"]))
     some, in_phrase = not words.where("phrase > 1").isEmpty(), F.size("uses") > 0
     # Positions are read of words in phrases only.
-    part = lambda which, positions: index.blocks.select(*on, "n", "ords", "plays", positions.alias("positions")).join(chosen.where(which), on)
+    part = lambda which, positions: index.of_blocks(chosen.where(which), "n", "ords", "plays", positions.alias("positions"))
     blocks = part(~in_phrase, F.lit(None).cast("array<array<int>>"))
     blocks = blocks.unionByName(part(in_phrase, F.col("positions"))) if some else blocks
     # A group of rows here is what one slice has of a query's words. A generator gives the intersection, so that it is worked out once.

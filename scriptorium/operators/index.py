@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import deleted, new_path, stored
+from scriptorium.functions.scratch import FEW, deleted, lookup, new_path, stored
 from scriptorium.functions.text import ws_tokens
 
 LEVELS = ("scene", "play")
@@ -29,6 +29,9 @@ LEVELS = ("scene", "play")
 SLICE_BITS, FOLDER_TOKENS, SPAN_SCENES = 7, 4 << 20, 1 << 16
 #: What is beside a block's contents, and these: arrays with an entry per scene, in step.
 BESIDE = ("segment", "bucket", "span", "slice", "term", "n", "lo", "hi", "least_tf", "most_tf", "least_len", "most_len")
+#: No block is of the empty term. Folders are only pruned by a table with a filter.
+SOME = "term <> ''"
+BLOCK = ("segment", "bucket", "span", "slice", "term")
 CONTENTS = {"ords": "bigint", "tfs": "bigint", "lens": "bigint", "plays": "string", "positions": "array<int>"}
 BLOCKS = (
     "slice bigint, term string, n bigint, lo bigint, hi bigint, least_tf bigint, most_tf bigint, least_len bigint, most_len bigint, "
@@ -61,15 +64,25 @@ class Index:
     scenes: DataFrame
 
     def placed(self, table: DataFrame) -> DataFrame:
-        """A table with a column ``term``, and with the ``segment`` and ``bucket`` in which each segment has the term's blocks."""
+        """A table with a column ``term``, and with the ``segment`` and ``bucket`` in which each segment has the term's blocks; stored, and
+        broadcast if it is small, so that no block of another term is shuffled."""
         live = F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(b).alias("buckets")) for s, b, _ in self.segments])
-        own = table.where("term <> ''").select("*", F.inline(live))
-        return own.withColumn("bucket", folder_of(F.col("term"), F.col("buckets"))).drop("buckets")
+        own = stored(table.select("*", F.inline(live)).withColumn("bucket", folder_of(F.col("term"), F.col("buckets"))).drop("buckets"))
+        return lookup(own.where(SOME))
 
     def of_terms(self, terms: DataFrame | None) -> DataFrame:
         """Blocks, of some terms only if a table (term) is given: folders without any of them are not read, nor are columns not asked for."""
         return self.blocks if terms is None else self.blocks.join(self.placed(terms.select("term").distinct()), ["segment", "bucket", "term"], "left_semi")
 
+    def of_blocks(self, chosen: DataFrame, *contents: Column | str, most: int = FEW) -> DataFrame:
+        """Contents of the blocks that a ``stored`` table (segment, bucket, span, slice, term, ...) names, and its other columns. Where they are
+        too many to be broadcast, blocks of other terms are left out before any is shuffled."""
+        own = self.blocks.select(*BLOCK, *contents)
+        if chosen.count() <= most:
+            return own.join(F.broadcast(chosen.where(SOME)), list(BLOCK))
+        terms = lookup(stored(chosen.select("segment", "bucket", "term").distinct()).where(SOME))
+        return own.join(terms, ["segment", "bucket", "term"], "left_semi").join(chosen, list(BLOCK))
+
     def entries(self, blocks: DataFrame, *contents: str) -> DataFrame:
         """(term, ord, one column per content without its s) of blocks: a row per scene that has the term."""
         columns = ["ords", *contents]

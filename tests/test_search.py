@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.errors import PySparkException
 
+from scriptorium.functions.scratch import stored
 from scriptorium.operators import boolean, ranking
 from scriptorium.operators.index import append, build, merge, open_index
 
@@ -79,6 +80,24 @@ def test_stored_index_is_read_by_folders(spark, tmp_path):
     assert "positions" not in plan.split("ReadSchema")[-1]
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_search_go_to_the_blocks(spark, index):
+    # The index is not shuffled for a few words, whatever Spark makes of the size of their table.
+    words = boolean.words_of(spark.createDataFrame([("a", "scene", "or", 0, ["lady"]), ("a", "scene", "or", 1, ["of", "the"])], "qname string, level string, op string, unit_no int, unit array<string>"))
+    found = boolean.meetings(index, words)
+    terms = spark.createDataFrame([("lady",), ("the",)], "term string")
+    for plan in map(executed, (found.drop("all"), index.of_terms(terms), index.unit_tf("play", terms))):
+        assert "SortMergeJoin" not in plan.split("Window")[-1]
+        assert "BroadcastHashJoin" in plan
+    chosen = stored(found)
+    few, many = index.of_blocks(chosen, "ords"), index.of_blocks(chosen, "ords", most=0)
+    assert "SortMergeJoin" not in executed(few)
+    assert sorted(few.collect()) == sorted(many.collect()) != []
+
+
 def random_scenes(rng, n, first=0, words="abcdefgh"):
     weights = [2.0**-i for i in range(len(words))]
     texts = (" ".join(rng.choices(words, weights, k=rng.choice([0, 1, 3, 12, 40]))) for _ in range(n))
