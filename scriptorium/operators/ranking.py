@@ -52,8 +52,7 @@ def saturation(tf: str, length: str, k1: float, b: float) -> Column:
 
 def scored_blocks(index: Index, chosen: DataFrame, k1: float, b: float) -> DataFrame:
     """(qname, ord, score, first) of the scenes in blocks (qname, segment, bucket, span, slice, term, weight, avdl, qpos)."""
-    blocks = index.blocks.select("segment", "bucket", "span", "slice", "term", F.arrays_zip("ords", "tfs", "lens").alias("e"))
-    rows = blocks.join(chosen.where("term <> ''").drop("n", "most", "m"), ["segment", "bucket", "span", "slice", "term"])
+    rows = index.of_blocks(stored(chosen.drop("n", "most", "m")), F.arrays_zip("ords", "tfs", "lens").alias("e"))
     rows = rows.select("qname", "weight", "avdl", "qpos", F.inline("e"))
     score = F.col("weight") * saturation("tfs", "lens", k1, b)
     return rows.groupBy("qname", F.col("ords").alias("ord")).agg(F.sum(score).alias("score"), F.min(F.struct("qpos", F.col("ords").alias("ord"))).alias("first"))

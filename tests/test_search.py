@@ -98,6 +98,14 @@ def test_words_of_a_search_go_to_the_blocks(spark, index):
     assert sorted(few.collect()) == sorted(many.collect()) != []
 
 
+def test_scored_blocks_are_not_shuffled(spark, index):
+    terms = spark.createDataFrame([("q", "scene", "lady", 1, 0), ("q", "scene", "the", 1, 1)], "qname string, level string, term string, qf bigint, qpos int")
+    blocks, scores = ranking.bounded(index, terms, 1.8, 5.0, 0.75, 1)
+    plan = executed(ranking.scored_blocks(index, blocks.drop("role"), 1.8, 0.75))
+    assert "SortMergeJoin" not in plan
+    assert "BroadcastHashJoin" in plan
+
+
 def random_scenes(rng, n, first=0, words="abcdefgh"):
     weights = [2.0**-i for i in range(len(words))]
     texts = (" ".join(rng.choices(words, weights, k=rng.choice([0, 1, 3, 12, 40]))) for _ in range(n))
