@@ -140,12 +140,37 @@ def analyze(docs: DataFrame, stopwords: list[str] | DataFrame = STOPWORDS, id_co
     return token_rows(docs, stopwords, id_col, text_col).withColumn("stem", stem(F.col("token")))
 
 
+def numbered(tokens: DataFrame, order: tuple[str, ...]) -> bool:
+    """Whether a token's place is an integer id and a position as ``token_rows`` has them, which are 32 bits and never null."""
+    kinds = dict(tokens.dtypes)
+    return len(order) == 2 and kinds.get(order[0]) in ("int", "bigint") and kinds.get(order[1]) == "int" and not tokens.schema[order[1]].nullable
+
+
+def one_number(tokens: DataFrame, doc: str, pos: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A place as a number of the same order, and what makes it a struct again. A number's least value is kept in a hash table; for that of a
+    struct, Spark sorts all tokens of a task. A null id comes first, as in a struct."""
+    number = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    wide = lambda c: c.cast("decimal(38,0)")
+    null, span, half = -(1 << 63) - 1, F.lit(str(1 << 32)).cast("decimal(11,0)"), number(1 << 31)
+    ids = F.coalesce(F.col(doc).cast("decimal(20,0)"), F.lit(str(null)).cast("decimal(20,0)"))
+    place = wide(wide(ids * span) + F.col(pos).cast("decimal(11,0)"))
+
+    def back(x: Column) -> Column:
+        low = F.pmod(wide(x + half), wide(span))
+        high = F.call_function("div", wide(wide(x + half) - low), wide(span))
+        known = F.when(x >= number(-(1 << 95) - (1 << 31)), high)
+        return F.struct(known.cast(dict(tokens.dtypes)[doc]).alias(doc), wide(low - half).cast("int").alias(pos))
+
+    return place, back
+
+
 def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | None, order: tuple[str, ...]) -> DataFrame:
     """(term, cnt, first) of each term; with ``to``, of what it makes of them, worked out once per different term."""
-    counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("first"))
-    if to is None:
-        return counts
-    return counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+    place, back = one_number(tokens, *order) if numbered(tokens, order) else (F.struct(*order), lambda x: x)
+    counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), F.min(place).alias("place"))
+    if to is not None:
+        counts = counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("place").alias("place"))
+    return counts.select("term", "cnt", back(F.col("place")).alias("first"))
 
 
 def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, ...] = ("doc_id", "pos"), to: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -104,3 +104,17 @@ def test_growth(docs):
 def test_stopwords_from_a_table(spark, docs):
     words = spark.createDataFrame([("cat",)], "word string")
     assert text.analyze(docs, words).where("token = 'cat'").count() == 0
+
+
+def test_first_places_are_kept_in_a_hash_table(spark):
+    ids = [None, -(2**63), 2**63 - 1, -1, 0, 7, 7]
+    docs = spark.createDataFrame([(i, f"common w{n % 3} word{n}") for n, i in enumerate(ids)], "doc_id bigint, text string")
+    tokens = text.token_rows(docs)
+    found = text.firsts_of(tokens, "token", None, ("doc_id", "pos"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    # A position that may be null is not taken as part of a number.
+    plain = tokens.select("doc_id", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), "token")
+    assert "SortAggregate" in text.firsts_of(plain, "token", None, ("doc_id", "pos"))._jdf.queryExecution().executedPlan().toString()
+    for to in (None, text.stem):
+        rows = [sorted(((r.term, r.cnt, tuple(r.first)) for r in text.firsts_of(t, "token", to, ("doc_id", "pos")).collect()), key=str) for t in (tokens, plain)]
+        assert rows[0] == rows[1] != []
