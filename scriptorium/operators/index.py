@@ -1,7 +1,7 @@
 """A positional index over a two-level corpus: scenes (documents) in plays (groups of documents).
 
-Scenes are numbered in slices of ``SLICE``. A block is what one slice has of one term: the scenes' places in the corpus (rising), with the
-occurrences, length, play and positions of each, and beside these their number, least and greatest place, and bounds of occurrences and
+Scenes are in slices of 2**``SLICE_BITS``. A block is what one slice has of one term: the scenes' places in the corpus (rising), with the
+occurrences, length, play, id and positions of each, and beside these their number, least and greatest place, and bounds of occurrences and
 lengths. Blocks of different terms meet if they are of one slice, so an intersection is a join on slices, and whatever has no partner or
 cannot score high enough is left out before its contents are read; a term that every scene has is as many blocks as there are slices.
 
@@ -13,33 +13,41 @@ its last version counts, so a search never sees half of a segment.
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.scratch import FEW, deleted, lookup, new_path, stored
+from scriptorium.functions.scratch import FEW, deleted, lookup, new_path, shipped, stored
 from scriptorium.functions.text import ws_tokens
 
 LEVELS = ("scene", "play")
 #: Scenes of a slice, as a power of two; tokens of a folder of blocks, and scenes whose blocks are together in the folders of a term.
-SLICE_BITS, FOLDER_TOKENS, SPAN_SCENES = 7, 4 << 20, 1 << 16
+SLICE_BITS, FOLDER_TOKENS, SPAN_SCENES = 7, 2 << 20, 1 << 16
+#: Tokens with which a slice ends before it has all its scenes, but for one scene that has more.
+SLICE_TOKENS = 1 << 21
+#: Postings that are packed at once, and blocks of an Arrow batch.
+PACK_POSTINGS, ROWS = 1 << 21, 4096
 #: What is beside a block's contents, and these: arrays with an entry per scene, in step.
 BESIDE = ("segment", "bucket", "span", "slice", "term", "n", "lo", "hi", "least_tf", "most_tf", "least_len", "most_len")
 #: No block is of the empty term. Folders are only pruned by a table with a filter.
 SOME = "term <> ''"
 BLOCK = ("segment", "bucket", "span", "slice", "term")
-CONTENTS = {"ords": "bigint", "tfs": "bigint", "lens": "bigint", "plays": "string", "positions": "array<int>"}
-BLOCKS = (
+CONTENTS = {"ords": "bigint", "tfs": "bigint", "lens": "bigint", "plays": "string", "ids": "string", "positions": "array<int>"}
+MADE = (
     "slice bigint, term string, n bigint, lo bigint, hi bigint, least_tf bigint, most_tf bigint, least_len bigint, most_len bigint, "
-    + ", ".join(f"{c} array<{t}>" for c, t in CONTENTS.items()) + ", segment string, bucket int, span int"
+    + ", ".join(f"{c} array<{t}>" for c, t in CONTENTS.items())
 )
+POSTING = ["term", "slice", "ord", "len", "play", "id", "positions"]
+PACKED = "bucket int, span int, postings binary"
+BLOCKS = f"{MADE}, segment string, bucket int, span int"
 SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint, segment string"
 LIVE = "segment string, buckets int, spans int, version int"
-DELTA = {"parquet.writer.version": "v2"}
+DELTA = {"parquet.writer.version": "v2", "compression": "zstd"}
 
 
 def unit(level: str) -> str:
@@ -49,8 +57,9 @@ def unit(level: str) -> str:
     return f"{level}_id"
 
 
-def folder_of(key: Column, folders: int | Column) -> Column:
-    return F.pmod(F.xxhash64(key), folders if isinstance(folders, Column) else F.lit(folders)).cast("int")
+def folder_of(term: Column, folders: Column) -> Column:
+    """The number of a term's folder, as ``packed`` has it."""
+    return F.pmod(F.crc32(term), folders).cast("int")
 
 
 @dataclass(frozen=True)
@@ -90,15 +99,15 @@ class Index:
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, play_id, scene_id, doc_ord, positions), positions from 0."""
-        rows = self.entries(self.of_terms(terms), "plays", "positions").withColumnRenamed("ord", "doc_ord")
-        return rows.join(self.scenes.select("doc_ord", "scene_id"), "doc_ord").select("term", F.col("play").alias("play_id"), "scene_id", "doc_ord", F.col("position").alias("positions"))
+        rows = self.entries(self.of_terms(terms), "plays", "ids", "positions")
+        return rows.toDF("term", "doc_ord", "play_id", "scene_id", "positions").select("term", "play_id", "scene_id", "doc_ord", "positions")
 
     def unit_tf(self, level: str, terms: DataFrame | None = None) -> DataFrame:
         """(term, unit_id, tf, first_ord): occurrences in each unit, and where in the corpus the first one is."""
         if unit(level) == "play_id":
             return self.entries(self.of_terms(terms), "tfs", "plays").groupBy("term", F.col("play").alias("unit_id")).agg(F.sum("tf").alias("tf"), F.min("ord").alias("first_ord"))
-        rows = self.entries(self.of_terms(terms), "tfs").join(self.scenes.select(F.col("doc_ord").alias("ord"), F.col("scene_id").alias("unit_id")), "ord")
-        return rows.select("term", "unit_id", "tf", F.col("ord").alias("first_ord"))
+        rows = self.entries(self.of_terms(terms), "tfs", "ids")
+        return rows.select("term", F.col("id").alias("unit_id"), "tf", F.col("ord").alias("first_ord"))
 
     def unit_len(self, level: str) -> DataFrame:
         """(unit_id, len); units without tokens have length 0."""
@@ -140,67 +149,166 @@ def _last_version(spark: SparkSession, path: str) -> int:
     return spark.read.schema(LIVE).parquet(f"{path}/live").agg(F.max("version")).first()[0]
 
 
-def term_positions(tokens: Column) -> Column:
-    """array<struct<term, positions>> of the different tokens of a list, by passes over the list sorted by token and position.
-
-    Each pass is over an array of one, so that its outcome is worked out once.
-    """
-    placed = lambda ts: F.sort_array(F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    at = lambda s, i: F.get(s, i).t
-    begins = lambda s: F.struct(s.alias("s"), F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (at(s, i) != at(s, i - 1))).alias("a"))
-    ends = lambda v: F.struct(v.s.alias("s"), v.a.alias("a"), F.concat(F.slice(v.a, 2, F.size(v.a)), F.array(F.size(v.s))).alias("b"))
-    cut = lambda v: F.zip_with(v.a, v.b, lambda a, b: F.struct(at(v.s, a).alias("term"), F.transform(F.slice(v.s, a + 1, b - a), lambda x: x.i).alias("positions")))
-    value = F.array(tokens)
-    for step in (placed, begins, ends, cut):
-        value = F.transform(value, step)
-    return F.get(value, F.lit(0))
-
-
-@contextmanager
-def grouped_by_sort(spark: SparkSession) -> Iterator[None]:
-    """Lists are collected from sorted rows, whose order the result keeps; Spark would begin with a hash table of groups, and sort when it is full."""
-    key = "spark.sql.execution.useObjectHashAggregateExec"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
-def _write(rows: DataFrame, scenes: DataFrame, path: str, segment: str, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
-    """Write a segment from postings (term, ord, play, len, slice, positions) and scenes (play_id, scene_id, doc_ord, len); both are stored.
-
-    One shuffle brings postings to their folders, where they are sorted once, for grouping and for the files. What comes together in a group
-    is a slice's at most.
+def packed(postings, buckets: int, spans: int):
+    """An Arrow batch (bucket, span, postings) of a table of postings (term, slice, ord, len, play, id, positions): those of each folder as one
+    compressed Arrow stream, which is far smaller than rows of arrays are."""
+    import numpy as np
+    import pyarrow as pa
+
+    postings = postings.combine_chunks()
+    terms = postings["term"].combine_chunks()
+    own = np.array([zlib.crc32(t.encode()) % buckets for t in terms.dictionary.to_pylist()], np.int64)[terms.indices.to_numpy(zero_copy_only=False)]
+    slices = postings["slice"].to_numpy()
+    numbers, at = np.unique(slices, return_inverse=True)
+    folder = own * spans + np.array([zlib.crc32(str(n).encode()) % spans for n in numbers], np.int64)[at]
+    order = np.lexsort((slices, terms.indices.to_numpy(zero_copy_only=False), folder))
+    folder, postings = folder[order], postings.take(pa.array(order)).combine_chunks()
+    first, streams = np.flatnonzero(np.r_[True, folder[1:] != folder[:-1]]), []
+    for a, b in zip(first, np.r_[first[1:], len(folder)], strict=True):
+        part, out = postings.slice(a, b - a), pa.BufferOutputStream()
+        part = part.set_column(0, "term", part["term"].combine_chunks().cast(pa.string()).dictionary_encode())
+        with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(part)
+        streams.append(out.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array((folder[first] // spans).astype(np.int32)), pa.array((folder[first] % spans).astype(np.int32)), pa.array(streams, pa.binary())], names=["bucket", "span", "postings"])
+
+
+def packs(tables, buckets: int, spans: int, most: int = PACK_POSTINGS):
+    """Packed postings of tables, ``most`` or somewhat more at once."""
+    import pyarrow as pa
+
+    kept, n = [], 0
+    for table in itertools.chain(tables, [None]):
+        if table is not None:
+            kept.append(table)
+            n += table.num_rows
+        if kept and (table is None or n >= most):
+            yield packed(pa.concat_tables(kept).unify_dictionaries(), buckets, spans)
+            kept, n = [], 0
+
+
+def sliced(slice_bits: int, buckets: int, spans: int, slice_tokens: int = SLICE_TOKENS):
+    """From Arrow batches of (play, id, ord, tokens) to packed postings: as many rows as a slice has, or as have so many tokens, are one slice."""
+
+    def tables(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, rest, whole = TaskContext.get().partitionId() << 33, None, 1 << slice_bits
+        for batch in itertools.chain(batches, [None]):
+            rows = [t for t in (rest, batch and pa.Table.from_batches([batch])) if t is not None]
+            rows = pa.concat_tables(rows).combine_chunks() if rows else None
+            at, n = 0, rows.num_rows if rows else 0
+            lens = rows["tokens"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
+            while at < n and (batch is None or at + whole <= n or int(lens[at:].sum()) > slice_tokens):
+                size = max(1, int(np.searchsorted(np.cumsum(lens[at : at + whole]), slice_tokens, "right")))
+                if lens[at : at + size].any():
+                    yield slice_postings(rows.slice(at, size), lens[at : at + size], number)
+                number, at = number + 1, at + size
+            rest = rows.slice(at) if at < n else None
+
+    return lambda batches: packs(tables(batches), buckets, spans)
+
+
+def slice_postings(rows, lens, number: int):
+    """The postings of one slice, a row for each scene that has the term."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = lambda c: rows[c].combine_chunks()
+    words = column("tokens").flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False)
+    at = np.argsort(code, kind="stable")
+    scene, place = np.repeat(np.arange(len(lens)), lens)[at], (np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens))[at]
+    code = code[at]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (scene[1:] != scene[:-1])])
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)].astype(np.int32)), pa.array(place.astype(np.int32)))
+    scene, terms = scene[first], pa.DictionaryArray.from_arrays(pa.array(code[first]), words.dictionary)
+    play, id_ = (column(c).take(pa.array(scene)) for c in ("play", "id"))
+    columns = [terms, pa.array(np.full(len(scene), number)), pa.array(column("ord").to_numpy(zero_copy_only=False)[scene]), pa.array(lens[scene]), play, id_, positions]
+    return pa.Table.from_arrays(columns, names=POSTING)
+
+
+def recut(lows: list[int], buckets: int, spans: int):
+    """From Arrow batches of (term, ords, lens, plays, ids, positions) of blocks to packed postings, in slices that begin at the places ``lows``."""
+
+    def tables(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                terms, lengths = batch.column("term").dictionary_encode(), batch.column("ords").value_lengths().to_numpy(zero_copy_only=False)
+                terms = pa.DictionaryArray.from_arrays(pa.array(np.repeat(terms.indices.to_numpy(zero_copy_only=False), lengths)), terms.dictionary)
+                ords, *rest = (batch.column(c).flatten() for c in ("ords", "lens", "plays", "ids", "positions"))
+                slices = np.searchsorted(np.array(lows), ords.to_numpy(zero_copy_only=False), "right") - 1
+                yield pa.Table.from_arrays([terms, pa.array(slices), ords, *rest], names=POSTING)
+
+    return lambda batches: packs(tables(batches), buckets, spans)
+
+
+def unpacked(batches):
+    """From packed postings, those of a folder after each other, to blocks in the order of terms and slices."""
+    import pyarrow as pa
+
+    rows = ((b, s, p) for batch in batches for b, s, p in zip(*(batch.column(c) for c in ("bucket", "span", "postings")), strict=True))
+    for (bucket, span), own in itertools.groupby(rows, key=lambda r: (r[0].as_py(), r[1].as_py())):
+        postings = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for *_, p in own]).unify_dictionaries().combine_chunks()
+        made = grouped(postings, bucket, span)
+        for at in range(0, made.num_rows, ROWS):
+            yield made.slice(at, ROWS)
+
+
+def grouped(postings, bucket: int, span: int):
+    """An Arrow batch of the blocks of a folder."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    terms = postings["term"].combine_chunks()
+    rank = np.argsort(pc.sort_indices(terms.dictionary).to_numpy(zero_copy_only=False))
+    code, slices, ords, lens = rank[terms.indices.to_numpy(zero_copy_only=False)], *(postings[c].to_numpy() for c in ("slice", "ord", "len"))
+    order = np.lexsort((ords, slices, code))
+    code, slices, ords, lens = code[order], slices[order], ords[order], lens[order]
+    plays, ids, positions = (postings[c].combine_chunks().take(pa.array(order)) for c in ("play", "id", "positions"))
+    tfs = positions.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (slices[1:] != slices[:-1])])
+    ends = np.r_[first, len(code)]
+    bounds = [f.reduceat(x, first) for x in (ords, tfs, lens) for f in (np.minimum, np.maximum)]
+    contents = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x) for x in (pa.array(ords), pa.array(tfs), pa.array(lens), plays, ids, positions)]
+    folder = [pa.array(np.full(len(first), x, np.int32)) for x in (bucket, span)]
+    columns = [pa.array(slices[first]), terms.dictionary.take(pc.sort_indices(terms.dictionary)).take(pa.array(code[first])), pa.array(np.diff(ends)), *map(pa.array, bounds), *contents, *folder]
+    return pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in MADE.split(", ")), "bucket", "span"])
+
+
+def _write(scenes: DataFrame, pack: Callable[[int, int], DataFrame], path: str, segment: str, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
+    """Write a segment from scenes (play_id, scene_id, doc_ord, len) and the packed postings that ``pack`` gives for numbers of buckets and spans.
+
+    One shuffle brings postings to their folders, where blocks are made of them; what a task has at once is one folder's.
     """
-    n, tokens = scenes.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    least = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, folder = scenes.sparkSession, f"{path}/scenes/segment={segment}"
+    scenes.write.options(**DELTA).parquet(folder)
+    n, tokens = spark.read.schema(scenes.schema).parquet(folder).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = max(1, -(-n // span_scenes))
     buckets = max(1, -(-max(least, -(-tokens // folder_tokens)) // spans))
-    scenes.write.options(**DELTA).parquet(f"{path}/scenes/segment={segment}")
-    rows = rows.withColumns({"bucket": folder_of(F.col("term"), buckets), "span": folder_of(F.col("slice"), spans)}).repartition(buckets * spans, "bucket", "span")
-    rows = rows.sortWithinPartitions("bucket", "span", "term", "slice", "ord")
-    entry = F.struct("ord", F.size("positions").cast("bigint").alias("tf"), "len", "play", "positions")
-    blocks = rows.groupBy("bucket", "span", "term", "slice").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    each = lambda c: F.transform("e", lambda x: x[c])
-    blocks = blocks.select("bucket", "span", "slice", "term", F.size("e").cast("bigint").alias("n"), each("ord").alias("ords"), each("tf").alias("tfs"), each("len").alias("lens"), each("play").alias("plays"), each("positions").alias("positions"))
-    bounds = {"lo": F.array_min("ords"), "hi": F.array_max("ords"), "least_tf": F.array_min("tfs"), "most_tf": F.array_max("tfs"), "least_len": F.array_min("lens"), "most_len": F.array_max("lens")}
-    blocks = blocks.withColumns(bounds).sortWithinPartitions("bucket", "span", "term", "slice")
-    with grouped_by_sort(rows.sparkSession):
-        blocks.write.options(**DELTA).partitionBy("bucket", "span").parquet(f"{path}/blocks/segment={segment}")
+    rows = pack(buckets, spans).repartition(buckets * spans, "bucket", "span").sortWithinPartitions("bucket", "span")
+    blocks = rows.mapInArrow(unpacked, f"{MADE}, bucket int, span int").sortWithinPartitions("bucket", "span", "term", "slice")
+    blocks.write.options(**DELTA).partitionBy("bucket", "span").parquet(f"{path}/blocks/segment={segment}")
     return segment, buckets, spans
 
 
 def _segment(corpus: DataFrame, path: str, slice_bits: int, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
-    """Write a segment of a corpus. Tokens are made once, and scenes numbered by task and row as they are written, so both tables agree."""
+    """Write a segment of a corpus. A slice is one task's, so its postings are packed before they are shuffled; a task's scenes are sorted by
+    their places, so that they are in the same slices if it runs again."""
     segment = uuid.uuid4().hex[:12]
-    own = stored(corpus.select("play_id", "scene_id", "doc_ord", F.shiftright(F.monotonically_increasing_id(), slice_bits).alias("slice"), ws_tokens(F.col("text")).alias("tokens")))
-    scenes = own.select("play_id", "scene_id", "doc_ord", F.size("tokens").cast("bigint").alias("len"))
-    rows = own.where(F.size("tokens") > 0).select(F.col("doc_ord").alias("ord"), F.col("play_id").alias("play"), F.size("tokens").cast("bigint").alias("len"), "slice", F.inline(term_positions(F.col("tokens"))))
-    made = _write(rows, scenes, path, segment, folder_tokens, span_scenes)
-    deleted(corpus.sparkSession, *own.inputFiles())
-    return made
+    shipped(corpus.sparkSession)
+    tokens = ws_tokens(F.col("text"))
+    scenes = corpus.select("play_id", "scene_id", "doc_ord", F.size(tokens).cast("bigint").alias("len"))
+    own = corpus.select("play_id", "scene_id", "doc_ord", "text").sortWithinPartitions("doc_ord")
+    own = own.select(F.col("play_id").alias("play"), F.col("scene_id").alias("id"), F.col("doc_ord").alias("ord"), tokens.alias("tokens"))
+    return _write(scenes, lambda buckets, spans: own.mapInArrow(sliced(slice_bits, buckets, spans), PACKED), path, segment, folder_tokens, span_scenes)
 
 
 def build(corpus: DataFrame, path: str | None = None, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
@@ -222,11 +330,12 @@ def append(index: Index, corpus: DataFrame, slice_bits: int = SLICE_BITS, folder
 def merge(index: Index, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
     """The index with all segments in one, scenes numbered anew by their places; files of the old ones go once the new version stands."""
     spark, segment = index.blocks.sparkSession, uuid.uuid4().hex[:12]
+    shipped(spark)
     placed = index.scenes.drop("segment").repartitionByRange("doc_ord").sortWithinPartitions("doc_ord")
-    own = stored(placed.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), slice_bits)))
-    entries = index.entries(index.blocks, "plays", "lens", "positions").withColumnRenamed("position", "positions")
-    rows = entries.join(own.select(F.col("doc_ord").alias("ord"), "slice"), "ord")
-    made = _write(rows, own.drop("slice"), index.path, segment, folder_tokens, span_scenes)
+    slices = placed.select("doc_ord", F.shiftright(F.monotonically_increasing_id(), slice_bits).alias("slice")).groupBy("slice").agg(F.min("doc_ord").alias("low"))
+    lows = sorted(r.low for r in slices.collect())  # a number per slice
+    old = index.blocks.select("term", "ords", "lens", "plays", "ids", "positions")
+    made = _write(index.scenes.drop("segment"), lambda buckets, spans: old.mapInArrow(recut(lows, buckets, spans), PACKED), index.path, segment, folder_tokens, span_scenes)
     merged = _made_live(spark, index.path, [made], _last_version(spark, index.path) + 1)
-    deleted(spark, *own.inputFiles(), *[f"{index.path}/{kind}/segment={s}/x" for kind in ("blocks", "scenes") for s, *_ in index.segments])
+    deleted(spark, *[f"{index.path}/{kind}/segment={s}/x" for kind in ("blocks", "scenes") for s, *_ in index.segments])
     return merged

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 
 from scriptorium.functions.scratch import stored
 from scriptorium.operators import boolean, ranking
-from scriptorium.operators.index import append, build, merge, open_index
+from scriptorium.operators.index import MADE, PACKED, append, build, merge, open_index, sliced, unpacked
 
 SCENES = [
     ("p1", "p1:1", 0, 0, "to be or not to be"), ("p1", "p1:2", 1, 1, "lady macbeth sleeps"),
@@ -141,6 +141,19 @@ def test_appended_and_merged_segments_are_one_build(spark, tmp_path):
         assert r.ords == sorted(r.ords)
 
 
+def test_postings_are_packed_and_need_no_join(spark, index):
+    assert "Join" not in executed(index.postings())
+    assert "Join" not in executed(index.unit_tf("scene"))
+    rows = [("p", i, str(i), ["a", "b", "a"] if i else []) for i in range(9)]
+    corpus = spark.createDataFrame(rows, "play string, ord bigint, id string, tokens array<string>").coalesce(1)
+    for most, slices in ((1 << 20, 3), (7, 4)):
+        packs = corpus.mapInArrow(sliced(2, 1, 1, most), PACKED)
+        blocks = packs.mapInArrow(unpacked, f"{MADE}, bucket int, span int").collect()
+        assert packs.count() == 1
+        assert sorted((r.term, r.ords[i], r.positions[i]) for r in blocks for i in range(r.n)) == [("a", i, [0, 2]) for i in range(1, 9)] + [("b", i, [1]) for i in range(1, 9)]
+        assert len({r.slice for r in blocks}) == slices
+
+
 def test_a_word_of_every_scene_goes_to_many_folders(spark):
     index = build(spark.createDataFrame([("p", f"s{i}", i, i, "the") for i in range(640)], SCHEMA).coalesce(1), slice_bits=4, span_scenes=40, folder_tokens=10)
     blocks = index.blocks.where("term = 'the'")
