@@ -62,10 +62,15 @@ def bucketed(rows: DataFrame, buckets: int, *keys: str) -> Iterator[DataFrame]:
         deleted(spark, f"{path}/x")
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """(src, dst, m): parallel edges as one row with their number."""
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
+
+
 def weighted(edges: DataFrame, degree: DataFrame, most: int = SOURCE_EDGES) -> DataFrame:
     """(src, part, dst, weight): the share of a page's rank that goes to each of its targets. A page's targets are dealt out to parts of some
-    ``most`` edges, as ``degree`` (page, cnt, parts) has it."""
-    rows = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(degree.withColumnRenamed("page", "src"), "src")
+    ``most`` edges, as ``degree`` (page, cnt, parts) has it. Edges may be ``counted`` ones."""
+    rows = (edges if "m" in edges.columns else counted(edges)).join(degree.withColumnRenamed("page", "src"), "src")
     part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")
     return rows.select("src", part.alias("part"), "dst", (F.col("m") / F.col("cnt")).alias("weight"))
 
@@ -79,21 +84,23 @@ def contributions(weights: DataFrame, state: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, lam: float = 0.2, tau: float = 0.005, max_iter: int | None = None, most: int = SOURCE_EDGES) -> tuple[DataFrame, list[tuple[int, float]]]:
     """((page, rank), [(iteration, change)]): at least one iteration, until the L2 change is below tau or max_iter is reached.
 
-    Edges are written once, bucketed by source, and are not moved in any iteration; what moves are ranks and the sums of what pages get. A
+    Edges are read once, and counted; they are written bucketed by source, and are not moved in any iteration; what moves are ranks and the sums of what pages get. A
     source of more than ``most`` edges is several parts, in different buckets. Each iteration's ranks are written to the shared checkpoint
     folder, those before are deleted, and two sums, observed as the rows are written, come to the driver.
     """
     spark = edges.sparkSession
-    degree = stored(out_degree(edges).withColumn("parts", F.ceil(F.col("cnt") / most).cast("int")))
+    pairs = stored(counted(edges.select("src", "dst")))
+    degree = stored(pairs.groupBy(F.col("src").alias("page")).agg(F.sum("m").alias("cnt")).withColumn("parts", F.ceil(F.col("cnt") / most).cast("int")))
     n_edges = degree.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // BUCKET_EDGES))
-    pages = nodes(edges).join(degree.select("page", "parts"), "page", "left")
+    pages = nodes(pairs).join(degree.select("page", "parts"), "page", "left")
     state, trace = stored(pages.select("page", F.coalesce("parts", F.lit(0)).alias("parts"), F.lit(0.0).alias("rank"))), []
     n = state.count()
     lost, first = state.where("parts = 0").count() / max(n, 1), F.lit(1.0 / max(n, 1))
     if not n:
         return state.select("page", "rank"), trace
-    with bucketed(weighted(edges, degree, most), buckets, "src", "part") as weights:
+    with bucketed(weighted(pairs, degree, most), buckets, "src", "part") as weights:
+        deleted(spark, *pairs.inputFiles())
         while (not trace or trace[-1][1] >= tau) and (max_iter is None or len(trace) < max_iter):
             now = state if trace else state.withColumn("rank", first)
             rank = F.lit(lam / n + (1 - lam) * lost / n) + (1 - lam) * F.coalesce("got", F.lit(0.0))

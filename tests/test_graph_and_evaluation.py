@@ -71,6 +71,14 @@ def test_only_the_last_ranks_are_kept(spark):
     assert len(set(folder.iterdir()) - before) == 1
 
 
+def test_edges_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    rdd = spark.sparkContext.parallelize(EDGES, 2).map(lambda e: (read.add(1), e)[1])
+    ranks, _ = graph.pagerank(spark.createDataFrame(rdd, "src string, dst string"))
+    assert ranks.count() == 4
+    assert read.value == len(EDGES)
+
+
 def test_links(spark):
     edges = spark.createDataFrame([(*e, i) for i, e in enumerate(EDGES)], "src string, dst string, ord int")
     assert [(r.page, r.rank, r.cnt) for r in graph.top_inlinks(edges).collect()] == [("C", 1, 2), ("A", 2, 2), ("B", 3, 1), ("D", 4, 1)]
