@@ -8,7 +8,8 @@ from pyspark.errors import PySparkException
 
 from scriptorium.functions.scratch import stored
 from scriptorium.operators import boolean, ranking
-from scriptorium.operators.index import MADE, PACKED, append, build, merge, open_index, sliced, unpacked
+from scriptorium.operators.index import MADE, PACKED, append, build, counted, merge, open_index, sliced, unpacked
+from scriptorium.plans import queries
 
 SCENES = [
     ("p1", "p1:1", 0, 0, "to be or not to be"), ("p1", "p1:2", 1, 1, "lady macbeth sleeps"),
@@ -243,3 +244,19 @@ def test_tables(spark, index):
     assert lengths["p3:3"] == 0
     with pytest.raises(ValueError, match="level"):
         index.unit_len("act")
+
+
+def test_words_are_counted_without_an_index(spark, tmp_path, monkeypatch):
+    odd = "a b\x1fa  c\x85"
+    rows = [("p", "s0", 0, 4, f" {odd}"), ("p", "s1", 1, 3, "a b\nab"), ("q", "s2", 2, 2, None), (None, "s3", 3, 1, "b b"), ("q", "s4", 4, 0, "")]
+    corpus, want = spark.createDataFrame(rows, SCHEMA), {}
+    for play, _, _, place, said in rows:
+        for word in (said or "").split():
+            tf, first = want.get((word, play), (0, place))
+            want[word, play] = (tf + 1, min(first, place))
+    assert {(r.term, r.unit_id): (r.tf, r.first_ord) for r in counted(corpus, "play").collect()} == want
+    by_scene = lambda df: sorted(map(tuple, df.select("term", "unit_id", "tf", "first_ord").collect()))
+    assert by_scene(counted(corpus, "scene")) == by_scene(build(corpus).unit_tf("scene"))
+    corpus.selectExpr("scene_num AS doc_id", "text", "play_id AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "build", None)
+    assert queries.unit_tf(spark, str(tmp_path)).count() == len(want)
