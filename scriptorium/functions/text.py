@@ -26,10 +26,19 @@ STOPWORDS = (
 
 def prepared(text: Column) -> Column:
     """Lower-case words with single spaces between; empty words stay, because an honorific may take one."""
-    s = F.regexp_replace(text, "\r\n|\r|\n", "  ")
-    s = F.regexp_replace(s, "[^a-zA-Z0-9.']", " ")
+    s = text
+    for found, made in (("\r\n", "\n"), ("\r", "\n"), ("\n", "  "), ("_", " ")):
+        s = F.replace(s, F.lit(found), F.lit(made))
+    # A class of ranges takes eight times as long a character as the named one; blanks need not be replaced by themselves.
+    s = F.regexp_replace(s, r"[^\w.' ]", " ")
     s = F.replace(F.lower(s), F.lit("'"), F.lit(""))
-    return F.regexp_replace(s, r"(^| )(mrs|mr|ms)\. ([^ ]*)", f"$1$2{GLUE}$3")
+    glued = lambda x: F.regexp_replace(x, r"(^| )(mrs|mr|ms)\. ([^ ]*)", f"$1$2{GLUE}$3")
+    return if_has(s, lambda x: x.contains("mr. ") | x.contains("ms. ") | x.contains("mrs. "), glued)
+
+
+def if_has(text: Column, has: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """The text, changed if it has what the change is for; it is worked out once for both, and others are spared the passes."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(has(x), change(x)).otherwise(x)), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
@@ -41,9 +50,10 @@ def tokenize(text: Column) -> Column:
     s = F.regexp_replace(prepared(text), rf"(?:(?<![^ {GLUE}])|\G(?!^))([^. {GLUE}])\.+", f"$1{DOT}")
     # Characters of an abbreviation come together, with a last one that ends the word as well.
     s = F.regexp_replace(s, f"{DOT}(?=[^ .](?:{DOT}|(?![^ ])))", "")
-    s = F.regexp_replace(s, f"{GLUE}[.]+", GLUE)
-    s = F.regexp_replace(s, f"(?:mrs|mr|ms){GLUE}(?![^ ])", "")
-    s = F.regexp_replace(F.replace(s, F.lit(GLUE), F.lit("")), f"[ .{DOT}]+", " ")
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, f"{GLUE}[.]+", GLUE), f"(?:mrs|mr|ms){GLUE}(?![^ ])", "")
+    s = if_has(s, lambda x: x.contains(GLUE), lambda x: F.replace(whole(x), F.lit(GLUE), F.lit("")))
+    for end in (".", DOT):
+        s = F.replace(s, F.lit(end), F.lit(" "))
     return F.array_remove(F.split(s, " "), "")
 
 
@@ -146,9 +156,20 @@ def numbered(tokens: DataFrame, order: tuple[str, ...]) -> bool:
     return len(order) == 2 and kinds.get(order[0]) in ("int", "bigint") and kinds.get(order[1]) == "int" and not tokens.schema[order[1]].nullable
 
 
+def is_short(doc: str, pos: str) -> Column:
+    """Whether an id and a position fit into 43 and 20 bits, as most do; null ids do not."""
+    return F.coalesce(F.col(doc).between(-(1 << 42), (1 << 42) - 1) & F.col(pos).between(0, (1 << 20) - 1), F.lit(False))
+
+
+def short_number(tokens: DataFrame, doc: str, pos: str) -> tuple[Column, Callable[[Column], Column]]:
+    """What ``one_number`` gives, of short places, without the decimals that take most of the time of counting; null for others."""
+    place = F.when(is_short(doc, pos), F.col(doc).cast("bigint") * (1 << 20) + F.col(pos))
+    return place, lambda x: F.struct(F.shiftright(x, 20).cast(dict(tokens.dtypes)[doc]).alias(doc), x.bitwiseAND((1 << 20) - 1).cast("int").alias(pos))
+
+
 def one_number(tokens: DataFrame, doc: str, pos: str) -> tuple[Column, Callable[[Column], Column]]:
-    """A place as a number of the same order, and what makes it a struct again. A number's least value is kept in a hash table; for that of a
-    struct, Spark sorts all tokens of a task. A null id comes first, as in a struct."""
+    """A place that is not short as a number of the same order, and what makes it a struct again. A number's least value is kept in a hash
+    table; for that of a struct, Spark sorts all tokens of a task. A null id comes first, as in a struct."""
     number = lambda n: F.lit(str(n)).cast("decimal(38,0)")
     wide = lambda c: c.cast("decimal(38,0)")
     null, span, half = -(1 << 63) - 1, F.lit(str(1 << 32)).cast("decimal(11,0)"), number(1 << 31)
@@ -161,16 +182,18 @@ def one_number(tokens: DataFrame, doc: str, pos: str) -> tuple[Column, Callable[
         known = F.when(x >= number(-(1 << 95) - (1 << 31)), high)
         return F.struct(known.cast(dict(tokens.dtypes)[doc]).alias(doc), wide(low - half).cast("int").alias(pos))
 
-    return place, back
+    return F.when(~is_short(doc, pos), place), back
 
 
 def firsts_of(tokens: DataFrame, term: str, to: Callable[[Column], Column] | None, order: tuple[str, ...]) -> DataFrame:
     """(term, cnt, first) of each term; with ``to``, of what it makes of them, worked out once per different term."""
-    place, back = one_number(tokens, *order) if numbered(tokens, order) else (F.struct(*order), lambda x: x)
-    counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), F.min(place).alias("place"))
+    kinds = [short_number(tokens, *order), one_number(tokens, *order)] if numbered(tokens, order) else [(F.struct(*order), lambda x: x)]
+    names = [f"place{i}" for i in range(len(kinds))]
+    counts = tokens.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("cnt"), *[F.min(place).alias(n) for n, (place, _) in zip(names, kinds, strict=True)])
     if to is not None:
-        counts = counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), F.min("place").alias("place"))
-    return counts.select("term", "cnt", back(F.col("place")).alias("first"))
+        counts = counts.withColumn("term", to(F.col("term"))).groupBy("term").agg(F.sum("cnt").alias("cnt"), *[F.min(n).alias(n) for n in names])
+    found = [F.when(F.col(n).isNotNull(), back(F.col(n))) for n, (_, back) in zip(names, kinds, strict=True)]
+    return counts.select("term", "cnt", (F.least(*found) if len(found) > 1 else found[0]).alias("first"))
 
 
 def top_terms(tokens: DataFrame, n: int = 300, term: str = "stem", order: tuple[str, ...] = ("doc_id", "pos"), to: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.scratch import FEW, deleted, lookup, new_path, shipped, stored
-from scriptorium.functions.text import ws_tokens
 
 LEVELS = ("scene", "play")
 #: Scenes of a slice, as a power of two; tokens of a folder of blocks, and scenes whose blocks are together in the folders of a term.
@@ -46,6 +45,7 @@ POSTING = ["term", "slice", "ord", "len", "play", "id", "positions"]
 COUNTS = "term string, unit_id string, tf bigint, first_ord bigint"
 PACKED = "bucket int, span int, postings binary"
 BLOCKS = f"{MADE}, segment string, bucket int, span int"
+LENGTHS = "play_id string, scene_id string, doc_ord bigint, len bigint"
 SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint, segment string"
 LIVE = "segment string, buckets int, spans int, version int"
 DELTA = {"parquet.writer.version": "v2", "compression": "zstd"}
@@ -73,6 +73,24 @@ def split_words(texts):
     return kind.from_arrays(pa.array(ends.astype(np.int32 if kind is pa.ListArray else np.int64)), words.filter(real))
 
 
+def lengths(batches):
+    """From Arrow batches of (play_id, scene_id, doc_ord, text) to (play_id, scene_id, doc_ord, len)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lens = split_words(batch.column("text")).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lens)], names=["play_id", "scene_id", "doc_ord", "len"])
+
+
+def tokenized(batches):
+    """From Arrow batches of (play, id, ord, text) to (play, id, ord, tokens)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], split_words(batch.column("text"))], names=["play", "id", "ord", "tokens"])
+
+
 def counts(batches):
     """From Arrow batches of (unit_id, ord, text) to (term, unit_id, tf, first_ord), a row for each word and unit of a batch."""
     import numpy as np
@@ -234,8 +252,9 @@ def packs(tables, buckets: int, spans: int, most: int = PACK_POSTINGS):
             kept, n = [], 0
 
 
-def sliced(slice_bits: int, buckets: int, spans: int, slice_tokens: int = SLICE_TOKENS):
-    """From Arrow batches of (play, id, ord, tokens) to packed postings: as many rows as a slice has, or as have so many tokens, are one slice."""
+def sliced(slice_bits: int, buckets: int, spans: int, slice_tokens: int = SLICE_TOKENS, terms: list[str] | None = None):
+    """From Arrow batches of (play, id, ord, tokens) to packed postings: as many rows as a slice has, or as have so many tokens, are one slice.
+    With ``terms``, postings are of these only, and slices, places and lengths as they are with all."""
 
     def tables(batches):
         import numpy as np
@@ -250,25 +269,32 @@ def sliced(slice_bits: int, buckets: int, spans: int, slice_tokens: int = SLICE_
             lens = rows["tokens"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
             while at < n and (batch is None or at + whole <= n or int(lens[at:].sum()) > slice_tokens):
                 size = max(1, int(np.searchsorted(np.cumsum(lens[at : at + whole]), slice_tokens, "right")))
-                if lens[at : at + size].any():
-                    yield slice_postings(rows.slice(at, size), lens[at : at + size], number)
+                if (made := slice_postings(rows.slice(at, size), lens[at : at + size], number, terms)) is not None:
+                    yield made
                 number, at = number + 1, at + size
             rest = rows.slice(at) if at < n else None
 
     return lambda batches: packs(tables(batches), buckets, spans)
 
 
-def slice_postings(rows, lens, number: int):
-    """The postings of one slice, a row for each scene that has the term."""
+def slice_postings(rows, lens, number: int, terms: list[str] | None = None):
+    """The postings of one slice, a row for each scene that has the term; None if there are none."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     column = lambda c: rows[c].combine_chunks()
-    words = column("tokens").flatten().dictionary_encode()
+    words = column("tokens").flatten()
+    scene, place = np.repeat(np.arange(len(lens)), lens), np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
+    if terms is not None:
+        own = np.flatnonzero(pc.is_in(words, value_set=pa.array(terms, words.type)).to_numpy(zero_copy_only=False))
+        words, scene, place = words.take(pa.array(own)), scene[own], place[own]
+    if not len(words):
+        return None
+    words = words.dictionary_encode()
     code = words.indices.to_numpy(zero_copy_only=False)
     at = np.argsort(code, kind="stable")
-    scene, place = np.repeat(np.arange(len(lens)), lens)[at], (np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens))[at]
-    code = code[at]
+    code, scene, place = code[at], scene[at], place[at]
     first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (scene[1:] != scene[:-1])])
     positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)].astype(np.int32)), pa.array(place.astype(np.int32)))
     scene, terms = scene[first], pa.DictionaryArray.from_arrays(pa.array(code[first]), words.dictionary)
@@ -346,25 +372,27 @@ def _write(scenes: DataFrame, pack: Callable[[int, int], DataFrame], path: str,
     return segment, buckets, spans
 
 
-def _segment(corpus: DataFrame, path: str, slice_bits: int, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
+def _segment(corpus: DataFrame, path: str, slice_bits: int, folder_tokens: int, span_scenes: int, terms: list[str] | None = None) -> tuple[str, int, int]:
     """Write a segment of a corpus. A slice is one task's, so its postings are packed before they are shuffled; a task's scenes are sorted by
-    their places, so that they are in the same slices if it runs again."""
+    their places, so that they are in the same slices if it runs again. Texts are sorted and go to the Python workers, tokens do not."""
     segment = uuid.uuid4().hex[:12]
     shipped(corpus.sparkSession)
-    tokens = ws_tokens(F.col("text"))
-    scenes = corpus.select("play_id", "scene_id", "doc_ord", F.size(tokens).cast("bigint").alias("len"))
-    own = corpus.select("play_id", "scene_id", "doc_ord", "text").sortWithinPartitions("doc_ord")
-    own = own.select(F.col("play_id").alias("play"), F.col("scene_id").alias("id"), F.col("doc_ord").alias("ord"), tokens.alias("tokens"))
-    return _write(scenes, lambda buckets, spans: own.mapInArrow(sliced(slice_bits, buckets, spans), PACKED), path, segment, folder_tokens, span_scenes)
+    rows = corpus.select("play_id", "scene_id", "doc_ord", "text")
+    own = rows.sortWithinPartitions("doc_ord").toDF("play", "id", "ord", "text")
+    made = lambda buckets, spans: own.mapInArrow(lambda batches: sliced(slice_bits, buckets, spans, terms=terms)(tokenized(batches)), PACKED)
+    return _write(rows.mapInArrow(lengths, LENGTHS), made, path, segment, folder_tokens, span_scenes)
 
 
-def build(corpus: DataFrame, path: str | None = None, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:
+def build(
+    corpus: DataFrame, path: str | None = None, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES, terms: list[str] | None = None
+) -> Index:
     """The index of a corpus (play_id, scene_id, scene_num, doc_ord, text), written at ``path`` (else in the checkpoint folder).
 
-    Scene ids and places (doc_ord) are unique. Scenes without tokens stay, with length 0.
+    Scene ids and places (doc_ord) are unique. Scenes without tokens stay, with length 0. With ``terms``, blocks are made of these words only,
+    for searches whose words are known before; scenes, lengths and totals are those of the whole corpus, so these searches find the same.
     """
     path = path or new_path(corpus.sparkSession)
-    return _made_live(corpus.sparkSession, path, [_segment(corpus, path, slice_bits, folder_tokens, span_scenes)], 0)
+    return _made_live(corpus.sparkSession, path, [_segment(corpus, path, slice_bits, folder_tokens, span_scenes, terms)], 0)
 
 
 def append(index: Index, corpus: DataFrame, slice_bits: int = SLICE_BITS, folder_tokens: int = FOLDER_TOKENS, span_scenes: int = SPAN_SCENES) -> Index:

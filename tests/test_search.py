@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from scriptorium.functions.scratch import stored
 from scriptorium.operators import boolean, ranking
 from scriptorium.operators.index import MADE, PACKED, append, build, counted, merge, open_index, sliced, unpacked
-from scriptorium.plans import queries
+from scriptorium.plans import formats, queries
 
 SCENES = [
     ("p1", "p1:1", 0, 0, "to be or not to be"), ("p1", "p1:2", 1, 1, "lady macbeth sleeps"),
@@ -260,3 +260,22 @@ def test_words_are_counted_without_an_index(spark, tmp_path, monkeypatch):
     corpus.selectExpr("scene_num AS doc_id", "text", "play_id AS source").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(queries, "build", None)
     assert queries.unit_tf(spark, str(tmp_path)).count() == len(want)
+
+
+def test_an_index_of_the_words_asked_for_finds_the_same(spark, index):
+    own = build(spark.createDataFrame(SCENES, SCHEMA), terms=["to", "lady", "zzz"])
+    assert {r.term for r in own.blocks.select("term").collect()} == {"to", "lady"}
+    assert [sorted(map(tuple, i.stats("scene").union(i.stats("play")).collect())) for i in (own, index)][0] == sorted(map(tuple, index.stats("scene").union(index.stats("play")).collect()))
+    assert sorted(map(tuple, own.postings().collect())) == sorted(map(tuple, index.postings().where("term IN ('to', 'lady')").collect()))
+    for model, search in (("bm25", ranking.bm25), ("ql", ranking.ql)):
+        asked = spark.createDataFrame([("q", level, model, i, w) for level in ("scene", "play") for i, w in enumerate(["to", "lady", "zzz"])], "qname string, level string, model string, qpos int, term string")
+        assert sorted(map(tuple, search(own, asked).collect())) == sorted(map(tuple, search(index, asked).collect())) != []
+
+
+def test_defaults_need_no_index_of_all_words(spark, tmp_path, monkeypatch):
+    built = []
+    monkeypatch.setattr(formats, "build", lambda *a, **b: built.append(build(*a, **b)) or built[-1])
+    monkeypatch.setattr(queries, "build", None)
+    formats.src_defaults(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/x")
+    asked = {w for q in ("bm25_scene", "ql_scene") for _, _, own in queries.RANKED[q].values() for w in own}
+    assert set() < {r.term for r in built[0].blocks.select("term").distinct().collect()} <= asked

@@ -118,3 +118,26 @@ def test_first_places_are_kept_in_a_hash_table(spark):
     for to in (None, text.stem):
         rows = [sorted(((r.term, r.cnt, tuple(r.first)) for r in text.firsts_of(t, "token", to, ("doc_id", "pos")).collect()), key=str) for t in (tokens, plain)]
         assert rows[0] == rows[1] != []
+
+
+def test_short_places_and_others(spark):
+    edge = [-(1 << 42) - 1, -(1 << 42), -1, 0, (1 << 42) - 1, 1 << 42]
+    rows = [(i, "t" if n % 2 else f"w{i}") for n, i in enumerate([*edge, None, *reversed(edge)])]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, token string").select("doc_id", F.explode(F.array(*[F.lit(p) for p in (3, (1 << 20) - 1, 1 << 20)])).alias("pos"), "token")
+    tokens = tokens.unionByName(tokens.where("pos = 3").withColumn("token", F.lit("late")).withColumn("pos", F.lit(1 << 20)))
+    found = {r.term: tuple(r.first) for r in text.firsts_of(tokens, "token", None, ("doc_id", "pos")).collect()}
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    want = {}
+    for r in tokens.collect():
+        want[r.token] = min(want.get(r.token, (r.doc_id, r.pos)), (r.doc_id, r.pos), key=key)
+    assert found == want
+    # The number of a long place is null where the place is short, so no decimal is made of it.
+    short, long = text.short_number(tokens, "doc_id", "pos")[0], text.one_number(tokens, "doc_id", "pos")[0]
+    assert {tuple(r) for r in tokens.select(short.isNull(), long.isNull()).collect()} == {(True, False), (False, True)}
+
+
+def test_honorifics_are_only_looked_for_where_there_are_any(spark):
+    said = ["Mr. A mrs.  b Ms.\nC", "mr.x no", "a_b\r\nc\rd", "x\x01mr. y\x02.z", "Mrs. ... q", "the ms. U.S.A. é.f"]
+    want = [["mra", "b", "c"], ["mr", "x", "no"], ["a", "b", "c", "d"], ["x", "mry", "z"], ["q"], ["the", "msusa", "f"]]
+    rows = spark.createDataFrame(list(enumerate(said)), "n int, t string").select("n", text.tokenize(F.col("t")).alias("t")).orderBy("n").collect()
+    assert [r.t for r in rows] == want
