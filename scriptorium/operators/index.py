@@ -7,8 +7,9 @@ cannot score high enough is left out before its contents are read; a term that e
 
 An index is a folder of segments, each written once: ``build`` writes the first, ``append`` one more for new scenes, ``merge`` puts all into
 one. Blocks are in folders by a hash of the term and one of the slice, their numbers taken from the size of the corpus, and sorted by term
-inside. Files are written with Parquet's delta encodings, so places and positions cost their gaps. A small table lists the live segments;
-its last version counts, so a search never sees half of a segment.
+inside. Files are written with Parquet's delta encodings, so places and positions cost their gaps, and without what the rest of a block
+tells (``thinned``; ``filled`` has it again). A small table lists the live segments; its last version counts, so a search never sees half of
+a segment.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ MADE = (
 )
 POSTING = ["term", "slice", "ord", "len", "play", "id", "positions"]
 COUNTS = "term string, unit_id string, tf bigint, first_ord bigint"
-PACKED = "bucket int, span int, postings binary"
+PACKED = "bucket int, span int, postings binary, scenes binary"
 BLOCKS = f"{MADE}, segment string, bucket int, span int"
+#: A scene, as packs have it once; Parquet's encodings of a pack's two tables.
+SCENE = ["slice", "ord", "len", "play", "id"]
+ENCODED = {"scene.list.element": "DELTA_BINARY_PACKED", "positions.list.element.list.element": "DELTA_BINARY_PACKED", "term": "DELTA_BYTE_ARRAY"}
+ENCODED_SCENE = {c: "DELTA_BYTE_ARRAY" if c in ("play", "id") else "DELTA_BINARY_PACKED" for c in SCENE}
 LENGTHS = "play_id string, scene_id string, doc_ord bigint, len bigint"
 SCENES = "play_id string, scene_id string, doc_ord bigint, len bigint, segment string"
 LIVE = "segment string, buckets int, spans int, version int"
@@ -202,7 +207,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     version = max(r.version for r in rows)
     segments = tuple(sorted((r.segment, r.buckets, r.spans) for r in rows if r.version == version))
     read = lambda kind, schema: spark.read.schema(schema).option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/segment={s}" for s, *_ in segments])
-    return Index(path, segments, read("blocks", BLOCKS), read("scenes", SCENES))
+    return Index(path, segments, filled(read("blocks", BLOCKS)), read("scenes", SCENES))
 
 
 def _made_live(spark: SparkSession, path: str, segments: list[tuple[str, int, int]], version: int) -> Index:
@@ -214,28 +219,71 @@ def _last_version(spark: SparkSession, path: str) -> int:
     return spark.read.schema(LIVE).parquet(f"{path}/live").agg(F.max("version")).first()[0]
 
 
+def scenes_of(postings):
+    """The different scenes (SCENE) of a table of postings, in the order of their places, and the number of each posting's."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    number = np.zeros(len(postings), np.int64)
+    for c in SCENE:
+        own = pc.dictionary_encode(postings[c].combine_chunks(), null_encoding="encode")
+        number = pc.dictionary_encode(pa.array(number * len(own.dictionary) + own.indices.to_numpy())).indices.to_numpy().astype(np.int64)
+    first = np.unique(number, return_index=True)[1]
+    scenes = postings.select(SCENE).take(pa.array(first)).combine_chunks()
+    order = np.lexsort((scenes["ord"].to_numpy(), scenes["slice"].to_numpy()))
+    return scenes.take(pa.array(order)), np.argsort(order)[number]
+
+
+def filed(table, encodings: dict[str, str]) -> bytes:
+    """A table as a Parquet file in memory."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    out = pa.BufferOutputStream()
+    pq.write_table(table, out, compression="zstd", use_dictionary=False, column_encoding=encodings, write_statistics=False, store_schema=False)
+    return out.getvalue().to_pybytes()
+
+
 def packed(postings, buckets: int, spans: int):
-    """An Arrow batch (bucket, span, postings) of a table of postings (term, slice, ord, len, play, id, positions): those of each folder as one
-    compressed Arrow stream, which is far smaller than rows of arrays are."""
+    """An Arrow batch (PACKED) of a table of postings (POSTING): those of each folder by their terms as one small Parquet file, and the scenes
+    that they are in as another, so that what belongs to a scene is not repeated by each of its words."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     postings = postings.combine_chunks()
     terms = postings["term"].combine_chunks()
-    own = np.array([zlib.crc32(t.encode()) % buckets for t in terms.dictionary.to_pylist()], np.int64)[terms.indices.to_numpy(zero_copy_only=False)]
-    slices = postings["slice"].to_numpy()
-    numbers, at = np.unique(slices, return_inverse=True)
-    folder = own * spans + np.array([zlib.crc32(str(n).encode()) % spans for n in numbers], np.int64)[at]
-    order = np.lexsort((slices, terms.indices.to_numpy(zero_copy_only=False), folder))
-    folder, postings = folder[order], postings.take(pa.array(order)).combine_chunks()
-    first, streams = np.flatnonzero(np.r_[True, folder[1:] != folder[:-1]]), []
+    by_name = pc.sort_indices(terms.dictionary)
+    code, names = np.argsort(by_name.to_numpy())[terms.indices.to_numpy(zero_copy_only=False)], terms.dictionary.take(by_name)
+    scenes, scene = scenes_of(postings)
+    own = np.array([zlib.crc32(t.encode()) % buckets for t in names.to_pylist()], np.int64)[code]
+    numbers, at = np.unique(scenes["slice"].to_numpy(), return_inverse=True)
+    folder = own * spans + np.array([zlib.crc32(str(n).encode()) % spans for n in numbers], np.int64)[at][scene]
+    order = np.lexsort((scene, code, folder))
+    folder, code, scene, positions = folder[order], code[order], scene[order], postings["positions"].combine_chunks().take(pa.array(order))
+    first, files = np.flatnonzero(np.r_[True, folder[1:] != folder[:-1]]), []
     for a, b in zip(first, np.r_[first[1:], len(folder)], strict=True):
-        part, out = postings.slice(a, b - a), pa.BufferOutputStream()
-        part = part.set_column(0, "term", part["term"].combine_chunks().cast(pa.string()).dictionary_encode())
-        with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(part)
-        streams.append(out.getvalue().to_pybytes())
-    return pa.RecordBatch.from_arrays([pa.array((folder[first] // spans).astype(np.int32)), pa.array((folder[first] % spans).astype(np.int32)), pa.array(streams, pa.binary())], names=["bucket", "span", "postings"])
+        starts = np.flatnonzero(np.r_[True, code[a + 1 : b] != code[a : b - 1]])
+        ends = pa.array(np.r_[starts, b - a].astype(np.int32))
+        used, places = np.unique(scene[a:b], return_inverse=True)
+        columns = [names.take(pa.array(code[a:b][starts])), pa.ListArray.from_arrays(ends, pa.array(places.astype(np.int32))), pa.ListArray.from_arrays(ends, positions.slice(a, b - a))]
+        files.append((filed(pa.Table.from_arrays(columns, names=["term", "scene", "positions"]), ENCODED), filed(scenes.take(pa.array(used)), ENCODED_SCENE)))
+    columns = [pa.array((folder[first] // spans).astype(np.int32)), pa.array((folder[first] % spans).astype(np.int32)), *(pa.array(f, pa.binary()) for f in zip(*files, strict=True))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def read_pack(postings, scenes):
+    """The table of postings (POSTING) that ``packed`` made two files of."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    terms, scenes = (pq.ParquetFile(pa.BufferReader(f.as_buffer())).read(use_threads=False).combine_chunks() for f in (postings, scenes))
+    numbers, positions = terms["scene"].combine_chunks(), terms["positions"].combine_chunks().flatten()
+    at = np.repeat(np.arange(len(terms), dtype=np.int32), numbers.value_lengths().to_numpy(zero_copy_only=False))
+    named = pa.DictionaryArray.from_arrays(pa.array(at), terms["term"].combine_chunks())
+    return pa.Table.from_arrays([named, *scenes.take(numbers.flatten()).columns, positions], names=POSTING)
 
 
 def packs(tables, buckets: int, spans: int, most: int = PACK_POSTINGS):
@@ -325,9 +373,9 @@ def unpacked(batches):
     """From packed postings, those of a folder after each other, to blocks in the order of terms and slices."""
     import pyarrow as pa
 
-    rows = ((b, s, p) for batch in batches for b, s, p in zip(*(batch.column(c) for c in ("bucket", "span", "postings")), strict=True))
+    rows = (row for batch in batches for row in zip(*(batch.column(c.split()[0]) for c in PACKED.split(", ")), strict=True))
     for (bucket, span), own in itertools.groupby(rows, key=lambda r: (r[0].as_py(), r[1].as_py())):
-        postings = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for *_, p in own]).unify_dictionaries().combine_chunks()
+        postings = pa.concat_tables([read_pack(*files) for _, _, *files in own]).unify_dictionaries().combine_chunks()
         made = grouped(postings, bucket, span)
         for at in range(0, made.num_rows, ROWS):
             yield made.slice(at, ROWS)
@@ -355,6 +403,52 @@ def grouped(postings, bucket: int, span: int):
     return pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in MADE.split(", ")), "bucket", "span"])
 
 
+def thinned(batches):
+    """Blocks (MADE, bucket, span) as files have them, half as large: greatest values are what they are more than the least, and so are places
+    but for the first, which has no entry, and occurrences and lengths, which have entries only if they differ. A difference of places that
+    is no 64-bit number is not taken: the complement of the greatest place, below zero, tells. Ids have entries only if they are not the digits of their places."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        n, lo, hi = (columns[c].to_numpy() for c in ("n", "lo", "hi"))
+        starts = np.cumsum(n) - n
+
+        def entries(values, own, bounds=np.r_[starts, n.sum()]):
+            """Lists of those entries that stay."""
+            ends = np.r_[0, np.cumsum(own)][bounds].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), values.filter(pa.array(own)))
+
+        wide, later = hi - lo < 0, np.ones(n.sum(), bool)
+        later[starts] = False
+        ords, ids = columns["ords"].flatten(), columns["ids"].flatten()
+        columns["ords"] = entries(pa.array(ords.to_numpy() - np.repeat(np.where(wide, 0, lo), n)), later)
+        columns["hi"] = pa.array(np.where(wide, ~hi, hi - lo))
+        other = ~pc.fill_null(pc.equal(ids, ords.cast(ids.type)), False).to_numpy(zero_copy_only=False)
+        columns["ids"] = entries(ids, np.repeat(np.logical_or.reduceat(other, starts) if len(n) else n > 0, n))
+        for name, kind in (("tfs", "tf"), ("lens", "len")):
+            least, most = (columns[f"{which}_{kind}"].to_numpy() for which in ("least", "most"))
+            columns[name] = entries(pa.array(columns[name].flatten().to_numpy() - np.repeat(least, n)), np.repeat(most > least, n))
+            columns[f"most_{kind}"] = pa.array(most - least)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=batch.schema.names)
+
+
+def filled(files: DataFrame) -> DataFrame:
+    """Blocks again of files with ``thinned`` ones; of a column only what it is made of is read."""
+    plus = lambda name, least: F.transform(name, lambda x: x + F.col(least))
+    wide = F.col("hi") < 0
+    ords = F.when(F.col("n") == 1, F.array("lo")).otherwise(F.concat(F.array("lo"), F.when(wide, F.col("ords")).otherwise(plus("ords", "lo"))))
+    made = {"ords": ords, "hi": F.when(wide, F.bitwise_not("hi")).otherwise(F.col("lo") + F.col("hi"))}
+    for name, kind in (("tfs", "tf"), ("lens", "len")):
+        least, most = f"least_{kind}", f"most_{kind}"
+        same = F.array_repeat(F.col(least), F.col("n").cast("int"))
+        made |= {name: F.when(F.col(most) == 0, same).otherwise(plus(name, least)), most: F.col(least) + F.col(most)}
+    made["ids"] = F.when(F.size("ids") == 0, ords.cast("array<string>")).otherwise(F.col("ids"))
+    return files.select(*[made[c].alias(c) if c in made else c for c in files.columns])
+
+
 def _write(scenes: DataFrame, pack: Callable[[int, int], DataFrame], path: str, segment: str, folder_tokens: int, span_scenes: int) -> tuple[str, int, int]:
     """Write a segment from scenes (play_id, scene_id, doc_ord, len) and the packed postings that ``pack`` gives for numbers of buckets and spans.
 
@@ -367,7 +461,7 @@ def _write(scenes: DataFrame, pack: Callable[[int, int], DataFrame], path: str,
     spans = max(1, -(-n // span_scenes))
     buckets = max(1, -(-max(least, -(-tokens // folder_tokens)) // spans))
     rows = pack(buckets, spans).repartition(buckets * spans, "bucket", "span").sortWithinPartitions("bucket", "span")
-    blocks = rows.mapInArrow(unpacked, f"{MADE}, bucket int, span int").sortWithinPartitions("bucket", "span", "term", "slice")
+    blocks = rows.mapInArrow(lambda batches: thinned(unpacked(batches)), f"{MADE}, bucket int, span int").sortWithinPartitions("bucket", "span", "term", "slice")
     blocks.write.options(**DELTA).partitionBy("bucket", "span").parquet(f"{path}/blocks/segment={segment}")
     return segment, buckets, spans
 

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 
 from scriptorium.functions.scratch import stored
 from scriptorium.operators import boolean, ranking
-from scriptorium.operators.index import MADE, PACKED, append, build, counted, merge, open_index, sliced, unpacked
+from scriptorium.operators.index import MADE, PACKED, append, build, counted, filled, merge, open_index, sliced, thinned, unpacked
 from scriptorium.plans import formats, queries
 
 SCENES = [
@@ -155,6 +155,38 @@ def test_postings_are_packed_and_need_no_join(spark, index):
         assert len({r.slice for r in blocks}) == slices
 
 
+def test_files_have_no_entry_that_the_rest_of_a_block_tells(spark, tmp_path):
+    far = (1 << 63) - 9
+    rows = [("p", -far, "x", ["a", "b"]), (None, 5, "5", ["a", "c", "a"]), ("q", far, str(far), ["a"]), ("q", far + 1, None, ["d", "d"]), ("q", far + 2, str(far + 2), ["d", "d"])]
+    corpus = spark.createDataFrame(rows, "play string, ord bigint, id string, tokens array<string>").coalesce(1)
+    kind = f"{MADE}, bucket int, span int"
+    own = corpus.mapInArrow(sliced(3, 4, 1), PACKED).repartition(4, "bucket").sortWithinPartitions("bucket")
+    own.mapInArrow(unpacked, kind).write.parquet(f"{tmp_path}/whole")
+    own.mapInArrow(lambda batches: thinned(unpacked(batches)), kind).write.parquet(f"{tmp_path}/thin")
+    whole, thin = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("whole", "thin"))
+    got = {r.term: r for r in filled(thin).collect()}
+    assert got == {r.term: r for r in whole.collect()}
+    assert [(r.ords, r.tfs, r.lens, r.plays, r.ids, r.positions) for r in (got["a"], got["d"])] == [
+        ([-far, 5, far], [1, 2, 1], [2, 3, 1], ["p", None, "q"], ["x", "5", str(far)], [[0], [0, 2], [0]]),
+        ([far + 1, far + 2], [2, 2], [2, 2], ["q", "q"], [None, str(far + 2)], [[0, 1], [0, 1]]),
+    ]
+    kept = {r.term: (len(r.ords), len(r.tfs), len(r.lens), len(r.ids)) for r in thin.collect()}
+    assert kept == {"a": (2, 3, 3, 3), "b": (0, 0, 0, 1), "c": (0, 0, 0, 0), "d": (1, 0, 0, 2)}
+
+
+def test_an_appended_and_merged_index_takes_little_disk(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(20000)]
+    texts = [" ".join(rng.choices(words, [1 / i for i in range(1, 20001)], k=400)) for _ in range(600)]
+    rows = [(f"source {i % 7}", str(10**6 + i), i, 10**6 + i, t) for i, t in enumerate(texts)]
+    parts = [spark.createDataFrame(rows[a:b], SCHEMA).coalesce(2) for a, b in ((0, 300), (300, 600))]
+    n = merge(append(build(parts[0], str(tmp_path)), parts[1])).postings().count()
+    assert sum(f.stat().st_size for f in tmp_path.rglob("blocks/**/*.parquet")) < 7.5 * n
+    tokens = parts[0].union(parts[1]).selectExpr("play_id AS play", "scene_id AS id", "doc_ord AS ord", "split(text, ' ') AS tokens")
+    packs = tokens.mapInArrow(sliced(7, 16, 1), PACKED).collect()
+    assert sum(len(v) for r in packs for v in r if not isinstance(v, int)) < 10 * n
+
+
 def test_a_word_of_every_scene_goes_to_many_folders(spark):
     index = build(spark.createDataFrame([("p", f"s{i}", i, i, "the") for i in range(640)], SCHEMA).coalesce(1), slice_bits=4, span_scenes=40, folder_tokens=10)
     blocks = index.blocks.where("term = 'the'")
