@@ -460,7 +460,7 @@ def _write(scenes: DataFrame, pack: Callable[[int, int], DataFrame], path: str,
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = max(1, -(-n // span_scenes))
     buckets = max(1, -(-max(least, -(-tokens // folder_tokens)) // spans))
-    rows = pack(buckets, spans).repartition(buckets * spans, "bucket", "span").sortWithinPartitions("bucket", "span")
+    rows = pack(buckets, spans).repartitionById(buckets * spans, F.col("bucket") * spans + F.col("span")).sortWithinPartitions("bucket", "span")
     blocks = rows.mapInArrow(lambda batches: thinned(unpacked(batches)), f"{MADE}, bucket int, span int").sortWithinPartitions("bucket", "span", "term", "slice")
     blocks.write.options(**DELTA).partitionBy("bucket", "span").parquet(f"{path}/blocks/segment={segment}")
     return segment, buckets, spans
